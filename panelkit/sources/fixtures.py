@@ -59,7 +59,7 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)
        CASE CAST(floor(l_suppkey / 2.0) AS BIGINT) % 4
             WHEN 0 THEN '3Spurig' WHEN 1 THEN 'NeueMitte'
             WHEN 2 THEN 'Spielstrasse' ELSE 'Ueberland' END AS scenario,
-       67.0 + CAST(l_quantity AS INT) % 20 AS quality,
+       CAST(67 + CAST(l_quantity AS INT) % 20 AS DOUBLE) AS quality,
        1.0 + floor(round(l_discount * 100) * 0.8) / 2.0 AS rating,
        CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_partkey % 50 + 18 END AS age,
        concat('A', CAST(l_partkey % 4 + 1 AS VARCHAR)) AS gender,
@@ -73,19 +73,21 @@ FROM lineitem
 
 # ---------------------------------------------------------------- panel
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced participant x quality panel (one cell per participant)."""
+    """Balanced participant x quality panel (one cell per participant); the
+    cell rating is the mean rounded to quarter steps (exact in binary, so sums
+    agree across engines)."""
     r = ratings(spark, sf_dir)
     return r.groupBy("participant", "quality").agg(
         F.min("scenario").alias("scenario"),
         F.min(F.when(F.col("introduction_raw") == "boasting", "boasting").otherwise("ambiguous")).alias("introduction"),
-        F.round(F.avg("rating"), 6).alias("rating"),
+        (F.round(F.avg("rating") * 4) / 4).alias("rating"),
     )
 
 
 PANEL_SQL = """
 SELECT participant, min(scenario) AS scenario,
        min(CASE WHEN introduction_raw = 'boasting' THEN 'boasting' ELSE 'ambiguous' END) AS introduction,
-       quality, round(avg(rating), 6) AS rating
+       quality, round(avg(rating) * 4) / 4 AS rating
 FROM ratings GROUP BY participant, quality
 """
 

@@ -24,19 +24,35 @@ def _n_buckets(df: DataFrame, buckets: int | None) -> int:
     return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _order_key(df: DataFrame, col: str):
+    """A double that is non-decreasing in the order of ``col``: the value for
+    numeric columns, else the first 7 bytes of the (binary-ordered) string as
+    an integer. Equal keys only put rows in the same bucket, so the numbers
+    stay exact; the prefix only matters for balance."""
+    t = df.schema[col].dataType.simpleString()
+    if t.startswith(_NUMERIC):
+        return F.col(col).cast("double")
+    b = F.substring(F.col(col).cast("string").cast("binary"), 1, 7)
+    return F.conv(F.rpad(F.hex(b), 14, "0"), 16, 10).cast("bigint").cast("double")
+
+
 def _cut_points(df: DataFrame, col: str, n: int, uniform: bool) -> list[float]:
     if uniform:  # column known to be ~U[0,1): fixed edges, no pass over the data
         return [i / n for i in range(1, n)]
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 1000).alias("q")).first()
+    row = df.agg(F.percentile_approx(_order_key(df, col), probs, 1000).alias("q")).first()
     return sorted(set(float(x) for x in (row["q"] or []) if x is not None))
 
 
-def _bucket(col: str, cuts: list[float]):
+def _bucket(df: DataFrame, col: str, cuts: list[float]):
     if not cuts:
         return F.lit(0)
     arr = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(arr, lambda c: c < F.col(col).cast("double")))
+    key = _order_key(df, col)
+    return F.size(F.filter(arr, lambda c: c < key))
 
 
 def _offsets(totals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -55,7 +71,7 @@ def average_rank(df: DataFrame, col: str, out: str = "rank", by: Sequence[str] =
     vals = df.where(F.col(col).isNotNull())
     counts = vals.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
     cuts = _cut_points(vals, col, n_b, uniform=False)
-    counts = counts.withColumn("__b", _bucket(col, cuts))
+    counts = counts.withColumn("__b", _bucket(counts, col, cuts))
     totals = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__tot"))
     offs = _offsets(totals, by).drop("__tot")
     w = Window.partitionBy(*by, "__b").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
@@ -79,7 +95,7 @@ def row_number(df: DataFrame, order: Sequence[str], out: str = "row_number", by:
     n_b = _n_buckets(df, buckets)
     uni = uniform_first if uniform_first is not None else first == "__u"
     cuts = _cut_points(df, first, n_b, uniform=uni)
-    b = df.withColumn("__b", _bucket(first, cuts))
+    b = df.withColumn("__b", _bucket(df, first, cuts))
     totals = b.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__tot"))
     offs = _offsets(totals, by).drop("__tot")
     w = Window.partitionBy(*by, "__b").orderBy(*order)

@@ -34,4 +34,5 @@ def load_all() -> None:
         encoding,
         scoring,
         screening,
+        splits,
     )

@@ -32,6 +32,7 @@ def load_all() -> None:
     """Import every plan module so their queries register."""
     from panelkit.plans import (  # noqa: F401
         encoding,
+        equation_fits,
         importances,
         mixed_models,
         scoring,

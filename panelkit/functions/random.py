@@ -26,3 +26,11 @@ def uniform_sql(*parts: str) -> str:
     """The DuckDB text of :func:`portable_uniform` for oracle queries (parts are SQL expressions)."""
     key = "concat_ws(':', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
     return f"(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) / power(16, 13))"
+
+
+def fast_uniform(*parts) -> Column:
+    """Uniform in [0,1) from ``xxhash64`` of the parts: JVM-native and cheap,
+    deterministic under retries; used where no cross-engine oracle is needed
+    (e.g. bootstrap bands)."""
+    h = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return (F.shiftright(h, 11).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))

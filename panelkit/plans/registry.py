@@ -31,6 +31,7 @@ def register(name: str, ids: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from panelkit.plans import (  # noqa: F401
+        curves,
         encoding,
         equation_fits,
         importances,

@@ -174,12 +174,14 @@ def tag_repeat_ids(df: DataFrame, id_col: str, combo_cols: Sequence[str], order_
 def remove_group_outliers(df: DataFrame, group: str, value: str, z: float = 3.0, id_cols: Sequence[str] = ()) -> DataFrame:
     """Drop rows whose robust z-score (median/MAD within ``group``) exceeds ``z``.
 
-    Medians by ``percentile`` in a grouped aggregate; removal as a left-anti
+    Medians by the distributed exact percentile; removal as a left-anti
     join on the row identity (``id_cols``) when given, else a filter.
     """
-    med = df.groupBy(group).agg(F.percentile(value, 0.5).alias("__med"))
+    from panelkit.operators.ranks import exact_percentile
+
+    med = exact_percentile(df, value, [0.5], by=[group]).select(group, F.col("value").alias("__med"))
     j = df.join(med, group, "left").withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
-    mad = j.groupBy(group).agg(F.percentile("__dev", 0.5).alias("__mad"))
+    mad = exact_percentile(j, "__dev", [0.5], by=[group]).select(group, F.col("value").alias("__mad"))
     j = j.join(mad, group, "left")
     rz = F.col("__dev") / (F.lit(1.4826) * F.col("__mad"))
     out = F.coalesce(rz > z, F.lit(False))

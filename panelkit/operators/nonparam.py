@@ -180,7 +180,7 @@ def brown_forsythe(df: DataFrame, y: str, factor: str) -> DataFrame:
     """Brown-Forsythe (median-centred Levene) test of equal spread across
     the levels of ``factor``: one-way ANOVA F on |y - median of its level|."""
     base = df.select(factor, F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
-    med = base.groupBy(factor).agg(F.percentile("__y", 0.5).alias("__med"))
+    med = ranks.exact_percentile(base, "__y", [0.5], by=[factor]).select(factor, F.col("value").alias("__med"))
     d = base.join(med, factor).select(factor, F.abs(F.col("__y") - F.col("__med")).alias("__d"))
     lv = d.groupBy(factor).agg(F.count(F.lit(1)).alias("__n"), F.avg("__d").alias("__m"),
                                F.sum(F.col("__d") * F.col("__d")).alias("__ss"))
@@ -237,7 +237,7 @@ def careless_flags(df: DataFrame, subject: str, items: Sequence[str], pct: float
     """``flag`` = "Yes" for respondents whose entropy is at or below the
     ``pct`` percentile of all respondents' entropies, else "No"."""
     e = response_entropy(df, subject, items)
-    thr = e.agg(F.percentile("entropy", pct).alias("__thr"))
+    thr = ranks.exact_percentile(e, "entropy", [pct]).select(F.col("value").alias("__thr"))
     return e.crossJoin(thr).select(subject, "entropy", "n_answers",
                                    F.when(F.col("entropy") <= F.col("__thr"), "Yes").otherwise("No").alias(flag))
 

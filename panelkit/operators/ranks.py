@@ -123,3 +123,38 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str, out: str = "rank",
     """Rank within a partition, ties get the minimum rank."""
     o = F.col(value).desc() if descending else F.col(value).asc()
     return df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(o)))
+
+
+def exact_percentile(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                     buckets: int | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation (``quantile_cont``
+    semantics) without gathering a group's values in one task.
+
+    Values are counted per (group, value) - map-side combined, so a value
+    held by a third of the rows is one row - and positioned by the bucketed
+    prefix sums of :func:`average_rank`; the k-th smallest value is found by
+    interval lookup. Returns one row per (group, p): ``p``, ``value``.
+    """
+    by = list(by)
+    n_b = _n_buckets(df, buckets)
+    vals = df.select(*by, F.col(col).alias("__v")).where(F.col("__v").isNotNull())
+    counts = vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    cuts = _cut_points(vals, "__v", n_b, uniform=False)
+    counts = counts.withColumn("__b", _bucket(counts, "__v", cuts))
+    totals = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__tot"))
+    offs = _offsets(totals, by).drop("__tot")
+    w = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    pos = (counts.withColumn("__cum", F.sum("__n").over(w)).join(offs, by + ["__b"], "inner")
+           .select(*by, "__v", (F.col("__off") + F.col("__cum") - F.col("__n") + 1).alias("__start"),
+                   (F.col("__off") + F.col("__cum")).alias("__end")))
+    gsize = counts.groupBy(*by).agg(F.sum("__n").alias("__N")) if by else counts.agg(F.sum("__n").alias("__N"))
+    ps = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
+    targets = gsize.crossJoin(F.broadcast(ps)).withColumn("__pos", F.lit(1.0) + F.col("p") * (F.col("__N") - 1))
+    targets = targets.select(*by, "p", F.floor("__pos").alias("__klo"), F.ceil("__pos").alias("__khi"),
+                             (F.col("__pos") - F.floor("__pos")).alias("__frac"))
+    j = pos.join(targets, by, "inner") if by else pos.crossJoin(targets)
+    lo_hit = (F.col("__start") <= F.col("__klo")) & (F.col("__klo") <= F.col("__end"))
+    hi_hit = (F.col("__start") <= F.col("__khi")) & (F.col("__khi") <= F.col("__end"))
+    agg = j.where(lo_hit | hi_hit).groupBy(*by, "p", "__frac").agg(
+        F.max(F.when(lo_hit, F.col("__v"))).alias("__lo"), F.max(F.when(hi_hit, F.col("__v"))).alias("__hi"))
+    return agg.select(*by, "p", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias("value"))

@@ -185,6 +185,16 @@ def impurity_importance(spark, model, feature_names: Sequence[str], model_name:
     return overall.join(sd, "feature").withColumn("model", F.lit(model_name))
 
 
+def per_tree_importances(spark, model, feature_names: Sequence[str]) -> DataFrame:
+    """(tree, feature, importance) from each tree's ``featureImportances``."""
+    trees, _ = tree_list(model)
+    rows = []
+    for t, tr in enumerate(trees):
+        v = tr.featureImportances.toArray()
+        rows += [(t, feature_names[i], float(v[i])) for i in range(len(feature_names))]
+    return spark.createDataFrame(rows, "tree int, feature string, importance double")
+
+
 def importances_table(spark, models: dict, feature_names: Sequence[str]) -> DataFrame:
     """K9: tidy (feature, model, importance) from ``featureImportances``."""
     rows = []

@@ -36,6 +36,7 @@ def load_all() -> None:
         equation_fits,
         importances,
         mixed_models,
+        modeling,
         scoring,
         screening,
         splits,

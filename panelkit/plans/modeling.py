@@ -31,11 +31,22 @@ def _frames(spark, sf_dir):
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), prep
 
 
+def _raw_test(spark, sf_dir):
+    """Unscaled test rows (the scorers apply the fitted preparation themselves)."""
+    s, _ = _prepared(spark, sf_dir)
+    return s.where(F.col("split") == "test").select("row_id", Y, *NUMERIC, *CATEGORICAL)
+
+
 def _scorer(model, prep):
+    """Scorer protocol: adds ``prediction``, leaves the input columns as they were."""
     def score(df):
         drop = [c for c in prep.feature_names if c in df.columns and c not in prep.numeric] + ["features"]
         base = df.drop(*[c for c in drop if c in df.columns])
-        return model.transform(prep.transform(base)).drop(*prep.feature_names[len(prep.numeric):], "features")
+        base = base.select("*", *[F.col(c).alias(f"__raw_{c}") for c in prep.numeric])
+        out = model.transform(prep.transform(base)).drop(*prep.feature_names[len(prep.numeric):], "features")
+        for c in prep.numeric:
+            out = out.withColumn(c, F.col(f"__raw_{c}")).drop(f"__raw_{c}")
+        return out.drop(*[c for c in ("rawPrediction", "probability") if c in out.columns])
     return score
 
 
@@ -150,7 +161,7 @@ register("mlp_training", "K4 K6 K10 E8 A8 H3 B16 B18")(mlp_training)
 def permutation_importance(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     m = models.learner("forest", label=Y, numTrees=30).fit(train)
-    raw = test.select("row_id", Y, *NUMERIC, *CATEGORICAL)
+    raw = _raw_test(spark, sf_dir)
     return explain.permutation_importance(_scorer(m, prep), raw, "row_id", Y, NUMERIC + CATEGORICAL, repeats=30)
 
 
@@ -248,7 +259,7 @@ register("shap_moderation", "L5 C7")(shap_moderation)
 def pdp_table(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     m = models.learner("forest", label=Y, numTrees=30).fit(train)
-    raw = test.select("row_id", Y, *NUMERIC, *CATEGORICAL)
+    raw = _raw_test(spark, sf_dir)
     pdp, _ = explain.pdp_ice(_scorer(m, prep), raw, "o_totalprice", "row_id", by=["c_mktsegment"], points=30)
     return pdp
 
@@ -261,7 +272,7 @@ def counterfactual_changes(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
     m = models.learner("forest_classifier300", label="high", numTrees=50).fit(lab(train))
-    raw = test.select("row_id", Y, *NUMERIC, *CATEGORICAL)
+    raw = _raw_test(spark, sf_dir)
     cand_rows = [("c_mktsegment", v) for v in prep.levels["c_mktsegment"]]
     cand_rows += [("o_orderpriority", v) for v in prep.levels["o_orderpriority"]]
     q = raw.agg(*[F.percentile_approx("o_totalprice", p).alias(f"q{i}") for i, p in enumerate((0.5, 0.75, 0.9))]).first()
@@ -289,7 +300,7 @@ def anchor_rules(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
     m = models.learner("forest_classifier300", label="high", numTrees=50).fit(lab(train))
-    scored = m.transform(lab(test)).select("row_id", *NUMERIC, *CATEGORICAL, "prediction")
+    scored = _scorer(m, prep)(_raw_test(spark, sf_dir)).select("row_id", *NUMERIC, *CATEGORICAL, "prediction")
     pick = split.sample_n(scored, 12, "row_id", seed=42).select("row_id")
     return explain.local_rules(scored, "row_id", pick, NUMERIC, CATEGORICAL)
 

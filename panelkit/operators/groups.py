@@ -30,7 +30,13 @@ def equal_response_groups(
     most ``gap`` (formula F1). The window runs over the *aggregated* counts,
     i.e. at most one row per distinct value of a group.
     """
-    counts = value_counts(df, keys, value, "__n")
+    return equal_response_from_counts(value_counts(df, keys, value, "__n"), keys, "__n", hi, lo, gap, flag)
+
+
+def equal_response_from_counts(counts: DataFrame, keys: Sequence[str], n: str = "n", hi: int = 14, lo: int = 7,
+                               gap: int = 1, flag: str = "equal_response") -> DataFrame:
+    """D4 rule applied to a value-count table (one row per group and value)."""
+    counts = counts.withColumnRenamed(n, "__n") if n != "__n" else counts
     mid = F.when((F.col("__n") >= lo) & (F.col("__n") < hi), F.col("__n"))
     w = Window.partitionBy(*keys).orderBy(F.col("__mid").desc_nulls_last())
     c = counts.withColumn("__mid", mid).withColumn("__prev", F.lag("__mid").over(w))

@@ -1,0 +1,8 @@
+"""Incremental use of the mergeable aggregates.
+
+The reference has no stream operator; nothing here adds one. The value
+counts behind the straight-line screen (D3/D4) and the per-cell sums behind
+D1 are mergeable, so the same operators run unchanged on a streaming
+DataFrame (``readStream``) and the screen is re-derived from the running
+counts in each micro-batch.
+"""

@@ -1,0 +1,31 @@
+"""Running value counts and straight-line flags over a stream of rating rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+from panelkit.operators import groups
+
+
+def running_value_counts(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """D3 on a streaming DataFrame (stateful aggregation, update mode)."""
+    return groups.value_counts(stream, keys, value)
+
+
+def start_screen(spark: SparkSession, stream: DataFrame, keys: Sequence[str], value: str, out_path: str,
+                 checkpoint: str, hi: int = 14, lo: int = 7, gap: int = 1):
+    """Maintain a parquet table at ``out_path`` with the D4 flags of every
+    group seen so far: running counts are kept by the streaming aggregation
+    (fault-tolerant state under ``checkpoint``); each micro-batch re-applies
+    the flag rule to the complete counts and rewrites the table."""
+    counts = running_value_counts(stream, keys, value)
+
+    def apply(batch: DataFrame, _epoch: int) -> None:
+        # ``batch`` holds the complete running counts (complete mode)
+        flags = groups.equal_response_from_counts(batch, keys, "n", hi, lo, gap)
+        flags.write.mode("overwrite").parquet(out_path)
+
+    return (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+            .foreachBatch(apply).start())

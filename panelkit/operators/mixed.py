@@ -53,6 +53,32 @@ def treatment_design(numeric: Sequence[str] = (), factors: Mapping[str, Sequence
     return Design(terms)
 
 
+def sum_design(numeric: Sequence[str] = (), factors: Mapping[str, Sequence] | None = None,
+               interactions: Sequence[tuple[str, str]] = (), intercept: bool = True) -> tuple[Design, dict]:
+    """Sum-to-zero coded factors (indicator(level) - indicator(last
+    level)) and numeric x factor interactions; returns the design and the
+    term -> columns map used by type III tests."""
+    factors = dict(factors or {})
+    terms: list[tuple[str, Column]] = [("Intercept", F.lit(1.0))] if intercept else []
+    groups: dict[str, list[str]] = {}
+    fac_cols: dict[str, list[tuple[str, Column]]] = {}
+    for f, levels in factors.items():
+        lv = list(levels)
+        last = (F.col(f) == F.lit(lv[-1])).cast("double")
+        fac_cols[f] = [(f"C({f}, Sum)[S.{x}]", (F.col(f) == F.lit(x)).cast("double") - last) for x in lv[:-1]]
+    for x in numeric:
+        terms.append((x, F.col(x).cast("double")))
+        groups[x] = [x]
+    for f in factors:
+        terms += fac_cols[f]
+        groups[f] = [n for n, _ in fac_cols[f]]
+    for x, f in interactions:
+        cols = [(f"{x}:{n}", F.col(x).cast("double") * c) for n, c in fac_cols[f]]
+        terms += cols
+        groups[f"{x}:{f}"] = [n for n, _ in cols]
+    return Design(terms), groups
+
+
 # ------------------------------------------------------------------ sufficient statistics
 @dataclass
 class GroupStats:

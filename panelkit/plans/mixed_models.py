@@ -96,3 +96,23 @@ def mixed_prediction_interval(spark, sf_dir):
 
 
 register("mixed_prediction_interval", "J13")(mixed_prediction_interval)
+
+
+# ------------------------------------------------------------------ J6 random slope, type III
+def random_slope_anova(spark, sf_dir):
+    from panelkit.operators import mixed_slope
+    from panelkit.plans.stats import _panel_signal
+
+    p = clean.center(_panel_signal(spark, sf_dir), "quality", "quality_c").cache()
+    design, terms = mixed.sum_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS,
+                                                                     "scenario": SCENARIO_LEVELS},
+                                     interactions=[("quality_c", "introduction"), ("quality_c", "scenario")])
+    out = None
+    for dv in ("rating", "rating_signal"):  # one response per fit, same design pass shape
+        fit = mixed_slope.fit_random_slope(mixed_slope.slope_stats(p, dv, design, "participant", "quality_c"))
+        t = mixed_slope.type3_tests(spark, fit, terms).withColumn("dv", F.lit(dv))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+register("random_slope_anova", "J6 B32 B33")(random_slope_anova)

@@ -116,3 +116,19 @@ def random_slope_anova(spark, sf_dir):
 
 
 register("random_slope_anova", "J6 B32 B33")(random_slope_anova)
+
+
+# ------------------------------------------------------------------ J7 ordinal mixed model
+def ordinal_mixed(spark, sf_dir):
+    from panelkit.operators import encode, ordinal
+    from panelkit.plans.stats import _panel_signal
+
+    p = clean.center(_panel_signal(spark, sf_dir), "quality", "quality_c")
+    p, classes = encode.label(p, "rating_signal", "floor", out="cls")
+    design = mixed.treatment_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS,
+                                                                    "scenario": SCENARIO_LEVELS}, intercept=False)
+    fit = ordinal.fit_ordinal_mixed(p, "cls", design, "participant", len(classes), nodes=12, max_iter=60)
+    return ordinal.ordinal_table(spark, fit, "rating_signal")
+
+
+register("ordinal_mixed", "J7")(ordinal_mixed)

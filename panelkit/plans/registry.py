@@ -35,6 +35,7 @@ def load_all() -> None:
         encoding,
         equation_fits,
         importances,
+        io,
         mixed_models,
         modeling,
         scoring,

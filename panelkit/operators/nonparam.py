@@ -31,32 +31,6 @@ def _effect_name(e: Sequence[str]) -> str:
     return ":".join(e)
 
 
-def _cell_means(cells: DataFrame, factors: Sequence[str], total: str, count: str) -> DataFrame:
-    """Mean of every factor subset, attached to each full cell (small table)."""
-    out = cells
-    for t in _subsets(factors):
-        name = "__m_" + "_".join(t) if t else "__m_"
-        if t:
-            g = cells.groupBy(*t).agg((F.sum(total) / F.sum(count)).alias(name))
-            out = out.join(g, list(t), "left")
-        else:
-            out = out.crossJoin(cells.agg((F.sum(total) / F.sum(count)).alias(name)))
-    return out
-
-
-def _mean_col(t):
-    return F.col("__m_" + "_".join(t) if t else "__m_")
-
-
-def _estimate(e: Sequence[str]):
-    """Inclusion-exclusion effect estimate from subset means."""
-    expr = F.lit(0.0)
-    for t in _subsets(e):
-        sign = (-1) ** (len(e) - len(t))
-        expr = expr + sign * _mean_col(t)
-    return expr
-
-
 def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[str], subject: str,
               digits: int = 9, complete_only: bool = False) -> DataFrame:
     """Aligned rank transform ANOVA (Wobbrock et al. 2011) for a split-plot
@@ -85,13 +59,29 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
     if not bad.isEmpty():
         raise ValueError("ART needs one observation per subject and within level, and one between cell per subject")
 
+    # design-cell table: bounded by the product of factor levels (checked), so it is
+    # brought to the driver once to derive every effect's alignment offset
     cells = base.groupBy(*factors).agg(F.sum("__y").alias("__s"), F.count(F.lit(1)).alias("__c"))
-    means = _cell_means(cells, factors, "__s", "__c")
+    cpd = cells.limit(MAX_CELLS + 1).toPandas()
+    if len(cpd) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} design cells")
     effects = [e for e in _subsets(factors) if e]
-    align = means.select(*factors, *[(_estimate(e) - _mean_col(tuple(factors))).alias(f"__a{i}")
-                                     for i, e in enumerate(effects)])
-    n_cells = cells.count()  # cells table is already aggregated: this is a count of a tiny table
-    align = F.broadcast(align) if n_cells <= MAX_CELLS else align
+
+    def margin_means(pdf, t, s_col, c_col):
+        if not t:
+            return pd.Series(pdf[s_col].sum() / pdf[c_col].sum(), index=pdf.index)
+        g = pdf.groupby(list(t))[[s_col, c_col]].transform("sum")
+        return g[s_col] / g[c_col]
+
+    full_mean = cpd["__s"] / cpd["__c"]
+    offsets = {}
+    for i, e in enumerate(effects):
+        est = sum((-1) ** (len(e) - len(t)) * margin_means(cpd, t, "__s", "__c") for t in _subsets(e))
+        offsets[f"__a{i}"] = (est - full_mean).astype(float)
+    align_pd = cpd[factors].copy()
+    for k, v in offsets.items():
+        align_pd[k] = v
+    align = F.broadcast(df.sparkSession.createDataFrame(align_pd))
     j = base.join(align, factors, "inner")
     arr = F.array(*[F.struct(F.lit(_effect_name(e)).alias("effect"),
                              F.round(F.col("__y") + F.col(f"__a{i}"), digits).alias("__v"))
@@ -99,36 +89,35 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
     long = j.select(subject, *factors, F.explode(arr).alias("__t")).select(subject, *factors, "__t.*")
     ranked = ranks.average_rank(long, "__v", out="__r", by=["effect"])
 
-    # sufficient statistics on ranks: per (effect, full cell), per (effect, subject), per effect
+    # sufficient statistics on ranks: per (effect, design cell) - bounded - and per effect
     cell_r = ranked.groupBy("effect", *factors).agg(F.sum("__r").alias("sr"), F.count(F.lit(1)).alias("n"))
     subj = (ranked.groupBy("effect", subject).agg(F.sum("__r").alias("__s"), F.count(F.lit(1)).alias("__n"))
             .groupBy("effect").agg(F.sum(F.col("__s") * F.col("__s") / F.col("__n")).alias("ss_subj"),
                                    F.count(F.lit(1)).alias("n_subjects")))
     tot = ranked.groupBy("effect").agg(F.sum(F.col("__r") * F.col("__r")).alias("ss_rows"))
-    stats = cell_r.join(subj, "effect").join(tot, "effect")
-
-    between_l, within_l, factors_l = list(between), list(within), factors
-
-    def per_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = tuple(pdf["effect"].iloc[0].split(":"))
+    per_eff = subj.join(tot, "effect").toPandas().set_index("effect")
+    cr = cell_r.toPandas()
+    between_l, within_l = list(between), list(within)
+    levels = {c: cpd[c].nunique() for c in factors}
+    n_b = int(cpd[between_l].drop_duplicates().shape[0]) if between_l else 1
+    rows = []
+    for e in effects:
+        name = _effect_name(e)
+        pdf = cr[cr["effect"] == name]
         sr, n = pdf["sr"].astype(float), pdf["n"].astype(float)
 
         def ss_margin(t):  # sum over t-cells of n * mean^2
             if not t:
-                return sr.sum() ** 2 / n.sum()
+                return float(sr.sum() ** 2 / n.sum())
             g = pd.DataFrame({"sr": sr, "n": n, **{c: pdf[c] for c in t}}).groupby(list(t), dropna=False).sum()
             return float((g["sr"] ** 2 / g["n"]).sum())
 
-        ss_e = 0.0
-        for t in _subsets(e):  # SS of an inclusion-exclusion contrast = alternating margins
-            ss_e += (-1) ** (len(e) - len(t)) * ss_margin(t)
-        levels = {c: pdf[c].nunique() for c in factors_l}
+        ss_e = sum((-1) ** (len(e) - len(t)) * ss_margin(t) for t in _subsets(e))
         df_e = 1
         for c in e:
             df_e *= levels[c] - 1
-        n_b = int(pdf[between_l].drop_duplicates().shape[0]) if between_l else 1
-        n_s = int(pdf["n_subjects"].iloc[0])
-        ss_subj, ss_rows = float(pdf["ss_subj"].iloc[0]), float(pdf["ss_rows"].iloc[0])
+        n_s = int(per_eff.loc[name, "n_subjects"])
+        ss_subj, ss_rows = float(per_eff.loc[name, "ss_subj"]), float(per_eff.loc[name, "ss_rows"])
         if any(c in within_l for c in e):
             w = within_l[0]
             ss_err = (ss_rows - ss_subj) - (ss_margin(tuple(between_l) + (w,)) - ss_margin(tuple(between_l)))
@@ -137,16 +126,12 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
             ss_err = ss_subj - ss_margin(tuple(between_l))
             df_err = n_s - n_b
         f = (ss_e / df_e) / (ss_err / df_err) if df_err > 0 and ss_err > 0 else float("nan")
-        return pd.DataFrame({
-            "effect": [":".join(e)], "df_effect": [int(df_e)], "df_error": [int(df_err)],
-            "ss_effect": [ss_e], "ss_error": [ss_err], "F": [f],
-            "p": [tails.f_upper(f, df_e, df_err)],
-            "eta2_partial": [ss_e / (ss_e + ss_err) if (ss_e + ss_err) > 0 else float("nan")],
-        })
-
+        rows.append((name, int(df_e), int(df_err), float(ss_e), float(ss_err), float(f),
+                     float(tails.f_upper(f, df_e, df_err)),
+                     float(ss_e / (ss_e + ss_err)) if (ss_e + ss_err) > 0 else float("nan")))
     schema = ("effect string, df_effect int, df_error int, ss_effect double, ss_error double, F double, "
               "p double, eta2_partial double")
-    return stats.groupBy("effect").applyInPandas(per_effect, schema)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def kruskal_dunn(df: DataFrame, y: str, group: str) -> tuple[DataFrame, DataFrame]:

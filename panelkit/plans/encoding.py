@@ -437,3 +437,20 @@ j AS (SELECT cl.cls, CAST(coalesce(c.n, 0) AS BIGINT) AS count FROM cl LEFT JOIN
 SELECT CAST(cls AS INT) AS cls, count, round(count / sum(count) OVER (), 6) AS share,
        round(CASE WHEN count > 0 THEN sum(count) OVER () / (count(*) OVER () * count) ELSE 0.0 END, 6) AS weight
 FROM j""", "ratings").replace("\n, cl AS", ",\ncl AS"))(class_distribution)
+
+
+# ------------------------------------------------------------------ C10
+def group_outliers_removed(spark, sf_dir):
+    r = fx.ratings(spark, sf_dir)
+    kept = clean.remove_group_outliers(r, "participant", "rating", z=2.0, id_cols=["row_id"])
+    return kept.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("sum_rating"))
+
+
+register("group_outliers_removed", "C10 B4", fx.with_views("""
+, med AS (SELECT participant, quantile_cont(rating, 0.5) AS md FROM ratings GROUP BY 1),
+dev AS (SELECT r.row_id, r.participant, abs(r.rating - m.md) AS d FROM ratings r JOIN med m USING (participant)),
+mad AS (SELECT participant, quantile_cont(d, 0.5) AS mad FROM dev GROUP BY 1),
+bad AS (SELECT row_id FROM dev JOIN mad USING (participant) WHERE coalesce(d / (1.4826 * mad) > 2.0, false))
+SELECT scenario, count(*) AS n, sum(rating) AS sum_rating FROM ratings
+WHERE row_id NOT IN (SELECT row_id FROM bad) GROUP BY scenario""", "ratings").replace("\n, med AS", ",\nmed AS"))(
+    group_outliers_removed)

@@ -318,3 +318,26 @@ def surrogate_tree_rules(spark, sf_dir):
 
 
 register("surrogate_tree_rules", "L10 K3")(surrogate_tree_rules)
+
+
+# ------------------------------------------------------------------ D25
+def bootstrap_importance_sd(spark, sf_dir, replicates: int = 8):
+    """Sd over bootstrap replicates of a boosted model's importances;
+    each replicate refits with Poisson(1) row weights (``weightCol``), so no
+    rows are copied."""
+    train, _, prep = _frames(spark, sf_dir)
+    names = prep.feature_names
+    reps = []
+    for b in range(1, replicates + 1):
+        w = split.bootstrap_weights(train.select("row_id", Y, "features"), "row_id", 1, seed=1000 + b)
+        m = GBTRegressor(maxIter=20, maxDepth=4, seed=42, labelCol=Y, weightCol="w").fit(
+            w.withColumn("w", F.col("w").cast("double")))
+        reps.append(models.importances_table(spark, {f"b{b}": m}, names).withColumn("b", F.lit(b)))
+    allr = reps[0]
+    for r_ in reps[1:]:
+        allr = allr.unionByName(r_)
+    return allr.groupBy("feature").agg(F.avg("importance").alias("importance_mean"),
+                                       F.stddev_pop("importance").alias("importance_sd"))
+
+
+register("bootstrap_importance_sd", "D25 H5 K2")(bootstrap_importance_sd)

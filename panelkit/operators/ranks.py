@@ -48,11 +48,19 @@ def _cut_points(df: DataFrame, col: str, n: int, uniform: bool) -> list[float]:
 
 
 def _bucket(df: DataFrame, col: str, cuts: list[float]):
+    """Number of cut points strictly below the order key, as a balanced
+    binary-search CASE tree (codegen-friendly, log2(len(cuts)) comparisons)."""
     if not cuts:
         return F.lit(0)
-    arr = F.array(*[F.lit(c) for c in cuts])
     key = _order_key(df, col)
-    return F.size(F.filter(arr, lambda c: c < key))
+
+    def tree(lo: int, hi: int):  # count of cuts[lo:hi] below key, plus lo
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key > F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(cuts))
 
 
 def _offsets(totals: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -327,8 +327,10 @@ def local_rules(scored: DataFrame, key: str, explain_keys: DataFrame, numeric: S
     counts = prof.groupBy(*feats, "__t").agg(F.count(F.lit(1)).alias("__n"))  # distinct predicate profiles
     total = prof.agg(F.count(F.lit(1)).alias("__N"))
     subsets = [s for k in range(1, max_terms + 1) for s in itertools.combinations(range(len(feats)), k)]
-    sub_t = scored.sparkSession.createDataFrame([(i, list(s)) for i, s in enumerate(subsets)],
-                                                "rule_id int, idx array<int>")
+    from panelkit.functions.common import literal_table
+
+    sub_t = literal_table(scored.sparkSession, [(i, list(s)) for i, s in enumerate(subsets)], ["rule_id", "idx"],
+                          ["int", "array<int>"])
     rows = prof.join(explain_keys.select(key), key, "left_semi").crossJoin(F.broadcast(sub_t))
     arr_row = F.array(*[F.col(f) for f in feats])
     rows = rows.select(key, "rule_id", F.col("__t").alias("__target"),

@@ -84,7 +84,9 @@ def label_distribution(df: DataFrame, label: str, classes: DataFrame | Sequence)
     weight ``N / (k * count)`` (0 for absent classes)."""
     spark = df.sparkSession
     if not isinstance(classes, DataFrame):
-        classes = spark.createDataFrame([(c,) for c in classes], [label])
+        from panelkit.functions.common import literal_table
+
+        classes = literal_table(spark, [(c,) for c in classes], [label])
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
     j = F.broadcast(classes.select(label)).join(counts, label, "left").withColumn(
         "count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))

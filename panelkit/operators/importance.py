@@ -43,7 +43,7 @@ def spread_over_trees(nodes: DataFrame, tree: str = "tree", feature: str = "feat
     per = nodes.groupBy(tree, feature).agg(F.sum(gain).alias("__g"))
     agg = per.groupBy(feature).agg(F.sum("__g").alias("total_gain"), F.sum(F.col("__g") * F.col("__g")).alias("__s2"))
     if n_trees is not None:
-        t = nodes.sparkSession.createDataFrame([(int(n_trees),)], "__T long")
+        t = nodes.sparkSession.range(1).select(F.lit(int(n_trees)).cast("long").alias("__T"))
     else:
         t = nodes.agg(F.count_distinct(tree).alias("__T"))
     j = agg.crossJoin(F.broadcast(t))

@@ -33,8 +33,10 @@ def argmax_class(probs: str):
 
 
 def _class_table(df: DataFrame, classes: Sequence[int] | int, name: str = "cls") -> DataFrame:
+    from panelkit.functions.common import literal_table
+
     k = list(range(classes)) if isinstance(classes, int) else list(classes)
-    return df.sparkSession.createDataFrame([(int(c),) for c in k], f"{name} int")
+    return literal_table(df.sparkSession, [(int(c),) for c in k], [name], ["int"])
 
 
 def class_counts(df: DataFrame, y: str, pred: str, classes: Sequence[int] | int) -> DataFrame:
@@ -81,11 +83,17 @@ def macro_scores(df: DataFrame, y: str, pred: str, classes: Sequence[int] | int)
 
 def confusion(df: DataFrame, y: str, pred: str, classes: Sequence[int] | int, normalize: str | None = "pred") -> DataFrame:
     """Long confusion table (true, pred, count, share); ``normalize='pred'``
-    divides by the predicted-class total, ``'true'`` by the true-class total."""
-    cells = df.groupBy(F.col(y).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count(F.lit(1)).alias("count"))
+    divides by the predicted-class total, ``'true'`` by the true-class total.
+
+    The k x k grid is joined with null-safe keys: a null-rejecting join would
+    make Catalyst push an ``isnotnull`` copy of the (possibly large) label
+    expressions into the scan, outside whole-stage codegen.
+    """
+    cells = df.groupBy(F.col(y).alias("__t"), F.col(pred).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     ct = _class_table(df, classes, "y_true").crossJoin(_class_table(df, classes, "y_pred"))
-    full = F.broadcast(ct).join(cells, ["y_true", "y_pred"], "left").withColumn(
-        "count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))
+    cond = F.col("y_true").eqNullSafe(F.col("__t")) & F.col("y_pred").eqNullSafe(F.col("__p"))
+    full = ct.join(F.broadcast(cells), cond, "left").select(
+        "y_true", "y_pred", F.coalesce(F.col("__n"), F.lit(0)).cast("bigint").alias("count"))
     if normalize is None:
         return full
     by = "y_pred" if normalize == "pred" else "y_true"

@@ -47,9 +47,11 @@ class _Problem:
         self.names = design.names()
         t, w = np.polynomial.hermite.hermgauss(nodes)
         spark = df.sparkSession
-        self.nodes = F.broadcast(spark.createDataFrame(
-            [(int(i), float(t[i]), float(math.log(w[i] / math.sqrt(math.pi)))) for i in range(nodes)],
-            "q int, t double, lw double"))
+        from panelkit.functions.common import literal_table
+
+        self.nodes = F.broadcast(literal_table(
+            spark, [(int(i), float(t[i]), float(math.log(w[i] / math.sqrt(math.pi)))) for i in range(nodes)],
+            ["q", "t", "lw"], ["int", "double", "double"]))
         cols = [c.alias(f"__x{j}") for j, (_, c) in enumerate(design.terms)]
         base = df.select(F.col(group).alias("__g"), F.col(y).cast("int").alias("__y"), *cols).na.drop()
         self.base = materialize(base)

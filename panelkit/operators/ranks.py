@@ -156,7 +156,9 @@ def exact_percentile(df: DataFrame, col: str, probs: Sequence[float], by: Sequen
            .select(*by, "__v", (F.col("__off") + F.col("__cum") - F.col("__n") + 1).alias("__start"),
                    (F.col("__off") + F.col("__cum")).alias("__end")))
     gsize = counts.groupBy(*by).agg(F.sum("__n").alias("__N")) if by else counts.agg(F.sum("__n").alias("__N"))
-    ps = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
+    from panelkit.functions.common import literal_table
+
+    ps = literal_table(df.sparkSession, [(float(p),) for p in probs], ["p"], ["double"])
     targets = gsize.crossJoin(F.broadcast(ps)).withColumn("__pos", F.lit(1.0) + F.col("p") * (F.col("__N") - 1))
     targets = targets.select(*by, "p", F.floor("__pos").alias("__klo"), F.ceil("__pos").alias("__khi"),
                              (F.col("__pos") - F.floor("__pos")).alias("__frac"))

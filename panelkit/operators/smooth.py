@@ -9,13 +9,11 @@ so replicates are rows of one job, not a loop.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.random import fast_uniform
 
 
 def _grid(df: DataFrame, x: str, points: int, bandwidth: float | None):
@@ -53,31 +51,27 @@ def kernel_curve(df: DataFrame, x: str, y: str, by: Sequence[str], points: int =
                         .otherwise(F.col("curve")).alias("curve"))
 
 
-def kernel_curve_band(df: DataFrame, x: str, y: str, by: Sequence[str], key: str, replicates: int = 200,
-                      points: int = 80, bandwidth: float | None = None, min_points: int = 5, seed: int = 42,
-                      level: float = 0.95) -> DataFrame:
+def kernel_curve_band(df: DataFrame, x: str, y: str, by: Sequence[str], key: str | None = None,
+                      replicates: int = 200, points: int = 80, bandwidth: float | None = None, min_points: int = 5,
+                      seed: int = 42, level: float = 0.95) -> DataFrame:
     """L7 with a pointwise percentile band over Poisson-bootstrap replicates.
 
-    Row weights come from a hash of (seed, replicate, ``key``), so every
-    replicate is reproducible and independent of partitioning.
+    The curve needs only (weight, weighted y) per (cell, x), so rows are
+    counted per (cell, x, y) once and every replicate draws one Poisson(n)
+    weight per count (exactly the row-level Poisson bootstrap in
+    distribution): cost is distinct values x replicates, not rows x
+    replicates. ``key`` is accepted for API symmetry and unused.
     """
+    from panelkit.operators.split import poisson_replicate_counts
+
     by = list(by)
-    base = df.select(*by, F.col(key).alias("__k"), F.col(x).cast("double").alias("__x"),
-                     F.col(y).cast("double").alias("__yv")).where(F.col("__x").isNotNull() & F.col("__yv").isNotNull())
+    base = df.select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__yv")).where(
+        F.col("__x").isNotNull() & F.col("__yv").isNotNull())
     grid = _grid(base.withColumnRenamed("__x", x), x, points, bandwidth)
-    reps = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__b"))
-    u = fast_uniform(F.lit(seed), F.col("__b"), F.col("__k").cast("string"))
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(12):
-        acc += term
-        cdf.append(acc)
-        term /= k + 1
-    wt = F.lit(12)
-    for k in reversed(range(12)):
-        wt = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(wt)
-    weighted = reps.withColumn("__w", wt).where(F.col("__w") > 0)
-    stats = weighted.groupBy(*by, "__b", "__x").agg(F.sum("__w").alias("__n"),
-                                                   F.sum(F.col("__w") * F.col("__yv")).alias("__sy"))
+    counts = base.groupBy(*by, "__x", "__yv").agg(F.count(F.lit(1)).alias("__c"))
+    draws = poisson_replicate_counts(counts, "__c", by + ["__x", "__yv"], replicates, seed, "__b", "__w")
+    stats = draws.groupBy(*by, "__b", "__x").agg(F.sum("__w").alias("__n"),
+                                                F.sum(F.col("__w") * F.col("__yv")).alias("__sy"))
     curves = _curve(stats, grid, by + ["__b"])
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     band = curves.groupBy(*by, "grid_index").agg(F.percentile("curve", lo).alias("lower"),

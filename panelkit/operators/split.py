@@ -100,6 +100,23 @@ def bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int = 42,
     return reps.withColumn(out, w).where(F.col(out) > 0)
 
 
+def poisson_replicate_counts(counts: DataFrame, n: str, keys: Sequence[str], replicates: int, seed: int = 42,
+                             replicate_col: str = "b", out: str = "w") -> DataFrame:
+    """H5 on collapsed data: for rows already counted per distinct value
+    combination (``keys`` with count ``n``), the Poisson(1) bootstrap weight
+    total of the ``n`` identical rows in a replicate is one Poisson(``n``)
+    draw - exactly the distribution of the row-level Poisson bootstrap.
+
+    Work is (distinct combinations x replicates), independent of the row
+    count; the draws use the portable uniform of (seed, replicate, keys).
+    """
+    reps = counts.select(*keys, n, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias(replicate_col))
+    u = portable_uniform(F.lit(seed), F.col(replicate_col), *[F.col(k).cast("string") for k in keys])
+    from panelkit.functions.tails import q_poisson
+
+    return reps.withColumn(out, q_poisson(u, F.col(n)))
+
+
 def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str], replicates: int, seed: int = 42,
                     replicate_col: str = "b") -> DataFrame:
     """H5 exact n-of-n draws within each ``by`` stratum (C8 gather by index).
@@ -124,8 +141,10 @@ def permutation_map(df: DataFrame, key: str, features: Sequence[str], repeats: i
     (feature, repeat, key, source_key): row ranked r by identity receives the
     row ranked r by hash(seed, feature, repeat, key)."""
     base = df.select(key)
-    combos = df.sparkSession.createDataFrame(
-        [(f, r) for f in features for r in range(1, repeats + 1)], "feature string, repeat int")
+    from panelkit.functions.common import literal_table
+
+    combos = literal_table(df.sparkSession, [(f, r) for f in features for r in range(1, repeats + 1)],
+                           ["feature", "repeat"], ["string", "int"])
     x = base.crossJoin(F.broadcast(combos))
     by = ["feature", "repeat"]
     ident = ranks.row_number(x, [key], out="__r", by=by)

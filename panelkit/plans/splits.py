@@ -104,23 +104,45 @@ def _poisson_sql(u: str) -> str:
     return f"CASE {whens} ELSE 10 END"
 
 
-def bootstrap_cell_means(spark, sf_dir):
-    r = fx.ratings(spark, sf_dir).select("row_id", "scenario", "rating")
-    w = split.bootstrap_weights(r, "row_id", B, seed=42)
+def bootstrap_row_weights(spark, sf_dir):
+    """H5 row-level hashed Poisson(1) weights (the form for continuous data):
+    replicate means per scenario on the panel, percentile band."""
+    r = fx.panel(spark, sf_dir).withColumn("row_id", F.concat_ws("|", "participant",
+                                                                 F.col("quality").cast("string")))
+    w = split.bootstrap_weights(r.select("row_id", "scenario", "rating"), "row_id", B, seed=42)
     reps = w.groupBy("scenario", "b").agg((F.sum(F.col("w") * F.col("rating")) / F.sum("w")).alias("m"))
     band = reps.groupBy("scenario").agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     mean = r.groupBy("scenario").agg(F.avg("rating").alias("mean"))
     return _r6(mean.join(band, "scenario"))
 
 
-register("bootstrap_cell_means", "H5 D24", _fix(fx.with_views(f"""
-, reps AS (SELECT scenario, b.b, rating FROM ratings, range(1, {B + 1}) b(b)),
+register("bootstrap_row_weights", "H5 D24", _fix(fx.with_views(f"""
+, pr AS (SELECT participant || '|' || CAST(quality AS VARCHAR) AS row_id, scenario, rating FROM panel),
 w AS (SELECT scenario, b, rating, {_poisson_sql(uniform_sql('42', 'b', 'row_id').replace('row_id', 'rid'))} AS w
-      FROM (SELECT r.scenario, r.rating, r.row_id AS rid, b.b FROM ratings r, range(1, {B + 1}) b(b))),
+      FROM (SELECT r.scenario, r.rating, r.row_id AS rid, b.b FROM pr r, range(1, {B + 1}) b(b))),
 m AS (SELECT scenario, b, sum(w * rating) / sum(w) AS m FROM w WHERE w > 0 GROUP BY 1, 2),
 band AS (SELECT scenario, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1)
 SELECT scenario, round(avg(rating), 6) AS mean, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi
-FROM ratings JOIN band USING (scenario) GROUP BY scenario""", "ratings")))(bootstrap_cell_means)
+FROM pr JOIN band USING (scenario) GROUP BY scenario""", "panel")))(bootstrap_row_weights)
+
+
+def bootstrap_cell_means(spark, sf_dir, replicates: int = 200):
+    """D24 (mean_cl_boot) on the whole rating table: ratings are discrete, so
+    rows are counted per (cell, value) first and each replicate draws one
+    Poisson(n) weight per count - the same distribution as per-row Poisson
+    weights at (cells x values x replicates) cost instead of rows x replicates."""
+    r = fx.ratings(spark, sf_dir)
+    cells = ["introduction_raw", "scenario"]
+    counts = r.groupBy(*cells, "rating").agg(F.count(F.lit(1)).alias("n"))
+    w = split.poisson_replicate_counts(counts, "n", cells + ["rating"], replicates, seed=42)
+    reps = w.groupBy(*cells, "b").agg((F.sum(F.col("w") * F.col("rating")) / F.sum("w")).alias("m"))
+    band = reps.groupBy(*cells).agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"))
+    mean = counts.groupBy(*cells).agg((F.sum(F.col("n") * F.col("rating")) / F.sum("n")).alias("mean"),
+                                      F.sum("n").alias("n"))
+    return mean.join(band, cells)
+
+
+register("bootstrap_cell_means", "D24 H5")(bootstrap_cell_means)
 
 
 # ------------------------------------------------------------------ H5 exact draws, C8

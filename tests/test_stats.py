@@ -109,3 +109,15 @@ def test_art_matches_numpy(spark):
     for _, r in res.iterrows():
         assert abs(r["F"] - exp[r["effect"]]) < 1e-8 * max(1, abs(exp[r["effect"]])), (r["effect"], r["F"], exp)
     assert set(res["df_error"]) == {18, 54}
+
+
+def test_poisson_quantiles_moments():
+    from panelkit.functions.tails import poisson_quantile, poisson_quantiles
+
+    rng = np.random.default_rng(0)
+    for lam in (0.7, 12.0, 3000.0):
+        u = rng.random(20000)
+        x = poisson_quantiles(u, np.full(len(u), lam))
+        assert abs(x.mean() - lam) < 5 * np.sqrt(lam / len(u)) + 1e-9
+        assert abs(x.var() / lam - 1) < 0.05
+        assert all(x[i] == poisson_quantile(u[i], lam) for i in range(50))

@@ -70,6 +70,18 @@ def codes(df: DataFrame, levels: Mapping[str, Sequence], unseen: int = -1, suffi
     return df
 
 
+def codes_by_join(df: DataFrame, col: str, fit_on: DataFrame, out: str | None = None, unseen: int = -1) -> DataFrame:
+    """B24 for high-cardinality columns: the level table (distinct values of
+    ``fit_on`` numbered in sort order by the distributed row number) is
+    left-joined; unseen levels get ``unseen``. Nothing reaches the driver."""
+    from panelkit.operators.ranks import row_number
+
+    lv = fit_on.select(F.col(col).alias("__lv")).where(F.col("__lv").isNotNull()).distinct()
+    table = row_number(lv, ["__lv"], out="__code").select("__lv", (F.col("__code") - 1).cast("int").alias("__code"))
+    j = df.join(table, df[col] == table["__lv"], "left")
+    return j.withColumn(out or col, F.coalesce(F.col("__code"), F.lit(unseen))).drop("__lv", "__code")
+
+
 def fixed_one_hot(col: str | Column, levels: Sequence[str], name: str = "value") -> Column:
     """ARRAY<DOUBLE> one-hot over a fixed vocabulary of the trimmed
     string; an unknown value fails the job."""

@@ -68,14 +68,30 @@ def sample_n(df: DataFrame, n: int, key: str, by: Sequence[str] = (), seed: int
     """H4/F-6: ``n`` rows without replacement (per ``by`` group when given),
     chosen by smallest portable uniform.
 
-    Per group this is a top-n per key (window over the group); the global
-    form is ``orderBy(...).limit(n)`` (TakeOrderedAndProject, no full sort).
+    Global form: ``orderBy(...).limit(n)`` (TakeOrderedAndProject, no full
+    sort). Per group: rows are first thinned to ``u < t_g`` with ``t_g`` set so
+    that about ``n + 10 sqrt(n) + 10`` rows of each group survive (group sizes
+    from one aggregate); groups left with fewer than ``min(n, size)``
+    candidates fall back to all their rows. The top-n window then sorts a few
+    hundred rows per group even when one group holds a third of the data,
+    and the result is exactly the n smallest-u rows.
     """
     u = df.withColumn("__u", portable_uniform(F.lit(seed), F.col(key)))
     if not by:
         return u.orderBy("__u", key).limit(n).drop("__u")
+    by = list(by)
+    sizes = u.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
+    want = float(n + 10 * n ** 0.5 + 10)
+    j = u.join(sizes, by, "inner").withColumn("__t", F.least(F.lit(1.0), F.lit(want) / F.col("__size")))
+    cand = j.where(F.col("__u") < F.col("__t"))
+    got = cand.groupBy(*by).agg(F.count(F.lit(1)).alias("__got"))
+    short = sizes.join(got, by, "left").where(
+        F.coalesce(F.col("__got"), F.lit(0)) < F.least(F.lit(n), F.col("__size"))).select(*by)
+    rest = j.where(F.col("__u") >= F.col("__t")).join(short, by, "left_semi")
+    pool = cand.unionByName(rest)
     w = Window.partitionBy(*by).orderBy("__u", key)
-    return u.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__u", "__rn")
+    return (pool.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+            .drop("__u", "__rn", "__size", "__t"))
 
 
 def bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int = 42, out: str = "w",
@@ -125,8 +141,7 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str], replicates: int,
     indices ``floor(u*n)+1`` and the draws are equi-joined back on
     (stratum, index). Output: one row per draw.
     """
-    w = Window.partitionBy(*by).orderBy(key)
-    numbered = df.withColumn("__idx", F.row_number().over(w))
+    numbered = ranks.row_number(df, [key], out="__idx", by=by)  # bucketed: no whole-stratum sort
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     draws = (sizes.select(*by, "__n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias(replicate_col))
              .select(*by, "__n", replicate_col, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__draw")))

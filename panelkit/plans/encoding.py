@@ -95,8 +95,7 @@ gsplit AS (SELECT {group}, CASE WHEN rn <= ceil(total * {test}) THEN 'test' ELSE
 
 def level_codes(spark, sf_dir):
     r = split.group_split(fx.ratings(spark, sf_dir), "participant")
-    levels = encode.fit_levels(r.where(F.col("split") == "train"), ["participant"])
-    coded = encode.codes(r, levels, unseen=-1, suffix="_code")
+    coded = encode.codes_by_join(r, "participant", r.where(F.col("split") == "train"), out="participant_code")
     return coded.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
                                       F.count_if(F.col("participant_code") == -1).alias("n_unseen"),
                                       F.sum("participant_code").alias("sum_code"))

@@ -121,3 +121,14 @@ def test_poisson_quantiles_moments():
         assert abs(x.mean() - lam) < 5 * np.sqrt(lam / len(u)) + 1e-9
         assert abs(x.var() / lam - 1) < 0.05
         assert all(x[i] == poisson_quantile(u[i], lam) for i in range(50))
+
+
+def test_sample_n_exact_under_skew(spark):
+    from panelkit.functions.random import portable_uniform
+
+    rows = [("hot", i) for i in range(3000)] + [("small", i) for i in range(7)] + [("mid", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    got = split.sample_n(df, 20, "k", by=["g"], seed=3).toPandas()
+    ref = (df.withColumn("u", portable_uniform(F.lit(3), F.col("k"))).toPandas()
+           .sort_values(["g", "u", "k"]).groupby("g").head(20))
+    assert sorted(zip(got.g, got.k)) == sorted(zip(ref.g, ref.k))

@@ -52,6 +52,7 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
         n_w = base.select(*within).distinct().count()
         full = base.groupBy(subject).agg(F.count_distinct(*within).alias("__k")).where(F.col("__k") == n_w)
         base = base.join(full.select(subject), subject, "left_semi")
+    base = base.cache()  # reused by the checks, the cell table and the alignment join
     # balance precondition: one row per (subject, within level), one between cell per subject
     chk = base.groupBy(subject, *within).agg(F.count(F.lit(1)).alias("__n"),
                                              *[F.count_distinct(b).alias(f"__d_{b}") for b in between])
@@ -87,7 +88,7 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
                              F.round(F.col("__y") + F.col(f"__a{i}"), digits).alias("__v"))
                     for i, e in enumerate(effects)])
     long = j.select(subject, *factors, F.explode(arr).alias("__t")).select(subject, *factors, "__t.*")
-    ranked = ranks.average_rank(long, "__v", out="__r", by=["effect"])
+    ranked = ranks.average_rank(long, "__v", out="__r", by=["effect"]).cache()  # three aggregates read it
 
     # sufficient statistics on ranks: per (effect, design cell) - bounded - and per effect
     cell_r = ranked.groupBy("effect", *factors).agg(F.sum("__r").alias("sr"), F.count(F.lit(1)).alias("n"))
@@ -97,6 +98,8 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
     tot = ranked.groupBy("effect").agg(F.sum(F.col("__r") * F.col("__r")).alias("ss_rows"))
     per_eff = subj.join(tot, "effect").toPandas().set_index("effect")
     cr = cell_r.toPandas()
+    ranked.unpersist()
+    base.unpersist()
     between_l, within_l = list(between), list(within)
     levels = {c: cpd[c].nunique() for c in factors}
     n_b = int(cpd[between_l].drop_duplicates().shape[0]) if between_l else 1

@@ -60,8 +60,8 @@ class _Problem:
     def unpack(self, par):
         K, p = self.K, self.p
         a = par[:K - 1]
-        th = np.cumsum(np.concatenate([[a[0]], np.exp(a[1:])]))
-        return th, par[K - 1:K - 1 + p], float(math.exp(par[-1]))
+        th = np.cumsum(np.concatenate([[a[0]], np.exp(np.clip(a[1:], -30, 30))]))
+        return th, par[K - 1:K - 1 + p], float(math.exp(min(max(par[-1], -30.0), 30.0)))
 
     def evaluate(self, par):
         """Return (loglik, gradient) in the unconstrained parameters."""
@@ -110,10 +110,10 @@ class _Problem:
         return float(tot["ll"]), np.concatenate([g_a, g_beta, [g_sig]])  # __ds is already d/d log sigma
 
 
-def _bfgs(fg, x0, max_iter=100, gtol=1e-5):
+def _bfgs(fg, x0, max_iter=100, gtol=1e-4, ftol=1e-11):
     x = np.array(x0, dtype=float)
     f, g = fg(x)
-    H = np.eye(len(x))
+    H = np.eye(len(x)) / max(1.0, float(np.max(np.abs(g))))  # first step of unit length at most
     converged = False
     for _ in range(max_iter):
         d = -H @ g
@@ -125,8 +125,9 @@ def _bfgs(fg, x0, max_iter=100, gtol=1e-5):
                 break
             step *= 0.5
         s, yv = xn - x, gn - g
+        f_old = f
         x, f, g = xn, fn, gn
-        if np.max(np.abs(g)) < gtol:
+        if np.max(np.abs(g)) < gtol or abs(f_old - f) <= ftol * max(1.0, abs(f)):
             converged = True
             break
         sy = float(s @ yv)
@@ -143,11 +144,20 @@ def fit_ordinal_mixed(df: DataFrame, y: str, design: Design, group: str, n_class
     0..K-1; ``design`` has no intercept (the thresholds carry it)."""
     prob = _Problem(df, y, design, group, n_classes, nodes)
     K, p = n_classes, prob.p
-    x0 = np.concatenate([[-1.5], np.zeros(K - 2), np.zeros(p), [math.log(0.5)]])
-    x0[1:K - 1] = math.log(3.0 / max(K - 2, 1))
+    # start: thresholds at the logits of the marginal cumulative class shares, beta 0, sigma 0.5
+    shares = prob.base.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).toPandas().set_index("__y")["n"]
+    cum = np.cumsum([float(shares.get(k, 0.0)) + 0.5 for k in range(K)])
+    cum = cum / cum[-1]
+    th0 = np.log(cum[:-1] / (1 - cum[:-1]))
+    x0 = np.concatenate([[th0[0]], np.log(np.maximum(np.diff(th0), 1e-3)), np.zeros(p), [math.log(0.5)]])
 
     def fg(par):  # minimise the negative log-likelihood
-        ll, g = prob.evaluate(par)
+        try:
+            ll, g = prob.evaluate(par)
+        except (OverflowError, ValueError):
+            return float("inf"), np.zeros(len(par))
+        if not np.isfinite(ll) or not np.all(np.isfinite(g)):
+            return float("inf"), np.zeros(len(par))
         return -ll, -g
 
     par, f, g, conv = _bfgs(fg, x0, max_iter)

@@ -26,8 +26,8 @@ def missing_rows_report(spark, sf_dir):
 
 
 register("missing_rows_report", "B1", fx.with_views("""
-SELECT count(*) AS n_rows, count_if(age IS NOT NULL AND rating IS NOT NULL AND NOT isnan(rating)) AS n_kept,
-       count_if(age IS NULL OR rating IS NULL OR isnan(rating)) AS n_dropped FROM ratings""", "ratings"))(missing_rows_report)
+SELECT count(*) AS n_rows, CAST(count_if(age IS NOT NULL AND rating IS NOT NULL AND NOT isnan(rating)) AS BIGINT) AS n_kept,
+       CAST(count_if(age IS NULL OR rating IS NULL OR isnan(rating)) AS BIGINT) AS n_dropped FROM ratings""", "ratings"))(missing_rows_report)
 
 
 def complete_rows(spark, sf_dir):
@@ -78,7 +78,7 @@ register("intro_encoding", "B9 B10", fx.with_views("""
 SELECT introduction_raw,
        CASE lower(introduction_raw) WHEN 'ambiguous' THEN 'ambiguous' WHEN 'ambigious' THEN 'ambiguous'
             WHEN 'boasting' THEN 'boasting' END AS introduction,
-       CASE WHEN lower(trim(introduction_raw)) = 'boasting' THEN 1.0 ELSE 0.0 END AS intro_code,
+       CAST(CASE WHEN lower(trim(introduction_raw)) = 'boasting' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS intro_code,
        count(*) AS n
 FROM ratings GROUP BY 1, 2, 3""", "ratings"))(intro_encoding)
 
@@ -106,7 +106,7 @@ register("level_codes", "B24 H2 C3", fx.with_views(f"""
 lv AS (SELECT participant, CAST(row_number() OVER (ORDER BY participant) - 1 AS INT) AS code
        FROM gsplit WHERE split = 'train'),
 r AS (SELECT ratings.*, gsplit.split FROM ratings LEFT JOIN gsplit USING (participant))
-SELECT split, count(*) AS n, count_if(coalesce(code, -1) = -1) AS n_unseen, CAST(sum(coalesce(code, -1)) AS BIGINT) AS sum_code
+SELECT split, count(*) AS n, CAST(count_if(coalesce(code, -1) = -1) AS BIGINT) AS n_unseen, CAST(sum(coalesce(code, -1)) AS BIGINT) AS sum_code
 FROM r LEFT JOIN lv USING (participant) GROUP BY split""", "ratings").replace("\n, g_ AS", ",\ng_ AS"))(level_codes)
 
 
@@ -347,7 +347,8 @@ register("repeat_ids", "E1", fx.with_views("""
 , last_ AS (SELECT participant, arg_max(combo, row_id) AS last_combo FROM repeats GROUP BY participant),
 t AS (SELECT r.combo, CASE WHEN r.combo = l.last_combo THEN r.participant ELSE r.participant || '_a' END AS pid
       FROM repeats r LEFT JOIN last_ l USING (participant))
-SELECT combo, count(*) AS n, count_if(pid LIKE '%\\_a' ESCAPE '\\') AS n_suffixed, count(DISTINCT pid) AS n_ids
+SELECT combo, count(*) AS n, CAST(count_if(pid LIKE '%\\_a' ESCAPE '\\') AS BIGINT) AS n_suffixed,
+       count(DISTINCT pid) AS n_ids
 FROM t GROUP BY combo""", "repeats").replace("\n, last_ AS", ",\nlast_ AS"))(repeat_ids)
 
 

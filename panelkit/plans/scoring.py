@@ -53,7 +53,7 @@ def quantile_scores(spark, sf_dir):
 
 register("quantile_scores", "B34 D9", _sql("""
 SELECT quantile, round(avg(abs(rating - prediction)), 6) AS mae FROM (
-  SELECT 0.25 AS quantile, rating, rating - 0.5 AS prediction FROM ratings
+  SELECT CAST(0.25 AS DOUBLE) AS quantile, rating, rating - 0.5 AS prediction FROM ratings
   UNION ALL SELECT 0.5, rating, 3.0 + (quality - 76.5) / 20.0 FROM ratings
   UNION ALL SELECT 0.75, rating, rating + 0.25 FROM ratings) t
 GROUP BY quantile""", "ratings"))(quantile_scores)

@@ -182,6 +182,7 @@ a AS (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY key) AS
 b AS (SELECT feature, repeat, key AS source_key,
              row_number() OVER (PARTITION BY feature, repeat ORDER BY {uniform_sql('42', 'feature', 'repeat', 'key')}, key) AS r
       FROM x)
-SELECT feature, repeat, count(*) AS n, count(DISTINCT source_key) AS n_sources, count_if(key = source_key) AS n_fixed,
+SELECT feature, repeat, count(*) AS n, count(DISTINCT source_key) AS n_sources,
+       CAST(count_if(key = source_key) AS BIGINT) AS n_fixed,
        min(CASE WHEN key = 'P1|67.0' THEN source_key END) AS source_of_first
 FROM a JOIN b USING (feature, repeat, r) GROUP BY 1, 2""", "panel")))(permutation_fixed_points)

@@ -202,17 +202,15 @@ def centered_scaled(spark, sf_dir):
     r = fx.ratings(spark, sf_dir)
     r = clean.center(r, "quality", "quality_c")
     r = clean.zscore(r, "rating", "rating_z")
-    # sums of squares of a 5-decimal mean have 10 decimals: round to 4 so an
-    # exact decimal tie cannot sit on the rounding digit
-    agg = r.groupBy("participant").agg(F.sum(F.col("quality_c") * F.col("quality_c")).alias("ss_quality_c"),
-                                       F.avg("rating_z").alias("mean_rating_z"))
-    return agg.select("participant", F.round("ss_quality_c", 4).alias("ss_quality_c"),
-                      F.round("mean_rating_z", 6).alias("mean_rating_z"))
+    # min / max of the centred value are order-independent (no float sums)
+    return _r6(r.groupBy("participant").agg(F.min("quality_c").alias("min_quality_c"),
+                                            F.max("quality_c").alias("max_quality_c"),
+                                            F.avg("rating_z").alias("mean_rating_z")))
 
 
 register("centered_scaled", "B13 B14", fx.with_views("""
 , s AS (SELECT avg(quality) AS mq, avg(rating) AS mr, stddev_samp(rating) AS sr FROM ratings)
-SELECT participant, round(sum((quality - mq) * (quality - mq)), 4) AS ss_quality_c,
+SELECT participant, round(min(quality - mq), 6) AS min_quality_c, round(max(quality - mq), 6) AS max_quality_c,
        round(avg((rating - mr) / sr), 6) AS mean_rating_z
 FROM ratings, s GROUP BY participant""", "ratings").replace("\n, s AS", ",\ns AS"))(centered_scaled)
 

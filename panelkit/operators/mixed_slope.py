@@ -189,8 +189,8 @@ def _cov_at(st, theta, s2):
 def type3_tests(spark, fit: SlopeFit, terms: dict[str, Sequence[str]], h: float = 1e-4) -> DataFrame:
     """Wald F per term (columns listed in ``terms``) with Satterthwaite
     denominator df (numerical gradients of the coefficient covariance and the
-    Hessian of the deviance in (theta, s2)), p-value and partial eta squared
-    ``F df1 / (F df1 + df2)``."""
+    Hessian of the deviance in (theta, s2)), p-value, partial eta squared
+    ``F df1 / (F df1 + df2)`` and its two-sided 95 % noncentral-F interval."""
     st, reml = fit.stats, fit.reml
     free = [0] if fit.random_structure == "intercept" else [0, 1, 2]
     phi0 = np.array([fit.theta[i] for i in free] + [fit.s2])
@@ -245,6 +245,9 @@ def type3_tests(spark, fit: SlopeFit, terms: dict[str, Sequence[str]], h: float
             df2 = 2 * E / (E - q) if E > q else float("nan")
         p = tails.f_upper(Fv, q, df2)
         eta = Fv * q / (Fv * q + df2) if df2 == df2 else float("nan")
-        rows.append((term, q, float(df2), float(Fv), float(p), float(eta), fit.random_structure))
+        lo, hi = tails.eta2_partial_ci(Fv, q, df2)
+        rows.append((term, q, float(df2), float(Fv), float(p), float(eta), float(lo), float(hi),
+                     fit.random_structure))
     return spark.createDataFrame(rows, "term string, NumDF int, DenDF double, F double, p double, "
-                                       "eta2_partial double, random_structure string")
+                                       "eta2_partial double, eta2_CI_low double, eta2_CI_high double, "
+                                       "random_structure string")

@@ -129,11 +129,12 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
             ss_err = ss_subj - ss_margin(tuple(between_l))
             df_err = n_s - n_b
         f = (ss_e / df_e) / (ss_err / df_err) if df_err > 0 and ss_err > 0 else float("nan")
+        lo, hi = tails.eta2_partial_ci(f, df_e, df_err)
         rows.append((name, int(df_e), int(df_err), float(ss_e), float(ss_err), float(f),
                      float(tails.f_upper(f, df_e, df_err)),
-                     float(ss_e / (ss_e + ss_err)) if (ss_e + ss_err) > 0 else float("nan")))
+                     float(ss_e / (ss_e + ss_err)) if (ss_e + ss_err) > 0 else float("nan"), float(lo), float(hi)))
     schema = ("effect string, df_effect int, df_error int, ss_effect double, ss_error double, F double, "
-              "p double, eta2_partial double")
+              "p double, eta2_partial double, eta2_CI_low double, eta2_CI_high double")
     return df.sparkSession.createDataFrame(rows, schema)
 
 

@@ -132,3 +132,17 @@ def test_sample_n_exact_under_skew(spark):
     ref = (df.withColumn("u", portable_uniform(F.lit(3), F.col("k"))).toPandas()
            .sort_values(["g", "u", "k"]).groupby("g").head(20))
     assert sorted(zip(got.g, got.k)) == sorted(zip(ref.g, ref.k))
+
+
+def test_eta2_ci():
+    from panelkit.functions.tails import eta2_partial_ci, f_upper, ncf_cdf
+
+    assert abs((1 - ncf_cdf(3.0, 2, 10, 0.0)) - f_upper(3.0, 2, 10)) < 1e-12
+    # noncentral CDF decreases in the noncentrality
+    assert ncf_cdf(3.0, 2, 10, 5.0) < ncf_cdf(3.0, 2, 10, 1.0)
+    f, d1, d2 = 6.86, 19, 2147
+    lo, hi = eta2_partial_ci(f, d1, d2)
+    point = f * d1 / (f * d1 + d2)
+    assert 0 < lo < point < hi < 1
+    lo0, _ = eta2_partial_ci(0.5, 2, 50)
+    assert lo0 == 0.0

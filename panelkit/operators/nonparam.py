@@ -237,10 +237,18 @@ def remove_careless(df: DataFrame, subject: str, items: Sequence[str], pct: floa
     return df.join(f, subject, "left_anti")
 
 
+def art_as_effects(art: DataFrame) -> DataFrame:
+    """ART rows in the shared effect-table vocabulary (term, NumDF, DenDF, F, p, ...)."""
+    return art.select(F.col("effect").alias("term"), F.col("df_effect").alias("NumDF"),
+                      F.col("df_error").cast("double").alias("DenDF"), "F", "p", "eta2_partial", "eta2_CI_low",
+                      "eta2_CI_high", F.lit("aligned_rank").alias("random_structure"))
+
+
 def effect_table(tables: dict[str, DataFrame], sizes: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
-    """Union the per-response ANOVA tables (G1), attach effect sizes by
-    term (C4 left join), tag the effect type (B29) and Holm-adjust within
-    each response (E3)."""
+    """Union the per-response effect tables (G1; columns term, NumDF,
+    DenDF, F, p, ...), attach effect sizes by term (C4 left join, when given
+    separately), tag the effect type (B29) and Holm-adjust within each
+    response (E3)."""
     from panelkit.operators.encode import effect_type
 
     parts = [t.withColumn("dv", F.lit(dv)) for dv, t in tables.items()]
@@ -248,9 +256,9 @@ def effect_table(tables: dict[str, DataFrame], sizes: DataFrame | None = None, a
     for p_ in parts[1:]:
         u = u.unionByName(p_, allowMissingColumns=True)
     if sizes is not None:
-        u = u.join(sizes, ["dv", "effect"], "left")
-    u = u.withColumn("effect_type", effect_type("effect"))
-    u = ranks.holm(u, "p", by=["dv"], out="p_holm_within_dv", tiebreak=[F.col("effect")])
+        u = u.join(sizes, ["dv", "term"], "left")
+    u = u.withColumn("effect_type", effect_type("term"))
+    u = ranks.holm(u, "p", by=["dv"], out="p_holm_within_dv", tiebreak=[F.col("term")])
     return u.withColumn("significant", F.col("p") < alpha)
 
 
@@ -258,10 +266,10 @@ def effect_sentences(effects: DataFrame, alpha: float = 0.05, dv: str = "dv") ->
     """One sentence per response listing its significant effects; when
     exactly two main effects are significant they are reported together."""
     sig = effects.where(F.col("p") < alpha)
-    fmt = F.format_string("%s (F(%d, %d) = %.2f, p = %.3f)", F.col("effect"), F.col("df_effect"),
-                          F.col("df_error"), F.col("F"), F.col("p"))
+    fmt = F.format_string("%s (F(%d, %.1f) = %.2f, p = %.3f)", F.col("term"), F.col("NumDF").cast("int"),
+                          F.col("DenDF").cast("double"), F.col("F"), F.col("p"))
     per = sig.groupBy(dv).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("effect"), fmt.alias("txt")))).alias("__e"),
+        F.sort_array(F.collect_list(F.struct(F.col("term"), fmt.alias("txt")))).alias("__e"),
         F.count_if(F.col("effect_type") == "main").alias("__main"), F.count(F.lit(1)).alias("__k"))
     txt = F.array_join(F.transform("__e", lambda s: s["txt"]), "; ")
     two_main = (F.col("__main") == 2) & (F.col("__k") == 2)

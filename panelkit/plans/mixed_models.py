@@ -99,7 +99,8 @@ register("mixed_prediction_interval", "J13")(mixed_prediction_interval)
 
 
 # ------------------------------------------------------------------ J6 random slope, type III
-def random_slope_anova(spark, sf_dir):
+def random_slope_tables(spark, sf_dir):
+    """One type III table per response (random intercept + slope on quality, REML)."""
     from panelkit.operators import mixed_slope
     from panelkit.plans.stats import _panel_signal
 
@@ -107,10 +108,17 @@ def random_slope_anova(spark, sf_dir):
     design, terms = mixed.sum_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS,
                                                                      "scenario": SCENARIO_LEVELS},
                                      interactions=[("quality_c", "introduction"), ("quality_c", "scenario")])
-    out = None
-    for dv in ("rating", "rating_signal"):  # one response per fit, same design pass shape
+    out = {}
+    for dv in ("rating", "rating_signal"):
         fit = mixed_slope.fit_random_slope(mixed_slope.slope_stats(p, dv, design, "participant", "quality_c"))
-        t = mixed_slope.type3_tests(spark, fit, terms).withColumn("dv", F.lit(dv))
+        out[dv] = mixed_slope.type3_tests(spark, fit, terms)
+    return out
+
+
+def random_slope_anova(spark, sf_dir):
+    out = None
+    for dv, t in random_slope_tables(spark, sf_dir).items():
+        t = t.withColumn("dv", F.lit(dv))
         out = t if out is None else out.unionByName(t)
     return out
 

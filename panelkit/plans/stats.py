@@ -305,8 +305,14 @@ register("ols_band_ci", "J12")(ols_band_ci)
 
 # ------------------------------------------------------------------ J14, J15
 def effect_summary(spark, sf_dir):
+    """J14 over the type III tables of the random-slope models (as in the
+    reference's per-response loop) plus the ART tables, tagged and Holm-adjusted."""
+    from panelkit.plans.mixed_models import random_slope_tables
+
     p = _panel_signal(spark, sf_dir)
-    tables = {dv: nonparam.art_anova(p, dv, BETWEEN, WITHIN, SUBJECT) for dv in ("rating", "rating_signal")}
+    tables = {f"{dv}_art": nonparam.art_as_effects(nonparam.art_anova(p, dv, BETWEEN, WITHIN, SUBJECT))
+              for dv in ("rating", "rating_signal")}
+    tables.update(random_slope_tables(spark, sf_dir))
     return nonparam.effect_table(tables)
 
 

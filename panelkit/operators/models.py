@@ -34,28 +34,55 @@ class Prep:
     levels: dict[str, list]
     stats: DataFrame | None
     scale: bool
+    mode: str = "one_hot"  # or "codes": native categorical features for the tree learners
 
     @property
     def feature_names(self) -> list[str]:
         names = list(self.numeric)
         for c, lvs in self.levels.items():
-            names += [f"{c}_{lv}" for lv in lvs[1:]]
+            names += [c] if self.mode == "codes" else [f"{c}_{lv}" for lv in lvs[1:]]
         return names
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         d = clean.apply_scaler(df, self.stats, self.numeric) if self.scale and self.numeric else df
-        d = encode.one_hot(d, self.levels, drop="first", keep_input=True)
-        cols = [F.col(f"`{c}`").cast("double").alias(c) for c in self.feature_names]
+        if self.mode == "codes":
+            # code = sorted-level position, unseen level -> an extra last category (K2 native categoricals)
+            d = encode.codes(d, self.levels, unseen=-1, suffix="__code")
+            for c, lvs in self.levels.items():
+                d = d.withColumn(f"{c}__code", F.when(F.col(f"{c}__code") < 0, len(lvs))
+                                 .otherwise(F.col(f"{c}__code")))
+            cols = [F.col(c).cast("double") for c in self.numeric] + [F.col(f"{c}__code").cast("double")
+                                                                       for c in self.levels]
+        else:
+            d = encode.one_hot(d, self.levels, drop="first", keep_input=True)
+            cols = [F.col(f"`{c}`").cast("double") for c in self.feature_names]
         d = d.select("*", *[F.coalesce(c, F.lit(0.0)).alias(f"__v{i}") for i, c in enumerate(cols)])
         asm = VectorAssembler(inputCols=[f"__v{i}" for i in range(len(cols))], outputCol=out, handleInvalid="keep")
-        return asm.transform(d).drop(*[f"__v{i}" for i in range(len(cols))])
-
-
-def fit_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool = True) -> Prep:
-    """B15 + B22 fitted on the training rows only."""
+        res = asm.transform(d).drop(*[f"__v{i}" for i in range(len(cols))])
+        if self.mode == "codes":
+            res = res.drop(*[f"{c}__code" for c in self.levels])
+            res = res.withColumn(out, F.col(out).alias(out, metadata=self._ml_attrs()))
+        return res
+
+    def _ml_attrs(self) -> dict:
+        """Feature metadata marking the coded columns as nominal, so MLlib trees
+        split them as categories."""
+        numeric = [{"idx": i, "name": n} for i, n in enumerate(self.numeric)]
+        nominal = [{"idx": len(self.numeric) + j, "name": c, "vals": [str(v) for v in lvs] + ["__unseen__"]}
+                   for j, (c, lvs) in enumerate(self.levels.items())]
+        attrs = {"numeric": numeric} if numeric else {}
+        if nominal:
+            attrs["nominal"] = nominal
+        return {"ml_attr": {"attrs": attrs, "num_attrs": len(numeric) + len(nominal)}}
+
+
+def fit_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool = True,
+             mode: str = "one_hot") -> Prep:
+    """B15 + B22 (``mode='one_hot'``) or native coded categoricals
+    (``mode='codes'``, K2), fitted on the training rows only."""
     levels = encode.fit_levels(train, list(categorical)) if categorical else {}
     stats = clean.fit_scaler(train, list(numeric)) if scale and numeric else None
-    return Prep(list(numeric), levels, stats, scale)
+    return Prep(list(numeric), levels, stats, scale, mode)
 
 
 # ------------------------------------------------------------------ learners

@@ -59,6 +59,21 @@ def model_comparison(spark, sf_dir):
 register("model_comparison", "K1 K2 K5 K7 H2 C3 B15 B22 D8")(model_comparison)
 
 
+def boost_native_categoricals(spark, sf_dir):
+    """K2 with native (coded, nominal-metadata) categorical features."""
+    s = split.group_split(fx.signal(spark, sf_dir), "grp", test=0.2, seed=42)
+    prep = models.fit_prep(s.where(F.col("split") == "train"), NUMERIC, CATEGORICAL, mode="codes")
+    d = prep.transform(s).cache()
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    m = models.learner("boost", label=Y, maxIter=50, maxBins=32).fit(train)
+    out = metrics.regression_metrics(models.score(m, test), Y, "prediction").withColumn("model", F.lit("boost_native"))
+    imp = models.importances_table(spark, {"boost_native": m}, prep.feature_names)
+    return out.crossJoin(imp.groupBy().pivot("feature").agg(F.first("importance")))
+
+
+register("boost_native_categoricals", "K2 B24")(boost_native_categoricals)
+
+
 # ------------------------------------------------------------------ K8 + D9
 def forest_quantiles(spark, sf_dir):
     train, test, _ = _frames(spark, sf_dir)

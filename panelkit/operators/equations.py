@@ -68,6 +68,93 @@ def fit_equations(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y:
     return const.unionByName(scaled).unionByName(affine)
 
 
+def _first_terms(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best affine single term per group (ties: predictor, form)."""
+    w = Window.partitionBy(*keys).orderBy("loss", "predictor", "form")
+    return (fits.where(F.col("variant") == "affine").withColumn("__r", F.row_number().over(w))
+            .where(F.col("__r") == 1).select(*keys, F.col("predictor").alias("__p1"), F.col("form").alias("__f1"),
+                                             F.col("complexity").alias("__c1")))
+
+
+def fit_two_term(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y: str,
+                 forms: Sequence[Form] = FORMS, min_rows: int = 3, fits: DataFrame | None = None) -> DataFrame:
+    """M5 greedy step: keep each group's best affine term ``g1`` and fit
+    ``y = a*g1 + a2*f + b`` for every other (predictor, form) candidate ``f``.
+
+    The first term is joined back by group key (one row per group, null-safe),
+    then ONE wide aggregate adds ``sum(f*g1)`` next to the single-term sums;
+    the 2x2 centred normal equations are solved on the aggregated rows.
+    Output has the ``fit_equations`` columns plus ``predictor2, form2, a2``;
+    complexity is ``c(f1) + c(f2) + 7`` (two products, two sums, three
+    constants). Collinear pairs (centred determinant ~ 0) are dropped.
+    """
+    keys = list(keys)
+    xs = [x] if isinstance(x, str) else list(x)
+    fits = fits if fits is not None else fit_equations(df, keys, xs, y, forms, min_rows)
+    first = _first_terms(fits, keys)
+    base = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{p}") for p, c in enumerate(xs)],
+                     F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
+    # renamed keys: both sides share one lineage, so base[k] == first[k] would be ambiguous
+    first = first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__p1", "__f1", "__c1")
+    cond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    j = base.join(first, cond, "inner") if keys else base.crossJoin(F.broadcast(first))
+    j = j.select(*keys, *[f"__x{p}" for p in range(len(xs))], "__y", "__p1", "__f1", "__c1")
+    x1 = F.lit(None).cast("double")
+    for p, c in enumerate(xs):
+        x1 = F.when(F.col("__p1") == c, F.col(f"__x{p}")).otherwise(x1)
+    j = j.withColumn("__xg", x1)
+    g1 = F.lit(None).cast("double")
+    for f in forms:
+        g1 = F.when(F.col("__f1") == f.name, f.spark(F.col("__xg"))).otherwise(g1)
+    fcols = [f.spark(F.col(f"__x{p}")).alias(f"__f{p}_{i}") for p in range(len(xs)) for i, f in enumerate(forms)]
+    b = j.select(*keys, "__y", "__p1", "__f1", "__c1", g1.alias("__g"), *fcols)
+    g, yv = F.col("__g"), F.col("__y")
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yv).alias("sy"), F.sum(yv * yv).alias("syy"),
+            F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * yv).alias("sgy"),
+            F.max("__p1").alias("p1"), F.max("__f1").alias("f1"), F.max("__c1").alias("c1")]
+    for p in range(len(xs)):
+        for i in range(len(forms)):
+            f = F.col(f"__f{p}_{i}")
+            aggs += [F.count(f).alias(f"k{p}_{i}"), F.sum(f).alias(f"sf{p}_{i}"), F.sum(f * f).alias(f"sff{p}_{i}"),
+                     F.sum(f * yv).alias(f"sfy{p}_{i}"), F.sum(f * g).alias(f"sfg{p}_{i}")]
+    wide = b.groupBy(*keys).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(xs[p]).alias("predictor2"), F.lit(f.name).alias("form2"),
+                              F.lit(f.complexity).alias("cf"), F.col(f"k{p}_{i}").alias("k"),
+                              F.col(f"sf{p}_{i}").alias("sf"), F.col(f"sff{p}_{i}").alias("sff"),
+                              F.col(f"sfy{p}_{i}").alias("sfy"), F.col(f"sfg{p}_{i}").alias("sfg"))
+                     for p in range(len(xs)) for i, f in enumerate(forms)])
+    long = (wide.select(*keys, "n", "sy", "syy", "sg", "sgg", "sgy", "p1", "f1", "c1", F.inline(rows))
+            .where((F.col("k") == F.col("n")) & ~((F.col("predictor2") == F.col("p1")) & (F.col("form2") == F.col("f1")))))
+    n = F.col("n")
+    s11 = F.col("sgg") - F.col("sg") * F.col("sg") / n
+    s22 = F.col("sff") - F.col("sf") * F.col("sf") / n
+    s12 = F.col("sfg") - F.col("sf") * F.col("sg") / n
+    s1y = F.col("sgy") - F.col("sg") * F.col("sy") / n
+    s2y = F.col("sfy") - F.col("sf") * F.col("sy") / n
+    syy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    c = long.select(*keys, "n", "sy", "sg", "sf", "sff", "p1", "f1", "c1", "predictor2", "form2", "cf",
+                    s11.alias("s11"), s22.alias("s22"), s12.alias("s12"), s1y.alias("s1y"), s2y.alias("s2y"),
+                    syy.alias("syc"))
+    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    ok = (F.col("s22") > F.lit(1e-9) * F.greatest(F.col("sff"), F.lit(1e-300))) & (det > F.lit(1e-9) * F.col("s11") * F.col("s22"))
+    c = c.withColumn("det", det).where(ok)
+    a1 = (F.col("s22") * F.col("s1y") - F.col("s12") * F.col("s2y")) / F.col("det")
+    a2 = (F.col("s11") * F.col("s2y") - F.col("s12") * F.col("s1y")) / F.col("det")
+    c = c.withColumn("a", a1).withColumn("a2", a2)
+    return c.select(
+        *keys, F.col("p1").alias("predictor"), F.col("f1").alias("form"),
+        (F.col("c1") - 4 + F.col("cf") + 7).alias("complexity"), F.lit("two_term").alias("variant"),
+        "a", ((F.col("sy") - F.col("a") * F.col("sg") - F.col("a2") * F.col("sf")) / n).alias("b"),
+        F.greatest((F.col("syc") - F.col("a") * F.col("s1y") - F.col("a2") * F.col("s2y")) / n, F.lit(0.0)).alias("loss"),
+        "n", "predictor2", "form2", "a2")
+
+
+def with_two_term(fits: DataFrame, two: DataFrame) -> DataFrame:
+    """Single-term fits (``predictor2 = form2 = ''``, ``a2 = 0``) plus two-term fits."""
+    one = fits.withColumn("predictor2", F.lit("")).withColumn("form2", F.lit("")).withColumn("a2", F.lit(0.0))
+    return one.unionByName(two)
+
+
 def hall_of_fame(fits: DataFrame, keys: Sequence[str], parsimony: float = 1.5) -> DataFrame:
     """Best fit per (group, complexity); keep a row when its loss is
     below every simpler row's (Pareto front); score
@@ -75,7 +162,8 @@ def hall_of_fame(fits: DataFrame, keys: Sequence[str], parsimony: float = 1.5) -
     highest score among rows with ``loss <= parsimony * min loss``.
     All windows are per group over at most one row per complexity."""
     keys = list(keys)
-    w_best = Window.partitionBy(*keys, "complexity").orderBy("loss", "predictor", "form", "variant")
+    order = ["loss", "predictor", "form", "variant"] + [c for c in ("predictor2", "form2") if c in fits.columns]
+    w_best = Window.partitionBy(*keys, "complexity").orderBy(*order)
     best = fits.withColumn("__r", F.row_number().over(w_best)).where(F.col("__r") == 1).drop("__r")
     w = Window.partitionBy(*keys).orderBy("complexity")
     prior_min = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))

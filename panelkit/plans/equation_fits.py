@@ -22,9 +22,10 @@ def _hof_out(hof, keys):
     return _r(hof.select(*keys, *OUT))
 
 
-def equations_sql(src: str, keys: list[str], xs: list[str], y: str, min_rows: int = 3, parsimony: float = 1.5) -> str:
-    """DuckDB text of ``fit_equations`` + ``hall_of_fame`` (returns CTE list
-    ending in ``hof``)."""
+def equations_sql(src: str, keys: list[str], xs: list[str], y: str, min_rows: int = 3, parsimony: float = 1.5,
+                  two_term: bool = False) -> str:
+    """DuckDB text of ``fit_equations`` (+ ``fit_two_term``) + ``hall_of_fame``
+    (returns CTE list ending in ``hof``)."""
     kl = ", ".join(keys)
     kc = (kl + ", ") if keys else ""
     aggs = ["count(*) AS n", f"sum({y}) AS sy", f"sum({y} * {y}) AS syy"]
@@ -42,7 +43,7 @@ def equations_sql(src: str, keys: list[str], xs: list[str], y: str, min_rows: in
         "lng AS (" + " UNION ALL ".join(longs) + ")",
         """c AS (SELECT *, syy - sy * sy / n AS syy_c, sff - sf * sf / n AS sff_c, sfy - sf * sy / n AS sfy_c
              FROM lng WHERE k = n)""",
-        f"""fits AS (
+        f"""fits1 AS (
   SELECT {kc}'' AS predictor, 'const' AS form, 1 AS complexity, 'const' AS variant, 0.0 AS a, sy / n AS b,
          greatest((syy - sy * sy / n) / n, 0.0) AS loss FROM wide
   UNION ALL
@@ -55,9 +56,11 @@ def equations_sql(src: str, keys: list[str], xs: list[str], y: str, min_rows: in
     ]
     part = f"PARTITION BY {kl}" if keys else ""
     part_c = f"PARTITION BY {kc}complexity"
+    ctes += _two_term_sql(src, keys, xs, y, part) if two_term else [
+        f"fits AS (SELECT *, '' AS predictor2, '' AS form2 FROM fits1)"]
     ctes += [
-        f"best AS (SELECT * FROM (SELECT *, row_number() OVER ({part_c} ORDER BY loss, predictor, form, variant) AS r "
-        f"FROM fits) WHERE r = 1)",
+        f"best AS (SELECT * FROM (SELECT *, row_number() OVER ({part_c} ORDER BY loss, predictor, form, variant, "
+        f"predictor2, form2) AS r FROM fits) WHERE r = 1)",
         f"""pm AS (SELECT *, min(loss) OVER ({part} ORDER BY complexity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
                AS prior_min FROM best)""",
         "front AS (SELECT * FROM pm WHERE prior_min IS NULL OR loss < prior_min)",
@@ -71,6 +74,49 @@ def equations_sql(src: str, keys: list[str], xs: list[str], y: str, min_rows: in
     return ",\n".join(ctes)
 
 
+def _two_term_sql(src: str, keys: list[str], xs: list[str], y: str, part: str) -> list[str]:
+    """CTEs of ``fit_two_term`` over ``fits1``; defines ``fits`` (single +
+    two-term rows, ``predictor2``/``form2`` empty for single terms)."""
+    kc = (", ".join(keys) + ", ") if keys else ""
+    sk = "".join(f"s.{k}, " for k in keys)
+    on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM f.{k}" for k in keys)
+    join = f"JOIN first f ON {on}" if keys else "CROSS JOIN first f"
+    xg = "CASE " + " ".join(f"WHEN f.p1 = '{xc}' THEN CAST(s.{xc} AS DOUBLE)" for xc in xs) + " END"
+    g = "CASE " + " ".join(f"WHEN f1 = '{fm.name}' THEN {fm.sql('xg')}" for fm in FORMS) + " END"
+    aggs = ["count(*) AS n", f"sum({y}) AS sy", f"sum({y} * {y}) AS syy", "sum(g) AS sg", "sum(g * g) AS sgg",
+            f"sum(g * {y}) AS sgy", "max(p1) AS p1", "max(f1) AS f1", "max(c1) AS c1"]
+    longs = []
+    for p, xc in enumerate(xs):
+        for i, fm in enumerate(FORMS):
+            e = fm.sql(f"CAST({xc} AS DOUBLE)")
+            aggs += [f"count({e}) AS k{p}_{i}", f"sum({e}) AS sf{p}_{i}", f"sum(({e}) * ({e})) AS sff{p}_{i}",
+                     f"sum(({e}) * {y}) AS sfy{p}_{i}", f"sum(({e}) * g) AS sfg{p}_{i}"]
+            longs.append(f"SELECT {kc}n, sy, syy, sg, sgg, sgy, p1, f1, c1, '{xc}' AS predictor2, "
+                         f"'{fm.name}' AS form2, {fm.complexity} AS cf, k{p}_{i} AS k, sf{p}_{i} AS sf, "
+                         f"sff{p}_{i} AS sff, sfy{p}_{i} AS sfy, sfg{p}_{i} AS sfg FROM wide2")
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return [
+        f"""first AS (SELECT {kc}predictor AS p1, form AS f1, complexity AS c1 FROM (
+  SELECT *, row_number() OVER ({part} ORDER BY loss, predictor, form) AS r FROM fits1 WHERE variant = 'affine')
+  WHERE r = 1)""",
+        f"j2 AS (SELECT s.*, f.p1, f.f1, f.c1, {xg} AS xg FROM {src} s {join} WHERE s.{y} IS NOT NULL)",
+        f"jg AS (SELECT *, {g} AS g FROM j2)",
+        f"wide2 AS (SELECT {kc}{', '.join(aggs)} FROM jg {grp})",
+        "lng2 AS (" + " UNION ALL ".join(longs) + ")",
+        """c2 AS (SELECT *, sgg - sg * sg / n AS s11, sff - sf * sf / n AS s22, sfg - sf * sg / n AS s12,
+             sgy - sg * sy / n AS s1y, sfy - sf * sy / n AS s2y, syy - sy * sy / n AS syc
+           FROM lng2 WHERE k = n AND NOT (predictor2 = p1 AND form2 = f1))""",
+        "d2 AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM c2)",
+        """e2 AS (SELECT *, (s22 * s1y - s12 * s2y) / det AS a1, (s11 * s2y - s12 * s1y) / det AS a2 FROM d2
+           WHERE s22 > 1e-9 * greatest(sff, 1e-300) AND det > 1e-9 * s11 * s22)""",
+        f"""fits AS (SELECT {kc}predictor, form, complexity, variant, a, b, loss, '' AS predictor2, '' AS form2
+  FROM fits1
+  UNION ALL
+  SELECT {kc}p1, f1, c1 - 4 + cf + 7, 'two_term', a1, (sy - a1 * sg - a2 * sf) / n,
+         greatest((syc - a1 * s1y - a2 * s2y) / n, 0.0), predictor2, form2 FROM e2)""",
+    ]
+
+
 def _sql(src_ctes: str, keys, xs, y, tail=None, views=("ratings",)):
     base = fx.with_views("SELECT 1", *views)[: -len("\nSELECT 1")]
     kc = (", ".join(keys) + ", ") if keys else ""
@@ -144,6 +190,27 @@ register("equations_many_predictors", "M5 M6", _sql(
     "rating"))(equations_many_predictors)
 
 
+def equations_two_term(spark, sf_dir):
+    """M5 greedy two-term search: best affine term per scenario plus every
+    second (predictor, form) term, ranked in one hall of fame."""
+    r = clean_ratings(spark, sf_dir).where(F.col("age").isNotNull())
+    fits = equations.fit_equations(r, ["scenario"], PREDICTORS, "rating")
+    two = equations.fit_two_term(r, ["scenario"], PREDICTORS, "rating", fits=fits)
+    hof = equations.hall_of_fame(equations.with_two_term(fits, two), ["scenario"])
+    return _r(hof.select("scenario", *OUT, "predictor2", "form2"))
+
+
+def _two_term_query_sql():
+    base = fx.with_views("SELECT 1", "ratings")[: -len("\nSELECT 1")]
+    src = CLEAN_SQL.strip() + ",\nsrc AS (SELECT * FROM clean WHERE age IS NOT NULL)"
+    tail = ("SELECT scenario, CAST(complexity AS INT) AS complexity, predictor, form, variant, round(loss, 6) AS loss, "
+            "round(score, 6) AS score, chosen, predictor2, form2 FROM hof")
+    return base + ",\n" + src + ",\n" + equations_sql("src", ["scenario"], PREDICTORS, "rating", two_term=True) + "\n" + tail
+
+
+register("equations_two_term", "M5 M6", _two_term_query_sql())(equations_two_term)
+
+
 # ------------------------------------------------------------------ M7
 def equations_predict(spark, sf_dir):
     r = clean_ratings(spark, sf_dir)

@@ -73,3 +73,46 @@ def test_equation_fits_vs_lstsq(spark):
         assert h["chosen"].sum() == 1 and h["score"].iloc[0] == 0.0
     best_b = hof[(hof.g == "b") & hof.chosen].iloc[0]
     assert best_b["form"] in ("inv", "log", "sqrt", "x")
+
+
+def test_two_term_fits_vs_lstsq(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in ("a", "b", None):
+        u = rng.uniform(1, 5, 300)
+        v = rng.uniform(0.5, 3, 300)
+        y = 1.0 + 0.8 * u + 2.0 * np.log(v) + rng.normal(scale=0.1, size=300)
+        rows += [(g, float(a), float(b), float(c)) for a, b, c in zip(u, v, y)]
+    pdf = pd.DataFrame(rows, columns=["g", "u", "v", "y"])
+    sdf = spark.createDataFrame(pdf, "g string, u double, v double, y double")
+    fits = equations.fit_equations(sdf, ["g"], ["u", "v"], "y")
+    two = equations.fit_two_term(sdf, ["g"], ["u", "v"], "y", fits=fits).toPandas()
+    one = fits.toPandas()
+    fx = {"x": lambda s: s, "log": np.log, "sqrt": np.sqrt, "inv": lambda s: 1 / s, "square": lambda s: s * s}
+    for g in ("a", "b", None):
+        sub = pdf[pdf.g == g] if g is not None else pdf[pdf.g.isna()]
+        t = two[two.g == g] if g is not None else two[two.g.isna()]
+        o = one[((one.g == g) if g is not None else one.g.isna()) & (one.variant == "affine")]
+        first = o.sort_values(["loss", "predictor", "form"]).iloc[0]
+        assert (t.predictor == first.predictor).all() and (t.form == first.form).all()
+        assert not ((t.predictor2 == first.predictor) & (t.form2 == first.form)).any()
+        g1 = fx[first.form](sub[first.predictor]) if first.form in fx else None
+        assert g1 is not None
+        for p2 in ("u", "v"):
+            for f2, fn in fx.items():
+                if (p2, f2) == (first.predictor, first.form):
+                    continue
+                A = np.column_stack([g1, fn(sub[p2]), np.ones(len(sub))])
+                coef, *_ = np.linalg.lstsq(A, sub.y, rcond=None)
+                mse = ((sub.y - A @ coef) ** 2).mean()
+                r = t[(t.predictor2 == p2) & (t.form2 == f2)].iloc[0]
+                assert abs(r["a"] - coef[0]) < 1e-6 * max(1, abs(coef[0])), (g, first.predictor, first.form, p2, f2)
+                assert abs(r["a2"] - coef[1]) < 1e-6 * max(1, abs(coef[1]))
+                assert abs(r["b"] - coef[2]) < 1e-6 * max(1, abs(coef[2]))
+                assert abs(r["loss"] - mse) < 1e-9
+        best = t.sort_values("loss").iloc[0]
+        assert {best.predictor, best.predictor2} == {"u", "v"}
+    hof = equations.hall_of_fame(equations.with_two_term(fits, equations.fit_two_term(sdf, ["g"], ["u", "v"], "y")),
+                                 ["g"]).toPandas()
+    assert (hof.variant == "two_term").any()
+    assert hof.groupby(hof.g.fillna("~"))["chosen"].sum().eq(1).all()

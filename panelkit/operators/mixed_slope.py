@@ -9,7 +9,10 @@ Per group i with ``Z_i = [1, z]`` the marginal covariance is
 ``Z_i'Z_i``. So groups are collapsed in Spark by their ``Z'Z`` triple
 ``(n, sum z, sum z^2)`` into summed outer products of ``W_i`` - one
 aggregate - and every likelihood evaluation afterwards is a sum over the
-distinct triples (bounded by ``max_keys``, checked) on the driver.
+distinct triples on the driver when there are at most ``max_keys`` of them
+(checked). Beyond that bound the collapsed table stays in Spark
+(materialized once) and each evaluation is one aggregate over it, with the
+2 x 2 inverse in closed form as column expressions.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import tails
 from panelkit.operators.mixed import Design
+from panelkit.session import materialize
 
 
 @dataclass
@@ -35,6 +39,7 @@ class SlopeStats:
     keys: np.ndarray  # (K, 3) n, sz, szz
     counts: np.ndarray  # (K,)
     S: np.ndarray  # (K, 2(p+1), 2(p+1))
+    table: DataFrame | None = None  # collapsed patterns kept in Spark when K > max_keys
 
 
 def slope_stats(df: DataFrame, y: str, design: Design, group: str, z: str, max_keys: int = 20_000) -> SlopeStats:
@@ -55,13 +60,16 @@ def slope_stats(df: DataFrame, y: str, design: Design, group: str, z: str, max_k
     coll = per.groupBy("n", "sz", "szz").agg(
         F.count(F.lit(1)).alias("cnt"),
         *[F.sum(ws[a] * ws[b]).alias(f"s{a}_{b}") for a in range(2 * q) for b in range(a, 2 * q)])
-    rows = coll.limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        raise ValueError(f"more than {max_keys} distinct Z'Z patterns; bin the slope variable")
     M = np.zeros((q, q))
     for a in range(q):
         for b in range(a, q):
             M[a, b] = M[b, a] = glob[f"m{a}_{b}"]
+    if coll.limit(max_keys + 1).count() > max_keys:
+        table = materialize(coll)
+        G = int(table.agg(F.sum("cnt")).first()[0])
+        return SlopeStats(design.names(), int(glob["N"]), G, M, np.zeros((0, 3)), np.zeros(0),
+                          np.zeros((0, 2 * q, 2 * q)), table)
+    rows = coll.collect()
     K = len(rows)
     keys = np.array([[r["n"], r["sz"], r["szz"]] for r in rows], dtype=float)
     counts = np.array([r["cnt"] for r in rows], dtype=float)
@@ -77,8 +85,42 @@ def _L(theta):
     return np.array([[theta[0], 0.0], [theta[1], theta[2]]])
 
 
+def _quad_spark(st: SlopeStats, theta):
+    """``_quad`` as one aggregate over the collapsed pattern table."""
+    t0, t1, t2 = (F.lit(float(v)) for v in theta)
+    n, sz, szz = F.col("n"), F.col("sz"), F.col("szz")
+    # A = I + L' ZZ L (symmetric 2 x 2), L = [[t0, 0], [t1, t2]]
+    u0, u1 = n * t0 + sz * t1, sz * t0 + szz * t1
+    a11 = F.lit(1.0) + t0 * u0 + t1 * u1
+    a12 = t2 * u1
+    a22 = F.lit(1.0) + t2 * t2 * szz
+    det = a11 * a22 - a12 * a12
+    # B = L A^-1 L'
+    c00, c01 = a22 * t0 / det, (a22 * t1 - a12 * t2) / det
+    c10, c11 = -a12 * t0 / det, (a11 * t2 - a12 * t1) / det
+    B = [[t0 * c00, t0 * c01], [t1 * c00 + t2 * c10, t1 * c01 + t2 * c11]]
+    q = st.M.shape[0]
+
+    def s_(i, j):
+        return F.col(f"s{min(i, j)}_{max(i, j)}")
+
+    aggs = [F.sum(F.col("cnt") * F.ln(det)).alias("logdet")]
+    for a in range(q):
+        for b in range(a, q):
+            e = sum((B[u][v] * s_(u * q + a, v * q + b) for u in range(2) for v in range(2)), F.lit(0.0))
+            aggs.append(F.sum(e).alias(f"c{a}_{b}"))
+    r = st.table.agg(*aggs).first()
+    corr = np.zeros((q, q))
+    for a in range(q):
+        for b in range(a, q):
+            corr[a, b] = corr[b, a] = r[f"c{a}_{b}"]
+    return st.M - corr, float(r["logdet"])
+
+
 def _quad(st: SlopeStats, theta):
     """Return (M* = [X y]'V*^-1[X y], sum log|A_i|)."""
+    if st.table is not None:
+        return _quad_spark(st, theta)
     L = _L(theta)
     q = st.M.shape[0]
     corr = np.zeros((q, q))

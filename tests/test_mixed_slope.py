@@ -68,3 +68,22 @@ def test_fit_and_type3(spark):
     assert 15 < t.loc["z", "DenDF"] < 60
     assert 15 < t.loc["cell", "DenDF"] < 60
     assert t.loc["z", "p"] < 1e-3
+
+
+def test_spark_side_patterns_equal_dense(spark):
+    """More Z'Z patterns than max_keys: the collapsed table stays in Spark and
+    every likelihood evaluation is one aggregate; same deviance and fit."""
+    pdf = _data()
+    pdf["z"] = pdf.z + pdf.grp.str[1:].astype(int) % 4 * 0.25  # 4 distinct patterns
+    df = spark.createDataFrame(pdf)
+    d = mixed.treatment_design(numeric=["z"], factors={"cell": ["a", "b"]})
+    st = mixed_slope.slope_stats(df, "y", d, "grp", "z", max_keys=3)
+    assert st.table is not None
+    local = mixed_slope.slope_stats(df, "y", d, "grp", "z")
+    assert st.G == local.G and len(local.counts) == 4
+    X = np.column_stack([np.ones(len(pdf)), (pdf.cell == "b").astype(float), pdf.z])
+    for theta in ([1.0, 0.2, 0.4], [0.5, -0.1, 0.0]):
+        for reml in (True, False):
+            got, beta = mixed_slope._deviance(st, theta, reml)[:2]
+            exp, beta_e = _dense_dev(pdf, X, theta, reml)
+            assert abs(got - exp) < 1e-8 and np.allclose(beta, beta_e)

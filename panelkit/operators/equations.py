@@ -18,6 +18,25 @@ from pyspark.sql import functions as F
 from panelkit.functions.basis import FORMS, Form
 
 
+def _base(df: DataFrame, keys: list[str], xs: list[str], y: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).cast("double").alias(f"__x{p}") for p, c in enumerate(xs)],
+                     F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
+
+
+def _wide_sums(df: DataFrame, keys: list[str], xs: list[str], y: str, forms: Sequence[Form], min_rows: int) -> DataFrame:
+    """One row per group: n, sum y, sum y^2 and per (predictor, form) the
+    valid count, sum f, sum f^2, sum f*y (one map-side combined aggregate)."""
+    fcols = [f.spark(F.col(f"__x{p}")).alias(f"__f{p}_{i}") for p in range(len(xs)) for i, f in enumerate(forms)]
+    b = _base(df, keys, xs, y).select(*keys, "__y", *fcols)
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("__y").alias("sy"), F.sum(F.col("__y") * F.col("__y")).alias("syy")]
+    for p in range(len(xs)):
+        for i in range(len(forms)):
+            f = F.col(f"__f{p}_{i}")
+            aggs += [F.count(f).alias(f"k{p}_{i}"), F.sum(f).alias(f"sf{p}_{i}"), F.sum(f * f).alias(f"sff{p}_{i}"),
+                     F.sum(f * F.col("__y")).alias(f"sfy{p}_{i}")]
+    return b.groupBy(*keys).agg(*aggs).where(F.col("n") >= min_rows)
+
+
 def fit_equations(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y: str,
                   forms: Sequence[Form] = FORMS, min_rows: int = 3) -> DataFrame:
     """M1-M5: one row per (group, predictor, form, variant): complexity, a, b, loss.
@@ -29,17 +48,7 @@ def fit_equations(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y:
     """
     keys = list(keys)
     xs = [x] if isinstance(x, str) else list(x)
-    base = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{p}") for p, c in enumerate(xs)],
-                     F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
-    fcols = [f.spark(F.col(f"__x{p}")).alias(f"__f{p}_{i}") for p in range(len(xs)) for i, f in enumerate(forms)]
-    b = base.select(*keys, "__y", *fcols)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("__y").alias("sy"), F.sum(F.col("__y") * F.col("__y")).alias("syy")]
-    for p in range(len(xs)):
-        for i in range(len(forms)):
-            f = F.col(f"__f{p}_{i}")
-            aggs += [F.count(f).alias(f"k{p}_{i}"), F.sum(f).alias(f"sf{p}_{i}"), F.sum(f * f).alias(f"sff{p}_{i}"),
-                     F.sum(f * F.col("__y")).alias(f"sfy{p}_{i}")]
-    wide = b.groupBy(*keys).agg(*aggs).where(F.col("n") >= min_rows)
+    wide = _wide_sums(df, keys, xs, y, forms, min_rows)
     rows = F.array(*[F.struct(F.lit(xs[p]).alias("predictor"), F.lit(f.name).alias("form"),
                               F.lit(f.complexity).alias("cf"), F.col(f"k{p}_{i}").alias("k"),
                               F.col(f"sf{p}_{i}").alias("sf"), F.col(f"sff{p}_{i}").alias("sff"),
@@ -82,8 +91,10 @@ def fit_two_term(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y:
     ``y = a*g1 + a2*f + b`` for every other (predictor, form) candidate ``f``.
 
     The first term is joined back by group key (one row per group, null-safe),
-    then ONE wide aggregate adds ``sum(f*g1)`` next to the single-term sums;
-    the 2x2 centred normal equations are solved on the aggregated rows.
+    then one aggregate computes only the sums involving ``g1`` (``sum(f*g1)``
+    per candidate); the single-term sums are joined from the first aggregate
+    (both one row per group) and the 2x2 centred normal equations are solved
+    on the aggregated rows.
     Output has the ``fit_equations`` columns plus ``predictor2, form2, a2``;
     complexity is ``c(f1) + c(f2) + 7`` (two products, two sums, three
     constants). Collinear pairs (centred determinant ~ 0) are dropped.
@@ -92,8 +103,7 @@ def fit_two_term(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y:
     xs = [x] if isinstance(x, str) else list(x)
     fits = fits if fits is not None else fit_equations(df, keys, xs, y, forms, min_rows)
     first = _first_terms(fits, keys)
-    base = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{p}") for p, c in enumerate(xs)],
-                     F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
+    base = _base(df, keys, xs, y)
     # renamed keys: both sides share one lineage, so base[k] == first[k] would be ambiguous
     first = first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__p1", "__f1", "__c1")
     cond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
@@ -109,15 +119,16 @@ def fit_two_term(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y:
     fcols = [f.spark(F.col(f"__x{p}")).alias(f"__f{p}_{i}") for p in range(len(xs)) for i, f in enumerate(forms)]
     b = j.select(*keys, "__y", "__p1", "__f1", "__c1", g1.alias("__g"), *fcols)
     g, yv = F.col("__g"), F.col("__y")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yv).alias("sy"), F.sum(yv * yv).alias("syy"),
-            F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * yv).alias("sgy"),
+    # only the sums that involve g1; the single-term sums come from the first aggregate
+    aggs = [F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * yv).alias("sgy"),
             F.max("__p1").alias("p1"), F.max("__f1").alias("f1"), F.max("__c1").alias("c1")]
-    for p in range(len(xs)):
-        for i in range(len(forms)):
-            f = F.col(f"__f{p}_{i}")
-            aggs += [F.count(f).alias(f"k{p}_{i}"), F.sum(f).alias(f"sf{p}_{i}"), F.sum(f * f).alias(f"sff{p}_{i}"),
-                     F.sum(f * yv).alias(f"sfy{p}_{i}"), F.sum(f * g).alias(f"sfg{p}_{i}")]
-    wide = b.groupBy(*keys).agg(*aggs)
+    aggs += [F.sum(F.col(f"__f{p}_{i}") * g).alias(f"sfg{p}_{i}") for p in range(len(xs)) for i in range(len(forms))]
+    cross = b.groupBy(*keys).agg(*aggs)
+    cross = cross.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                         *[c for c in cross.columns if c not in keys])
+    single = _wide_sums(df, keys, xs, y, forms, min_rows)
+    wcond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    wide = single.join(cross, wcond, "inner") if keys else single.crossJoin(cross)
     rows = F.array(*[F.struct(F.lit(xs[p]).alias("predictor2"), F.lit(f.name).alias("form2"),
                               F.lit(f.complexity).alias("cf"), F.col(f"k{p}_{i}").alias("k"),
                               F.col(f"sf{p}_{i}").alias("sf"), F.col(f"sff{p}_{i}").alias("sff"),

@@ -27,7 +27,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -253,12 +252,15 @@ def chunks(texts: Iterable[str], chars: int = CHUNK_CHARS) -> Iterator[list[str]
         yield held
 
 
-@lru_cache(maxsize=2)
-def _encoder(pattern: str, key: bytes) -> Encoder:
-    return Encoder(_RANKS[key], pattern)
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-_RANKS: dict[bytes, dict[bytes, int]] = {}
+def _encoder(vocabulary, key: bytes, pattern: str) -> Encoder:
+    """The worker's encoder: built once per worker, not per task."""
+    if (key, pattern) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key, pattern] = Encoder(vocabulary.value, pattern)
+    return _ENCODERS[key, pattern]
 
 
 def encode_decode(docs: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, int],
@@ -269,9 +271,7 @@ def encode_decode(docs: DataFrame, id_col: str, text_col: str, ranks: dict[bytes
     key = hashlib.sha256(repr(sorted(ranks.items())).encode()).digest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _RANKS:  # once per worker, not per task
-            _RANKS[key] = vocabulary.value
-        enc = _encoder(pattern, key)
+        enc = _encoder(vocabulary, key, pattern)
         for pdf in batches:
             rows = []
             for part in chunks(pdf["text"].fillna("")):

@@ -117,6 +117,14 @@ class Counter:
 _COUNTERS: dict[bytes, Counter] = {}
 
 
+def _counter(vocabulary, key: bytes, pattern: str) -> Counter:
+    """The worker's counter: built once per worker, not per task."""
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = Counter(vocabulary.value, pattern)
+    return _COUNTERS[key]
+
+
 def count_tokens(docs: DataFrame, id_col: str, text_col: str, scores: dict[bytes, float],
                  pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Per row: id, n_pretokens, n_tokens."""
@@ -124,10 +132,7 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, scores: dict[bytes
     key = hashlib.sha256((pattern + repr(sorted(scores.items()))).encode()).digest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _COUNTERS:  # once per worker, not per task
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(vocabulary.value, pattern)
-        counter = _COUNTERS[key]
+        counter = _counter(vocabulary, key, pattern)
         for pdf in batches:
             rows = []
             for part in chunks(pdf["text"].fillna(""), CHUNK_CHARS):

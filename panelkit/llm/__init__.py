@@ -11,6 +11,6 @@ from panelkit.llm.common import ORACLES, QUERIES
 
 def load_all() -> tuple[dict, dict]:
     """Import every operator module; return (queries, oracles)."""
-    from panelkit.llm import bpe_prefix, exact_dedup, license_rules, secret_markov, token_counts, warc_salvage  # noqa: F401
+    from panelkit.llm import bpe_prefix, exact_dedup, license_rules, secret_markov, simhash_bk, token_counts, warc_salvage  # noqa: F401
 
     return QUERIES, ORACLES

@@ -11,6 +11,17 @@ from panelkit.llm.common import ORACLES, QUERIES
 
 def load_all() -> tuple[dict, dict]:
     """Import every operator module; return (queries, oracles)."""
-    from panelkit.llm import bpe_prefix, decontaminate, exact_dedup, license_rules, secret_markov, simhash_bk, token_counts, warc_salvage  # noqa: F401
+    from panelkit.llm import (  # noqa: F401
+        bpe_prefix,
+        decontaminate,
+        exact_dedup,
+        license_rules,
+        quality_ordinal,
+        secret_markov,
+        simhash_bk,
+        token_counts,
+        toxicity_ordinal,
+        warc_salvage,
+    )
 
     return QUERIES, ORACLES

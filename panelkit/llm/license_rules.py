@@ -88,7 +88,7 @@ LICENSES = (
     ("unlicense", r"unlicense", r"the unlicense", "the unlicense", r"unlicense\.org", "unlicense org"),
     ("wtfpl", r"wtfpl", r"do what the f\w* you want to public licen[sc]e", "you want to public", r"wtfpl\.net", "wtfpl net"),
     ("cc0-1.0", r"cc0-1\.0", r"cc0(?: 1\.0)?(?: universal)?|creative commons zero", "c", r"creativecommons\.org/publicdomain/zero/1\.0", "creativecommons org"),
-    ("pdm-1.0", r"cc-pddc", r"public domain mark(?: 1\.0)?", "public domain mark", r"creativecommons\.org/publicdomain/mark/1\.0", "creativecommons org"),
+    ("pdm-1.0", r"(?:pdm-1\.0|cc-pddc)", r"public domain mark(?: 1\.0)?", "public domain mark", r"creativecommons\.org/publicdomain/mark/1\.0", "creativecommons org"),
     ("cc-by-4.0", r"cc-by-4\.0", r"cc[- ]by[- ]4\.0|creative commons attribution 4\.0", "4 0", r"creativecommons\.org/licenses/by/4\.0", "creativecommons org"),
     ("cc-by-3.0", r"cc-by-3\.0", r"cc[- ]by[- ]3\.0|creative commons attribution 3\.0", "3 0", r"creativecommons\.org/licenses/by/3\.0", "creativecommons org"),
     ("cc-by-2.5", r"cc-by-2\.5", r"cc[- ]by[- ]2\.5|creative commons attribution 2\.5", "2 5", r"creativecommons\.org/licenses/by/2\.5", "creativecommons org"),
@@ -150,7 +150,7 @@ NOTICES = (
     ("gpl", r"this program is free software[;:,] you can redistribute it and/or modify", "this program is free software", 0.9),
     ("lgpl", r"this library is free software[;:,] you can redistribute it and/or modify", "this library is free software", 0.9),
     ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[sc]e, v\. 2\.0", "source code form", 0.98),
-    ("boost", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy", "person or organization", 0.95),
+    ("bsl-1.0", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy", "person or organization", 0.95),
     ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "as is without any express", 0.85),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "free and unencumbered", 0.98),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", "the public domain", 0.7),

@@ -141,6 +141,8 @@ def parse_record(data: bytes, at: int = 0):
         if not sep:
             raise ValueError("bad header line")
         fields[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+    if not (fields.get(b"warc-type") and fields.get(b"warc-record-id")):
+        raise ValueError("mandatory header missing")
     length = fields.get(b"content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise ValueError("no Content-Length")
@@ -192,8 +194,8 @@ def _one(data: bytes, at: int):
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", start, stop, record) and ("gap", start, stop, reason) that
-    together cover every byte of the archive, in order."""
+    """("record", start, stop, record) and ("gap", start, stop, reason) in
+    order; with the empty members they cover every byte of the archive."""
     at, gap_from, reason = 0, None, ""
     starts = re.compile(re.escape(MAGIC) + rb"|WARC/1\.[01]\r\n")
     while at < len(data):

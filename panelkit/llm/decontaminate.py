@@ -55,14 +55,17 @@ def words(text: Column, names: bool = True) -> Column:
     return F.array_remove(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01]+"), "")
 
 
-def slot_type(word: Column) -> Column:
-    """Placeholder of a word, null for a plain one."""
-    first = F.ascii(word)
-    return F.when(first == 1, "<name>").when(first.between(48, 57), "<num>").when(word.isin(*UNITS), "<unit>")
+def slot_type(word: Column, plain: Column | None = None) -> Column:
+    """Placeholder of a word, ``plain`` (else null) for one without. Words
+    are made of letters, digits and ``MARK``, so those below ":" begin with a
+    digit or the mark: one comparison for most words."""
+    special = F.when(word < "0", "<name>").otherwise("<num>")
+    out = F.when(word < ":", special).when(word.isin(*UNITS), "<unit>")
+    return out if plain is None else out.otherwise(plain)
 
 
 def word_hashes(found: Column) -> Column:
-    return F.transform(found, lambda w: F.xxhash64(F.coalesce(slot_type(w), w)))
+    return F.transform(found, lambda w: F.xxhash64(slot_type(w, w)))
 
 
 def _pairs(left: Column, right: Column, at: int, n: Column) -> Column:
@@ -135,8 +138,8 @@ def window_hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     for size in range(1, window + 1):
         if size not in counted:
             continue
-        rows = with_windows(hashed.where(F.size("h") >= size), size, "win") \
-            .select("doc_id", "row", F.posexplode("win").alias("pos", "wh"))
+        # outer: else Spark infers a filter that computes the whole array a second time
+        rows = with_windows(hashed, size, "win").select("doc_id", "row", F.posexplode_outer("win").alias("pos", "wh"))
         side = windows.where(F.col("size") == size)
         side = F.broadcast(side) if counted[size] <= BROADCAST_WINDOWS else side
         met = rows.join(side, "wh").drop("wh")
@@ -179,13 +182,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if hits is None:
         return docs.sparkSession.createDataFrame([], empty).withColumnRenamed("doc_id", id_col)
     key = ["doc_id", "row", "item_id", "offset"]
-    hits = hits.withColumn("offset", F.col("pos") - F.col("start"))
+    hits = checkpointed(hits.withColumn("offset", F.col("pos") - F.col("start")))
     covered = F.count_distinct("start")
     whole = hits.groupBy("doc_id", "item_id", "n_windows").agg(covered.alias("n"))
     likely = whole.where(F.col("n") >= min_coverage * F.col("n_windows")).select(
         F.col("doc_id").alias("l_id"), F.col("item_id").alias("l_item"))
-    hits = checkpointed(hits.join(likely, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("item_id") == F.col("l_item")),
-                                  "left_semi"))
+    hits = hits.join(likely, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("item_id") == F.col("l_item")), "left_semi")
     changed = None
     # without a placeholder in any matched item there is nothing that could disagree
     if not hits.join(F.broadcast(slots.select("item_id", "variant").distinct()), ["item_id", "variant"], "left_semi").isEmpty():

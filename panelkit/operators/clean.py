@@ -93,7 +93,7 @@ def center(df: DataFrame, col: str, out: str | None = None, by: Sequence[str] |
 
 
 def zscore(df: DataFrame, col: str, out: str | None = None, by: Sequence[str] | None = None) -> DataFrame:
-    """(x - mean) / sample sd."""
+    """(x - mean) / sample sd; null where the sd is 0 or undefined."""
     return _standardize(df, col, out or f"{col}_z", by, scale=True)
 
 
@@ -108,7 +108,7 @@ def _standardize(df, col, out, by, scale):
         j = df.crossJoin(F.broadcast(df.agg(*aggs)))
     expr = F.col(col) - F.col("__mu")
     if scale:
-        expr = expr / F.col("__sd")
+        expr = F.try_divide(expr, F.col("__sd"))
     return j.withColumn(out, expr).drop("__mu", "__sd")
 
 
@@ -173,6 +173,7 @@ def tag_repeat_ids(df: DataFrame, id_col: str, combo_cols: Sequence[str], order_
 
 def remove_group_outliers(df: DataFrame, group: str, value: str, z: float = 3.0, id_cols: Sequence[str] = ()) -> DataFrame:
     """Drop rows whose robust z-score (median/MAD within ``group``) exceeds ``z``.
+    A group with MAD 0 has no robust z-score and keeps all its rows.
 
     Medians by the distributed exact percentile; removal as a left-anti
     join on the row identity (``id_cols``) when given, else a filter.
@@ -183,7 +184,7 @@ def remove_group_outliers(df: DataFrame, group: str, value: str, z: float = 3.0,
     j = df.join(med, group, "left").withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
     mad = exact_percentile(j, "__dev", [0.5], by=[group]).select(group, F.col("value").alias("__mad"))
     j = j.join(mad, group, "left")
-    rz = F.col("__dev") / (F.lit(1.4826) * F.col("__mad"))
+    rz = F.try_divide(F.col("__dev"), F.lit(1.4826) * F.col("__mad"))
     out = F.coalesce(rz > z, F.lit(False))
     if id_cols:
         bad = j.where(out).select(*id_cols)

@@ -18,6 +18,26 @@ from pyspark.sql import functions as F
 from panelkit.functions.basis import FORMS, Form
 
 
+#: Columns that the fits return beside the keys; a key may not have one of these names.
+OUTPUT = ("predictor", "form", "complexity", "variant", "a", "b", "loss", "n", "predictor2", "form2", "a2")
+
+
+def _hidden_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Key columns under internal names, so that any key name (``k``, ``sf``,
+    ...) is safe beside the sums."""
+    clash = set(keys) & set(OUTPUT)
+    if clash:
+        raise ValueError(f"key columns named like result columns: {sorted(clash)}")
+    hidden = [f"__key{i}" for i in range(len(keys))]
+    return df.select("*", *[F.col(k).alias(h) for k, h in zip(keys, hidden)]), hidden
+
+
+def _shown_keys(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    hidden = [f"__key{i}" for i in range(len(keys))]
+    rest = [c for c in fits.columns if c not in hidden]
+    return fits.select(*[F.col(h).alias(k) for k, h in zip(keys, hidden)], *rest)
+
+
 def _base(df: DataFrame, keys: list[str], xs: list[str], y: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).cast("double").alias(f"__x{p}") for p, c in enumerate(xs)],
                      F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
@@ -46,8 +66,13 @@ def fit_equations(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y:
     ``min_rows`` rows are skipped (B5). A form is invalid for a group when f
     is null (outside its domain) on any row or has no spread.
     """
-    keys = list(keys)
+    df, hidden = _hidden_keys(df, keys)
     xs = [x] if isinstance(x, str) else list(x)
+    return _shown_keys(_fit_equations(df, hidden, xs, y, forms, min_rows), list(keys))
+
+
+def _fit_equations(df: DataFrame, keys: list[str], xs: list[str], y: str, forms: Sequence[Form],
+                   min_rows: int) -> DataFrame:
     wide = _wide_sums(df, keys, xs, y, forms, min_rows)
     rows = F.array(*[F.struct(F.lit(xs[p]).alias("predictor"), F.lit(f.name).alias("form"),
                               F.lit(f.complexity).alias("cf"), F.col(f"k{p}_{i}").alias("k"),
@@ -99,9 +124,18 @@ def fit_two_term(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y:
     complexity is ``c(f1) + c(f2) + 7`` (two products, two sums, three
     constants). Collinear pairs (centred determinant ~ 0) are dropped.
     """
-    keys = list(keys)
+    names = list(keys)
+    df, keys = _hidden_keys(df, names)
     xs = [x] if isinstance(x, str) else list(x)
-    fits = fits if fits is not None else fit_equations(df, keys, xs, y, forms, min_rows)
+    if fits is None:
+        fits = _fit_equations(df, keys, xs, y, forms, min_rows)
+    else:
+        fits = fits.withColumnsRenamed(dict(zip(names, keys)))
+    return _shown_keys(_fit_two_term(df, keys, xs, y, forms, min_rows, fits), names)
+
+
+def _fit_two_term(df: DataFrame, keys: list[str], xs: list[str], y: str, forms: Sequence[Form], min_rows: int,
+                  fits: DataFrame) -> DataFrame:
     first = _first_terms(fits, keys)
     base = _base(df, keys, xs, y)
     # renamed keys: both sides share one lineage, so base[k] == first[k] would be ambiguous
@@ -191,34 +225,61 @@ def hall_of_fame(fits: DataFrame, keys: Sequence[str], parsimony: float = 1.5) -
     return front.withColumn("chosen", F.row_number().over(w_pick) == 1).drop("__s")
 
 
-def _form_map(forms):
-    return {f.name: f for f in forms}
+def _term(pred: str, form: str, xs: Sequence[str], forms: Sequence[Form]):
+    """Value of the term that columns ``pred`` and ``form`` name."""
+    out = F.lit(None).cast("double")
+    for x in xs:
+        for f in forms:
+            hit = (F.col(pred) == x) & (F.col(form) == f.name)
+            out = F.when(hit, f.spark(F.col(f"`{x}`").cast("double"))).otherwise(out)
+    return out
 
 
-def predict(df: DataFrame, chosen: DataFrame, keys: Sequence[str], x: str, out: str = "prediction",
+def predict(df: DataFrame, chosen: DataFrame, keys: Sequence[str], x: str | Sequence[str], out: str = "prediction",
             forms: Sequence[Form] = FORMS) -> DataFrame:
-    """M7: evaluate each group's chosen equation (parameters joined by group;
-    the chosen table has one row per group)."""
+    """M7: evaluate each group's chosen equation, of one or two terms, each on
+    its own predictor (parameters joined by group; the chosen table has one
+    row per group). ``x`` lists the predictors the fits may name; a chosen
+    predictor outside ``x`` fails the job rather than giving another's value."""
     keys = list(keys)
-    params = chosen.where("chosen").select(*keys, F.col("form").alias("__form"), F.col("a").alias("__a"),
-                                           F.col("b").alias("__b"), F.col("predictor").alias("__pred"))
-    j = df.join(params, keys, "left") if keys else df.crossJoin(F.broadcast(params))
-    xv = F.col(x).cast("double")
+    xs = [x] if isinstance(x, str) else list(x)
+    two = "predictor2" in chosen.columns
+    second = [F.col(c).alias(f"__{c}") for c in ("predictor2", "form2", "a2")] if two else []
+    params = chosen.where("chosen").select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+                                           F.col("form").alias("__form"), F.col("a").alias("__a"),
+                                           F.col("b").alias("__b"), F.col("predictor").alias("__pred"),
+                                           F.col("variant").alias("__variant"), *second)
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    j = df.join(params, same, "left") if keys else df.crossJoin(F.broadcast(params))
+    known = F.col("__pred").isin("", *xs) & (F.col("__predictor2").isin("", *xs) if two else F.lit(True))
+    value = F.col("__a") * _term("__pred", "__form", xs, forms) + F.col("__b")
     expr = F.when(F.col("__form") == "const", F.col("__b"))
-    for f in forms:
-        expr = expr.when(F.col("__form") == f.name, F.col("__a") * f.spark(xv) + F.col("__b"))
-    return j.withColumn(out, expr).drop("__form", "__a", "__b")
+    if two:
+        expr = expr.when(F.col("__variant") == "two_term", value + F.col("__a2") * _term("__predictor2", "__form2", xs, forms))
+    expr = F.when(~known, F.raise_error(F.concat(F.lit("equation on a predictor outside "), F.lit(", ".join(xs))))
+                  .cast("double")).otherwise(expr.otherwise(value))
+    return j.select(*[F.col(f"`{c}`") for c in df.columns if c != out], expr.alias(out))
 
 
-def equation_text(hof: DataFrame, x_name: str = "x0", forms: Sequence[Form] = FORMS, digits: int = 7) -> DataFrame:
-    """M8: printed equation per hall-of-fame row."""
-    fm = _form_map(forms)
+def equation_text(hof: DataFrame, x_name: str | None = None, forms: Sequence[Form] = FORMS, digits: int = 7) -> DataFrame:
+    """M8: printed equation per hall-of-fame row, each term with its own
+    predictor's name (``x_name`` replaces it when given)."""
     fmt = f"%.{digits}g"
-    text = F.when(F.col("form") == "const", F.format_string(fmt, F.col("b")))
-    for name, f in fm.items():
-        fx = f.text.format(x=x_name)
-        text = text.when((F.col("form") == name) & (F.col("variant") == "scaled"),
-                         F.format_string(f"({fmt} * {fx})", F.col("a")))
-        text = text.when((F.col("form") == name) & (F.col("variant") == "affine"),
-                         F.format_string(f"({fmt} * {fx}) + {fmt}", F.col("a"), F.col("b")))
+
+    def term(pred: str, form: str):
+        out = F.lit(None).cast("string")
+        for f in forms:
+            parts = f.text.split("{x}")
+            name = F.lit(x_name) if x_name else F.col(pred)
+            text = F.concat(*[p for i, part in enumerate(parts) for p in ([name] if i else []) + [F.lit(part)]])
+            out = F.when(F.col(form) == f.name, text).otherwise(out)
+        return out
+
+    first = F.concat(F.format_string(f"({fmt} * ", F.col("a")), term("predictor", "form"), F.lit(")"))
+    plus = F.format_string(f" + {fmt}", F.col("b"))
+    text = F.when(F.col("form") == "const", F.format_string(fmt, F.col("b"))) \
+        .when(F.col("variant") == "scaled", first).when(F.col("variant") == "affine", F.concat(first, plus))
+    if "predictor2" in hof.columns:
+        second = F.concat(F.format_string(f" + ({fmt} * ", F.col("a2")), term("predictor2", "form2"), F.lit(")"))
+        text = text.when(F.col("variant") == "two_term", F.concat(first, second, plus))
     return hof.withColumn("equation", text)

@@ -50,7 +50,7 @@ def spread_over_trees(nodes: DataFrame, tree: str = "tree", feature: str = "feat
     m = F.col("total_gain") / F.col("__T")
     ss = F.col("__s2") - F.col("__T") * m * m
     denom = F.col("__T") - 1 if sd == "samp" else F.col("__T")
-    return j.select(feature, "total_gain", F.sqrt(F.greatest(ss, F.lit(0.0)) / denom).alias(f"sd_{sd}"))
+    return j.select(feature, "total_gain", F.sqrt(F.try_divide(F.greatest(ss, F.lit(0.0)), denom)).alias(f"sd_{sd}"))
 
 
 def pivot_models(df: DataFrame, models: Sequence[str] | None = None, feature: str = "feature", model: str = "model",

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """MAE, MSE, RMSE, R2 (``R2 = 1 - SSE / (n * var_pop(y))``)."""
+    """MAE, MSE, RMSE, R2 (``R2 = 1 - SSE / (n * var_pop(y))``); for a
+    constant ``y`` R2 is 1 when every error is 0, else 0."""
     err = F.col(y) - F.col(pred)
     g = df.groupBy(*by) if by else df.groupBy()
     a = g.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"),
               F.var_pop(y).alias("__vy"))
     return a.select(*by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"),
-                    (F.lit(1.0) - F.col("mse") / F.col("__vy")).alias("r2"))
+                    F.when(F.col("__vy") == 0, F.when(F.col("mse") == 0, 1.0).otherwise(0.0))
+                    .otherwise(F.lit(1.0) - F.try_divide("mse", "__vy")).alias("r2"))
 
 
 def quantile_mae(long_df: DataFrame, y: str, pred: str = "prediction", q: str = "quantile") -> DataFrame:
@@ -27,6 +29,11 @@ def quantile_mae(long_df: DataFrame, y: str, pred: str = "prediction", q: str =
     return long_df.groupBy(q).agg(F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae"))
 
 
+def mode_mae(df: DataFrame, y: str, mode: str) -> DataFrame:
+    """MAE of the mode prediction (one row, ``quantile`` null)."""
+    return df.agg(F.lit(None).cast("double").alias("quantile"), F.avg(F.abs(F.col(y) - F.col(mode))).alias("mae"))
+
+
 def argmax_class(probs: str):
     """Arg-max class index (0-based, lowest index on ties)."""
     return (F.array_position(F.col(probs), F.array_max(F.col(probs))) - 1).cast("int")

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from panelkit.functions import tails
 from panelkit.operators import ranks
 
-MAX_CELLS = 100_000  # design cells broadcast to rows (product of factor levels)
 
 
 def _subsets(xs: Sequence[str]):
@@ -60,12 +59,10 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
     if not bad.isEmpty():
         raise ValueError("ART needs one observation per subject and within level, and one between cell per subject")
 
-    # design-cell table: bounded by the product of factor levels (checked), so it is
-    # brought to the driver once to derive every effect's alignment offset
+    # design-cell table: one row per combination of factor levels, as many as the design
+    # has whatever the row count, so it is brought to the driver once to derive every effect's alignment offset
     cells = base.groupBy(*factors).agg(F.sum("__y").alias("__s"), F.count(F.lit(1)).alias("__c"))
-    cpd = cells.limit(MAX_CELLS + 1).toPandas()
-    if len(cpd) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} design cells")
+    cpd = cells.toPandas()
     effects = [e for e in _subsets(factors) if e]
 
     def margin_means(pdf, t, s_col, c_col):
@@ -82,7 +79,7 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
     align_pd = cpd[factors].copy()
     for k, v in offsets.items():
         align_pd[k] = v
-    align = F.broadcast(df.sparkSession.createDataFrame(align_pd))
+    align = df.sparkSession.createDataFrame(align_pd)  # AQE broadcasts it while it is small
     j = base.join(align, factors, "inner")
     arr = F.array(*[F.struct(F.lit(_effect_name(e)).alias("effect"),
                              F.round(F.col("__y") + F.col(f"__a{i}"), digits).alias("__v"))
@@ -140,7 +137,8 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
 
 def kruskal_dunn(df: DataFrame, y: str, group: str) -> tuple[DataFrame, DataFrame]:
     """Kruskal-Wallis H (tie-corrected) and Dunn pairwise z with
-    two-sided p and Holm adjustment. Returns (h_table, pairs)."""
+    two-sided p and Holm adjustment. Returns (h_table, pairs). When all values
+    tie, H, z and the p values are null."""
     base = df.select(group, F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
     ranked = ranks.average_rank(base, "__y", out="__r")
     g = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("__r").alias("mean_rank"))
@@ -151,23 +149,24 @@ def kruskal_dunn(df: DataFrame, y: str, group: str) -> tuple[DataFrame, DataFram
     h = gt.groupBy("__N", "tie_sum").agg(
         (F.lit(12.0) / (big_n * (big_n + 1)) * F.sum(F.col("n") * (F.col("mean_rank") - (big_n + 1) / 2) ** 2))
         .alias("__h0"), F.count(F.lit(1)).alias("k"))
-    h = h.select((F.col("__h0") / (1 - F.col("tie_sum") / (big_n ** 3 - big_n))).alias("H"),
+    h = h.select(F.try_divide("__h0", 1 - F.try_divide("tie_sum", big_n ** 3 - big_n)).alias("H"),
                  (F.col("k") - 1).alias("df"), big_n.alias("n"))
-    h = h.withColumn("p", tails.p_chi2(F.col("H"), F.col("df")))
+    h = h.withColumn("p", F.when(F.col("H").isNotNull(), tails.p_chi2(F.col("H"), F.col("df"))))
     a = gt.select(F.col(group).alias("level_a"), F.col("n").alias("n_a"), F.col("mean_rank").alias("rank_a"),
                   "__N", "tie_sum")
     b = g.select(F.col(group).alias("level_b"), F.col("n").alias("n_b"), F.col("mean_rank").alias("rank_b"))
     pairs = a.join(b, F.col("level_a") < F.col("level_b"))  # C5: triangular theta join on the level table
-    s2 = (big_n * (big_n + 1) / 12 - F.col("tie_sum") / (12 * (big_n - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
-    pairs = pairs.select("level_a", "level_b", ((F.col("rank_a") - F.col("rank_b")) / F.sqrt(s2)).alias("z"))
-    pairs = pairs.withColumn("p", tails.p_normal_two_sided(F.col("z")))
+    s2 = (big_n * (big_n + 1) / 12 - F.try_divide(F.col("tie_sum"), 12 * (big_n - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
+    pairs = pairs.select("level_a", "level_b", F.try_divide(F.col("rank_a") - F.col("rank_b"), F.sqrt(s2)).alias("z"))
+    pairs = pairs.withColumn("p", F.when(F.col("z").isNotNull(), tails.p_normal_two_sided(F.col("z"))))
     pairs = ranks.holm(pairs, "p", out="p_holm", tiebreak=[F.col("level_a"), F.col("level_b")])
     return h, pairs
 
 
 def brown_forsythe(df: DataFrame, y: str, factor: str) -> DataFrame:
     """Brown-Forsythe (median-centred Levene) test of equal spread across
-    the levels of ``factor``: one-way ANOVA F on |y - median of its level|."""
+    the levels of ``factor``: one-way ANOVA F on |y - median of its level|.
+    F and p are null without spread inside the levels or with one level."""
     base = df.select(factor, F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
     med = ranks.exact_percentile(base, "__y", [0.5], by=[factor]).select(factor, F.col("value").alias("__med"))
     d = base.join(med, factor).select(factor, F.abs(F.col("__y") - F.col("__med")).alias("__d"))
@@ -179,9 +178,9 @@ def brown_forsythe(df: DataFrame, y: str, factor: str) -> DataFrame:
         F.sum(F.col("__ss") - F.col("__n") * F.col("__m") ** 2).alias("ss_within"),
         F.count(F.lit(1)).alias("k"), F.sum("__n").alias("n"))
     out = t.select(F.lit(factor).alias("factor"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"),
-                   ((F.col("ss_between") / (F.col("k") - 1)) / (F.col("ss_within") / (F.col("n") - F.col("k"))))
-                   .alias("F"))
-    return out.withColumn("p", tails.p_f(F.col("F"), F.col("df1"), F.col("df2")))
+                   F.try_divide(F.try_divide("ss_between", F.col("k") - 1),
+                                F.try_divide("ss_within", F.col("n") - F.col("k"))).alias("F"))
+    return out.withColumn("p", F.when(F.col("F").isNotNull(), tails.p_f(F.col("F"), F.col("df1"), F.col("df2"))))
 
 
 def residual_shape(df: DataFrame, y: str, cells: Sequence[str]) -> DataFrame:

@@ -25,42 +25,49 @@ def _n_buckets(df: DataFrame, buckets: int | None) -> int:
 
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+#: Values drawn per bucket to place the cut points of a column that is not numeric.
+_SAMPLE_PER_BUCKET = 16
 
 
-def _order_key(df: DataFrame, col: str):
-    """A double that is non-decreasing in the order of ``col``: the value for
-    numeric columns, else the first 7 bytes of the (binary-ordered) string as
-    an integer. Equal keys only put rows in the same bucket, so the numbers
-    stay exact; the prefix only matters for balance."""
-    t = df.schema[col].dataType.simpleString()
-    if t.startswith(_NUMERIC):
-        return F.col(col).cast("double")
-    b = F.substring(F.col(col).cast("string").cast("binary"), 1, 7)
-    return F.conv(F.rpad(F.hex(b), 14, "0"), 16, 10).cast("bigint").cast("double")
-
-
-def _cut_points(df: DataFrame, col: str, n: int, uniform: bool) -> list[float]:
-    if uniform:  # column known to be ~U[0,1): fixed edges, no pass over the data
-        return [i / n for i in range(1, n)]
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(_order_key(df, col), probs, 1000).alias("q")).first()
-    return sorted(set(float(x) for x in (row["q"] or []) if x is not None))
+def _is_numeric(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString().startswith(_NUMERIC)
 
 
-def _bucket(df: DataFrame, col: str, cuts: list[float]):
-    """Number of cut points strictly below the order key, as a balanced
-    binary-search CASE tree (codegen-friendly, log2(len(cuts)) comparisons)."""
-    if not cuts:
-        return F.lit(0)
-    key = _order_key(df, col)
+def _order_key(df: DataFrame, col: str):
+    """What the cut points are compared with: a double, or the value itself."""
+    return F.col(col).cast("double") if _is_numeric(df, col) else F.col(col)
 
-    def tree(lo: int, hi: int):  # count of cuts[lo:hi] below key, plus lo
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(cuts))
+def _cut_points(df: DataFrame, col: str, n: int, uniform: bool) -> list:
+    """Increasing cut points for about ``n`` equal buckets. Numeric columns
+    take approximate quantiles; other columns the quantiles of a sample of
+    ``_SAMPLE_PER_BUCKET * n`` whole values, so a shared prefix does no harm.
+    Any cut points give exact numbers; they only set the balance."""
+    if uniform:  # column known to be ~U[0,1): fixed edges, no pass over the data
+        return [i / n for i in range(1, n)]
+    if _is_numeric(df, col):
+        probs = [i / n for i in range(1, n)]
+        row = df.agg(F.percentile_approx(_order_key(df, col), probs, 1000).alias("q")).first()
+        return sorted(set(float(x) for x in (row["q"] or []) if x is not None))
+    sample = (df.select(F.col(col).alias("__v")).where(F.col("__v").isNotNull())
+              .orderBy(F.rand(7)).limit(_SAMPLE_PER_BUCKET * n).orderBy("__v").collect())
+    return list(dict.fromkeys(sample[len(sample) * i // n]["__v"] for i in range(1, n) if sample))
+
+
+def _with_bucket(df: DataFrame, col: str, cuts: list, out: str = "__b") -> DataFrame:
+    """Add the number of cut points strictly below the order key: a binary
+    search over one literal array, one projection per halving, so plan and
+    generated code grow with log2 of the bucket count."""
+    df = df.withColumn(out, F.lit(0))
+    if not cuts:
+        return df
+    key, table = _order_key(df, col), F.lit(cuts)
+    step = 1 << (len(cuts).bit_length() - 1)
+    while step:
+        above = F.get(table, F.col(out) + F.lit(step - 1)) < key  # null past the end
+        df = df.withColumn(out, F.col(out) + F.when(above, F.lit(step)).otherwise(F.lit(0)))
+        step >>= 1
+    return df
 
 
 def _offsets(totals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -79,7 +86,7 @@ def average_rank(df: DataFrame, col: str, out: str = "rank", by: Sequence[str] =
     vals = df.where(F.col(col).isNotNull())
     counts = vals.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
     cuts = _cut_points(vals, col, n_b, uniform=False)
-    counts = counts.withColumn("__b", _bucket(counts, col, cuts))
+    counts = _with_bucket(counts, col, cuts)
     totals = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__tot"))
     offs = _offsets(totals, by).drop("__tot")
     w = Window.partitionBy(*by, "__b").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
@@ -103,7 +110,7 @@ def row_number(df: DataFrame, order: Sequence[str], out: str = "row_number", by:
     n_b = _n_buckets(df, buckets)
     uni = uniform_first if uniform_first is not None else first == "__u"
     cuts = _cut_points(df, first, n_b, uniform=uni)
-    b = df.withColumn("__b", _bucket(df, first, cuts))
+    b = _with_bucket(df, first, cuts)
     totals = b.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__tot"))
     offs = _offsets(totals, by).drop("__tot")
     w = Window.partitionBy(*by, "__b").orderBy(*order)
@@ -148,7 +155,7 @@ def exact_percentile(df: DataFrame, col: str, probs: Sequence[float], by: Sequen
     vals = df.select(*by, F.col(col).alias("__v")).where(F.col("__v").isNotNull())
     counts = vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
     cuts = _cut_points(vals, "__v", n_b, uniform=False)
-    counts = counts.withColumn("__b", _bucket(counts, "__v", cuts))
+    counts = _with_bucket(counts, "__v", cuts)
     totals = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__tot"))
     offs = _offsets(totals, by).drop("__tot")
     w = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)

@@ -18,6 +18,10 @@ from panelkit.functions.random import portable_uniform
 from panelkit.operators import ranks
 
 
+#: Bootstrap draws generated from one row.
+DRAW_BLOCK = 10_000
+
+
 def random_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
     """H1: row-level split by threshold on the portable uniform (expected
     fraction ``test``); no shuffle."""
@@ -94,24 +98,30 @@ def sample_n(df: DataFrame, n: int, key: str, by: Sequence[str] = (), seed: int
             .drop("__u", "__rn", "__size", "__t"))
 
 
+def poisson1_cdf(terms: int = 20) -> list[float]:
+    """CDF of Poisson(1) at k = 0 .. terms - 1 (e^-1 * sum 1/j!)."""
+    cdf, acc, term = [], 0.0, math.exp(-1.0)
+    for k in range(terms):
+        acc += term
+        cdf.append(acc)
+        term /= k + 1
+    return cdf
+
+
 def bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int = 42, out: str = "w",
                       replicate_col: str = "b") -> DataFrame:
     """H5 (Poisson bootstrap): one row per (row, replicate) with a Poisson(1)
-    weight from the portable uniform (inverse CDF, support 0..9).
+    weight from the portable uniform (inverse CDF; beyond k = 19 the tail is
+    below the resolution of the uniform).
 
     Rows are never gathered: each replicate statistic is a weighted
     aggregate ``groupBy(cell, b)``. Rows with weight 0 are dropped.
     """
     reps = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias(replicate_col))
     u = portable_uniform(F.lit(seed), F.col(replicate_col), F.col(key))
-    # Poisson(1) CDF at k = 0..9 (e^-1 * sum 1/j!)
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(10):
-        acc += term
-        cdf.append(acc)
-        term /= k + 1
-    w = F.lit(10)
-    for k in reversed(range(10)):
+    cdf = poisson1_cdf()
+    w = F.lit(len(cdf))
+    for k in reversed(range(len(cdf))):
         w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
     return reps.withColumn(out, w).where(F.col(out) > 0)
 
@@ -139,22 +149,28 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str], replicates: int,
 
     Rows are numbered within their stratum, each replicate draws ``n``
     indices ``floor(u*n)+1`` and the draws are equi-joined back on
-    (stratum, index). Output: one row per draw.
+    (stratum, index). The draws of a stratum are laid out in blocks of
+    ``DRAW_BLOCK`` that are dealt to tasks, so a hot stratum never sits in one
+    array or one task. Output: one row per draw.
     """
     numbered = ranks.row_number(df, [key], out="__idx", by=by)  # bucketed: no whole-stratum sort
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     draws = (sizes.select(*by, "__n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias(replicate_col))
-             .select(*by, "__n", replicate_col, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__draw")))
+             .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / DRAW_BLOCK))).alias("__blk"))
+             .repartition(replicate_col, "__blk", *by)
+             .select(*by, "__n", replicate_col, F.explode(F.sequence(
+                 F.col("__blk") * DRAW_BLOCK + 1, F.least((F.col("__blk") + 1) * DRAW_BLOCK, F.col("__n")))).alias("__draw")))
     keycols = [F.col(c).cast("string") for c in by]
     u = portable_uniform(F.lit(seed), F.col(replicate_col), F.col("__draw"), *keycols)
-    draws = draws.withColumn("__idx", (F.floor(u * F.col("__n")) + 1).cast("int"))
+    draws = draws.withColumn("__idx", (F.floor(u * F.col("__n")) + 1).cast("long"))
     return draws.join(numbered, list(by) + ["__idx"], "inner").drop("__idx", "__n", "__draw")
 
 
 def permutation_map(df: DataFrame, key: str, features: Sequence[str], repeats: int, seed: int = 42) -> DataFrame:
     """H6: for each (feature, repeat), a permutation of the rows as a map
     (feature, repeat, key, source_key): row ranked r by identity receives the
-    row ranked r by hash(seed, feature, repeat, key)."""
+    row ranked r by hash(seed, feature, repeat, key). The identity rank is the
+    same in every copy, so rows are numbered once and then copied."""
     base = df.select(key)
     from panelkit.functions.common import literal_table
 
@@ -162,7 +178,7 @@ def permutation_map(df: DataFrame, key: str, features: Sequence[str], repeats: i
                            ["feature", "repeat"], ["string", "int"])
     x = base.crossJoin(F.broadcast(combos))
     by = ["feature", "repeat"]
-    ident = ranks.row_number(x, [key], out="__r", by=by)
+    ident = ranks.row_number(base, [key], out="__r").crossJoin(F.broadcast(combos))
     shuf = ranks.row_number(x.withColumn("__u", portable_uniform(F.lit(seed), F.col("feature"), F.col("repeat"),
                                                                  F.col(key))),
                             ["__u", key], out="__r", by=by).select(*by, "__r", F.col(key).alias("source_key"))

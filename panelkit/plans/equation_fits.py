@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.basis import FORMS
@@ -109,11 +110,11 @@ def _two_term_sql(src: str, keys: list[str], xs: list[str], y: str, part: str) -
         "d2 AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM c2)",
         """e2 AS (SELECT *, (s22 * s1y - s12 * s2y) / det AS a1, (s11 * s2y - s12 * s1y) / det AS a2 FROM d2
            WHERE s22 > 1e-9 * greatest(sff, 1e-300) AND det > 1e-9 * s11 * s22)""",
-        f"""fits AS (SELECT {kc}predictor, form, complexity, variant, a, b, loss, '' AS predictor2, '' AS form2
+        f"""fits AS (SELECT {kc}predictor, form, complexity, variant, a, b, loss, '' AS predictor2, '' AS form2, 0.0 AS a2
   FROM fits1
   UNION ALL
   SELECT {kc}p1, f1, c1 - 4 + cf + 7, 'two_term', a1, (sy - a1 * sg - a2 * sf) / n,
-         greatest((syc - a1 * s1y - a2 * s2y) / n, 0.0), predictor2, form2 FROM e2)""",
+         greatest((syc - a1 * s1y - a2 * s2y) / n, 0.0), predictor2, form2, a2 FROM e2)""",
     ]
 
 
@@ -234,6 +235,40 @@ GROUP BY 1, 2"""
 register("equations_predict", "M7", _predict_sql())(equations_predict)
 
 
+def equations_predict_two_term(spark, sf_dir):
+    """M7 over several predictors and two-term equations: error of each
+    scenario's chosen equation on its own rows."""
+    r = clean_ratings(spark, sf_dir).where(F.col("age").isNotNull())
+    fits = equations.fit_equations(r, ["scenario"], PREDICTORS, "rating")
+    two = equations.fit_two_term(r, ["scenario"], PREDICTORS, "rating", fits=fits)
+    hof = equations.hall_of_fame(equations.with_two_term(fits, two), ["scenario"])
+    # the most accurate equation of each scenario, so that two-term rows are predicted too
+    best = hof.withColumn("chosen", F.col("loss") == F.min("loss").over(Window.partitionBy("scenario")))
+    pred = equations.predict(r, best, ["scenario"], PREDICTORS)
+    return _r(pred.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"),
+                                           F.avg((F.col("prediction") - F.col("rating")) ** 2).alias("mse")))
+
+
+def _predict_two_term_sql():
+    def term(pred, form):
+        whens = " ".join(f"WHEN h.{pred} = '{x}' AND h.{form} = '{f.name}' THEN {f.sql(f'CAST(s.{x} AS DOUBLE)')}"
+                         for x in PREDICTORS for f in FORMS)
+        return f"(CASE {whens} END)"
+
+    base = fx.with_views("SELECT 1", "ratings")[: -len("\nSELECT 1")]
+    src = CLEAN_SQL.strip() + ",\nsrc AS (SELECT * FROM clean WHERE age IS NOT NULL)"
+    tail = f""",
+top AS (SELECT * FROM (SELECT *, min(loss) OVER (PARTITION BY scenario) AS least FROM hof) WHERE loss = least)
+SELECT s.scenario, count(*) AS n, round(avg(power((CASE WHEN h.form = 'const' THEN h.b
+  WHEN h.variant = 'two_term' THEN h.a * {term('predictor', 'form')} + h.b + h.a2 * {term('predictor2', 'form2')}
+  ELSE h.a * {term('predictor', 'form')} + h.b END) - s.rating, 2)), 6) AS mse
+FROM src s JOIN top h ON s.scenario = h.scenario GROUP BY 1"""
+    return base + ",\n" + src + ",\n" + equations_sql("src", ["scenario"], PREDICTORS, "rating", two_term=True) + tail
+
+
+register("equations_predict_two_term", "M5 M7", _predict_two_term_sql())(equations_predict_two_term)
+
+
 # ------------------------------------------------------------------ M8
 def equations_text(spark, sf_dir):
     r = clean_ratings(spark, sf_dir)

@@ -94,14 +94,9 @@ B = 100
 
 
 def _poisson_sql(u: str) -> str:
-    import math
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(10):
-        acc += term
-        cdf.append(acc)
-        term /= k + 1
+    cdf = split.poisson1_cdf()
     whens = " ".join(f"WHEN {u} < {repr(c)} THEN {k}" for k, c in enumerate(cdf))
-    return f"CASE {whens} ELSE 10 END"
+    return f"CASE {whens} ELSE {len(cdf)} END"
 
 
 def bootstrap_row_weights(spark, sf_dir):

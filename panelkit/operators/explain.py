@@ -9,8 +9,10 @@ job; nothing loops over jobs per feature or per row.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -64,96 +66,95 @@ def pdp_ice(scorer: Scorer, df: DataFrame, feature: str, key: str, by: Sequence[
 def _tree_arrays(nodes: pd.DataFrame):
     trees = []
     for t, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append((g["left"].tolist(), g["right"].tolist(), g["feature"].tolist(), g["threshold"].tolist(),
+        cats = [None if c is None else np.asarray(c, float) for c in g["left_categories"]]
+        trees.append((g["left"].tolist(), g["right"].tolist(), g["feature"].tolist(), g["threshold"].tolist(), cats,
                       g["value"].tolist(), g["cover"].tolist(), float(g["weight"].iloc[0])))
     return trees
 
 
-def _unwound_sum(pz, po, pw, i):
-    """Sum of the path weights with element i removed (no mutation)."""
-    l = len(pw) - 1
-    z, o = pz[i], po[i]
-    total = 0.0
-    if o != 0:
-        n = pw[l]
-        for j in range(l - 1, -1, -1):
-            w = n * (l + 1) / ((j + 1) * o)
-            total += w
-            n = pw[j] - w * z * (l - j) / (l + 1)
-    elif z != 0:
-        for j in range(l - 1, -1, -1):
-            total += pw[j] * (l + 1) / (z * (l - j))
-    return total
-
-
-def _extend(pd_, pz, po, pw, z, o, f):
-    l = len(pw)
-    pd_.append(f)
-    pz.append(z)
-    po.append(o)
-    pw.append(1.0 if l == 0 else 0.0)
-    for i in range(l - 1, -1, -1):
-        pw[i + 1] += o * pw[i] * (i + 1) / (l + 1)
-        pw[i] = z * pw[i] * (l - i) / (l + 1)
-
-
-def _unwind(pd_, pz, po, pw, i):
-    l = len(pw) - 1
-    z, o = pz[i], po[i]
-    n = pw[l]
-    for j in range(l - 1, -1, -1):
-        if o != 0:
-            t = pw[j]
-            pw[j] = n * (l + 1) / ((j + 1) * o)
-            n = t - pw[j] * z * (l - j) / (l + 1)
-        else:
-            pw[j] = pw[j] * (l + 1) / (z * (l - j))
-    del pd_[i], pz[i], po[i]
-    pw.pop()
-
-
-def tree_shap(x: Sequence[float], tree, phi: list, cond: int = 0, cond_feature: int = -1) -> None:
-    """Exact path-dependent tree Shapley values (Lundberg et al., Tree SHAP,
-    polynomial algorithm) of one tree for one row, added into ``phi``.
-    ``cond`` = +1/-1 fixes ``cond_feature`` as present/absent (used for
-    interaction values)."""
-    left, right, feat, thr, val, cover, wt = tree
-
-    def rec(j, pd_, pz, po, pw, z, o, f, cfrac):
-        pd_, pz, po, pw = list(pd_), list(pz), list(po), list(pw)
-        if cond == 0 or f != cond_feature:
-            _extend(pd_, pz, po, pw, z, o, f)
+def _leaves(tree):
+    """Per leaf: (value x weight, its path's distinct features, z per feature,
+    splits per feature). z is the product of the cover shares of the
+    feature's splits; splits are (node, goes left)."""
+    left, right, feat, _, _, val, cover, wt = tree
+    stack = [(0, {})]
+    while stack:
+        j, path = stack.pop()
         if left[j] < 0:
-            for i in range(1, len(pw)):
-                w = _unwound_sum(pz, po, pw, i)
-                phi[pd_[i]] += w * (po[i] - pz[i]) * val[j] * wt * cfrac
-            return
-        fj = feat[j]
-        xv = x[fj]
-        hot, cold = (left[j], right[j]) if xv <= thr[j] else (right[j], left[j])
-        iz = io = 1.0
-        k = next((i for i in range(1, len(pd_)) if pd_[i] == fj), None)
-        if k is not None:
-            iz, io = pz[k], po[k]
-            _unwind(pd_, pz, po, pw, k)
-        rj = cover[j]
-        hz, cz = iz * cover[hot] / rj, iz * cover[cold] / rj
-        hc, cc = cfrac, cfrac
-        if cond > 0 and fj == cond_feature:
-            cc = 0.0
-        elif cond < 0 and fj == cond_feature:
-            hc, cc = hc * hz, cc * cz
-        if hc != 0:
-            rec(hot, pd_, pz, po, pw, hz, io, fj, hc)
-        if cc != 0:
-            rec(cold, pd_, pz, po, pw, cz, 0.0, fj, cc)
-
-    rec(0, [], [], [], [], 1.0, 1.0, -1, 1.0)
+            feats = list(path)
+            yield val[j] * wt, feats, np.array([path[f][0] for f in feats]), [path[f][1] for f in feats]
+            continue
+        for child, is_left in ((left[j], True), (right[j], False)):
+            z, splits = path.get(feat[j], (1.0, []))
+            stack.append((child, {**path, feat[j]: (z * cover[child] / cover[j], [*splits, (j, is_left)])}))
+
+
+def _goes_left(x: np.ndarray, tree) -> dict[int, np.ndarray]:
+    """Which rows every split node sends left."""
+    left, _, feat, thr, cats, _, _, _ = tree
+    return {j: np.isin(x[:, feat[j]], cats[j]) if cats[j] is not None else x[:, feat[j]] <= thr[j]
+            for j in range(len(left)) if left[j] >= 0}
+
+
+def _patterns(x: np.ndarray, trees):
+    """For every leaf with a path: (value, features, z, distinct patterns of
+    followed features, pattern number of every row)."""
+    for tree in trees:
+        went = _goes_left(x, tree)
+        for value, feats, z, splits in _leaves(tree):
+            if not feats:
+                continue
+            followed = np.empty((len(x), len(feats)), bool)
+            for i, part in enumerate(splits):
+                followed[:, i] = np.logical_and.reduce([went[j] if is_left else ~went[j] for j, is_left in part])
+            seen, row = np.unique(followed, axis=0, return_inverse=True)
+            yield value, feats, z, seen.astype(float), row.ravel()
+
+
+def _subset_sums(o: np.ndarray, z: np.ndarray, without: tuple[int, ...]) -> np.ndarray:
+    """Column k: sum over subsets S of size k of the other features of
+    prod(o in S) prod(z outside S), by multiplying out (z + o t)."""
+    c = np.ones((len(o), 1))
+    for j in range(len(z)):
+        if j not in without:
+            c = np.pad(c * z[j], ((0, 0), (0, 1))) + np.pad(c * o[:, j:j + 1], ((0, 0), (1, 0)))
+    return c
+
+
+def tree_shap(x: np.ndarray, trees, n_feat: int) -> np.ndarray:
+    """Exact path-dependent Shapley values, rows x features, of all trees.
+
+    A leaf's share depends on a row only through which of its path's features
+    the row follows, so it is computed once per distinct pattern and spread
+    over the batch."""
+    phi = np.zeros((len(x), n_feat))
+    for value, feats, z, o, row in _patterns(x, trees):
+        d = len(feats)
+        w = np.array([math.factorial(k) * math.factorial(d - k - 1) for k in range(d)]) / math.factorial(d)
+        for i, f in enumerate(feats):
+            phi[:, f] += (value * (o[:, i] - z[i]) * (_subset_sums(o, z, (i,)) @ w))[row]
+    return phi
+
+
+def tree_interactions(x: np.ndarray, trees) -> dict[tuple[int, int], np.ndarray]:
+    """Exact Shapley interaction values per feature pair a < b that shares a
+    path; all other pairs are 0."""
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for value, feats, z, o, row in _patterns(x, trees):
+        d = len(feats)
+        if d < 2:
+            continue
+        w = np.array([math.factorial(k) * math.factorial(d - k - 2) for k in range(d - 1)]) / (2 * math.factorial(d - 1))
+        for i, j in itertools.combinations(range(d), 2):
+            part = value * (o[:, i] - z[i]) * (o[:, j] - z[j]) * (_subset_sums(o, z, (i, j)) @ w)
+            pair = (min(feats[i], feats[j]), max(feats[i], feats[j]))
+            out[pair] = out.get(pair, 0.0) + part[row]
+    return out
 
 
 def expected_value(trees) -> float:
     tot = 0.0
-    for left, right, feat, thr, val, cover, wt in trees:
+    for left, _, _, _, _, val, cover, wt in trees:
         root = cover[0]
         tot += wt * sum(cover[i] / root * val[i] for i in range(len(left)) if left[i] < 0)
     return tot
@@ -177,16 +178,10 @@ def shapley(df: DataFrame, nodes: DataFrame, key: str, features: str = "features
 
     def run(it):
         for pdf in it:
-            out_k, out_f, out_v = [], [], []
-            for k, x in zip(pdf[key].tolist(), pdf["__x"].tolist()):
-                phi = [0.0] * n_feat
-                for t in trees:
-                    tree_shap(x, t, phi)
-                for i in range(n_feat):
-                    out_k.append(k)
-                    out_f.append(names[i])
-                    out_v.append(phi[i])
-            yield pd.DataFrame({key: out_k, "feature": out_f, "shap": out_v, "expected_value": ev})
+            x = np.array(pdf["__x"].tolist(), float).reshape(len(pdf), -1)
+            phi = tree_shap(x, trees, n_feat)
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), n_feat), "feature": names[:n_feat] * len(pdf),
+                                "shap": phi.ravel(), "expected_value": ev})
 
     key_t = df.schema[key].dataType.simpleString()
     src = df.select(key, vector_to_array(features).alias("__x"))
@@ -206,20 +201,11 @@ def shapley_interactions(df: DataFrame, nodes: DataFrame, key: str, features: st
 
     def run(it):
         for pdf in it:
-            ks, fa, fb, vs = [], [], [], []
-            for k, x in zip(pdf[key].tolist(), pdf["__x"].tolist()):
-                for i in used:
-                    on, off = [0.0] * n_feat, [0.0] * n_feat
-                    for t in trees:
-                        tree_shap(x, t, on, 1, i)
-                        tree_shap(x, t, off, -1, i)
-                    for j in used:
-                        if j > i:
-                            ks.append(k)
-                            fa.append(names[i])
-                            fb.append(names[j])
-                            vs.append((on[j] - off[j]) / 2.0)
-            yield pd.DataFrame({key: ks, "feature_a": fa, "feature_b": fb, "interaction": vs})
+            x = np.array(pdf["__x"].tolist(), float).reshape(len(pdf), -1)
+            found = tree_interactions(x, trees)
+            for a, b in itertools.combinations(used, 2):
+                yield pd.DataFrame({key: pdf[key].to_numpy(), "feature_a": names[a], "feature_b": names[b],
+                                    "interaction": found.get((a, b), np.zeros(len(pdf)))})
 
     key_t = df.schema[key].dataType.simpleString()
     src = df.select(key, vector_to_array(features).alias("__x"))
@@ -371,7 +357,12 @@ def surrogate_rules(spark, tree_model, feature_names: Sequence[str]) -> DataFram
         if r[7] < 0:
             out.append((" AND ".join(conds) if conds else "TRUE", float(r[6]), float(r[5])))
             return
-        name, thr = feature_names[r[2]], r[3]
+        name, thr, cats = feature_names[r[2]], r[3], r[10]
+        if cats is not None:
+            codes = ", ".join(f"{c:g}" for c in cats)
+            walk(r[7], conds + [f"{name} IN ({codes})"])
+            walk(r[8], conds + [f"{name} NOT IN ({codes})"])
+            return
         walk(r[7], conds + [f"{name} <= {thr:.4g}"])
         walk(r[8], conds + [f"{name} > {thr:.4g}"])
 

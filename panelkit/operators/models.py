@@ -149,13 +149,15 @@ def _walk(jnode, tree: int, rows: list, node_id: list, depth: int = 0) -> int:
     if jnode.getClass().getSimpleName() == "InternalNode":
         split = jnode.split()
         feat = int(split.featureIndex())
-        thr = float(split.threshold()) if split.getClass().getSimpleName() == "ContinuousSplit" else float("nan")
-        rec = [tree, my, feat, thr, float(jnode.gain()), count, float(jnode.prediction()), -1, -1, depth]
+        ordered = split.getClass().getSimpleName() == "ContinuousSplit"
+        thr = float(split.threshold()) if ordered else None
+        cats = None if ordered else sorted(float(c) for c in split.leftCategories())
+        rec = [tree, my, feat, thr, float(jnode.gain()), count, float(jnode.prediction()), -1, -1, depth, cats]
         rows.append(rec)
         rec[7] = _walk(jnode.leftChild(), tree, rows, node_id, depth + 1)
         rec[8] = _walk(jnode.rightChild(), tree, rows, node_id, depth + 1)
     else:
-        rows.append([tree, my, -1, float("nan"), 0.0, count, float(jnode.prediction()), -1, -1, depth])
+        rows.append([tree, my, -1, None, 0.0, count, float(jnode.prediction()), -1, -1, depth, None])
     return my
 
 
@@ -183,12 +185,14 @@ def node_rows(model) -> list[list]:
 
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, gain double, cover double, value double, "
-               "left int, right int, depth int, weight double")
+               "left int, right int, depth int, left_categories array<double>, weight double")
 
 
 def node_table(spark, model, feature_names: Sequence[str] | None = None) -> DataFrame:
     """Flat node table (tree, node, feature, threshold, gain, cover, value,
-    left, right, depth, weight[, feature_name]); ``x <= threshold`` goes left."""
+    left, right, depth, left_categories, weight[, feature_name]). An ordered
+    split sends ``x <= threshold`` left; a categorical one has no threshold and
+    sends the codes in ``left_categories`` left."""
     df = spark.createDataFrame(node_rows(model), NODE_SCHEMA)
     if feature_names is not None:
         names = F.array(*[F.lit(n) for n in feature_names])

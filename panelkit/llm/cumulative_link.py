@@ -26,7 +26,7 @@ DIM = 1 << 17
 MAX_ROWS = 6000
 L2 = 1e-4
 #: Rows of the sample a bucket must occur in to get a weight.
-MIN_ROWS = 15
+MIN_ROWS = 10
 ITERATIONS = 80
 
 
@@ -122,12 +122,16 @@ def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], k: int, l2: float =
     if not rows:
         return Model(np.zeros(DIM), np.full(k - 1, np.nan))
     y = np.array([r[0] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    ids = np.concatenate([r[1] for r in rows]).astype(np.int64)
-    vals = np.concatenate([r[2] for r in rows]).astype(float)
-    common = (np.bincount(ids, minlength=DIM) >= min_rows)[ids]
-    used, ids = np.unique(ids[common], return_inverse=True)
-    row, vals = row[common], vals[common]
+    seen = np.zeros(DIM, np.int64)
+    for _, ids, _ in rows:
+        seen[ids] += 1  # the buckets of a row are distinct
+    used = np.flatnonzero(seen >= min_rows)
+    place = np.full(DIM, -1, np.int32)
+    place[used] = np.arange(len(used))
+    kept = [place[ids] for _, ids, _ in rows]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [int((k >= 0).sum()) for k in kept])
+    vals = np.concatenate([r[2][k >= 0] for r, k in zip(rows, kept)]).astype(np.float32)
+    ids = np.concatenate([k[k >= 0] for k in kept])
     share = np.clip([(y <= j).mean() for j in range(k - 1)], 1e-3, 1 - 1e-3)
     theta = np.log(share / (1 - share))
     steps = np.log(np.maximum(np.diff(theta), 1e-2))
@@ -153,13 +157,13 @@ def labelled_features(docs: DataFrame, grades: DataFrame, id_col: str, text_col:
             out = []
             for i, grade, text in zip(pdf["id"], pdf["grade"], pdf["text"].fillna("")):
                 made = hashed(text, features)
-                out.append((i, grade, np.array(list(made), np.int32), np.array(list(made.values()), np.float32)))
+                out.append((i, grade, np.array(list(made), "<i4").tobytes(), np.array(list(made.values()), "<f4").tobytes()))
             yield pd.DataFrame(out, columns=["id", "grade", "ids", "vals"])
 
     # repeated rows of a sampled id could be many: one of them is enough
-    found = met.mapInPandas(run, "id long, grade int, ids array<int>, vals array<float>").dropDuplicates(["id"])
+    found = met.mapInPandas(run, "id long, grade int, ids binary, vals binary").dropDuplicates(["id"])
     rows = sorted(found.collect(), key=lambda r: r["id"])
-    return [(r["grade"], np.array(r["ids"], np.int64), np.array(r["vals"], float)) for r in rows]
+    return [(r["grade"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["vals"], "<f4")) for r in rows]
 
 
 def hashed(text: str, features: Features) -> dict[int, float]:

@@ -1,14 +1,14 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text.
 
 Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic in a text of low
-quality. Features are words and their first 4 to 7 letters (toxic stems
+quality. Features are words and their first 3, 4 and 6 letters (toxic stems
 take many endings), valued by their share of the text's words. One weight
 vector serves both thresholds; the result is P(grade >= 1), P(grade >= 2),
 their sum (the expected severity) and ``toxic``, true from probability one
 half on.
 
-The model is fitted on a bounded sample of labelled rows (``MAX_ROWS`` of
-``cumulative_link``); every row is scored.
+The model is fitted on a bounded sample of labelled rows (``MAX_ROWS``); every
+row is scored.
 
 Cases: null and empty texts have no features and get the base rates; without
 labels the probabilities are null and nothing is toxic; an empty table gives
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import register, table
-from panelkit.llm.cumulative_link import MAX_ROWS, Features, Model, fit_rows, labelled_features, score_udf
+from panelkit.llm.cumulative_link import Features, Model, fit_rows, labelled_features, score_udf
 
 WORD = re.compile(r"[^\W_]+")
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (3, 4, 6)
+#: Labelled rows the model is fitted on.
+MAX_ROWS = 4000
 #: Values are occurrences in so many words.
 PER_WORDS = 30.0
 

@@ -72,7 +72,8 @@ def _positive(model, features, texts):
 
 
 def test_toxicity_on_held_out_rows(labelled):
-    train, test = labelled[::2], labelled[1::2]
+    test = labelled[::4]
+    train = [x for i, x in enumerate(labelled) if i % 4]  # nearer to the size of the production sample
     m = M.fit_rows(_rows(train, T.FEATURES, lambda q, t: t * (2 - q)), 3)
     got, want = _positive(m, T.FEATURES, [x for x, _, _ in test]), np.array([t for _, _, t in test]) == 1
     assert (got & want).sum() / want.sum() > 0.8  # one label in ten marks a text without any toxic word

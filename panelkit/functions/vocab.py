@@ -47,7 +47,3 @@ DISPLAY_NAMES = {
     "Distance_less than 7.000km": "Distance: <7.000km",
     "Distance_33.000 or more km": "Distance: >=33.000km",
 }
-
-# --- fixed values: English scenario labels -----------------------------------
-SCENARIO_ENGLISH = {"3Spurig": "Highway", "NeueMitte": "City", "Spielstrasse": "Walking Zone",
-                    "Ueberland": "Cross-country"}

@@ -120,6 +120,11 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct combinations of ``cols``."""
+    return df.select(*cols).distinct()
+
+
 def name_difference(required: Sequence[str], present: Sequence[str]) -> list[str]:
     """G3 on column-name sets (driver-side, names only)."""
     return sorted(set(required) - set(present))

@@ -108,12 +108,6 @@ def confusion(df: DataFrame, y: str, pred: str, classes: Sequence[int] | int, no
     return full.withColumn("share", F.coalesce(F.try_divide(F.col("count"), tot), F.lit(0.0)).cast("double"))
 
 
-def confusion_wide(long_df: DataFrame, classes: Sequence[int] | int, value: str = "count") -> DataFrame:
-    """D11 pivoted: one row per true class, one column per predicted class."""
-    k = list(range(classes)) if isinstance(classes, int) else list(classes)
-    return long_df.groupBy("y_true").pivot("y_pred", k).agg(F.first(value)).na.fill(0)
-
-
 def quadratic_kappa(df: DataFrame, y: str, pred: str, classes: Sequence[int] | int) -> DataFrame:
     """``1 - sum(w O) / sum(w E)``, ``w = (i-j)^2``, ``E = row_i col_j / N``."""
     cells = confusion(df, y, pred, classes, normalize=None)
@@ -156,3 +150,12 @@ def cross_entropy(df: DataFrame, y: str, probs: str, eps: float = 0.0) -> DataFr
     if eps:
         p = F.greatest(p, F.lit(eps))
     return df.agg((-F.avg(F.ln(p))).alias("cross_entropy"))
+
+
+def best_so_far(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Running minimum of ``value`` in ``order`` (an epoch-sized table per
+    run), and whether the row improves on everything before it."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.min(value).over(w)
+    return df.select(*by, order, value, F.least(F.col(value), before).alias("best"),
+                     (before.isNull() | (F.col(value) < before)).alias("improved"))

@@ -38,6 +38,7 @@ def load_all() -> None:
         io,
         mixed_models,
         modeling,
+        results,
         scoring,
         screening,
         splits,

@@ -101,8 +101,3 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None =
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-
-
-def to_json_rows(df: DataFrame, col: str = "json") -> DataFrame:
-    """One JSON document per row (A6 in-table form)."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(col))

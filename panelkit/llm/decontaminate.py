@@ -157,7 +157,8 @@ def inconsistent(docs: DataFrame, hits: DataFrame, slots: DataFrame) -> tuple[Da
     found = docs.select("doc_id", _row(F.col("text")).alias("row"), "text") \
         .join(wanted, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")), "left_semi") \
         .dropDuplicates(["doc_id", "row"]) \
-        .select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), F.posexplode(words(F.col("text"))).alias("d_pos", "filled"))
+        .select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), F.posexplode(words(F.col("text"))).alias("d_pos", "filled")) \
+        .where(slot_type(F.col("filled")).isNotNull())  # a placeholder is only ever matched by one of its kind
     met = pairs.join(found, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row"))
                      & (F.col("at") + F.col("offset") == F.col("d_pos")))
     key = ["doc_id", "row", "item_id", "offset"]

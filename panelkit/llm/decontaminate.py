@@ -226,7 +226,59 @@ def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return rows.join(leaked, F.col("id").eqNullSafe(F.col("k")), "left_anti").select("row.*")
 
 
-@register("op1_decontaminate")
+def _oracle() -> str:
+    """The same definition in DuckDB SQL, on window strings instead of hashes
+    (for tables whose doc_id is unique)."""
+    def split(text: str) -> str:
+        return "list_filter(string_split_regex(lower(" + text + r"), '[^\p{L}\p{N}\x01]+'), lambda x: x <> '')"
+
+    def mark(text: str) -> str:
+        return "regexp_replace(" + text + r", '([\p{L}\p{N},;)][\x20\x09-\x0D])(\p{Lu})', '\1' || chr(1) || '\2', 'g')"
+
+    clean = "replace(coalesce(text, ''), chr(1), ' ')"
+    # a one-letter name takes the letter before the next name; the second pass marks that one
+    marked = mark(mark(clean))
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    kind = f"CASE WHEN x < '0' THEN '<name>' WHEN x < ':' THEN '<num>' WHEN x IN ({units}) THEN '<unit>' ELSE x END"
+    bare = "replace({}, chr(1), '')"
+    return f"""
+WITH d AS (SELECT doc_id, {split(marked)} AS w FROM documents),
+dt AS (SELECT doc_id, w, list_transform(w, lambda x: {kind}) AS t FROM d),
+typed AS (SELECT item_id, {split(marked)} AS w, {split(clean)} AS pl FROM benchmark),
+iv AS (SELECT item_id, 0 AS variant, w FROM typed UNION ALL SELECT item_id, 1, pl FROM typed
+       UNION ALL SELECT item_id, 2, list_concat([chr(1) || w[1]], w[2:]) FROM typed WHERE len(w) > 0),
+it AS (SELECT item_id, variant, w, list_transform(w, lambda x: {kind}) AS t, least(len(w), {WINDOW}) AS size,
+              len(w) - least(len(w), {WINDOW}) + 1 AS n_windows FROM iv WHERE len(w) > 0),
+iw AS (SELECT item_id, variant, size, n_windows, p AS start, array_to_string(t[p:p + size - 1], ' ') AS k
+       FROM (SELECT *, unnest(range(1, n_windows + 1)) AS p FROM it)),
+dw AS (SELECT doc_id, size, p AS pos, array_to_string(t[p:p + size - 1], ' ') AS k
+       FROM (SELECT doc_id, t, size, unnest(range(1, len(t) - size + 2)) AS p
+             FROM dt, (SELECT DISTINCT size FROM it) WHERE len(t) >= size)),
+h0 AS (SELECT doc_id, item_id, variant, start, size, n_windows, pos - start AS off FROM dw JOIN iw USING (size, k)),
+likely AS (SELECT doc_id, item_id FROM h0 GROUP BY doc_id, item_id, n_windows
+           HAVING count(DISTINCT start) >= {MIN_COVERAGE} * n_windows),
+h AS (SELECT h0.* FROM h0 JOIN (SELECT DISTINCT * FROM likely) USING (doc_id, item_id)),
+sl AS (SELECT item_id, variant, i, w[i] AS value FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM it)
+       WHERE t[i] IN ('<name>', '<num>', '<unit>')),
+ex AS (SELECT DISTINCT doc_id, item_id, variant, off, unnest(range(start, start + size)) AS i FROM h),
+pr AS (SELECT DISTINCT doc_id, item_id, off, {bare.format('value')} AS value, {bare.format('dt.w[i + off]')} AS filled
+       FROM ex JOIN sl USING (item_id, variant, i) JOIN dt USING (doc_id)),
+bad AS (SELECT doc_id, item_id, off FROM pr GROUP BY doc_id, item_id, off, value HAVING count(*) > 1
+        UNION SELECT doc_id, item_id, off FROM pr GROUP BY doc_id, item_id, off, filled HAVING count(*) > 1),
+ok AS (SELECT doc_id, item_id, n_windows, count(DISTINCT start) AS n_covered FROM h ANTI JOIN bad USING (doc_id, item_id, off)
+       GROUP BY 1, 2, 3 HAVING count(DISTINCT start) >= {MIN_COVERAGE} * n_windows),
+ch AS (SELECT doc_id, item_id, count(DISTINCT value) AS n_slots,
+              count(DISTINCT CASE WHEN value <> filled THEN value END) AS n_changed
+       FROM pr ANTI JOIN bad USING (doc_id, item_id, off) GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, n_covered, n_covered / n_windows AS coverage,
+       coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed
+FROM ok LEFT JOIN ch USING (doc_id, item_id)"""
+
+
+ORACLE = _oracle()
+
+
+@register("op1_decontaminate", ORACLE)
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked benchmark items of every row of ``documents``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

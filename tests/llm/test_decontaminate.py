@@ -86,3 +86,17 @@ def test_query_matches_brute_force(spark):
         want |= {(d, i, len(k)) for i, k in hit.items() if len(k) >= D.MIN_COVERAGE * sizes[i]}
     got = {(r["doc_id"], r["item_id"], r["n_covered"]) for r in D.op1_decontaminate(spark, SF_MID).collect()}
     assert want and got == want
+
+
+def test_oracle_matches_on_placeholders(spark, docs):
+    import duckdb
+    import pandas as pd
+
+    # the SQL slices whole lists once per window, so without the very long text
+    rows = [(i, t) for i, t in ROWS if i is not None and t not in ("another row of that id", LONG)] + [(30, "a B C D 5 kg"), (31, "x. A B C")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(ITEMS + [(20, "a B C D 7 kg")], columns=["item_id", "text"]))
+    want = sorted(con.execute(D.ORACLE).fetchall())
+    got = D.contaminated(docs(rows), items_of(spark, ITEMS + [(20, "a B C D 7 kg")])).collect()
+    assert sorted(tuple(r) for r in got) == want and len(want) >= 6

@@ -11,6 +11,7 @@ p x p matrices and runs a 1-D profile search. Group rows never leave Spark.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -33,49 +34,60 @@ class Design:
         return [n for n, _ in self.terms]
 
 
+def _interaction(names: Sequence[str], cols: Mapping[str, list[tuple[str, Column]]]) -> list[tuple[str, Column]]:
+    """Products of one coded column of every named variable, in order;
+    any number of numeric variables and factors."""
+    out = []
+    for parts in itertools.product(*[cols[n] for n in names]):
+        value = parts[0][1]
+        for _, c in parts[1:]:
+            value = value * c
+        out.append((":".join(n for n, _ in parts), value))
+    return out
+
+
+def full_crossing(names: Sequence[str]) -> list[tuple[str, ...]]:
+    """All interactions of two and more of the variables (``a * b * c``)."""
+    return [c for k in range(2, len(names) + 1) for c in itertools.combinations(names, k)]
+
+
 def treatment_design(numeric: Sequence[str] = (), factors: Mapping[str, Sequence] | None = None,
-                     interactions: Sequence[tuple[str, str]] = (), intercept: bool = True) -> Design:
+                     interactions: Sequence[Sequence[str]] = (), intercept: bool = True) -> Design:
     """Intercept, numeric columns, treatment-coded factors (first
-    listed level is the reference) and numeric x factor interactions."""
+    listed level is the reference) and interactions of any of them."""
     factors = dict(factors or {})
-    terms: list[tuple[str, Column]] = []
-    if intercept:
-        terms.append(("Intercept", F.lit(1.0)))
-    fac_cols: dict[str, list[tuple[str, Column]]] = {}
+    terms: list[tuple[str, Column]] = [("Intercept", F.lit(1.0))] if intercept else []
+    cols: dict[str, list[tuple[str, Column]]] = {x: [(x, F.col(x).cast("double"))] for x in numeric}
     for f, levels in factors.items():
-        fac_cols[f] = [(f"C({f})[T.{lv}]", (F.col(f) == F.lit(lv)).cast("double")) for lv in list(levels)[1:]]
-    for f in factors:
-        terms += fac_cols[f]
+        cols[f] = [(f"C({f})[T.{lv}]", (F.col(f) == F.lit(lv)).cast("double")) for lv in list(levels)[1:]]
+        terms += cols[f]
     for x in numeric:
-        terms.append((x, F.col(x).cast("double")))
-    for x, f in interactions:
-        terms += [(f"{x}:{n}", F.col(x).cast("double") * c) for n, c in fac_cols[f]]
+        terms += cols[x]
+    for names in interactions:
+        terms += _interaction(names, cols)
     return Design(terms)
 
 
 def sum_design(numeric: Sequence[str] = (), factors: Mapping[str, Sequence] | None = None,
-               interactions: Sequence[tuple[str, str]] = (), intercept: bool = True) -> tuple[Design, dict]:
+               interactions: Sequence[Sequence[str]] = (), intercept: bool = True) -> tuple[Design, dict]:
     """Sum-to-zero coded factors (indicator(level) - indicator(last
-    level)) and numeric x factor interactions; returns the design and the
+    level)) and interactions of any variables; returns the design and the
     term -> columns map used by type III tests."""
     factors = dict(factors or {})
     terms: list[tuple[str, Column]] = [("Intercept", F.lit(1.0))] if intercept else []
-    groups: dict[str, list[str]] = {}
-    fac_cols: dict[str, list[tuple[str, Column]]] = {}
+    cols: dict[str, list[tuple[str, Column]]] = {x: [(x, F.col(x).cast("double"))] for x in numeric}
     for f, levels in factors.items():
         lv = list(levels)
         last = (F.col(f) == F.lit(lv[-1])).cast("double")
-        fac_cols[f] = [(f"C({f}, Sum)[S.{x}]", (F.col(f) == F.lit(x)).cast("double") - last) for x in lv[:-1]]
-    for x in numeric:
-        terms.append((x, F.col(x).cast("double")))
-        groups[x] = [x]
-    for f in factors:
-        terms += fac_cols[f]
-        groups[f] = [n for n, _ in fac_cols[f]]
-    for x, f in interactions:
-        cols = [(f"{x}:{n}", F.col(x).cast("double") * c) for n, c in fac_cols[f]]
-        terms += cols
-        groups[f"{x}:{f}"] = [n for n, _ in cols]
+        cols[f] = [(f"C({f}, Sum)[S.{x}]", (F.col(f) == F.lit(x)).cast("double") - last) for x in lv[:-1]]
+    groups: dict[str, list[str]] = {}
+    for name in [*numeric, *factors]:
+        terms += cols[name]
+        groups[name] = [n for n, _ in cols[name]]
+    for names in interactions:
+        made = _interaction(names, cols)
+        terms += made
+        groups[":".join(names)] = [n for n, _ in made]
     return Design(terms), groups
 
 

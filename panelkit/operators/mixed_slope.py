@@ -56,9 +56,14 @@ def slope_stats(df: DataFrame, y: str, design: Design, group: str, z: str, max_k
         *[F.sum(xs[j]).alias(f"w{j}") for j in range(q)],
         *[F.sum(F.col("__z") * xs[j]).alias(f"w{q + j}") for j in range(q)])
     ws = [F.col(f"w{k}") for k in range(2 * q)]
-    per = per.select(F.round("n", 9).alias("n"), F.round("sz", 9).alias("sz"), F.round("szz", 9).alias("szz"), *ws)
-    coll = per.groupBy("n", "sz", "szz").agg(
-        F.count(F.lit(1)).alias("cnt"),
+    # groups share a pattern when n, sum z and sum z^2 agree to 9 decimals of the
+    # column's own scale, so the unit of z doesn't matter; a pattern then takes the
+    # mean of its groups' sums, not the rounded keys
+    rms = base.agg(F.sqrt(F.avg(F.col("__z") * F.col("__z")))).first()[0] or 1.0
+    per = per.select("n", "sz", "szz", F.round(F.col("sz") / rms, 9).alias("k1"),
+                     F.round(F.col("szz") / (rms * rms), 9).alias("k2"), *ws)
+    coll = per.groupBy("n", "k1", "k2").agg(
+        F.avg("sz").alias("sz"), F.avg("szz").alias("szz"), F.count(F.lit(1)).alias("cnt"),
         *[F.sum(ws[a] * ws[b]).alias(f"s{a}_{b}") for a in range(2 * q) for b in range(a, 2 * q)])
     M = np.zeros((q, q))
     for a in range(q):

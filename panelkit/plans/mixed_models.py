@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators import clean, mixed
 from panelkit.plans.registry import register
-from panelkit.plans.screening import clean_ratings
+from panelkit.plans.screening import CLEAN_SQL, clean_ratings
 from panelkit.sources import fixtures as fx
 
 INTRO_LEVELS = ["ambiguous", "boasting"]
@@ -37,20 +37,17 @@ def _fits(spark, sf_dir, y="rating_signal"):
 
 # ------------------------------------------------------------------ J1 statistics (exact, SQL)
 def mixed_group_stats(spark, sf_dir):
-    d = mixed.treatment_design(numeric=["quality"])
-    r = fx.ratings(spark, sf_dir)
-    cols = [c.alias(f"x{j}") for j, (_, c) in enumerate(d.terms)]
-    base = r.select("participant", "rating", *cols)
-    g = base.groupBy("participant").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("sy"),
-                                        F.sum("x1").alias("sx1"))
-    return g.groupBy("n").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("sy") * F.col("sy")).alias("u"),
-                              F.sum(F.col("sx1") * F.col("sy")).alias("t1"),
-                              F.sum(F.col("sx1") * F.col("sx1")).alias("s11"))
+    """The per-size sums that the random-intercept fit itself uses."""
+    st = mixed.group_stats(fx.ratings(spark, sf_dir), "rating", mixed.treatment_design(numeric=["quality"]), "participant")
+    rows = [(int(n), int(g), float(u), float(t[1]), float(S[1, 1]))
+            for n, g, u, t, S in zip(st.sizes, st.counts, st.u, st.t, st.S)]
+    return spark.createDataFrame(rows, "n long, groups long, u double, t1 double, s11 double")
 
 
 register("mixed_group_stats", "J1 F4", fx.with_views("""
 , g AS (SELECT participant, count(*) AS n, sum(rating) AS sy, sum(quality) AS sx1 FROM ratings GROUP BY 1)
-SELECT n, count(*) AS groups, sum(sy * sy) AS u, sum(sx1 * sy) AS t1, sum(sx1 * sx1) AS s11 FROM g GROUP BY n""",
+SELECT n, count(*) AS groups, CAST(sum(sy * sy) AS DOUBLE) AS u, CAST(sum(sx1 * sy) AS DOUBLE) AS t1,
+       CAST(sum(sx1 * sx1) AS DOUBLE) AS s11 FROM g GROUP BY n""",
                                                      "ratings").replace("\n, g AS", ",\ng AS"))(mixed_group_stats)
 
 
@@ -107,7 +104,7 @@ def random_slope_tables(spark, sf_dir):
     p = clean.center(_panel_signal(spark, sf_dir), "quality", "quality_c").cache()
     design, terms = mixed.sum_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS,
                                                                      "scenario": SCENARIO_LEVELS},
-                                     interactions=[("quality_c", "introduction"), ("quality_c", "scenario")])
+                                     interactions=mixed.full_crossing(["introduction", "scenario", "quality_c"]))
     out = {}
     for dv in ("rating", "rating_signal"):
         fit = mixed_slope.fit_random_slope(mixed_slope.slope_stats(p, dv, design, "participant", "quality_c"))
@@ -140,3 +137,46 @@ def ordinal_mixed(spark, sf_dir):
 
 
 register("ordinal_mixed", "J7")(ordinal_mixed)
+
+
+# ------------------------------------------------------------------ B33 three-way design columns
+def design_sums_three_way(spark, sf_dir):
+    """Per column of the full three-way sum-coded and treatment-coded
+    designs its sum, sum of squares and product with the response."""
+    r = clean_ratings(spark, sf_dir).where(F.col("introduction").isNotNull())
+    fac = {"introduction": INTRO_LEVELS, "scenario": SCENARIO_LEVELS}
+    cross = mixed.full_crossing(["introduction", "scenario", "quality"])
+    cols = mixed.sum_design(["quality"], fac, cross)[0].terms + mixed.treatment_design(["quality"], fac, cross).terms[1:]
+    y = F.col("rating").cast("double")
+    aggs = [f(c).alias(f"{k}{i}") for i, (_, c) in enumerate(cols)
+            for k, f in (("a", F.sum), ("b", lambda c: F.sum(c * c)), ("c", lambda c: F.sum(c * y)))]
+    rows = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(n).alias("name"), F.col(f"a{i}").alias("s"),
+                              F.col(f"b{i}").alias("ss"), F.col(f"c{i}").alias("sy")) for i, (n, _) in enumerate(cols)])
+    wide = r.agg(*aggs)
+    return wide.select(F.inline(rows)).select("col", "name", *[F.round(c, 4).alias(c) for c in ("s", "ss", "sy")])
+
+
+def _design_sql():
+    def ind(f, lv):
+        return f"CAST({f} = '{lv}' AS DOUBLE)"
+
+    def coded(f, levels, how):
+        if how == "S":
+            return [(f"C({f}, Sum)[S.{x}]", f"({ind(f, x)} - {ind(f, levels[-1])})") for x in levels[:-1]]
+        return [(f"C({f})[T.{x}]", ind(f, x)) for x in levels[1:]]
+
+    rows = []
+    for how in "ST":
+        i_, s_ = coded("introduction", INTRO_LEVELS, how), coded("scenario", SCENARIO_LEVELS, how)
+        q = [("quality", "CAST(quality AS DOUBLE)")]
+        main = q + i_ + s_ if how == "S" else i_ + s_ + q
+        pairs = [(f"{a}:{b}", f"{x} * {y}") for u, v in ((i_, s_), (i_, q), (s_, q)) for a, x in u for b, y in v]
+        three = [(f"{a}:{b}:{c}", f"{x} * {y} * {z}") for a, x in i_ for b, y in s_ for c, z in q]
+        rows += ([("Intercept", "1.0")] if how == "S" else []) + main + pairs + three
+    parts = [f"SELECT {i} AS col, '{n}' AS name, round(sum({e}), 4) AS s, round(sum(({e}) * ({e})), 4) AS ss, "
+             f"round(sum(({e}) * rating), 4) AS sy FROM src" for i, (n, e) in enumerate(rows)]
+    base = fx.with_views("SELECT 1", "ratings")[: -len("\nSELECT 1")]
+    return base + ",\n" + CLEAN_SQL.strip() + ",\nsrc AS (SELECT * FROM clean WHERE introduction IS NOT NULL)\n" + "\nUNION ALL\n".join(parts)
+
+
+register("design_sums_three_way", "B31 B32 B33", _design_sql())(design_sums_three_way)

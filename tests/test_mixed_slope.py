@@ -87,3 +87,38 @@ def test_spark_side_patterns_equal_dense(spark):
             got, beta = mixed_slope._deviance(st, theta, reml)[:2]
             exp, beta_e = _dense_dev(pdf, X, theta, reml)
             assert abs(got - exp) < 1e-8 and np.allclose(beta, beta_e)
+
+
+def test_unit_of_the_slope_column_does_not_matter(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(30):
+        b0, b1 = rng.normal(0, 1), rng.normal(0, 0.5)
+        for _ in range(8):
+            z = float(rng.normal())
+            rows.append((f"g{g}", z, float(1 + b0 + (0.7 + b1) * z + rng.normal(0, 0.3))))
+    from panelkit.operators import mixed_slope
+
+    logl = []
+    for unit in (1.0, 1e-3, 1e-4):
+        df = spark.createDataFrame([(g, z * unit, y) for g, z, y in rows], "g string, z double, y double")
+        d = mixed.treatment_design(numeric=["z"])
+        st = mixed_slope.slope_stats(df, "y", d, "g", "z")
+        # the same relative covariance in every unit: theta scales with 1/unit in the slope rows
+        theta = (0.8, 0.1 / unit, 0.5 / unit)
+        M, logdet = mixed_slope._quad(st, theta)
+        logl.append((logdet, M[-1, -1]))
+    for got in logl[1:]:
+        assert np.allclose(got, logl[0], rtol=1e-7)
+
+
+def test_three_way_terms(spark):
+    from pyspark.sql import functions as F
+
+    d, groups = mixed.sum_design(["z"], {"a": ["u", "v"], "b": ["p", "q", "r"]}, mixed.full_crossing(["a", "b", "z"]))
+    assert groups["a:b:z"] == ["C(a, Sum)[S.u]:C(b, Sum)[S.p]:z", "C(a, Sum)[S.u]:C(b, Sum)[S.q]:z"]
+    df = spark.createDataFrame([("v", "r", 3.0), ("u", "q", 2.0)], "a string, b string, z double")
+    got = df.select(*[c.alias(n) for n, c in d.terms]).collect()
+    assert got[0]["C(a, Sum)[S.u]:C(b, Sum)[S.p]:z"] == (-1) * (-1) * 3 and got[1]["C(a, Sum)[S.u]:C(b, Sum)[S.q]:z"] == 2

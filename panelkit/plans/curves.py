@@ -38,7 +38,7 @@ register("kernel_curves", "L7 F14 C6", _curve_sql())(kernel_curves)
 
 def kernel_curve_bands(spark, sf_dir):
     r = clean_ratings(spark, sf_dir)
-    return smooth.kernel_curve_band(r, "quality", "rating", ["scenario", "introduction"], replicates=200)
+    return smooth.kernel_curve_band(r, "quality", "rating", ["scenario", "introduction"], replicates=1000)
 
 
 register("kernel_curve_bands", "L7 H5 D24")(kernel_curve_bands)

@@ -88,7 +88,7 @@ register("mixed_marginal_grid", "J5 C6")(mixed_marginal_grid)
 
 def mixed_prediction_interval(spark, sf_dir):
     df, fits = _fits(spark, sf_dir)
-    return mixed.marginal_grid(df, fits["M1"], designs()["M1"], "quality_c", ["introduction", "scenario"], 20,
+    return mixed.marginal_grid(df, fits["M1"], designs()["M1"], "quality_c", ["introduction", "scenario"], 100,
                                interval=True)
 
 

@@ -135,7 +135,7 @@ register("tree_node_spread", "D19 K2")(tree_node_spread)
 def classifier_scores(spark, sf_dir):
     train, test, _ = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high", numTrees=100).fit(lab(train))
+    m = models.learner("forest_classifier300", label="high").fit(lab(train))
     sc = models.score(m, lab(test), probabilities=True).withColumn("y", F.col("high").cast("int")).withColumn(
         "p", F.col("prediction").cast("int"))
     a = metrics.macro_scores(sc, "y", "p", 2)
@@ -189,7 +189,7 @@ register("mlp_training", "K4 K6 K10 E8 A8 H3 B16 B18")(mlp_training)
 # ------------------------------------------------------------------ L2
 def permutation_importance(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
-    m = models.learner("forest", label=Y, numTrees=30).fit(train)
+    m = models.learner("forest", label=Y).fit(train)
     raw = _raw_test(spark, sf_dir)
     return explain.permutation_importance(_scorer(m, prep), raw, "row_id", Y, NUMERIC + CATEGORICAL, repeats=30)
 
@@ -207,7 +207,7 @@ def permutation_importance_linear(spark, sf_dir):
     s = fx.signal(spark, sf_dir)
     mx = s.agg(F.max("o_totalprice").alias("__mx"))
     raw = s.select("row_id", Y, "o_totalprice", "c_mktsegment").crossJoin(F.broadcast(mx))
-    imp = explain.permutation_importance(_linear_score, raw, "row_id", Y, ["o_totalprice", "c_mktsegment"], repeats=3)
+    imp = explain.permutation_importance(_linear_score, raw, "row_id", Y, ["o_totalprice", "c_mktsegment"], repeats=30)
     return imp.select("feature", F.round("importance_mean", 6).alias("importance_mean"),
                       F.round("importance_sd", 6).alias("importance_sd"))
 
@@ -215,7 +215,7 @@ def permutation_importance_linear(spark, sf_dir):
 register("permutation_importance_linear", "L2 H6 F12", fx.with_views(f"""
 , mx AS (SELECT max(o_totalprice) AS mx FROM orders),
 x AS (SELECT s.row_id, s.target, s.o_totalprice, s.c_mktsegment, f.feature, CAST(r.repeat AS INT) AS repeat
-      FROM signal s, (VALUES ('o_totalprice'), ('c_mktsegment')) f(feature), range(1, 4) r(repeat)),
+      FROM signal s, (VALUES ('o_totalprice'), ('c_mktsegment')) f(feature), range(1, 31) r(repeat)),
 a AS (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY row_id) AS r FROM x),
 b AS (SELECT feature, repeat, row_id AS source_key,
              row_number() OVER (PARTITION BY feature, repeat ORDER BY {uniform_sql('42', 'feature', 'repeat', 'row_id')}, row_id) AS r
@@ -236,7 +236,7 @@ SELECT feature, round(avg(d), 6) AS importance_mean, round(stddev_pop(d), 6) AS
 
 
 # ------------------------------------------------------------------ L3, L4, L5, D20
-def _shap_setup(spark, sf_dir, trees=50):
+def _shap_setup(spark, sf_dir, trees=400):
     train, test, prep = _frames(spark, sf_dir)
     m = _memo(spark, sf_dir, f"gbt{trees}",
               lambda: GBTRegressor(maxIter=trees, maxDepth=4, stepSize=0.1, seed=42, labelCol=Y).fit(train))
@@ -267,7 +267,7 @@ register("shap_additivity", "L3")(shap_additivity)
 
 
 def shap_top_interactions(spark, sf_dir):
-    m, nodes, rows, prep = _shap_setup(spark, sf_dir, trees=20)
+    m, nodes, rows, prep = _shap_setup(spark, sf_dir)
     inter = explain.shapley_interactions(rows, nodes, "row_id", feature_names=prep.feature_names)
     return explain.top_pairs(inter, 15)
 
@@ -287,7 +287,7 @@ register("shap_moderation", "L5 C7")(shap_moderation)
 # ------------------------------------------------------------------ L6
 def pdp_table(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
-    m = models.learner("forest", label=Y, numTrees=30).fit(train)
+    m = models.learner("forest300", label=Y).fit(train)
     raw = _raw_test(spark, sf_dir)
     pdp, _ = explain.pdp_ice(_scorer(m, prep), raw, "o_totalprice", "row_id", by=["c_mktsegment"], points=30,
                              sample_per_cell=None)  # linear plan: all rows x 30 grid points
@@ -301,7 +301,7 @@ register("pdp_table", "L6 C6 H4")(pdp_table)
 def counterfactual_changes(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high", numTrees=50).fit(lab(train))
+    m = models.learner("forest_classifier300", label="high").fit(lab(train))
     raw = _raw_test(spark, sf_dir)
     cand_rows = [("c_mktsegment", v) for v in prep.levels["c_mktsegment"]]
     cand_rows += [("o_orderpriority", v) for v in prep.levels["o_orderpriority"]]
@@ -329,7 +329,7 @@ register("counterfactual_frequency", "D21 F-7 L8")(counterfactual_frequency)
 def anchor_rules(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high", numTrees=50).fit(lab(train))
+    m = models.learner("forest_classifier300", label="high").fit(lab(train))
     scored = _scorer(m, prep)(_raw_test(spark, sf_dir)).select("row_id", *NUMERIC, *CATEGORICAL, "prediction")
     pick = split.sample_n(scored, 12, "row_id", seed=42).select("row_id")
     return explain.local_rules(scored, "row_id", pick, NUMERIC, CATEGORICAL)
@@ -341,7 +341,7 @@ register("anchor_rules", "L9 B23")(anchor_rules)
 def surrogate_tree_rules(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high", numTrees=50).fit(lab(train))
+    m = models.learner("forest_classifier300", label="high").fit(lab(train))
     preds = m.transform(lab(train)).select("features", F.col("prediction").alias("model_label"))
     tree = models.learner("tree_classifier_d4", label="model_label").fit(preds)
     return explain.surrogate_rules(spark, tree, prep.feature_names)

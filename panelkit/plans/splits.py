@@ -90,7 +90,7 @@ SELECT row_id, participant, rating FROM ratings ORDER BY {uniform_sql('7', 'row_
 
 
 # ------------------------------------------------------------------ H5, D24 (Poisson weights)
-B = 100
+B = 1000
 
 
 def _poisson_sql(u: str) -> str:
@@ -121,7 +121,7 @@ SELECT scenario, round(avg(rating), 6) AS mean, round(any_value(lo), 6) AS lo, r
 FROM pr JOIN band USING (scenario) GROUP BY scenario""", "panel")))(bootstrap_row_weights)
 
 
-def bootstrap_cell_means(spark, sf_dir, replicates: int = 200):
+def bootstrap_cell_means(spark, sf_dir, replicates: int = 1000):
     """D24 (mean_cl_boot) on the whole rating table: ratings are discrete, so
     rows are counted per (cell, value) first and each replicate draws one
     Poisson(n) weight per count - the same distribution as per-row Poisson

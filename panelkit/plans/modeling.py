@@ -31,6 +31,10 @@ _MEMO: dict = {}
 def _memo(spark, sf_dir, name, build):
     """Reuse a fitted preparation/model across queries of one session (model-sized objects)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    for old in [k for k in _MEMO if k[:2] != key[:2]]:  # one session and one folder at a time
+        gone = _MEMO.pop(old)
+        if old[0] == key[0] and old[2] == "frames":
+            gone[-1].unpersist()
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
@@ -40,9 +44,9 @@ def _frames(spark, sf_dir):
     def build():
         s, prep = _prepared(spark, sf_dir)
         d = prep.transform(s).cache()
-        return d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), prep
+        return d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), prep, d
 
-    return _memo(spark, sf_dir, "frames", build)
+    return _memo(spark, sf_dir, "frames", build)[:3]
 
 
 def _raw_test(spark, sf_dir):
@@ -173,10 +177,10 @@ def mlp_training(spark, sf_dir):
     from panelkit.session import ensure_checkpoint_dir
 
     shared = ensure_checkpoint_dir(spark)  # the session's shared folder, never a machine-local one
-    path = f"{shared.rstrip('/')}/models/mlp-{uuid.uuid4().hex}" if shared else None
-    if path:  # A8 round trip: save with metadata, load with the class-count check
-        models.save_model(spark, best[2], path, {"num_classes": k, "class_values": classes, "label_mode": "floor"})
-        best = (best[0], best[1], models.load_model(spark, MultilayerPerceptronClassificationModel, path, k)[0])
+    path = f"{shared.rstrip('/')}/models/mlp-{uuid.uuid4().hex}"
+    # A8 round trip: save with metadata, load with the class-count check
+    models.save_model(spark, best[2], path, {"num_classes": k, "class_values": classes, "label_mode": "floor"})
+    best = (best[0], best[1], models.load_model(spark, MultilayerPerceptronClassificationModel, path, k)[0])
     sc = best[2].transform(te).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
     r = metrics.macro_scores(sc, "y", "p", k).first()
     history += [(best[1], "test", "accuracy", float(r["accuracy"])), (best[1], "test", "macro_f1", float(r["macro_f1"] or 0))]

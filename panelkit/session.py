@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,39 +35,32 @@ def local_session(cpus: int | str = "*", partitions: int = 8, driver_memory: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, allow_local=True)
+    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str | None:
-    """Return the checkpoint folder named by the session (``spark.checkpoint.dir``).
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder named by the session (``spark.checkpoint.dir``).
 
-    Only when it is unset *and* ``allow_local`` (tests, the local bench) is a
-    scratch folder created; on a cluster the shared folder must come from the
-    session configuration.
+    Only a local session without that setting (tests, the bench) gets a
+    scratch folder; on a cluster the folder must come from the session,
+    because driver and executors share no local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if allow_local:
-        path = tempfile.mkdtemp(prefix="panelkit-ckpt-", dir=os.environ.get("PANELKIT_SCRATCH", "/tmp"))
-        sc.setCheckpointDir(path)
-        return path
-    return None
+    if configured is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="panelkit-ckpt-", dir=os.environ.get("PANELKIT_SCRATCH"))
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of an iteratively reused table.
-
-    Reliable ``checkpoint()`` into the session's checkpoint folder when one is
-    configured (survives executor loss); otherwise ``cache()``, which Spark
-    recomputes from lineage if an executor is lost.
-    """
-    if ensure_checkpoint_dir(df.sparkSession) is not None:
-        return df.checkpoint(eager=True)
-    return df.cache()
+    """Cut the lineage of an iteratively reused table: a reliable checkpoint
+    in the session's shared folder, which survives the loss of executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelkit.operators import encode, explain, groups, metrics, nonparam, ranks
+from panelkit.operators import clean, encode, explain, groups, metrics, nonparam, ranks
 from panelkit.plans.registry import register
 from panelkit.sources import fixtures as fx
 from panelkit.sources import tables
@@ -196,3 +196,47 @@ def guards(spark, sf_dir):
 
 
 register("guards", "A4 G3", "SELECT count(*) AS n_rows, true AS missing_path, 'o_age,o_colour' AS lacking FROM orders")(guards)
+
+
+def number_casts(spark, sf_dir):
+    """Text to numbers, bad text to null (lenient); the good rows again
+    under the strict cast."""
+    t = fx.ratings(spark, sf_dir).select("scenario", F.when(F.col("part_key") % 7 == 0, "n/a").otherwise(
+        F.concat(F.lit(" "), F.col("line_no").cast("string"), F.lit(".50"))).alias("txt"))
+    soft = clean.to_number(t, ["txt"], strict=False).groupBy("scenario").agg(
+        F.count("txt").alias("n_numbers"), F.count_if(F.col("txt").isNull()).alias("n_bad"), F.sum("txt").alias("total"))
+    hard = clean.to_number(t.where("txt <> 'n/a'"), ["txt"]).groupBy("scenario").agg(F.max("txt").alias("largest"))
+    return soft.join(hard, "scenario")
+
+
+register("number_casts", "B12", _sql(
+    """SELECT scenario, count(x) AS n_numbers, count(*) FILTER (WHERE x IS NULL) AS n_bad, sum(x) AS total, max(x) AS largest
+FROM (SELECT scenario, CASE WHEN part_key % 7 <> 0 THEN CAST(line_no AS DOUBLE) + 0.5 END AS x FROM ratings) GROUP BY 1""")
+         )(number_casts)
+
+
+def outliers_zero_mad(spark, sf_dir):
+    """C10 with groups whose MAD is 0: they keep all their rows."""
+    r = fx.ratings(spark, sf_dir).select("scenario", F.when(
+        F.col("scenario") == "3Spurig", F.when(F.col("part_key") % 9 == 0, F.col("quality")).otherwise(1.0))
+        .otherwise(F.col("quality") * F.when(F.col("part_key") % 11 == 0, 40).otherwise(1)).cast("double").alias("v"))
+    return clean.remove_group_outliers(r, "scenario", "v").groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("n"), F.max("v").alias("largest"))
+
+
+register("outliers_zero_mad", "C10", _sql(
+    """SELECT scenario, count(*) AS n, max(v) AS largest FROM v JOIN md USING (scenario) JOIN mad USING (scenario)
+WHERE mad = 0 OR abs(v - m) / (1.4826 * CASE WHEN mad = 0 THEN 1 ELSE mad END) <= 3 GROUP BY 1""",
+    """v AS (SELECT scenario, CAST(CASE WHEN scenario = '3Spurig' THEN CASE WHEN part_key % 9 = 0 THEN quality ELSE 1.0 END
+  ELSE quality * CASE WHEN part_key % 11 = 0 THEN 40 ELSE 1 END END AS DOUBLE) AS v FROM ratings)""",
+    "md AS (SELECT scenario, quantile_cont(v, 0.5) AS m FROM v GROUP BY 1)",
+    "mad AS (SELECT scenario, quantile_cont(abs(v - m), 0.5) AS mad FROM v JOIN md USING (scenario) GROUP BY 1)"))(outliers_zero_mad)
+
+
+def mode_mae(spark, sf_dir):
+    """Error of a mode prediction."""
+    r = fx.ratings(spark, sf_dir).withColumn("mode", (F.col("part_key") % 5 + 1).cast("double"))
+    return _r(metrics.mode_mae(r, "rating", "mode").select("mae"))
+
+
+register("mode_mae", "D9", _sql("SELECT round(avg(abs(rating - (part_key % 5 + 1))), 6) AS mae FROM ratings"))(mode_mae)

@@ -151,3 +151,16 @@ def test_two_term_prediction_and_text(spark):
         assert r["prediction"] == pytest.approx(r["y"], abs=1e-3)
     text = equations.equation_text(two).first()["equation"]
     assert "u" in text and "square(w)" in text
+
+
+def test_a_caller_defined_form_is_fitted_predicted_and_printed(spark):
+    from panelkit.functions import basis
+
+    forms = basis.extend("third_root", 3, lambda x: F.cbrt(x))
+    df = spark.createDataFrame([("g", float(v), 4.0 * float(v) ** (1 / 3) + 2) for v in (1, 8, 20, 27, 64, 100)],
+                               "k string, x double, y double")
+    hof = equations.hall_of_fame(equations.fit_equations(df, ["k"], "x", "y", forms), ["k"])
+    best = hof.orderBy("loss").limit(1).withColumn("chosen", F.lit(True))
+    assert best.first()["form"] == "third_root" and best.first()["loss"] < 1e-9
+    assert all(abs(r["prediction"] - r["y"]) < 1e-6 for r in equations.predict(df, best, ["k"], "x", forms=forms).collect())
+    assert "third_root(x)" in equations.equation_text(best, forms=forms).first()["equation"]

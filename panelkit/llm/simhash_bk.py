@@ -210,8 +210,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id names their component, one per component
-    (of rows that repeat that id, one); all columns. Rows without an id in a
-    component without any id all stay."""
+    (of rows that repeat that id, one); all columns. Rows without an id can't
+    be named, so all of them stay."""
     groups = near_groups(docs, id_col, text_col, **options)
     first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("k")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -219,8 +219,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = rows.join(first, F.col("id") == F.col("k"), "left_semi")
     one = Window.partitionBy("id").orderBy(F.length(F.col("row")[text_col]).desc())
     kept = met.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
-    lost = groups.where("component_id IS NULL").limit(1).count()
-    return kept.unionByName(docs.where(F.col(id_col).isNull())) if lost else kept
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 @register("op2_simhash_bk")

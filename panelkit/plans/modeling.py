@@ -307,10 +307,11 @@ def counterfactual_changes(spark, sf_dir):
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
     m = models.learner("forest_classifier300", label="high").fit(lab(train))
     raw = _raw_test(spark, sf_dir)
-    cand_rows = [("c_mktsegment", v) for v in prep.levels["c_mktsegment"]]
-    cand_rows += [("o_orderpriority", v) for v in prep.levels["o_orderpriority"]]
-    q = raw.agg(*[F.percentile_approx("o_totalprice", p).alias(f"q{i}") for i, p in enumerate((0.5, 0.75, 0.9))]).first()
-    cand_rows += [("o_totalprice", str(float(q[f"q{i}"]))) for i in range(3)]
+    # every feature may change: all levels of the categorical ones, nine quantiles of the numeric ones
+    cand_rows = [(c, v) for c in CATEGORICAL for v in prep.levels[c]]
+    probs = [i / 10 for i in range(1, 10)]
+    q = raw.agg(*[F.percentile_approx(c, probs).alias(c) for c in NUMERIC]).first()
+    cand_rows += [(c, str(float(v))) for c in NUMERIC for v in q[c]]
     cand = spark.createDataFrame(cand_rows, "feature string, value string")
     cf = explain.counterfactuals(
         _scorer(m, prep), raw, "row_id", NUMERIC + CATEGORICAL, cand, lambda p: p == 1.0,

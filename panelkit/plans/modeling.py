@@ -83,7 +83,7 @@ def boost_native_categoricals(spark, sf_dir):
     prep = models.fit_prep(s.where(F.col("split") == "train"), NUMERIC, CATEGORICAL, mode="codes")
     d = prep.transform(s).cache()
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    m = models.learner("boost", label=Y, maxIter=50, maxBins=32).fit(train)
+    m = models.learner("boost", label=Y, maxBins=32).fit(train)
     out = metrics.regression_metrics(models.score(m, test), Y, "prediction").withColumn("model", F.lit("boost_native"))
     imp = models.importances_table(spark, {"boost_native": m}, prep.feature_names)
     return out.crossJoin(imp.groupBy().pivot("feature").agg(F.first("importance")))
@@ -109,7 +109,7 @@ def model_importances(spark, sf_dir):
     train, _, prep = _frames(spark, sf_dir)
     names = prep.feature_names
     forest = models.learner("forest", label=Y).fit(train)
-    boost = models.learner("boost", label=Y, maxIter=50).fit(train)
+    boost = models.learner("boost", label=Y).fit(train)
     tidy = models.importances_table(spark, {"forest": forest, "boost": boost}, names)
     cons = importance.consolidate(tidy, NUMERIC + CATEGORICAL, strip_prefix=None)
     norm = importance.normalize(cons)

@@ -162,8 +162,8 @@ GRANT = r"(?:licen[sc]ed|released|distributed|available|provided|published|cover
 
 
 def _compile(pattern: str) -> re.Pattern:
-    """Spaces stand for any white space; no match begins or ends in a word."""
-    return re.compile(r"(?<![0-9a-z])(?:" + pattern.replace(" ", r"\s+") + r")(?![0-9a-z])")
+    """Spaces stand for any white space, " ?" also for none; no match begins or ends in a word."""
+    return re.compile(r"(?<![0-9a-z])(?:" + pattern.replace(" ?", r"\s*").replace(" ", r"\s+") + r")(?![0-9a-z])")
 
 
 @lru_cache(maxsize=1)

@@ -51,6 +51,17 @@ def test_every_rule_is_reached_through_its_gates():
         assert got[5], label
 
 
+def test_optional_spaces_are_optional():
+    want = {'{"name": "x", "license": "MIT"}': "mit", "license: MIT": "mit", "license=MIT": "mit", 'license="mit"': "mit",
+            "license = 'MIT'": "mit", "license : mit": "mit", "SPDX-License-Identifier:MIT": "mit", "Licence:Apache-2.0": "apache-2.0",
+            "OpenRAIL": "openrail", "an OpenRAIL-M license": "openrail", "Open RAIL": "openrail"}
+    want |= {f"European Union Public Licence {v}1.2": "eupl-1.2" for v in ("", "version ", "v", "v. ", "v.")}
+    want |= {"European Union Public Licence v1.1": "eupl-1.1", "license: mitten": "", "license mit": ""}
+    for text, label in want.items():
+        assert L.scan_text(text)[5] == label, text
+        assert L.scan_text(text) == L.scan_text(text, gated=False)
+
+
 def test_priority_and_containment():
     got = L.scan_text(NOTES[1])
     assert got[4:6] == ("apache", "apache,apache-2.0") and got[7] == "apache-2.0:0:46" and got[6] == 0.95

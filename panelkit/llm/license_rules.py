@@ -36,6 +36,8 @@ from panelkit.llm.common import register, table
 
 #: A-Z to a-z; every other byte outside words (``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``) to a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: As ``WORDS``, for the gate: bytes from 0x80 up to a space, as the borders and white space of the rules have it.
+GATE_WORDS = bytes(b if b < 128 else 32 for b in WORDS)
 PHRASES = ((b" mit license ", "mit"), (b" apache license ", "apache"), (b" general public license ", "gpl"))
 BASE_CONFIDENCE = 0.7
 
@@ -195,7 +197,7 @@ def _gate() -> ahocorasick.Automaton:
     return auto
 
 
-#: Every match of every rule holds one of these in its padded words. Few texts
+#: Every match of every rule holds one of these in its padded gate words. Few texts
 #: do, so most stop here.
 ANCHORS = (b"license", b"licence", b"spdx", b"copyright", b"domain", b"reserved", b"software", b"permission",
            b"redistribution", b"neither", b"advertising", b"without any express", b"unencumbered", b"source code",
@@ -203,13 +205,14 @@ ANCHORS = (b"license", b"licence", b"spdx", b"copyright", b"domain", b"reserved"
            b" gov ", b" eu ")
 
 
-def detections(low: str, padded: bytes, gated: bool = True) -> list[tuple[int, int, Rule]]:
-    """(start, end, rule) of every rule match, in rule order."""
+def detections(low: str, gate: bytes, gated: bool = True) -> list[tuple[int, int, Rule]]:
+    """(start, end, rule) of every rule match, in rule order. ``gate``: the
+    ASCII words, padded."""
     every = rules()
     if gated:
-        if not any(a in padded for a in ANCHORS):
+        if not any(a in gate for a in ANCHORS):
             return []
-        tried = sorted({i for _, found in _gate().iter(padded.decode("utf-8")) for i in found})
+        tried = sorted({i for _, found in _gate().iter(gate.decode("ascii")) for i in found})
     else:
         tried = range(len(every))
     return [(m.start(), m.end(), every[i]) for i in tried for m in every[i].regex.finditer(low)]
@@ -241,7 +244,8 @@ def scan_text(text: str, gated: bool = True) -> tuple:
     words = raw.translate(WORDS).split()
     padded = b" %b " % b" ".join(words)
     places = base_places(padded) if b"license" in padded else []
-    kept = resolve(detections(raw.lower().decode("utf-8"), padded, gated))
+    gate = padded if padded.isascii() else b" %b " % b" ".join(padded.translate(GATE_WORDS).split())
+    kept = resolve(detections(raw.lower().decode("utf-8"), gate, gated))
     starts = [w for w, _ in places]
     base = {x for _, x in places}
     labels = base | {r.label for _, _, r in kept}

@@ -42,6 +42,15 @@ def test_gates_change_nothing(texts):
         assert L.scan_text(t) == L.scan_text(t, gated=False)
 
 
+def test_gates_see_the_borders_of_the_rules():
+    want = {"“CC0”": "cc0-1.0", "该CC BY 4.0许可": "cc-by-4.0", "gnu\u00a0general\u00a0public\u00a0licence": "gpl",
+            "creative\u00a0commons\u2003zero": "cc0-1.0", "Mozilla\u00a0Public\u00a0License\u00a02.0": "mpl-2.0",
+            "见https://unlicense.org。": "unlicense", "é“CC0”é": "cc0-1.0", "“Public\u3000Domain\u3000Mark”": "pdm-1.0"}
+    for text, label in want.items():
+        assert L.scan_text(text)[5] == label, text
+        assert L.scan_text(text) == L.scan_text(text, gated=False)
+
+
 def test_every_rule_is_reached_through_its_gates():
     assert len(L.rules()) > 300
     for label, spdx, _, _, _, _ in L.LICENSES:

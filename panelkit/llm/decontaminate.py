@@ -14,7 +14,10 @@ most ``BROADCAST_WINDOWS`` windows (counted first); beyond that both sides are
 shuffled. An item shorter than the window is one window of its own length.
 Benchmark items stand in three variants, so that a copy still matches after
 lower-casing or inside another sentence: as written, names as plain words, and
-the first word as a name.
+the first word as a name. In a fourth variant, of items and of documents, every
+word with a capital is a name, also one that opens a sentence or follows a
+quote, a bracket or several white-space characters. It finds (document, item)
+pairs that the others miss; pairs that they report keep their figures.
 
 Slots: matched windows of a document and an item form alignments (position in
 the text minus position in the item), over all variants. In an alignment the words that fill the
@@ -39,20 +42,34 @@ from panelkit.llm.common import checkpointed, register, table, text_or_empty
 WINDOW = 5
 MIN_COVERAGE = 0.5
 BROADCAST_WINDOWS = 1_000_000
+#: Number of the variant with every capital as a name.
+CAPITALS = 3
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg",
          "gram", "grams", "pound", "pounds", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "gallon",
          "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month",
          "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degree", "degrees",
          "meter", "meters", "metre", "metres", "mph", "kmh", "kw", "kwh", "volt", "volts", "watt", "watts")
 MARK = "\x01"
+#: Begins a word with a capital that is no name: the fourth variant makes it one.
+OPENS = "\x02"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;)][\x20\x09-\x0D]\p{Lu})"
 
 
-def words(text: Column, names: bool = True) -> Column:
-    """Lower-cased words; a name begins with ``MARK``."""
+_OPENS = r"(?<![\p{L}\p{N}\x01])\p{Lu}"
+
+
+def words(text: Column, names: bool = True, opens: bool = False) -> Column:
+    """Lower-cased words; a name begins with ``MARK``, with ``opens`` any
+    other word with a capital with ``OPENS``."""
     clean = F.regexp_replace(text_or_empty(text), MARK, " ")
     marked = F.regexp_replace(clean, _NAME, MARK + "$0") if names else clean
-    return F.array_remove(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01]+"), "")
+    if opens:
+        marked = F.regexp_replace(F.replace(marked, F.lit(OPENS), F.lit(".")), _OPENS, OPENS + "$0")
+    return F.array_remove(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01\x02]+" if opens else r"[^\p{L}\p{N}\x01]+"), "")
+
+
+def _bare(word: Column) -> Column:
+    return F.translate(word, MARK + OPENS, "")
 
 
 def slot_type(word: Column, plain: Column | None = None) -> Column:
@@ -73,18 +90,18 @@ def _pairs(left: Column, right: Column, at: int, n: Column) -> Column:
     return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(at + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def with_windows(df: DataFrame, size: int, out: str) -> DataFrame:
+def with_windows(df: DataFrame, size: int, out: str, h: str = "h") -> DataFrame:
     """Add ``out``: the hashes of all ``size``-word windows of ``h``, by
     doubling (1, 2, 4, ... words, then the rest)."""
     have, left, width = None, size, 1
-    block, made = "h", []
+    block, made = h, []
     done = 0
     while left:
         if left & 1:
             if have is None:
                 have = block
             else:
-                n = F.greatest(F.size("h") - (done + width) + 1, F.lit(0))
+                n = F.greatest(F.size(h) - (done + width) + 1, F.lit(0))
                 name = f"{out}_{done + width}"
                 df = df.withColumn(name, _pairs(F.col(have), F.col(block), done, n))
                 have = name
@@ -92,7 +109,7 @@ def with_windows(df: DataFrame, size: int, out: str) -> DataFrame:
             done += width
         left >>= 1
         if left:
-            n = F.greatest(F.size("h") - 2 * width + 1, F.lit(0))
+            n = F.greatest(F.size(h) - 2 * width + 1, F.lit(0))
             name = f"{out}_b{2 * width}"
             df = df.withColumn(name, _pairs(F.col(block), F.col(block), width, n))
             block, width = name, 2 * width
@@ -106,9 +123,11 @@ def benchmark_tables(items: DataFrame, id_col: str, text_col: str, window: int)
     base = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     typed, plain = words(F.col("text")), words(F.col("text"), names=False)
     first = F.concat(F.array(F.concat(F.lit(MARK), F.element_at(typed, 1))), F.slice(typed, F.lit(2), F.size(typed)))
+    capital = F.transform(words(F.col("text"), opens=True), lambda w: F.translate(w, OPENS, MARK))
     variants = base.select("item_id", F.explode(F.array(
         F.struct(F.lit(0).alias("variant"), typed.alias("w")), F.struct(F.lit(1).alias("variant"), plain.alias("w")),
-        F.struct(F.lit(2).alias("variant"), F.when(F.size(typed) > 0, first).otherwise(typed).alias("w")))).alias("v")) \
+        F.struct(F.lit(2).alias("variant"), F.when(F.size(typed) > 0, first).otherwise(typed).alias("w")),
+        F.struct(F.lit(CAPITALS).alias("variant"), F.when((capital != typed) & (capital != first), capital).alias("w")))).alias("v")) \
         .select("item_id", "v.*").where(F.size("w") > 0)
     hashed = variants.withColumn("h", word_hashes(F.col("w")))
     parts = []
@@ -130,19 +149,27 @@ def _row(text: Column) -> Column:
 
 def window_hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     """doc_id, row, pos, item_id, variant, start, n_windows, size of every
-    document window that is a benchmark window."""
+    document window that is a benchmark window; ``capitals``: only with every
+    capital as a name."""
     counted = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    base = docs.select("doc_id", _row(F.col("text")).alias("row"), words(F.col("text")).alias("w"))
-    hashed = base.select("doc_id", "row", word_hashes(F.col("w")).alias("h"))
+    base = docs.select("doc_id", _row(F.col("text")).alias("row"), words(F.col("text"), opens=True).alias("w"))
+    plain = F.transform("w", lambda w: F.when(w.startswith(OPENS), F.translate(w, OPENS, "")).otherwise(w))
+    hashed = base.select("doc_id", "row", "w", word_hashes(plain).alias("h")).select("doc_id", "row", "h", F.zip_with(
+        "w", "h", lambda w, h: F.when(w.startswith(OPENS), F.xxhash64(F.lit("<name>"))).otherwise(h)).alias("h_capitals"))
     hits = None
     for size in range(1, window + 1):
         if size not in counted:
             continue
         # outer: else Spark infers a filter that computes the whole array a second time
-        rows = with_windows(hashed, size, "win").select("doc_id", "row", F.posexplode_outer("win").alias("pos", "wh"))
+        both = with_windows(with_windows(hashed, size, "win"), size, "cap", "h_capitals")
+        # the windows as written, then those that capitals change, else null: no partner in the join
+        more = F.zip_with("win", "cap", lambda a, b: F.when(a != b, b))
+        rows = both.select("doc_id", "row", F.size("win").alias("n"), F.posexplode_outer(F.concat("win", more)).alias("pos", "wh")) \
+            .select("doc_id", "row", "wh", (F.col("pos") >= F.col("n")).alias("capitals"),
+                    F.when(F.col("pos") >= F.col("n"), F.col("pos") - F.col("n")).otherwise(F.col("pos")).alias("pos"))
         side = windows.where(F.col("size") == size)
         side = F.broadcast(side) if counted[size] <= BROADCAST_WINDOWS else side
-        met = rows.join(side, "wh").drop("wh")
+        met = rows.join(side, "wh").drop("wh").withColumn("capitals", F.col("capitals") | (F.col("variant") == CAPITALS))
         hits = met if hits is None else hits.union(met)
     return hits
 
@@ -157,12 +184,12 @@ def inconsistent(docs: DataFrame, hits: DataFrame, slots: DataFrame) -> tuple[Da
     found = docs.select("doc_id", _row(F.col("text")).alias("row"), "text") \
         .join(wanted, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")), "left_semi") \
         .dropDuplicates(["doc_id", "row"]) \
-        .select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), F.posexplode(words(F.col("text"))).alias("d_pos", "filled")) \
+        .select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), F.posexplode(words(F.col("text"), opens=True)).alias("d_pos", "filled")) \
         .where(slot_type(F.col("filled")).isNotNull())  # a placeholder is only ever matched by one of its kind
     met = pairs.join(found, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row"))
                      & (F.col("at") + F.col("offset") == F.col("d_pos")))
     key = ["doc_id", "row", "item_id", "offset"]
-    bare = [F.replace(F.col(c), F.lit(MARK), F.lit("")).alias(c) for c in ("value", "filled")]
+    bare = [_bare(F.col(c)).alias(c) for c in ("value", "filled")]
     distinct = checkpointed(met.select(*key, *bare).distinct())
     bad = None
     for one in ("value", "filled"):
@@ -182,40 +209,52 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     empty = "doc_id long, item_id long, n_windows long, n_covered long, coverage double, n_slots long, n_changed long"
     if hits is None:
         return docs.sparkSession.createDataFrame([], empty).withColumnRenamed("doc_id", id_col)
-    key = ["doc_id", "row", "item_id", "offset"]
     hits = checkpointed(hits.withColumn("offset", F.col("pos") - F.col("start")))
-    covered = F.count_distinct("start")
-    whole = hits.groupBy("doc_id", "item_id", "n_windows").agg(covered.alias("n"))
-    likely = whole.where(F.col("n") >= min_coverage * F.col("n_windows")).select(
-        F.col("doc_id").alias("l_id"), F.col("item_id").alias("l_item"))
-    hits = hits.join(likely, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("item_id") == F.col("l_item")), "left_semi")
+    whole = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("start").alias("n"))
+    likely = whole.where(F.col("n") >= min_coverage * F.col("n_windows"))
+    pair = ["doc_id", "item_id"]
+    hits = _matching(hits, likely, pair, "left_semi")
+    found = _reported(slim, hits.where("NOT capitals"), slots, min_coverage)
+    if not hits.where("capitals").isEmpty():
+        found = checkpointed(found)
+        more = _matching(_matching(hits, hits.where("capitals"), pair, "left_semi"), found, pair, "left_anti")
+        more = checkpointed(more)
+        if not more.isEmpty():
+            found = found.union(_reported(slim, more, slots, min_coverage))
+    return found.withColumnRenamed("doc_id", id_col)
+
+
+def _reported(docs: DataFrame, hits: DataFrame, slots: DataFrame, min_coverage: float) -> DataFrame:
+    """The result rows of these hits."""
+    key = ["doc_id", "row", "item_id", "offset"]
     changed = None
     # without a placeholder in any matched item there is nothing that could disagree
     if not hits.join(F.broadcast(slots.select("item_id", "variant").distinct()), ["item_id", "variant"], "left_semi").isEmpty():
-        bad, pairs = inconsistent(slim, hits, slots)
-        hits, pairs = (_without(x, bad, key) for x in (hits, pairs))
+        bad, pairs = inconsistent(docs, hits, slots)
+        hits, pairs = (_matching(x, bad, key, "left_anti") for x in (hits, pairs))
         changed = pairs.groupBy("doc_id", "item_id").agg(
             F.count_distinct("value").alias("n_slots"),
             F.count_distinct(F.when(F.col("value") != F.col("filled"), F.col("value"))).alias("n_changed")
         ).select(F.col("doc_id").alias("c_id"), F.col("item_id").alias("c_item"), "n_slots", "n_changed")
-    rest = hits.groupBy("doc_id", "item_id", "n_windows").agg(covered.alias("n_covered")) \
+    rest = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("start").alias("n_covered")) \
         .where(F.col("n_covered") >= min_coverage * F.col("n_windows"))
     if changed is None:
         rest = rest.withColumns({"n_slots": F.lit(0), "n_changed": F.lit(0)})
     else:
         rest = rest.join(changed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("item_id") == F.col("c_item")), "left")
     return rest.select(
-        F.col("doc_id").alias(id_col), "item_id", F.col("n_windows").cast("long"), F.col("n_covered").cast("long"),
+        "doc_id", "item_id", F.col("n_windows").cast("long"), F.col("n_covered").cast("long"),
         (F.col("n_covered") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
         F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
 
 
-def _without(rows: DataFrame, bad: DataFrame, key: list[str]) -> DataFrame:
-    b = bad.select(*[F.col(k).alias(f"b_{k}") for k in key])
+def _matching(rows: DataFrame, others: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Semi or anti join on ``key``; ids may be null."""
+    b = others.select(*[F.col(k).alias(f"b_{k}") for k in key]).distinct()
     same = F.lit(True)
     for k in key:
         same = same & (F.col(k).eqNullSafe(F.col(f"b_{k}")) if k == "doc_id" else F.col(k) == F.col(f"b_{k}"))
-    return rows.join(b, same, "left_anti")
+    return rows.join(b, same, how)
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -31,6 +31,23 @@ def test_leaks(spark, docs):
     assert got[16, 14]["n_changed"] == 2
 
 
+QUESTION = "Tom has 3 apples. Ann gives him 4 more apples. Tom eats 2 apples. How many apples does Tom have?"
+EXCHANGED = [
+    (1, "Some text. Bob has 5 apples. Sue gives him 6 more apples. Bob eats 1 apples. How many apples does Bob have?"),
+    (2, "\u201cBob has 5 apples.  Sue gives him 6 more apples.\nBob eats 1 apples. (How many apples does Bob have?)\u201d"),
+    (3, "and Bob has 5 apples. Sue gives him 6 more apples. Jim eats 1 apples. How many apples does Kim have?"),
+    (4, "Bob likes 5 pears. Sue gives him 6 more pears. Bob sells 1 pear. How many pears does Bob want?"),
+    (None, "Bob has 5 apples. Sue gives him 6 more apples. Bob eats 1 apples. How many apples does Bob have?"),
+]
+
+
+def test_names_that_open_sentences(spark, docs):
+    got = {(r["doc_id"], r["item_id"]): r for r in D.contaminated(docs(EXCHANGED), items_of(spark, [(40, QUESTION)])).collect()}
+    assert set(got) == {(1, 40), (2, 40), (None, 40)}
+    for r in got.values():
+        assert r["coverage"] == 1 and r["n_slots"] == 6 and r["n_changed"] == 5  # tom, ann, 3, 4, 2; "how" stays
+
+
 def test_broadcast_bound_changes_nothing(spark, docs, monkeypatch):
     want = sorted(D.contaminated(docs(ROWS), items_of(spark)).collect(), key=repr)
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)

@@ -21,10 +21,12 @@ pairs that the others miss; pairs that they report keep their figures.
 
 Slots: matched windows of a document and an item form alignments (position in
 the text minus position in the item), over all variants. In an alignment the words that fill the
-item's placeholders must map one-to-one: equal words to equal words and
-different words to different words. Inconsistent alignments are not the same
-question and are taken out. What remains must cover ``min_coverage`` of the
-item's windows. ``n_changed`` counts re-parameterised slots.
+item's placeholders must agree: equal words of a type stand for equal words
+(different words may stand for equal ones, as new values can coincide). Where
+they disagree, windows that hold a disagreeing slot, or another changed slot of
+that type, are taken out; windows without placeholders, with unchanged slots
+or of another type stay. What remains must cover ``min_coverage`` of the item's
+windows. ``n_changed`` counts re-parameterised slots.
 
 Cases: null and empty texts and items match nothing; long texts are explored
 whole; rows that share an id are aligned by text, then reported once per id and
@@ -174,12 +176,17 @@ def window_hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     return hits
 
 
-def inconsistent(docs: DataFrame, hits: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(alignments whose slots don't map one-to-one, slot pairs of the rest)."""
-    pairs = hits.select("doc_id", "row", "item_id", "variant", (F.col("pos") - F.col("start")).alias("offset"),
-                        F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at")).distinct() \
-        .join(slots, ["item_id", "variant", "at"])
-    pairs = checkpointed(pairs)
+ALIGNMENT = ["doc_id", "row", "item_id", "offset"]
+
+
+def _slots_of(hits: DataFrame) -> DataFrame:
+    """Item positions of the windows of every alignment and variant."""
+    return hits.select(*ALIGNMENT, "variant", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at")).distinct()
+
+
+def consistent(docs: DataFrame, hits: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits without the windows whose slots disagree, slot pairs of the rest)."""
+    pairs = checkpointed(_slots_of(hits).join(slots, ["item_id", "variant", "at"]))
     wanted = pairs.select(F.col("doc_id").alias("p_id"), F.col("row").alias("p_row")).distinct()
     found = docs.select("doc_id", _row(F.col("text")).alias("row"), "text") \
         .join(wanted, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")), "left_semi") \
@@ -188,14 +195,21 @@ def inconsistent(docs: DataFrame, hits: DataFrame, slots: DataFrame) -> tuple[Da
         .where(slot_type(F.col("filled")).isNotNull())  # a placeholder is only ever matched by one of its kind
     met = pairs.join(found, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row"))
                      & (F.col("at") + F.col("offset") == F.col("d_pos")))
-    key = ["doc_id", "row", "item_id", "offset"]
     bare = [_bare(F.col(c)).alias(c) for c in ("value", "filled")]
-    distinct = checkpointed(met.select(*key, *bare).distinct())
-    bad = None
-    for one in ("value", "filled"):
-        part = distinct.groupBy(*key, one).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
-        bad = part if bad is None else bad.union(part)
-    return bad.distinct(), distinct
+    pairs = checkpointed(met.select(*ALIGNMENT, "variant", "at", slot_type(F.col("value")).alias("kind"), *bare))
+    differ = pairs.groupBy(*ALIGNMENT, "kind", "value").agg(F.count_distinct("filled").alias("n")).where("n > 1")
+    if differ.isEmpty():
+        return hits, pairs
+    differ = checkpointed(differ)
+    out = _matching(pairs, differ, [*ALIGNMENT, "kind", "value"], "left_semi").union(
+        _matching(pairs.where("value <> filled"), differ, [*ALIGNMENT, "kind"], "left_semi"))
+    touched = out.select(*ALIGNMENT, "variant", F.col("at").alias("o_at"))
+    b = touched.select(*[F.col(k).alias(f"b_{k}") for k in touched.columns]).distinct()
+    same = (F.col("b_o_at") >= F.col("start")) & (F.col("b_o_at") < F.col("start") + F.col("size"))
+    for k in [*ALIGNMENT, "variant"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    rest = checkpointed(hits.join(b, same, "left_anti"))
+    return rest, _matching(pairs, _slots_of(rest), [*ALIGNMENT, "variant", "at"], "left_semi")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -226,12 +240,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def _reported(docs: DataFrame, hits: DataFrame, slots: DataFrame, min_coverage: float) -> DataFrame:
     """The result rows of these hits."""
-    key = ["doc_id", "row", "item_id", "offset"]
     changed = None
     # without a placeholder in any matched item there is nothing that could disagree
     if not hits.join(F.broadcast(slots.select("item_id", "variant").distinct()), ["item_id", "variant"], "left_semi").isEmpty():
-        bad, pairs = inconsistent(docs, hits, slots)
-        hits, pairs = (_matching(x, bad, key, "left_anti") for x in (hits, pairs))
+        hits, pairs = consistent(docs, hits, slots)
         changed = pairs.groupBy("doc_id", "item_id").agg(
             F.count_distinct("value").alias("n_slots"),
             F.count_distinct(F.when(F.col("value") != F.col("filled"), F.col("value"))).alias("n_changed")

@@ -48,6 +48,22 @@ def test_names_that_open_sentences(spark, docs):
         assert r["coverage"] == 1 and r["n_slots"] == 6 and r["n_changed"] == 5  # tom, ann, 3, 4, 2; "how" stays
 
 
+STONE = "the old bridge is 30 m long and was built by hand from heavy grey stone over the wide cold river near " \
+    "a small town where the tower is 30 m tall"
+
+
+def test_slots_that_disagree_cost_their_windows_only(spark, docs):
+    rows = [(1, "x Bob has 5 apples and gives 5 to Sue so Bob has 10"),  # two new values coincide
+            (2, STONE.replace("30 m tall", "31 m tall")),  # a copy with one edited slot
+            (3, "x Bob has 5 apples and gives 2 to Sue so Jim has 9"),
+            (None, STONE.replace("30 m tall", "31 m tall"))]
+    got = {(r["doc_id"], r["item_id"]): r for r in D.contaminated(docs(rows), items_of(spark, [(10, ITEM), (41, STONE)])).collect()}
+    assert set(got) == {(1, 10), (2, 41), (None, 41)}
+    assert got[1, 10]["coverage"] == 1 and got[1, 10]["n_changed"] == 5
+    # 32 words are 28 windows; 8 of them hold a 30
+    assert (got[2, 41]["n_windows"], got[2, 41]["n_covered"], got[2, 41]["n_changed"]) == (28, 20, 0)
+
+
 def test_broadcast_bound_changes_nothing(spark, docs, monkeypatch):
     want = sorted(D.contaminated(docs(ROWS), items_of(spark)).collect(), key=repr)
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)

@@ -12,9 +12,14 @@ input.
 
 Reading: ``binaryFile`` deals whole archives to tasks. A member that fails its
 checks (deflate stream, CRC, length, version line, header, Content-Length,
-block digest) does not end the file: the reader looks for the next gzip magic
-or ``WARC/1.x`` line that starts a record passing all checks, goes on from
-there, and logs the bytes between as a quarantined gap with the reason.
+block digest if there is one) does not end the file: the reader looks for the
+next gzip magic or ``WARC/1.x`` line that starts a record passing all checks,
+goes on from there, and logs the bytes between as a quarantined gap with the
+reason. Inside the unpacked bytes of a member the same search goes from version
+line to version line; such a gap has the bytes of the member and names its
+place in the unpacked bytes. Of a member that is cut short the whole records
+before the cut are kept, of a damaged one those whose block digest was checked.
+A record whose digest is of an unknown algorithm has that as its ``reason``.
 
 Cases: a null payload is empty; a null id is written as an empty id, read back
 as null and always a response; rows that repeat an id and a payload all carry
@@ -24,6 +29,7 @@ archive and no record; extra columns are not written.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -127,6 +133,24 @@ def _page_id(value: str | None):
     return int(m[1]) if m else None
 
 
+ALGORITHMS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256}
+
+
+def _digest_note(value: str | None, block: bytes) -> str | None:
+    """None if the block has this digest (hex or base32), else why it was not
+    checked; raises ValueError if it differs."""
+    if not value:
+        return "no block digest"
+    name, _, want = value.partition(":")
+    make = ALGORITHMS.get(name.strip().lower().replace("-", ""))
+    if make is None:
+        return f"block digest not checked: {name.strip()}"
+    found, want = make(block).digest(), want.strip()
+    if want.lower() != found.hex() and want.upper().rstrip("=") != base64.b32encode(found).decode().rstrip("="):
+        raise ValueError("block digest differs")
+    return None
+
+
 def parse_record(data: bytes, at: int = 0):
     """(record dict, end) of the record that starts at ``data[at]``; raises
     ValueError with the failed check."""
@@ -152,9 +176,8 @@ def parse_record(data: bytes, at: int = 0):
     block = data[stop + 4:end]
     if len(block) < int(length) or data[end:end + 4] != b"\r\n\r\n":
         raise ValueError("block cut short or overrun")
-    if fields.get(b"warc-block-digest", "") != "sha256:" + hashlib.sha256(block).hexdigest():
-        raise ValueError("block digest differs")
-    return {"fields": fields, "block": block}, end + 4
+    note = _digest_note(fields.get(b"warc-block-digest"), block)
+    return {"fields": fields, "block": block, "note": note}, end + 4
 
 
 def _unpack(data, at: int):
@@ -169,8 +192,53 @@ def _unpack(data, at: int):
     return out, len(data) - len(d.unused_data)
 
 
+def _inside(out: bytes) -> Iterator[tuple]:
+    """("record", record) and ("gap", reason) of unpacked bytes."""
+    k, gap_from, reason = 0, None, ""
+    while k < len(out):
+        try:
+            rec, end = parse_record(out, k)
+        except ValueError as e:
+            if gap_from is None:
+                gap_from, reason = k, str(e)
+            m = VERSION.search(out, k + 1)
+            k = m.start() if m else len(out)
+            continue
+        if gap_from is not None:
+            yield "gap", f"{reason} (unpacked bytes {gap_from} to {k})"
+            gap_from = None
+        yield "record", rec
+        k = end
+    if gap_from is not None:
+        yield "gap", f"{reason} (unpacked bytes {gap_from} to {len(out)})"
+
+
+def _before_damage(data: bytes, at: int) -> list:
+    """Whole records of the broken or cut member at ``at``, as far as it unpacks."""
+    d, parts, size, cut = zlib.decompressobj(31), [], 0, True
+    for k in range(at, len(data), 4096):
+        try:
+            parts.append(d.decompress(data[k:k + 4096]))
+        except zlib.error:
+            cut = False
+            # byte by byte up to the damage
+            d = zlib.decompressobj(31)
+            try:
+                d.decompress(data[at:k])
+                for j in range(k, min(k + 4096, len(data))):
+                    parts.append(d.decompress(data[j:j + 1]))
+            except zlib.error:
+                pass
+            break
+        size += len(parts[-1])
+        if d.eof or size > MAX_RECORD:
+            break
+    records = [x for kind, x in _inside(b"".join(parts)) if kind == "record"]
+    return [r for r in records if cut or r["note"] is None]
+
+
 def _one(data: bytes, at: int):
-    """(records of the member or line at ``at``, end)."""
+    """(parts of the member or line at ``at``, end)."""
     if data.startswith(MAGIC, at):
         # unused_data would copy the rest of the file at every member: bound it
         step = 1 << 16
@@ -184,34 +252,47 @@ def _one(data: bytes, at: int):
                     step *= 4
                     continue
                 raise
-        records, k = [], 0
-        while k < len(out):
-            rec, k = parse_record(out, k)
-            records.append(rec)
-        return records, at + end
+        found = list(_inside(out))
+        if found and all(kind == "gap" for kind, _ in found):
+            raise ValueError(found[0][1])
+        return found, at + end
     rec, end = parse_record(data, at)
-    return [rec], end
+    return [("record", rec)], end
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", start, stop, record) and ("gap", start, stop, reason) in
-    order; with the empty members they cover every byte of the archive."""
-    at, gap_from, reason = 0, None, ""
+    order; with the empty members they cover every byte of the archive. Records
+    of a broken member have no bytes of their own: the gap has them."""
+    at, gap_from, reason, kept = 0, None, "", []
     starts = re.compile(re.escape(MAGIC) + rb"|WARC/1\.[01]\r\n")
     while at < len(data):
         try:
-            records, end = _one(data, at)
+            found, end = _one(data, at)
         except ValueError as e:
+            early = _before_damage(data, at) if data.startswith(MAGIC, at) else []
+            if early:
+                kept = early
+                if gap_from is not None:
+                    yield "gap", gap_from, at, reason
+                    gap_from = None
+                for rec in early:
+                    yield "record", at, at, rec
             if gap_from is None:
                 gap_from, reason = at, str(e)
             m = starts.search(data, at + 1)
             at = m.start() if m else len(data)
             continue
         if gap_from is not None:
+            # a broken member that only stores its bytes shows its records a second time
+            if not data.startswith(MAGIC, at) and found[0][1] in kept:
+                at = end
+                continue
             yield "gap", gap_from, at, reason
             gap_from = None
-        for rec in records:
-            yield "record", at, end, rec
+        kept = []
+        for kind, x in found:
+            yield kind, at, end, x
         at = end
     if gap_from is not None:
         yield "gap", gap_from, len(data), reason
@@ -234,7 +315,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     digest, size = hashlib.sha256(block).hexdigest(), len(block)
                 rows.append(("record", path, start, stop, _page_id(f.get(b"warc-record-id")), f.get(b"warc-target-uri"),
-                             typ, block, size, digest, _page_id(f.get(b"warc-refers-to")), None))
+                             typ, block, size, digest, _page_id(f.get(b"warc-refers-to")), x["note"]))
                 held += len(block)
                 if held > 4 << 20:
                     yield _frame(rows, names)

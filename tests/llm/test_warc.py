@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import random
+import re
 
 from conftest import LONG, SF_SMALL
 
@@ -78,6 +80,38 @@ def test_plain_record_whose_block_names_a_version_line():
     assert [k for k, *_ in W.salvage(rec + rec)] == ["record", "record"]
 
 
+def ids_of(out):
+    return [W._page_id(x["fields"][b"warc-record-id"]) for k, _, _, x in out if k == "record"]
+
+
+def test_block_digests_of_other_writers():
+    rec = W.record_bytes(1, "u", b"<p>1</p>", 8, "", "response", None)
+    line = re.search(rb"WARC-Block-Digest: [^\r]*\r\n", rec)[0]
+    sha1 = hashlib.sha1(b"<p>1</p>")
+    good = [b"sha1:" + base64.b32encode(sha1.digest()), b"sha1:" + sha1.hexdigest().encode(),
+            b"md5:" + hashlib.md5(b"<p>1</p>").hexdigest().encode(), b"sha-256:" + hashlib.sha256(b"<p>1</p>").hexdigest().upper().encode()]
+    for value, note in [(g, None) for g in good] + [(b"blake9:00", "block digest not checked: blake9")]:
+        (kind, _, _, got), = W.salvage(W.member(rec.replace(line, b"WARC-Block-Digest: " + value + b"\r\n")))
+        assert kind == "record" and got["note"] == note
+    assert ids_of(W.salvage(rec.replace(line, b""))) == [1]
+    assert [k for k, *_ in W.salvage(rec.replace(line, b"WARC-Block-Digest: sha1:" + b"A" * 32 + b"\r\n"))] == ["gap"]
+
+
+def test_member_of_several_records():
+    parts = archive(6, False)
+    bad = parts[2].replace(b"<p>2", b"<q>2", 1)
+    out = list(W.salvage(W.member(b"".join(parts[:2] + [bad] + parts[3:]))))
+    assert ids_of(out) == [0, 1, 3, 4, 5]
+    a = len(parts[0] + parts[1])
+    assert [x for k, _, _, x in out if k == "gap"] == [f"block digest differs (unpacked bytes {a} to {a + len(bad)})"]
+    noise = [re.sub(rb"</p>$", b"", r) for r in archive(6, False)]
+    whole = W.member(b"".join(noise), 0)  # stored, so the cut is a place in the records
+    cut = whole[:len(b"".join(noise[:4])) + 60]
+    assert ids_of(W.salvage(cut)) == [0, 1, 2, 3]
+    hurt = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert ids_of(W.salvage(hurt)) == list(range(6))
+
+
 def test_query_matches_duckdb(spark):
     import duckdb
 

@@ -278,8 +278,9 @@ def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def _oracle() -> str:
-    """The same definition in DuckDB SQL, on window strings instead of hashes
-    (for tables whose doc_id is unique)."""
+    """The definition in DuckDB SQL, on window strings instead of hashes (for
+    tables whose doc_id is unique), without the variant of capitals and with
+    one-to-one slots over whole alignments: on such texts it differs."""
     def split(text: str) -> str:
         return "list_filter(string_split_regex(lower(" + text + r"), '[^\p{L}\p{N}\x01]+'), lambda x: x <> '')"
 

@@ -15,6 +15,7 @@ def load_all() -> tuple[dict, dict]:
         bpe_prefix,
         decontaminate,
         exact_dedup,
+        hash_tree,
         license_rules,
         quality_ordinal,
         secret_markov,

@@ -5,9 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-LONG = "lorem ipsum dolor " * 40_000
+from llm_cases import SF_MID
 
 
 @pytest.fixture(scope="session")

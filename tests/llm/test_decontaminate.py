@@ -1,7 +1,7 @@
 import re
 
 import pyarrow.parquet as pq
-from conftest import LONG, SF_MID
+from llm_cases import LONG, SF_MID
 
 from panelkit.llm import decontaminate as D
 

@@ -1,6 +1,6 @@
 import re
 
-from conftest import LONG
+from llm_cases import LONG
 from pyspark.sql import functions as F
 
 from panelkit.llm import exact_dedup as X

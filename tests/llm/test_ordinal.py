@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from conftest import LONG
+from llm_cases import LONG
 
 from panelkit.llm import cumulative_link as M
 from panelkit.llm import quality_ordinal as Q

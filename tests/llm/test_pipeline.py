@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import tiktoken
-from conftest import SF_SMALL
+from llm_cases import SF_SMALL
 from test_decontaminate import template
 from test_simhash import brute_components, brute_fingerprint
 

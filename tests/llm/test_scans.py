@@ -6,7 +6,7 @@ import re
 import string
 
 import numpy as np
-from conftest import LONG
+from llm_cases import LONG
 
 from panelkit.llm import license_rules as L
 from panelkit.llm import secret_markov as S

@@ -1,7 +1,7 @@
 import random
 
 import xxhash
-from conftest import LONG, SF_MID
+from llm_cases import LONG, SF_MID
 
 from panelkit.llm import simhash_bk as H
 from panelkit.llm.components import connected_components

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import LONG
+from llm_cases import LONG
 
 from panelkit.llm import bpe_prefix as B
 from panelkit.llm import token_counts as C

@@ -3,7 +3,7 @@ import hashlib
 import random
 import re
 
-from conftest import LONG, SF_SMALL
+from llm_cases import LONG, SF_SMALL
 
 from panelkit.llm import warc_salvage as W
 

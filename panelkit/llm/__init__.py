@@ -20,6 +20,7 @@ def load_all() -> tuple[dict, dict]:
         quality_ordinal,
         secret_markov,
         simhash_bk,
+        source_divergence,
         token_counts,
         toxicity_ordinal,
         warc_salvage,

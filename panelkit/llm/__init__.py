@@ -23,6 +23,7 @@ def load_all() -> tuple[dict, dict]:
         source_divergence,
         token_counts,
         toxicity_ordinal,
+        turn_repair,
         warc_salvage,
     )
 

@@ -30,8 +30,9 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,13 @@ from panelkit.llm.common import checkpointed, register, table, text_or_empty
 MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-#: Counts a worker holds before it sends them on.
-HELD = 400_000
+#: Terms of texts that a worker holds before it adds them up and sends them on.
+HELD = 2_000_000
 #: Sources per side of a block of pair sums, and blocks held at a time (0.5 MB each).
 BLOCK = 256
 BLOCKS = 128
+#: Pairs of sources evaluated at a time.
+PAIRS = 1_000_000
 #: Texts above it are tokenized in a stream.
 LONG_TEXT = 1 << 20
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -72,43 +75,68 @@ def collapsed(docs: DataFrame, lang_col: str, source_col: str, text_col: str) ->
     return texts.join(many, key).select("lang", F.col("text").cast("binary").alias("text"), "sources")
 
 
+_COUNTS = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]))
+
+
+class _Counts:
+    """Terms of one language's texts: term, source, occurrences, rows."""
+
+    def __init__(self):
+        self.terms, self.sources = defaultdict(count().__next__), defaultdict(count().__next__)
+        self.term, self.n, self.many, self.of, self.copies = [], [], [], [], []
+
+    def add(self, found: Counter, sources: list) -> None:
+        ids, times = list(map(self.terms.__getitem__, found)), list(found.values())
+        for s in sources:
+            self.term += ids
+            self.n += times
+            self.many.append(len(ids))
+            self.of.append(self.sources[s["source"]])
+            self.copies.append(s["n"])
+
+    def out(self, lang: str) -> pa.RecordBatch:
+        """One row per term, its sums by source as a list."""
+        many = np.array(self.many, np.int64)
+        copies = np.repeat(np.array(self.copies, np.int64), many)
+        key = np.array(self.term, np.int64) * len(self.sources) + np.repeat(np.array(self.of, np.int64), many)
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        n, docs = (np.add.reduceat(x[order], starts) if len(starts) else x for x in (np.array(self.n, np.int64) * copies, copies))
+        key = key[order][starts]
+        of_term = key // max(1, len(self.sources))
+        first = np.flatnonzero(np.diff(of_term, prepend=-1))
+        names = pa.array(list(self.sources), pa.string()).take(pa.array(key % max(1, len(self.sources))))
+        by = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)),
+                                      pa.StructArray.from_arrays([names, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], fields=list(_COUNTS.value_type)))
+        found = pa.array(list(self.terms), pa.binary()).take(pa.array(of_term[first]))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), found, by], names=["lang", "term", "by"])
+
+
 def _counting(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict] = {}
+        held: dict[str, _Counts] = defaultdict(_Counts)
         size = 0
         for batch in batches:
             for lang, text, sources in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "sources"))):
                 found = terms(text)
-                for s in sources:
-                    into, copies = held.setdefault((lang, s["source"]), {}), s["n"]
-                    before = len(into)
-                    for term, n in found.items():
-                        have = into.get(term)
-                        if have is None:
-                            into[term] = [n * copies, copies]
-                        else:
-                            have[0] += n * copies
-                            have[1] += copies
-                    size += len(into) - before
+                held[lang].add(found, sources)
+                size += len(found) * len(sources)
                 if size > most:
-                    yield out(held)
-                    held, size = {}, 0
-        yield out(held)
-
-    def out(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs) for (lang, source), found in held.items() for term, (n, docs) in found.items()]
-        types = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        cols = zip(*rows) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["lang", "source", "term", "n", "docs"])
+                    yield from (c.out(x) for x, c in held.items())
+                    held.clear()
+                    size = 0
+        yield from (c.out(x) for x, c in held.items())
 
     return run
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", held: int = HELD) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows that hold the term)."""
-    counted = collapsed(docs, lang_col, source_col, text_col).mapInArrow(_counting(held), "lang string, source string, term binary, n long, docs long")
-    return counted.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "docs") \
-        .groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """lang, term, source, n (occurrences), docs (rows that hold the term).
+    One shuffle, by term: the workers' lists meet there."""
+    counted = collapsed(docs, lang_col, source_col, text_col).mapInArrow(
+        _counting(held), "lang string, term binary, by array<struct<source:string,n:bigint,docs:bigint>>")
+    met = counted.select("lang", F.col("term").cast("string").alias("term"), "by").repartition("lang", "term")
+    return met.select("lang", "term", F.inline("by")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -126,33 +154,56 @@ def _f(p, q):
     return (p - q) ** 2 // q
 
 
-def _sharing(size: int, most: int):
+def _pairs(lens: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) entry numbers of all pairs of entries within each list,
+    about ``most`` at a time. ``lens``: entries per list."""
+    size = np.repeat(lens, lens)  # per entry: pairs that start with it
+    start = np.repeat(np.cumsum(lens) - lens, lens)
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        k = size[a:b]
+        left = np.repeat(np.arange(a, b), k)
+        yield left, np.repeat(start[a:b], k) + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+        a = b
+
+
+def _sharing(size: int, most: int, pairs: int):
     """Per pair of sources, summed over the terms that both hold: their score
     less what the histograms and the base count for such a term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for lang, by in zip(batch.column("lang").to_pylist(), batch.column("by")):
-                at, p, p0 = (by.values.field(k).to_numpy() for k in ("at", "p", "p0"))
-                where = at // size
-                for i in np.unique(where):
-                    for j in np.unique(where):
-                        a, b = where == i, where == j
-                        pg, og, ps, os = p[a, None], p0[a, None], p[None, b], p0[None, b]
-                        block = held.get((lang, i, j))
-                        if block is None:
-                            if len(held) >= most:
-                                yield out(held)
-                                held = {}
-                            block = held[lang, i, j] = np.zeros((size, size), np.int64)
-                        block[np.ix_(at[a] % size, at[b] % size)] += _f(pg, ps) - _f(pg, os) - _f(og, ps) + _f(og, os)
+            if not batch.num_rows:
+                continue
+            by, coded = batch.column("by"), batch.column("lang").dictionary_encode()
+            langs = coded.dictionary.to_pylist()
+            lens = by.value_lengths().to_numpy()
+            lang = np.repeat(coded.indices.to_numpy(), lens)
+            at, p, p0 = (by.flatten().field(k).to_numpy() for k in ("at", "p", "p0"))
+            wide = int(at.max()) // size + 1
+            for x, y in _pairs(lens, pairs):
+                pg, og, ps, os = p[x], p0[x], p[y], p0[y]
+                value = _f(pg, ps) - _f(pg, os) - _f(og, ps) + _f(og, os)
+                where = (lang[x].astype(np.int64) * wide + at[x] // size) * wide + at[y] // size
+                cell = at[x] % size * size + at[y] % size
+                for w in np.unique(where):
+                    key = (langs[w // (wide * wide)], int(w // wide % wide), int(w % wide))
+                    if key not in held:
+                        if len(held) >= most:
+                            yield out(held)
+                            held = {}
+                        held[key] = np.zeros(size * size, np.int64)
+                    mine = where == w
+                    np.add.at(held[key], cell[mine], value[mine])
         yield out(held)
 
     def out(held: dict) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], []]
         for (lang, i, j), block in held.items():
-            a, b = np.nonzero(block)
-            for col, more in zip(cols, ([lang] * len(a), a + i * size, b + j * size, block[a, b])):
+            found = np.flatnonzero(block)
+            for col, more in zip(cols, ([lang] * len(found), found // size + i * size, found % size + j * size, block[found])):
                 col.extend(more)
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["lang", "g", "s", "value"])
@@ -161,7 +212,8 @@ def _sharing(size: int, most: int):
 
 
 def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-               min_docs: int = MIN_DOCS, top: int = TOP_TERMS, held: int = HELD, block: int = BLOCK, blocks: int = BLOCKS) -> DataFrame:
+               min_docs: int = MIN_DOCS, top: int = TOP_TERMS, held: int = HELD, block: int = BLOCK, blocks: int = BLOCKS,
+               pairs: int = PAIRS) -> DataFrame:
     """lang, source, part, item, value, rank. ``pair``: every other source of
     the language by the score summed over all kept terms; ``term``: the
     ``top`` terms that the source uses more than its language."""
@@ -171,7 +223,7 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     groups = checkpointed(_groups(docs, kept, lang_col, source_col))
     rows = kept.select("lang", "term", "total", F.explode("by").alias("b")).select("lang", "term", "total", "b.source", "b.n")
     met = rows.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("all_n"), F.col("kept")))
-    return _term_part(met, top).unionByName(_pair_part(met, groups, block, blocks))
+    return _term_part(met, top).unionByName(_pair_part(met, groups, (block, blocks, pairs)))
 
 
 def _groups(docs: DataFrame, kept: DataFrame, lang_col: str, source_col: str) -> DataFrame:
@@ -200,9 +252,9 @@ def _term_part(met: DataFrame, top: int) -> DataFrame:
     return _ranked(against.select("lang", "source", F.col("term").alias("item"), score(F.col("p"), F.col("q")).alias("value")), "term", top)
 
 
-def _pair_part(met: DataFrame, groups: DataFrame, block: int, blocks: int) -> DataFrame:
+def _pair_part(met: DataFrame, groups: DataFrame, bounds: tuple[int, int, int]) -> DataFrame:
     shared = met.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p", "p0")).alias("by")).where(F.size("by") > 1) \
-        .select("lang", "by").mapInArrow(_sharing(block, blocks), "lang string, g long, s long, value long").where("g <> s")
+        .select("lang", "by").mapInArrow(_sharing(*bounds), "lang string, g long, s long, value long").where("g <> s")
     hist = met.groupBy("lang", "at", "p").agg(F.count(F.lit(1)).alias("h")).groupBy("lang", "at") \
         .agg(F.collect_list(F.struct("p", "h")).alias("hist"))
     others = groups.groupBy("lang").agg(F.collect_list(F.struct("at", "p0", "held")).alias("others"))

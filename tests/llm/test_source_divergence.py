@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_cases import LONG, SF_SMALL
 
@@ -66,7 +67,7 @@ def made(seed=3):
     return rows + [copy] * 60 + [(copy[0], "en", "s2")] * 5 + [(copy[0], "fr", "s9"), (None, "en", "empty"), ("", "xx", "a"), ("1 2", "xx", "b"), (LONG, "fr", "s1")]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"held": 5, "block": 2, "blocks": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"held": 5, "block": 2, "blocks": 3, "pairs": 4}])
 def test_matches_brute_force(spark, bounds):
     rows = made()
     got = S.divergence(table(spark, rows), **bounds)
@@ -94,6 +95,13 @@ def test_long_texts_are_streamed(monkeypatch):
     assert S.terms(text) == whole == Counter({b"ab": 50, "é".encode(): 50, b"x": 50})
 
 
+def test_pairs_of_entries_by_list():
+    lens = np.array([2, 0, 1, 3])
+    want = [(a, b) for lo, hi in ((0, 2), (2, 3), (3, 6)) for a in range(lo, hi) for b in range(lo, hi)]
+    for most in (1, 4, 100):
+        assert [(int(a), int(b)) for x, y in S._pairs(lens, most) for a, b in zip(x, y)] == want
+
+
 def test_huge_counts_stay_exact(spark):
     n, total, v = 9_000_000_000_000, 9_100_000_000_000, 12_345
     df = spark.createDataFrame([(n, total, v)], "n long, total long, v long")

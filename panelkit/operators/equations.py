@@ -6,20 +6,29 @@ the whole library is ONE wide grouped aggregate (sums of f, f^2, f*y for each
 form, map-side combined) followed by an unpivot of the *aggregated* rows.
 Variants: constant ``c`` (complexity 1), scaled ``f*c`` (cf + 2), affine
 ``f*c + c`` (cf + 4). Loss is the mean squared error.
+
+Equations of several terms come from one Gram vector per group: a single read
+of the rows adds up the products of all pairs of candidate terms, and the
+sweep operator selects terms from the sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.basis import FORMS, Form
+from panelkit.session import materialize
 
 
 #: Columns that the fits return beside the keys; a key may not have one of these names.
-OUTPUT = ("predictor", "form", "complexity", "variant", "a", "b", "loss", "n", "predictor2", "form2", "a2")
+OUTPUT = ("predictor", "form", "complexity", "variant", "a", "b", "loss", "n", "predictor2", "form2", "a2",
+          "step", "predictors", "forms", "coefficients", "equation")
 
 
 def _hidden_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -102,96 +111,287 @@ def _fit_equations(df: DataFrame, keys: list[str], xs: list[str], y: str, forms:
     return const.unionByName(scaled).unionByName(affine)
 
 
-def _first_terms(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best affine single term per group (ties: predictor, form)."""
-    w = Window.partitionBy(*keys).orderBy("loss", "predictor", "form")
-    return (fits.where(F.col("variant") == "affine").withColumn("__r", F.row_number().over(w))
-            .where(F.col("__r") == 1).select(*keys, F.col("predictor").alias("__p1"), F.col("form").alias("__f1"),
-                                             F.col("complexity").alias("__c1")))
+# ------------------------------------------------------------------ several terms from one Gram vector
+#: Groups whose sums a task holds before it sends them on.
+HELD_GROUPS = 2_000
+#: Rows whose products are formed at a time.
+ROWS_AT_ONCE = 1_000
+
+
+class _Gram:
+    """Sums of one group: n, sum y, sum y^2 and, over the m candidate terms,
+    sum f, sum f y, valid count and the upper triangle of sum f f'."""
+
+    def __init__(self, raw: bytes, n: int, m: int):
+        v = np.frombuffer(raw)
+        self.n, self.sy, self.syy = n, v[0], v[1]
+        self.sf, self.sfy, count = v[2:2 + m], v[2 + m:2 + 2 * m], v[2 + 2 * m:2 + 3 * m]
+        self.G = np.zeros((m, m))
+        self.G[np.triu_indices(m)] = v[2 + 3 * m:]
+        self.G += np.triu(self.G, 1).T
+        self.valid = count == n
+        self.yy = self.syy - self.sy * self.sy / n
+        self.C = self.G - np.outer(self.sf, self.sf) / n
+        self.cy = self.sfy - self.sf * self.sy / n
+        self.spread = self.valid & (np.diag(self.C) > 1e-9 * np.maximum(np.diag(self.G), 1e-300))
+
+    def loss(self, rss: float) -> float:
+        return max(float(rss) / self.n, 0.0)
+
+    def best(self, gain: np.ndarray, allowed: np.ndarray, order: Sequence[int]) -> int | None:
+        """The allowed term with the largest gain; equal gains by ``order``."""
+        ids = [j for j in order if allowed[j]]
+        if not ids:
+            return None
+        top = max(gain[j] for j in ids)
+        return next(j for j in ids if gain[j] >= top - 1e-12 * abs(top))
+
+    def forward(self, terms: int, order: Sequence[int], tol: float = 1e-9):
+        """Forward selection by the sweep operator: after every step the chosen
+        terms, their coefficients, the intercept and the loss."""
+        m = len(self.sf)
+        A = np.empty((m + 1, m + 1))
+        A[:m, :m], A[:m, m], A[m, :m], A[m, m] = self.C, self.cy, self.cy, self.yy
+        chosen: list[int] = []
+        first = np.diag(self.C).copy()
+        for _ in range(terms):
+            left = np.diag(A)[:m]
+            allowed = self.spread & (left > tol * first)
+            allowed[chosen] = False
+            with np.errstate(divide="ignore", invalid="ignore"):
+                j = self.best(A[:m, m] ** 2 / left, allowed, order)
+            if j is None:
+                return
+            d = A[j, j]
+            A = A - np.outer(A[:, j], A[j, :]) / d + _edge(A, j, d)
+            chosen.append(j)
+            coef = [float(A[i, m]) for i in chosen]
+            yield list(chosen), coef, float((self.sy - np.dot(coef, self.sf[chosen])) / self.n), self.loss(A[m, m])
+
+
+def _edge(A: np.ndarray, j: int, d: float) -> np.ndarray:
+    """What row and column j of a swept matrix have beyond the update of the rest."""
+    out = np.zeros_like(A)
+    out[j, :] += A[j, :] / d
+    out[:, j] += A[:, j] / d
+    # the update left zeros in row and column j; the pivot becomes -1 / d
+    out[j, j] = -1.0 / d
+    return out
 
 
-def fit_two_term(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y: str,
-                 forms: Sequence[Form] = FORMS, min_rows: int = 3, fits: DataFrame | None = None) -> DataFrame:
-    """M5 greedy step: keep each group's best affine term ``g1`` and fit
-    ``y = a*g1 + a2*f + b`` for every other (predictor, form) candidate ``f``.
+def _term_sums(n_keys: int, m: int, held: int):
+    """Rows (keys, y, terms) -> partial sums (keys, n, packed sums)."""
+    upper = np.triu_indices(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        names = types = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names, types = b.schema.names[:n_keys], [f.type for f in b.schema][:n_keys]
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(n_keys)))) if n_keys else [()] * b.num_rows
+            seen: dict[tuple, int] = {}
+            code = np.array([seen.setdefault(k, len(seen)) for k in keys])
+            order = np.argsort(code, kind="stable")
+            y = b.column(n_keys).to_numpy()[order]
+            f = np.column_stack([b.column(n_keys + 1 + j).to_numpy(zero_copy_only=False) for j in range(m)])[order]
+            known, f = ~np.isnan(f), np.nan_to_num(f, nan=0.0)
+            code = code[order]
+            ids = list(seen)
+            for lo in range(0, len(y), ROWS_AT_ONCE):
+                part = slice(lo, lo + ROWS_AT_ONCE)
+                fp, yp, cp = f[part], y[part], code[part]
+                rows = np.column_stack([yp, yp * yp, fp, fp * yp[:, None], known[part], fp[:, upper[0]] * fp[:, upper[1]]])
+                starts = np.flatnonzero(np.diff(cp, prepend=-1))
+                total = np.add.reduceat(rows, starts, axis=0)
+                for i, n, t in zip(cp[starts], np.diff(np.append(starts, len(cp))), total):
+                    have = sums.get(ids[i])
+                    sums[ids[i]] = [int(n), t] if have is None else [have[0] + int(n), have[1] + t]
+            if len(sums) > held:
+                yield out(sums, names, types)
+                sums = {}
+        if sums:
+            yield out(sums, names, types)
+
+    def out(sums, names, types) -> pa.RecordBatch:
+        cols = [pa.array(c, t) for c, t in zip(zip(*sums), types)] if names else []
+        cols += [pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tobytes() for _, t in sums.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=[*names, "n", "sums"])
+
+    return run
+
+
+def _group_sums(n_keys: int):
+    """Sorted partial sums -> one row per group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            done = []
+            for *key, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if now is not None and now[0] == key:
+                    now[1], now[2] = now[1] + n, now[2] + np.frombuffer(raw)
+                else:
+                    if now is not None:
+                        done.append(now)
+                    now = [key, n, np.frombuffer(raw)]
+            yield out(done, b.schema)
+            schema = b.schema
+        if now is not None:
+            yield out([now], schema)
+
+    def out(rows, schema) -> pa.RecordBatch:
+        cols = [pa.array([r[0][i] for r in rows], schema.types[i]) for i in range(n_keys)]
+        cols += [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return run
+
+
+def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+@dataclass
+class Grams:
+    """One row per group with the sums of all candidate terms, written once."""
+
+    table: DataFrame  # __key0.., n, sums
+    keys: list[str]
+    xs: list[str]
+    forms: Sequence[Form]
+
+    @property
+    def terms(self) -> list[tuple[str, Form]]:
+        return [(x, f) for x in self.xs for f in self.forms]
+
+    def order(self) -> list[int]:
+        names = [(x, f.name) for x, f in self.terms]
+        return sorted(range(len(names)), key=lambda j: names[j])
+
+    def rows(self, of, extra: str, schema: str, table: DataFrame | None = None) -> DataFrame:
+        """``of(gram, extra columns)`` -> rows of every group, beside its keys."""
+        table = self.table if table is None else table
+        k, m = len(self.keys), len(self.terms)
+        hidden = [f"__key{i}" for i in range(k)]
+        names = hidden + [c.split()[0] for c in schema.split(", ")]
+        arrow = [_arrow_type(c.split()[1]) for c in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [[] for _ in names]
+                for key in zip(*(c.to_pylist() for c in b.columns)):
+                    for row in of(_Gram(key[k + 1], key[k], m), key[k + 2:]):
+                        for col, v in zip(out, (*key[:k], *row)):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [*b.schema.types[:k], *arrow])], names=names)
+
+        picked = table.select(*hidden, "n", "sums", *extra.split())
+        return _shown_keys(picked.mapInArrow(run, _key_schema(table, hidden) + schema), self.keys)
+
+
+def _arrow_type(name: str) -> pa.DataType:
+    one = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+    return pa.list_(one[name[6:-1]]) if name.startswith("array<") else one[name]
+
+
+def gram_table(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y: str, forms: Sequence[Form] = FORMS,
+               min_rows: int = 3, held: int = HELD_GROUPS) -> Grams:
+    """M5: one read of the rows. Every task adds up the products of all pairs
+    of candidate terms per group; groups then meet by key, one row each, so
+    equations of any number of terms need no other look at the rows."""
+    names, xs = list(keys), [x] if isinstance(x, str) else list(x)
+    df, hidden = _hidden_keys(df, names)
+    terms = [f.spark(F.col(f"__x{p}")).cast("double").alias(f"__f{p}_{i}") for p in range(len(xs)) for i, f in enumerate(forms)]
+    rows = _base(df, hidden, xs, y).select(*hidden, "__y", *terms)
+    schema = _key_schema(rows, hidden) + "n long, sums binary"
+    parts = rows.mapInArrow(_term_sums(len(hidden), len(terms), held), schema)
+    met = parts.repartition(*hidden).sortWithinPartitions(*hidden) if hidden else parts.coalesce(1)
+    table = materialize(met.mapInArrow(_group_sums(len(hidden)), schema).where(F.col("n") >= min_rows))
+    return Grams(table, names, xs, list(forms))
+
+
+_FIT = "predictor string, form string, complexity int, variant string, a double, b double, loss double, n long"
+
+
+def fits_from_grams(grams: Grams) -> DataFrame:
+    """The rows of :func:`fit_equations`, from the sums."""
+    names = [(x, f.name, f.complexity) for x, f in grams.terms]
+
+    def of(g: _Gram, _):
+        n = g.n
+        yield "", "const", 1, "const", 0.0, float(g.sy / n), g.loss(g.yy), n
+        for j, (x, f, c) in enumerate(names):
+            if g.valid[j] and g.G[j, j] > 0:
+                a = g.sfy[j] / g.G[j, j]
+                yield x, f, c + 2, "scaled", float(a), 0.0, g.loss(g.syy - a * g.sfy[j]), n
+            if g.spread[j]:
+                a = g.cy[j] / g.C[j, j]
+                yield x, f, c + 4, "affine", float(a), float((g.sy - a * g.sf[j]) / n), g.loss(g.yy - a * g.cy[j]), n
+
+    return grams.rows(of, "", _FIT)
+
+
+def two_terms_from_grams(grams: Grams, fits: DataFrame | None = None) -> DataFrame:
+    """M5 greedy step: keep each group's best affine term ``g1`` (of ``fits``
+    when given) and fit ``y = a*g1 + a2*f + b`` for every other candidate.
 
-    The first term is joined back by group key (one row per group, null-safe),
-    then one aggregate computes only the sums involving ``g1`` (``sum(f*g1)``
-    per candidate); the single-term sums are joined from the first aggregate
-    (both one row per group) and the 2x2 centred normal equations are solved
-    on the aggregated rows.
     Output has the ``fit_equations`` columns plus ``predictor2, form2, a2``;
     complexity is ``c(f1) + c(f2) + 7`` (two products, two sums, three
     constants). Collinear pairs (centred determinant ~ 0) are dropped.
     """
-    names = list(keys)
-    df, keys = _hidden_keys(df, names)
-    xs = [x] if isinstance(x, str) else list(x)
-    if fits is None:
-        fits = _fit_equations(df, keys, xs, y, forms, min_rows)
-    else:
-        fits = fits.withColumnsRenamed(dict(zip(names, keys)))
-    return _shown_keys(_fit_two_term(df, keys, xs, y, forms, min_rows, fits), names)
-
-
-def _fit_two_term(df: DataFrame, keys: list[str], xs: list[str], y: str, forms: Sequence[Form], min_rows: int,
-                  fits: DataFrame) -> DataFrame:
-    first = _first_terms(fits, keys)
-    base = _base(df, keys, xs, y)
-    # renamed keys: both sides share one lineage, so base[k] == first[k] would be ambiguous
-    first = first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__p1", "__f1", "__c1")
-    cond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    j = base.join(first, cond, "inner") if keys else base.crossJoin(F.broadcast(first))
-    j = j.select(*keys, *[f"__x{p}" for p in range(len(xs))], "__y", "__p1", "__f1", "__c1")
-    x1 = F.lit(None).cast("double")
-    for p, c in enumerate(xs):
-        x1 = F.when(F.col("__p1") == c, F.col(f"__x{p}")).otherwise(x1)
-    j = j.withColumn("__xg", x1)
-    g1 = F.lit(None).cast("double")
-    for f in forms:
-        g1 = F.when(F.col("__f1") == f.name, f.spark(F.col("__xg"))).otherwise(g1)
-    fcols = [f.spark(F.col(f"__x{p}")).alias(f"__f{p}_{i}") for p in range(len(xs)) for i, f in enumerate(forms)]
-    b = j.select(*keys, "__y", "__p1", "__f1", "__c1", g1.alias("__g"), *fcols)
-    g, yv = F.col("__g"), F.col("__y")
-    # only the sums that involve g1; the single-term sums come from the first aggregate
-    aggs = [F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * yv).alias("sgy"),
-            F.max("__p1").alias("p1"), F.max("__f1").alias("f1"), F.max("__c1").alias("c1")]
-    aggs += [F.sum(F.col(f"__f{p}_{i}") * g).alias(f"sfg{p}_{i}") for p in range(len(xs)) for i in range(len(forms))]
-    cross = b.groupBy(*keys).agg(*aggs)
-    cross = cross.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                         *[c for c in cross.columns if c not in keys])
-    single = _wide_sums(df, keys, xs, y, forms, min_rows)
-    wcond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    wide = single.join(cross, wcond, "inner") if keys else single.crossJoin(cross)
-    rows = F.array(*[F.struct(F.lit(xs[p]).alias("predictor2"), F.lit(f.name).alias("form2"),
-                              F.lit(f.complexity).alias("cf"), F.col(f"k{p}_{i}").alias("k"),
-                              F.col(f"sf{p}_{i}").alias("sf"), F.col(f"sff{p}_{i}").alias("sff"),
-                              F.col(f"sfy{p}_{i}").alias("sfy"), F.col(f"sfg{p}_{i}").alias("sfg"))
-                     for p in range(len(xs)) for i, f in enumerate(forms)])
-    long = (wide.select(*keys, "n", "sy", "syy", "sg", "sgg", "sgy", "p1", "f1", "c1", F.inline(rows))
-            .where((F.col("k") == F.col("n")) & ~((F.col("predictor2") == F.col("p1")) & (F.col("form2") == F.col("f1")))))
-    n = F.col("n")
-    s11 = F.col("sgg") - F.col("sg") * F.col("sg") / n
-    s22 = F.col("sff") - F.col("sf") * F.col("sf") / n
-    s12 = F.col("sfg") - F.col("sf") * F.col("sg") / n
-    s1y = F.col("sgy") - F.col("sg") * F.col("sy") / n
-    s2y = F.col("sfy") - F.col("sf") * F.col("sy") / n
-    syy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    c = long.select(*keys, "n", "sy", "sg", "sf", "sff", "p1", "f1", "c1", "predictor2", "form2", "cf",
-                    s11.alias("s11"), s22.alias("s22"), s12.alias("s12"), s1y.alias("s1y"), s2y.alias("s2y"),
-                    syy.alias("syc"))
-    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
-    ok = (F.col("s22") > F.lit(1e-9) * F.greatest(F.col("sff"), F.lit(1e-300))) & (det > F.lit(1e-9) * F.col("s11") * F.col("s22"))
-    c = c.withColumn("det", det).where(ok)
-    a1 = (F.col("s22") * F.col("s1y") - F.col("s12") * F.col("s2y")) / F.col("det")
-    a2 = (F.col("s11") * F.col("s2y") - F.col("s12") * F.col("s1y")) / F.col("det")
-    c = c.withColumn("a", a1).withColumn("a2", a2)
-    return c.select(
-        *keys, F.col("p1").alias("predictor"), F.col("f1").alias("form"),
-        (F.col("c1") - 4 + F.col("cf") + 7).alias("complexity"), F.lit("two_term").alias("variant"),
-        "a", ((F.col("sy") - F.col("a") * F.col("sg") - F.col("a2") * F.col("sf")) / n).alias("b"),
-        F.greatest((F.col("syc") - F.col("a") * F.col("s1y") - F.col("a2") * F.col("s2y")) / n, F.lit(0.0)).alias("loss"),
-        "n", "predictor2", "form2", "a2")
+    names = [(x, f.name, f.complexity) for x, f in grams.terms]
+    at, order = {n[:2]: j for j, n in enumerate(names)}, grams.order()
+    table, extra = grams.table, ""
+    if fits is not None:
+        w = Window.partitionBy(*grams.keys).orderBy("loss", "predictor", "form")
+        first = (fits.where(F.col("variant") == "affine").withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
+                 .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(grams.keys)], F.col("predictor").alias("p1"), F.col("form").alias("f1")))
+        same = [F.col(f"__key{i}").eqNullSafe(F.col(f"__k{i}")) for i in range(len(grams.keys))]
+        table = table.join(first, same, "inner") if same else table.crossJoin(F.broadcast(first))  # one row per group
+        extra = "p1 f1"
+
+    def of(g: _Gram, given):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            i = at[given] if given else g.best(g.cy ** 2 / np.diag(g.C), g.spread, order)
+        if i is None:
+            return
+        s11, s1y = g.C[i, i], g.cy[i]
+        for j, (x, f, c) in enumerate(names):
+            s22, s12, s2y = g.C[j, j], g.C[i, j], g.cy[j]
+            det = s11 * s22 - s12 * s12
+            if j == i or not g.spread[j] or not det > 1e-9 * s11 * s22:
+                continue
+            a1, a2 = (s22 * s1y - s12 * s2y) / det, (s11 * s2y - s12 * s1y) / det
+            yield (names[i][0], names[i][1], names[i][2] + c + 7, "two_term", float(a1), float((g.sy - a1 * g.sf[i] - a2 * g.sf[j]) / g.n),
+                   g.loss(g.yy - a1 * s1y - a2 * s2y), g.n, x, f, float(a2))
+
+    return grams.rows(of, extra, _FIT + ", predictor2 string, form2 string, a2 double", table)
+
+
+def fit_two_term(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], y: str, forms: Sequence[Form] = FORMS,
+                 min_rows: int = 3, fits: DataFrame | None = None) -> DataFrame:
+    """:func:`two_terms_from_grams` of one read of the rows."""
+    return two_terms_from_grams(gram_table(df, keys, x, y, forms, min_rows), fits)
+
+
+def fit_forward(df: DataFrame | Grams, keys: Sequence[str] = (), x: str | Sequence[str] = (), y: str = "", terms: int = 3,
+                forms: Sequence[Form] = FORMS, min_rows: int = 3, digits: int = 7) -> DataFrame:
+    """M5: forward selection of up to ``terms`` terms per group, each the one
+    that lowers the loss most beside those chosen (equal ones by predictor,
+    form). One row per group and step: step, complexity, predictors, forms,
+    coefficients, b, loss, n and the printed equation (M8)."""
+    grams = df if isinstance(df, Grams) else gram_table(df, keys, x, y, forms, min_rows)
+    names, order = [(x_, f.name, f.complexity, f.text.format(x=x_)) for x_, f in grams.terms], grams.order()
+
+    def of(g: _Gram, _):
+        for chosen, coef, b, loss in g.forward(terms, order):
+            text = " + ".join(f"({a:.{digits}g} * {names[j][3]})" for j, a in zip(chosen, coef)) + f" + {b:.{digits}g}"
+            yield (len(chosen), sum(names[j][2] for j in chosen) + 3 * len(chosen) + 1, [names[j][0] for j in chosen],
+                   [names[j][1] for j in chosen], coef, b, loss, g.n, text)
+
+    return grams.rows(of, "", "step int, complexity int, predictors array<string>, forms array<string>, coefficients array<double>, "
+                              "b double, loss double, n long, equation string")
 
 
 def with_two_term(fits: DataFrame, two: DataFrame) -> DataFrame:

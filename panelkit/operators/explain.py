@@ -27,17 +27,21 @@ Scorer = Callable[[DataFrame], DataFrame]
 def permutation_importance(scorer: Scorer, df: DataFrame, key: str, y: str, features: Sequence[str],
                            repeats: int = 30, seed: int = 42) -> DataFrame:
     """Per feature, mean and population sd over ``repeats`` of
-    (MAE with the feature permuted - base MAE). Permutations are the
-    portable hash permutations of ``split.permutation_map``."""
+    (MAE with the feature permuted - base MAE).
+
+    Rows are written and numbered once. Every row sends the one value of each
+    (feature, repeat) to the row that a keyed bijection of its number names, so
+    what is shuffled per copy is a number and a value, never a row."""
     features = list(features)
-    pm = split.permutation_map(df, key, features, repeats, seed)
-    src = df.select(F.col(key).alias("source_key"), F.struct(*[F.col(f) for f in features]).alias("__src"))
-    x = pm.join(df, key).join(src, "source_key")
+    rows = split.numbered_rows(df, key)
+    combos = F.broadcast(split.permutation_combos(df.sparkSession, features, repeats, seed))  # features x repeats rows
+    value = F.struct(*[F.when(F.col("feature") == f, F.col(f)).alias(f) for f in features]).alias("__src")
+    sent = split.with_bijection(rows.crossJoin(combos).select("feature", "repeat", "__keys", "__i", value), "__i", rows.count(), "__keys", "__i").drop("__keys")
+    x = sent.join(rows, "__i").drop("__i")
     for f in features:
         x = x.withColumn(f, F.when(F.col("feature") == f, F.col(f"__src.{f}")).otherwise(F.col(f)))
-    x = x.drop("__src", "source_key")
-    perm = scorer(x).groupBy("feature", "repeat").agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("__mae"))
-    base = scorer(df).agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("__base"))
+    perm = scorer(x.drop("__src")).groupBy("feature", "repeat").agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("__mae"))
+    base = scorer(rows.drop("__i")).agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("__base"))
     d = perm.crossJoin(F.broadcast(base)).withColumn("__d", F.col("__mae") - F.col("__base"))
     return d.groupBy("feature").agg(F.avg("__d").alias("importance_mean"), F.stddev_pop("__d").alias("importance_sd"))
 

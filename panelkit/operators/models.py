@@ -21,10 +21,11 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators import clean, encode, metrics
+from panelkit.session import materialize
 
 
 # ------------------------------------------------------------------ feature preparation
@@ -235,27 +236,75 @@ def importances_table(spark, models: dict, feature_names: Sequence[str]) -> Data
     return spark.createDataFrame(rows, "feature string, model string, importance double")
 
 
-def tree_quantiles(model, df: DataFrame, quantiles: Sequence[float], features: str = "features",
-                   out: str = "qpred") -> DataFrame:
-    """K8 (re-aimed): per-row quantiles of the individual trees' predictions
-    of a forest, as ARRAY<DOUBLE> in ``quantiles`` order (linear
-    interpolation). Each tree scores in the same projection (JVM side)."""
-    trees, _ = tree_list(model)
-    d = df
-    cols = []
-    for i, t in enumerate(trees):
-        c = f"__t{i}"
-        d = t.copy().setFeaturesCol(features).setPredictionCol(c).transform(d)
-        cols.append(c)
-    n = len(cols)
-    srt = F.array_sort(F.array(*[F.col(c) for c in cols]))
-    qs = []
-    for q in quantiles:
-        pos = q * (n - 1)
-        lo, frac = int(pos), pos - int(pos)
-        hi = min(lo + 1, n - 1)
-        qs.append(F.element_at(srt, lo + 1) * (1 - frac) + F.element_at(srt, hi + 1) * frac)
-    return d.withColumn(out, F.array(*qs)).drop(*cols)
+# ------------------------------------------------------------------ K8 leaf distributions
+#: Leaf-table rows (about 25 bytes each) up to which the table is sent to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def leaf_ids(model, df: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:
+    """One row per (row, tree): the kept columns, tree, leaf."""
+    m = model.copy({model.leafCol: "__leaf", model.featuresCol: features, model.predictionCol: "__p"})
+    ids = m.transform(df).select(*keep, vector_to_array("__leaf").alias("__leaf"))
+    return ids.select(*keep, F.posexplode("__leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+
+
+def value_grid(df: DataFrame, y: str, grid: int = 200) -> list[float]:
+    """The distinct values of ``y`` while there are at most ``grid``, else
+    ``grid`` approximate quantiles with the extremes."""
+    few = [r[0] for r in df.select(F.col(y).cast("double")).where(F.col(y).isNotNull()).distinct().limit(grid + 1).collect()]
+    if len(few) <= grid:
+        return sorted(few)
+    probs = [i / (grid - 1) for i in range(grid)]
+    ends = df.agg(F.min(y).alias("lo"), F.max(y).alias("hi"), F.percentile_approx(F.col(y).cast("double"), probs, 50 * grid).alias("q")).first()
+    return sorted({float(ends["lo"]), float(ends["hi"]), *map(float, ends["q"])})
+
+
+def leaf_weights(leaves: DataFrame, value: str) -> DataFrame:
+    """K8: the response distribution of every leaf, (tree, leaf, value,
+    weight), from training rows (tree, leaf, ``value``): value counts over the
+    leaf's rows. Counts combine map-side; one row per leaf and distinct value."""
+    return _shares(leaves.where(F.col(value).isNotNull()).groupBy("tree", "leaf", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
+    sizes = counts.groupBy("tree", "leaf").agg(F.sum("n").alias("size"))
+    return counts.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "value", (F.col("n") / F.col("size")).alias("weight"))
+
+
+def leaf_table(model, train: DataFrame, y: str, features: str = "features", grid: int = 200) -> DataFrame:
+    """K8: :func:`leaf_weights` of a fitted forest over its training rows, y
+    raised to the next value of :func:`value_grid`: at most trees x leaves x
+    grid rows, whatever the training table's size."""
+    values = F.lit(value_grid(train, y, grid))
+    at = F.array_position(values, F.get(F.filter(values, lambda v: v >= F.col("__y")), F.lit(0)))
+    rows = leaf_ids(model, train.select(features, F.col(y).cast("double").alias("__y")), ["__y"], features)
+    rows = rows.groupBy("tree", "leaf", "__y").agg(F.count(F.lit(1)).alias("__n"))  # before the search in the grid
+    return _shares(rows.withColumn("value", F.element_at(values, at.cast("int"))).groupBy("tree", "leaf", "value").agg(F.sum("__n").alias("n")))
+
+
+def mixture_quantiles(leaves: DataFrame, table: DataFrame, key: str, quantiles: Sequence[float], out: str = "qpred") -> DataFrame:
+    """K8: per scored row the quantiles of the response: the mean of the
+    distributions of its leaves (``leaves``: key, tree, leaf), read at the least
+    value whose share reaches the quantile. Adds ARRAY<DOUBLE> ``out``.
+
+    A row's leaves meet the leaf table in one join, which is sent to every task
+    while it is small (counted first); weights add up per (row, value)
+    map-side, so what is shuffled is one row's distribution."""
+    table = materialize(table)
+    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    mix = leaves.join(side, ["tree", "leaf"]).groupBy(key, "value").agg(F.sum("weight").alias("w"))
+    upto = Window.partitionBy(key).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_ = Window.partitionBy(key)  # at most as many rows as the grid has values
+    share = mix.withColumn("share", F.sum("w").over(upto) / F.sum("w").over(all_))
+    least = [F.min(F.when(F.col("share") >= q - 1e-9, F.col("value"))) for q in quantiles]
+    return share.groupBy(key).agg(F.array(*least).alias(out))
+
+
+def forest_quantiles(model, df: DataFrame, table: DataFrame, key: str, quantiles: Sequence[float], features: str = "features",
+                     out: str = "qpred") -> DataFrame:
+    """K8: ``df`` with the predicted quantiles of the response."""
+    found = mixture_quantiles(leaf_ids(model, df, [key], features), table, key, quantiles, out)
+    return df.join(found, key, "left")
 
 
 # ------------------------------------------------------------------ A8 persistence

@@ -2,9 +2,8 @@
 with Holm, Brown-Forsythe, careless-response screening and effect tables
 (survey J8-J11, J14-J16, F5, F6).
 
-Data-size work is grouped aggregates and one distributed rank (F3); only
-cell tables (bounded by the product of factor levels) and result tables are
-handled by small pandas helpers.
+Data-size work is grouped aggregates and one distributed rank (F3); the
+driver only receives result tables.
 """
 
 from __future__ import annotations
@@ -12,8 +11,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import tails
@@ -30,23 +28,44 @@ def _effect_name(e: Sequence[str]) -> str:
     return ":".join(e)
 
 
-def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[str], subject: str,
+def _cell_offsets(cells: DataFrame, factors: Sequence[str], effects: Sequence[Sequence[str]]) -> DataFrame:
+    """Per design cell and response: the array of every effect's estimate less
+    the cell mean. ``cells``: factors, __dv, __s, __c."""
+    total = {t: F.sum("__s").over(Window.partitionBy("__dv", *t)) / F.sum("__c").over(Window.partitionBy("__dv", *t)) for t in _subsets(factors)}
+    whole = tuple(factors)
+    named = {t: f"__m{i}" for i, t in enumerate(total)}
+    means = cells.select("*", *[total[t].alias(named[t]) for t in total])
+    estimates = []
+    for e in effects:
+        est = F.lit(0.0)
+        for t in _subsets(e):
+            est = est + F.col(named[t]) * ((-1) ** (len(e) - len(t)))
+        estimates.append(est - F.col(named[whole]))
+    return means.select(*factors, "__dv", F.array(*estimates).alias("__offsets"))
+
+
+def art_anova(df: DataFrame, y: str | Sequence[str], between: Sequence[str], within: Sequence[str], subject: str,
               digits: int = 9, complete_only: bool = False) -> DataFrame:
     """Aligned rank transform ANOVA (Wobbrock et al. 2011) for a split-plot
     design: ``between`` factors, at most one ``within`` factor, one observation
-    per (subject, within level).
+    per (subject, within level). ``y`` may list any number of responses: one
+    aggregate builds the design cells of all of them, one join aligns them, one
+    ranking ranks them; the result then has a column ``dv``.
 
     Per effect: align (residual from the full-cell mean + estimated effect),
     round to ``digits`` so float noise does not split ties, rank all rows
     (exact distributed average rank), and read that effect's F from the
     ANOVA on ranks with the subject (between) or within-by-subject error
     stratum. Returns one row per effect: effect, df_effect, df_error,
-    ss_effect, ss_error, F, p, eta2_partial.
+    ss_effect, ss_error, F, p, eta2_partial. Design cells stay in Spark: the
+    driver receives sums per (response, effect, subset of the factors).
     """
     if len(within) > 1:
         raise ValueError("at most one within-subject factor is supported")
+    ys = [y] if isinstance(y, str) else list(y)
     factors = list(between) + list(within)
-    base = df.select(subject, *factors, F.col(y).cast("double").alias("__y")).where(F.col("__y").isNotNull())
+    base = df.select(subject, *factors, *[F.col(c).cast("double").alias(f"__y{i}") for i, c in enumerate(ys)]) \
+        .where(F.coalesce(*[F.col(f"__y{i}") for i in range(len(ys))]).isNotNull())
     if complete_only and within:
         n_w = base.select(*within).distinct().count()
         full = base.groupBy(subject).agg(F.count_distinct(*within).alias("__k")).where(F.col("__k") == n_w)
@@ -59,80 +78,66 @@ def art_anova(df: DataFrame, y: str, between: Sequence[str], within: Sequence[st
     if not bad.isEmpty():
         raise ValueError("ART needs one observation per subject and within level, and one between cell per subject")
 
-    # design-cell table: one row per combination of factor levels, as many as the design
-    # has whatever the row count, so it is brought to the driver once to derive every effect's alignment offset
-    cells = base.groupBy(*factors).agg(F.sum("__y").alias("__s"), F.count(F.lit(1)).alias("__c"))
-    cpd = cells.toPandas()
+    # one row per combination of factor levels, all responses side by side
+    wide = base.groupBy(*factors).agg(*[f(f"__y{i}").alias(f"__{n}{i}") for i in range(len(ys)) for n, f in (("s", F.sum), ("c", F.count))])
+    cells = wide.select(*factors, F.inline(F.array(*[F.struct(F.lit(i).alias("__dv"), F.col(f"__s{i}").alias("__s"), F.col(f"__c{i}").alias("__c"))
+                                                     for i in range(len(ys))]))).where("__c > 0")
     effects = [e for e in _subsets(factors) if e]
-
-    def margin_means(pdf, t, s_col, c_col):
-        if not t:
-            return pd.Series(pdf[s_col].sum() / pdf[c_col].sum(), index=pdf.index)
-        g = pdf.groupby(list(t))[[s_col, c_col]].transform("sum")
-        return g[s_col] / g[c_col]
-
-    full_mean = cpd["__s"] / cpd["__c"]
-    offsets = {}
-    for i, e in enumerate(effects):
-        est = sum((-1) ** (len(e) - len(t)) * margin_means(cpd, t, "__s", "__c") for t in _subsets(e))
-        offsets[f"__a{i}"] = (est - full_mean).astype(float)
-    align_pd = cpd[factors].copy()
-    for k, v in offsets.items():
-        align_pd[k] = v
-    align = df.sparkSession.createDataFrame(align_pd)  # AQE broadcasts it while it is small
-    j = base.join(align, factors, "inner")
-    arr = F.array(*[F.struct(F.lit(_effect_name(e)).alias("effect"),
-                             F.round(F.col("__y") + F.col(f"__a{i}"), digits).alias("__v"))
-                    for i, e in enumerate(effects)])
-    long = j.select(subject, *factors, F.explode(arr).alias("__t")).select(subject, *factors, "__t.*")
-    ranked = ranks.average_rank(long, "__v", out="__r", by=["effect"]).cache()  # three aggregates read it
-
-    # sufficient statistics on ranks: per (effect, design cell) - bounded - and per effect
-    cell_r = ranked.groupBy("effect", *factors).agg(F.sum("__r").alias("sr"), F.count(F.lit(1)).alias("n"))
-    subj = (ranked.groupBy("effect", subject).agg(F.sum("__r").alias("__s"), F.count(F.lit(1)).alias("__n"))
-            .groupBy("effect").agg(F.sum(F.col("__s") * F.col("__s") / F.col("__n")).alias("ss_subj"),
-                                   F.count(F.lit(1)).alias("n_subjects")))
-    tot = ranked.groupBy("effect").agg(F.sum(F.col("__r") * F.col("__r")).alias("ss_rows"))
-    per_eff = subj.join(tot, "effect").toPandas().set_index("effect")
-    cr = cell_r.toPandas()
+    # per cell a map from the response to its offsets; AQE broadcasts it while it is small
+    align = _cell_offsets(cells, factors, effects).groupBy(*factors).agg(F.map_from_entries(F.collect_list(F.struct("__dv", "__offsets"))).alias("__off"))
+    values = F.array(*[F.struct(F.lit(i).alias("__dv"), F.col(f"__y{i}").alias("__y")) for i in range(len(ys))])
+    names = F.array(*[F.lit(_effect_name(e)) for e in effects])
+    each = base.join(align, factors, "inner").select(subject, *factors, "__off", F.inline(values)).where("__y IS NOT NULL")
+    long = each.select(subject, *factors, "__dv", "__y", F.explode(F.arrays_zip(names.alias("__effect"), F.col("__off")[F.col("__dv")].alias("a"))).alias("__t")) \
+        .select(subject, *factors, "__dv", "__t.__effect", F.round(F.col("__y") + F.col("__t.a"), digits).alias("__v"))
+    one = ["__dv", "__effect"]
+    ranked = ranks.average_rank(long, "__v", out="__r", by=one).cache()  # three aggregates read it
+
+    # sums on ranks: per response and effect, over the levels of every subset of the factors
+    subj = (ranked.groupBy(*one, subject).agg(F.sum("__r").alias("__s"), F.count(F.lit(1)).alias("__n"))
+            .groupBy(*one).agg(F.sum(F.col("__s") * F.col("__s") / F.col("__n")).alias("ss_subj"),
+                               F.count(F.lit(1)).alias("n_subjects")))
+    tot = ranked.groupBy(*one).agg(F.sum(F.col("__r") * F.col("__r")).alias("ss_rows"))
+    per = {(r["__dv"], r["__effect"]): r for r in subj.join(tot, one).collect()}
+    cell_r = ranked.groupBy(*one, *factors).agg(F.sum("__r").alias("__sr"), F.count(F.lit(1)).alias("__n"))
+    margins = cell_r.groupingSets([[*one, *t] for t in _subsets(factors)], *one, *factors) \
+        .agg(F.sum("__sr").alias("__sr"), F.sum("__n").alias("__n"), F.grouping_id().alias("left_out")) \
+        .groupBy(*one, "left_out").agg(F.sum(F.col("__sr") * F.col("__sr") / F.col("__n")).alias("ss"), F.count(F.lit(1)).alias("cells")).collect()
+    found = {(r["__dv"], r["__effect"], r["left_out"]): r for r in margins}
     ranked.unpersist()
     base.unpersist()
-    between_l, within_l = list(between), list(within)
-    levels = {c: cpd[c].nunique() for c in factors}
-    n_b = int(cpd[between_l].drop_duplicates().shape[0]) if between_l else 1
+
+    def margin(dv, e, t):  # sum over the cells of t of n * mean^2, and the number of cells
+        return found[dv, e, sum(1 << (len(factors) - 1 - i) for i, c in enumerate(factors) if c not in t)]
+
     rows = []
-    for e in effects:
-        name = _effect_name(e)
-        pdf = cr[cr["effect"] == name]
-        sr, n = pdf["sr"].astype(float), pdf["n"].astype(float)
-
-        def ss_margin(t):  # sum over t-cells of n * mean^2
-            if not t:
-                return float(sr.sum() ** 2 / n.sum())
-            g = pd.DataFrame({"sr": sr, "n": n, **{c: pdf[c] for c in t}}).groupby(list(t), dropna=False).sum()
-            return float((g["sr"] ** 2 / g["n"]).sum())
-
-        ss_e = sum((-1) ** (len(e) - len(t)) * ss_margin(t) for t in _subsets(e))
-        df_e = 1
-        for c in e:
-            df_e *= levels[c] - 1
-        n_s = int(per_eff.loc[name, "n_subjects"])
-        ss_subj, ss_rows = float(per_eff.loc[name, "ss_subj"]), float(per_eff.loc[name, "ss_rows"])
-        if any(c in within_l for c in e):
-            w = within_l[0]
-            ss_err = (ss_rows - ss_subj) - (ss_margin(tuple(between_l) + (w,)) - ss_margin(tuple(between_l)))
-            df_err = (n_s - n_b) * (levels[w] - 1)
-        else:
-            ss_err = ss_subj - ss_margin(tuple(between_l))
-            df_err = n_s - n_b
-        f = (ss_e / df_e) / (ss_err / df_err) if df_err > 0 and ss_err > 0 else float("nan")
-        lo, hi = tails.eta2_partial_ci(f, df_e, df_err)
-        rows.append((name, int(df_e), int(df_err), float(ss_e), float(ss_err), float(f),
-                     float(tails.f_upper(f, df_e, df_err)),
-                     float(ss_e / (ss_e + ss_err)) if (ss_e + ss_err) > 0 else float("nan"), float(lo), float(hi)))
-    schema = ("effect string, df_effect int, df_error int, ss_effect double, ss_error double, F double, "
+    for dv in sorted({k[0] for k in per}):
+        for e in effects:
+            name = _effect_name(e)
+            ss = lambda t: float(margin(dv, name, t)["ss"])  # noqa: B023, E731
+            levels = lambda t: int(margin(dv, name, t)["cells"])  # noqa: B023, E731
+            ss_e = sum((-1) ** (len(e) - len(t)) * ss(t) for t in _subsets(e))
+            df_e = 1
+            for c in e:
+                df_e *= levels((c,)) - 1
+            n_s, n_b = int(per[dv, name]["n_subjects"]), levels(tuple(between))
+            ss_subj, ss_rows = float(per[dv, name]["ss_subj"]), float(per[dv, name]["ss_rows"])
+            if any(c in within for c in e):
+                w = within[0]
+                ss_err = (ss_rows - ss_subj) - (ss((*between, w)) - ss(tuple(between)))
+                df_err = (n_s - n_b) * (levels((w,)) - 1)
+            else:
+                ss_err = ss_subj - ss(tuple(between))
+                df_err = n_s - n_b
+            f = (ss_e / df_e) / (ss_err / df_err) if df_err > 0 and ss_err > 0 and df_e > 0 else float("nan")
+            lo, hi = tails.eta2_partial_ci(f, df_e, df_err)
+            rows.append((ys[dv], name, int(df_e), int(df_err), float(ss_e), float(ss_err), float(f),
+                         float(tails.f_upper(f, df_e, df_err)),
+                         float(ss_e / (ss_e + ss_err)) if (ss_e + ss_err) > 0 else float("nan"), float(lo), float(hi)))
+    schema = ("dv string, effect string, df_effect int, df_error int, ss_effect double, ss_error double, F double, "
               "p double, eta2_partial double, eta2_CI_low double, eta2_CI_high double")
-    return df.sparkSession.createDataFrame(rows, schema)
+    out = df.sparkSession.createDataFrame(rows, schema)
+    return out.drop("dv") if isinstance(y, str) else out
 
 
 def kruskal_dunn(df: DataFrame, y: str, group: str) -> tuple[DataFrame, DataFrame]:
@@ -236,21 +241,23 @@ def remove_careless(df: DataFrame, subject: str, items: Sequence[str], pct: floa
     return df.join(f, subject, "left_anti")
 
 
-def art_as_effects(art: DataFrame) -> DataFrame:
-    """ART rows in the shared effect-table vocabulary (term, NumDF, DenDF, F, p, ...)."""
-    return art.select(F.col("effect").alias("term"), F.col("df_effect").alias("NumDF"),
+def art_as_effects(art: DataFrame, suffix: str = "_art") -> DataFrame:
+    """ART rows in the shared effect-table vocabulary (term, NumDF, DenDF, F,
+    p, ...); ``suffix`` tells their responses from those of another model."""
+    dv = [F.concat("dv", F.lit(suffix)).alias("dv")] if "dv" in art.columns else []
+    return art.select(*dv, F.col("effect").alias("term"), F.col("df_effect").alias("NumDF"),
                       F.col("df_error").cast("double").alias("DenDF"), "F", "p", "eta2_partial", "eta2_CI_low",
                       "eta2_CI_high", F.lit("aligned_rank").alias("random_structure"))
 
 
-def effect_table(tables: dict[str, DataFrame], sizes: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
-    """Union the per-response effect tables (G1; columns term, NumDF,
-    DenDF, F, p, ...), attach effect sizes by term (C4 left join, when given
-    separately), tag the effect type (B29) and Holm-adjust within each
-    response (E3)."""
+def effect_table(tables: dict[str, DataFrame] | Sequence[DataFrame], sizes: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
+    """Union the effect tables (G1; columns term, NumDF, DenDF, F, p,
+    ...), given per response or with a column ``dv`` that names it, attach
+    effect sizes by term (C4 left join, when given separately), tag the effect
+    type (B29) and Holm-adjust within each response (E3)."""
     from panelkit.operators.encode import effect_type
 
-    parts = [t.withColumn("dv", F.lit(dv)) for dv, t in tables.items()]
+    parts = [t.withColumn("dv", F.lit(dv)) for dv, t in tables.items()] if isinstance(tables, dict) else list(tables)
     u = parts[0]
     for p_ in parts[1:]:
         u = u.unionByName(p_, allowMissingColumns=True)

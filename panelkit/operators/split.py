@@ -8,14 +8,16 @@ un-partitioned window.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.random import portable_uniform
 from panelkit.operators import ranks
+from panelkit.session import materialize
 
 
 #: Bootstrap draws generated from one row.
@@ -166,20 +168,106 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str], replicates: int,
     return draws.join(numbered, list(by) + ["__idx"], "inner").drop("__idx", "__n", "__draw")
 
 
-def permutation_map(df: DataFrame, key: str, features: Sequence[str], repeats: int, seed: int = 42) -> DataFrame:
-    """H6: for each (feature, repeat), a permutation of the rows as a map
-    (feature, repeat, key, source_key): row ranked r by identity receives the
-    row ranked r by hash(seed, feature, repeat, key). The identity rank is the
-    same in every copy, so rows are numbered once and then copied."""
-    base = df.select(key)
+# ------------------------------------------------------------------ H6 keyed bijections
+#: Modulus of the round function, the largest prime below 2^31: squares fit a long.
+_PRIME = (1 << 31) - 1
+ROUNDS = 4
+#: Steps of a cycle walk that are unrolled; a walk is never longer than the root of the row count, and of more
+#: than four steps with a probability below the fourth power of one over that root.
+WALK = 64
+
+
+def bijection_keys(seed: int, *parts) -> list[int]:
+    """Three round keys per round, from md5 of (seed, parts, position)."""
+    def key(i: int) -> int:
+        text = ":".join(str(x) for x in (seed, *parts, i))
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % (_PRIME - 1) + 1
+
+    return [key(i) for i in range(3 * ROUNDS)]
+
+
+def _mixed(digit: Column, keys: Column, r: int) -> Column:
+    """Keyed quadratic hash of a digit, below ``_PRIME``."""
+    a, b, c = (F.element_at(keys, 3 * r + i + 1) for i in range(3))
+    t = (a * (digit % _PRIME + 1) + b) % _PRIME
+    return (t * t + c) % _PRIME
+
+
+def _base(n: int) -> tuple[int, int]:
+    """Mixed base (w, h) of 0..n-1: w * h >= n, fewer than w numbers in excess."""
+    w = math.isqrt(max(n - 1, 0)) + 1
+    return w, -(-n // w) or 1
+
+
+def with_bijection(df: DataFrame, index: str, n: int, keys: str, out: str) -> DataFrame:
+    """Add ``out``: a permutation of 0..n-1, computed from the index without
+    sort or shuffle. The index is a pair of digits in the mixed base; rounds
+    add a keyed quadratic hash of one digit to the other, which is a bijection
+    of the pairs for any hash; a pair beyond n walks on along its cycle, which
+    ends at a number below n. ``keys``: a column of :func:`bijection_keys`."""
+    w, h = _base(n)
+    k = F.col(keys)
+
+    def once(x: Column) -> Column:
+        """The same rounds as one expression, each round a lambda's argument."""
+        state = F.array(F.struct(F.call_function("div", x, F.lit(w)).alias("h"), (x % w).alias("l")))
+        for r in range(0, ROUNDS, 2):
+            state = F.transform(state, lambda s: F.struct(((s["h"] + _mixed(s["l"], k, r)) % h).alias("h"), s["l"].alias("l")))  # noqa: B023
+            state = F.transform(state, lambda s: F.struct(s["h"].alias("h"), ((s["l"] + _mixed(s["h"], k, r + 1)) % w).alias("l")))  # noqa: B023
+        return state[0]["h"] * w + state[0]["l"]
+
+    df = df.withColumns({"__h": F.call_function("div", F.col(index), F.lit(w)), "__l": F.col(index) % w})
+    for r in range(0, ROUNDS, 2):
+        df = df.withColumn("__h", (F.col("__h") + _mixed(F.col("__l"), k, r)) % h)
+        df = df.withColumn("__l", (F.col("__l") + _mixed(F.col("__h"), k, r + 1)) % w)
+    df = df.withColumn("__b", F.col("__h") * w + F.col("__l")).drop("__h", "__l")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col("__b"), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    df = df.withColumn("__b", F.when(F.col("__b") < n, F.col("__b")).otherwise(walked))
+    ended = F.when(F.col("__b") < n, F.col("__b")).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("bigint"))
+    return df.withColumn(out, ended).drop(*[c for c in ["__b"] if c != out])
+
+
+def bijection_sql(index: str, n: str, keys: str) -> str:
+    """The DuckDB text of :func:`with_bijection`; ``keys`` is a list expression."""
+    w = f"CAST(ceil(sqrt({n})) AS BIGINT)"
+    h = f"(({n} + {w} - 1) // {w})"
+
+    def mixed(digit: str, r: int) -> str:
+        t = f"((({keys})[{3 * r + 1}] * ({digit} % {_PRIME} + 1) + ({keys})[{3 * r + 2}]) % {_PRIME})"
+        return f"(({t} * {t} + ({keys})[{3 * r + 3}]) % {_PRIME})"
+
+    def once(x: str) -> str:
+        state = f"[{x} // {w}, {x} % {w}]"
+        for r in range(0, ROUNDS, 2):
+            state = (f"list_transform([{state}], lambda s: [(s[1] + {mixed('s[2]', r)}) % {h}, s[2]])[1]")
+            state = (f"list_transform([{state}], lambda s: [s[1], (s[2] + {mixed('s[1]', r + 1)}) % {w}])[1]")
+        return f"list_transform([{state}], lambda s: s[1] * {w} + s[2])[1]"
+
+    return (f"list_reduce(list_prepend({once(index)}, CAST(range({WALK}) AS BIGINT[])), "
+            f"lambda x, i: CASE WHEN x < {n} THEN x ELSE {once('x')} END)")
+
+
+def numbered_rows(df: DataFrame, key: str, out: str = "__i") -> DataFrame:
+    """Rows with their 0-based identity rank, written once: everything after
+    reads the numbered rows instead of the source."""
+    src = materialize(df)
+    return materialize(ranks.row_number(src, [key], out=out).withColumn(out, F.col(out) - 1))
+
+
+def permutation_combos(spark, features: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """One row per (feature, repeat) with its round keys."""
     from panelkit.functions.common import literal_table
 
-    combos = literal_table(df.sparkSession, [(f, r) for f in features for r in range(1, repeats + 1)],
-                           ["feature", "repeat"], ["string", "int"])
-    x = base.crossJoin(F.broadcast(combos))
-    by = ["feature", "repeat"]
-    ident = ranks.row_number(base, [key], out="__r").crossJoin(F.broadcast(combos))
-    shuf = ranks.row_number(x.withColumn("__u", portable_uniform(F.lit(seed), F.col("feature"), F.col("repeat"),
-                                                                 F.col(key))),
-                            ["__u", key], out="__r", by=by).select(*by, "__r", F.col(key).alias("source_key"))
-    return ident.join(shuf, by + ["__r"], "inner").drop("__r")
+    return literal_table(spark, [(f, r, bijection_keys(seed, f, r)) for f in features for r in range(1, repeats + 1)],
+                         ["feature", "repeat", "__keys"], ["string", "int", "array<bigint>"])
+
+
+def permutation_map(df: DataFrame, key: str, features: Sequence[str], repeats: int, seed: int = 42) -> DataFrame:
+    """H6: for each (feature, repeat), a permutation of the rows as a map
+    (feature, repeat, key, source_key): the row with identity rank i receives
+    the row with rank ``bijection(i)``. One numbering for all copies; the
+    source rank is computed, not sorted, and met by one join."""
+    base = numbered_rows(df.select(key), key)
+    combos = permutation_combos(df.sparkSession, features, repeats, seed)  # features x repeats rows
+    x = with_bijection(base.crossJoin(F.broadcast(combos)), "__i", base.count(), "__keys", "__i").select(key, "feature", "repeat", "__i")
+    return x.join(base.withColumnRenamed(key, "source_key"), "__i").drop("__i")

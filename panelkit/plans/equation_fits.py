@@ -195,8 +195,8 @@ def equations_two_term(spark, sf_dir):
     """M5 greedy two-term search: best affine term per scenario plus every
     second (predictor, form) term, ranked in one hall of fame."""
     r = clean_ratings(spark, sf_dir).where(F.col("age").isNotNull())
-    fits = equations.fit_equations(r, ["scenario"], PREDICTORS, "rating")
-    two = equations.fit_two_term(r, ["scenario"], PREDICTORS, "rating", fits=fits)
+    grams = equations.gram_table(r, ["scenario"], PREDICTORS, "rating")  # the only read of the rows
+    fits, two = equations.fits_from_grams(grams), equations.two_terms_from_grams(grams)
     hof = equations.hall_of_fame(equations.with_two_term(fits, two), ["scenario"])
     return _r(hof.select("scenario", *OUT, "predictor2", "form2"))
 
@@ -212,6 +212,15 @@ def _two_term_query_sql():
 register("equations_two_term", "M5 M6", _two_term_query_sql())(equations_two_term)
 
 
+def equations_three_terms(spark, sf_dir):
+    """M5 forward selection up to three terms per scenario, from one read of the rows."""
+    r = clean_ratings(spark, sf_dir).where(F.col("age").isNotNull())
+    return equations.fit_forward(r, ["scenario"], PREDICTORS, "rating", terms=3)
+
+
+register("equations_three_terms", "M5 M8")(equations_three_terms)
+
+
 # ------------------------------------------------------------------ M7
 def equations_predict(spark, sf_dir):
     r = clean_ratings(spark, sf_dir)
@@ -239,8 +248,8 @@ def equations_predict_two_term(spark, sf_dir):
     """M7 over several predictors and two-term equations: error of each
     scenario's chosen equation on its own rows."""
     r = clean_ratings(spark, sf_dir).where(F.col("age").isNotNull())
-    fits = equations.fit_equations(r, ["scenario"], PREDICTORS, "rating")
-    two = equations.fit_two_term(r, ["scenario"], PREDICTORS, "rating", fits=fits)
+    grams = equations.gram_table(r, ["scenario"], PREDICTORS, "rating")  # the only read of the rows
+    fits, two = equations.fits_from_grams(grams), equations.two_terms_from_grams(grams)
     hof = equations.hall_of_fame(equations.with_two_term(fits, two), ["scenario"])
     # the most accurate equation of each scenario, so that two-term rows are predicted too
     best = hof.withColumn("chosen", F.col("loss") == F.min("loss").over(Window.partitionBy("scenario")))

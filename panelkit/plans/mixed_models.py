@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from panelkit.operators import clean, mixed
@@ -96,33 +98,63 @@ register("mixed_prediction_interval", "J13")(mixed_prediction_interval)
 
 
 # ------------------------------------------------------------------ J6 random slope, type III
-def random_slope_tables(spark, sf_dir):
-    """One type III table per response (random intercept + slope on quality, REML)."""
-    from panelkit.operators import mixed_slope
-    from panelkit.plans.stats import _panel_signal
-
-    p = clean.center(_panel_signal(spark, sf_dir), "quality", "quality_c").cache()
-    design, terms = mixed.sum_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS,
-                                                                     "scenario": SCENARIO_LEVELS},
-                                     interactions=mixed.full_crossing(["introduction", "scenario", "quality_c"]))
-    out = {}
-    for dv in ("rating", "rating_signal"):
-        fit = mixed_slope.fit_random_slope(mixed_slope.slope_stats(p, dv, design, "participant", "quality_c"))
-        out[dv] = mixed_slope.type3_tests(spark, fit, terms)
-    return out
+def _slope_design():
+    """Full crossing of both factors with quality, sum-coded."""
+    return mixed.sum_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS, "scenario": SCENARIO_LEVELS},
+                            interactions=mixed.full_crossing(["introduction", "scenario", "quality_c"]))
 
 
 def random_slope_anova(spark, sf_dir):
-    out = None
-    for dv, t in random_slope_tables(spark, sf_dir).items():
-        t = t.withColumn("dv", F.lit(dv))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """Type III tables of every response (random intercept + slope on quality,
+    REML), all from one scan."""
+    from panelkit.operators import mixed_slope
+
+    p = clean.center(fx.responses(spark, sf_dir), "quality", "quality_c")
+    design, terms = _slope_design()
+    stats = mixed_slope.slope_stats(p, fx.RESPONSES, design, "participant", "quality_c")
+    return mixed_slope.type3_tests(spark, mixed_slope.fit_random_slope(stats), terms)
 
 
 register("random_slope_anova", "J6 B32 B33")(random_slope_anova)
 
 
+def slope_pattern_sums(spark, sf_dir):
+    """The sums behind the random-slope fits: per response and pattern of
+    (n, sum z, sum z^2) the groups and their summed products, z = quality - 76.5
+    (multiples of 1/64, as responses are quarter steps)."""
+    from panelkit.operators import mixed_slope
+
+    p = fx.responses(spark, sf_dir).withColumn("z", F.col("quality") - 76.5)
+    st = mixed_slope.slope_stats(p, fx.RESPONSES, mixed.treatment_design(numeric=["z"]), "participant", "z")
+    k = len(fx.RESPONSES)
+    rows = st.rows.select("n", "sz", "szz", "count", _doubles("w", 2 * (2 + k)).alias("w"))
+    each = rows.select("n", "sz", "szz", "count", F.explode(F.array(*[
+        F.struct(F.lit(y).alias("dv"), F.col("w")[2 + j].alias("a"), F.col("w")[2 + k + 2 + j].alias("b"))
+        for j, y in enumerate(fx.RESPONSES)])).alias("e")).select("n", "sz", "szz", "count", "e.*")
+    out = each.groupBy("dv", "n", "sz", "szz").agg(
+        F.sum("count").cast("long").alias("groups"), *[(F.round(F.sum(x) * 64) / 64).alias(c) for c, x in (
+            ("yy", F.col("a") * F.col("a")), ("yz", F.col("a") * F.col("b")), ("zz", F.col("b") * F.col("b")))])
+    return out.withColumns({c: F.round(c, 6) for c in ("sz", "szz")})
+
+
+def _doubles(col: str, n: int):
+    """A packed little-endian array of n doubles as an array column."""
+    @F.pandas_udf("array<double>")
+    def unpack(v: pd.Series) -> pd.Series:
+        return v.map(np.frombuffer)
+
+    return unpack(col)
+
+
+register("slope_pattern_sums", "J6 F4", fx.with_views("""
+, g AS (SELECT dv, participant, count(*) AS n, sum(quality - 76.5) AS sz, sum((quality - 76.5) * (quality - 76.5)) AS szz,
+               sum(y) AS a, sum(y * (quality - 76.5)) AS b
+        FROM (UNPIVOT responses ON COLUMNS('item.*') INTO NAME dv VALUE y) GROUP BY ALL)
+SELECT dv, CAST(n AS DOUBLE) AS n, round(CAST(sz AS DOUBLE), 6) AS sz, round(CAST(szz AS DOUBLE), 6) AS szz, count(*) AS groups,
+       round(CAST(sum(a * a) AS DOUBLE) * 64) / 64 AS yy, round(CAST(sum(a * b) AS DOUBLE) * 64) / 64 AS yz, round(CAST(sum(b * b) AS DOUBLE) * 64) / 64 AS zz
+FROM g GROUP BY ALL""", "responses").replace("\n, g AS", ",\ng AS"))(slope_pattern_sums)
+
+
 # ------------------------------------------------------------------ J7 ordinal mixed model
 def ordinal_mixed(spark, sf_dir):
     from panelkit.operators import encode, ordinal

@@ -7,7 +7,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from panelkit.functions.random import uniform_sql
+from panelkit.functions.random import portable_uniform
 from panelkit.operators import encode, explain, importance, metrics, models, split
 from panelkit.plans.registry import register
 from panelkit.sources import fixtures as fx
@@ -93,17 +93,62 @@ register("boost_native_categoricals", "K2 B24")(boost_native_categoricals)
 
 
 # ------------------------------------------------------------------ K8 + D9
+QUANTILES = [0.25, 0.5, 0.75]
+
+
 def forest_quantiles(spark, sf_dir):
     train, test, _ = _frames(spark, sf_dir)
     m = models.learner("forest", label=Y).fit(train)
-    q = models.tree_quantiles(m, test, [0.25, 0.5, 0.75])
-    long = encode.unpivot_quantiles(q, "qpred", [0.25, 0.5, 0.75], keep=["row_id", Y])
+    q = models.forest_quantiles(m, test, models.leaf_table(m, train, Y), "row_id", QUANTILES)
+    long = encode.unpivot_quantiles(q, "qpred", QUANTILES, keep=["row_id", Y])
     return metrics.quantile_mae(long, Y)
 
 
 register("forest_quantiles", "K8 B34 D9")(forest_quantiles)
 
 
+def forest_interval_coverage(spark, sf_dir):
+    """K8: share of held-out rows of a noisy response inside its 25-75 % interval."""
+    noise = (portable_uniform(F.lit(7), F.col("row_id")) - 0.5) * 2
+    train, test = (d.withColumn("noisy", F.col(Y) + noise) for d in _frames(spark, sf_dir)[:2])
+    m = models.learner("forest", label="noisy").fit(train)
+    q = models.forest_quantiles(m, test, models.leaf_table(m, train, "noisy"), "row_id", QUANTILES)
+    inside = (F.col("noisy") >= F.col("qpred")[0]) & (F.col("noisy") <= F.col("qpred")[2])
+    return q.agg(F.count(F.lit(1)).alias("n"), F.avg(inside.cast("double")).alias("coverage"),
+                 F.avg(F.col("qpred")[2] - F.col("qpred")[0]).alias("mean_width"))
+
+
+register("forest_interval_coverage", "K8")(forest_interval_coverage)
+
+
+def leaf_mixture_quantiles(spark, sf_dir):
+    """K8 on given leaves: orders fall into 5 trees of 7 leaves by customer,
+    customers are scored."""
+    trees = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tree")
+
+    def leaf(key: str):
+        return ((F.col(key) * (F.col("tree") + 3) + F.col("tree")) % 7).cast("int").alias("leaf")
+
+    o = fx.table(spark, sf_dir, "orders").select("o_custkey", F.round(F.col("o_totalprice") / 5000).alias("y"), trees)
+    c = fx.table(spark, sf_dir, "customer").select("c_custkey", trees)
+    table = models.leaf_weights(o.select("tree", leaf("o_custkey"), "y"), "y")
+    q = models.mixture_quantiles(c.select("c_custkey", "tree", leaf("c_custkey")), table, "c_custkey", QUANTILES)
+    return q.select("c_custkey", *[F.col("qpred")[i].alias(f"q{int(100 * p)}") for i, p in enumerate(QUANTILES)])
+
+
+register("leaf_mixture_quantiles", "K8 B34", """
+WITH t AS (SELECT CAST(tree AS BIGINT) AS tree FROM range(5) t(tree)),
+o AS (SELECT tree, (o_custkey * (tree + 3) + tree) % 7 AS leaf, round(o_totalprice / 5000) AS value FROM orders, t),
+n AS (SELECT tree, leaf, value, count(*) AS n FROM o GROUP BY tree, leaf, value),
+w AS (SELECT tree, leaf, value, n / sum(n) OVER (PARTITION BY tree, leaf) AS weight FROM n),
+m AS (SELECT c_custkey, value, sum(weight) AS w FROM customer, t, w
+      WHERE w.tree = t.tree AND w.leaf = (c_custkey * (t.tree + 3) + t.tree) % 7 GROUP BY ALL),
+s AS (SELECT c_custkey, value, sum(w) OVER (PARTITION BY c_custkey ORDER BY value ROWS UNBOUNDED PRECEDING)
+             / sum(w) OVER (PARTITION BY c_custkey) AS share FROM m)
+SELECT c_custkey, """ + ", ".join(f"CAST(min(CASE WHEN share >= {p} - 1e-9 THEN value END) AS DOUBLE) AS q{int(100 * p)}" for p in QUANTILES)
+         + " FROM s GROUP BY c_custkey")(leaf_mixture_quantiles)
+
+
 # ------------------------------------------------------------------ K9, L1, D17, D18
 def model_importances(spark, sf_dir):
     train, _, prep = _frames(spark, sf_dir)
@@ -216,16 +261,17 @@ def permutation_importance_linear(spark, sf_dir):
                       F.round("importance_sd", 6).alias("importance_sd"))
 
 
+def _combos_sql(features, repeats: int, seed: int = 42) -> str:
+    """(feature, repeat, keys) of the keyed bijections as a VALUES list."""
+    return ", ".join(f"('{f}', {r}, {split.bijection_keys(seed, f, r)}::BIGINT[])" for f in features for r in range(1, repeats + 1))
+
+
 register("permutation_importance_linear", "L2 H6 F12", fx.with_views(f"""
 , mx AS (SELECT max(o_totalprice) AS mx FROM orders),
-x AS (SELECT s.row_id, s.target, s.o_totalprice, s.c_mktsegment, f.feature, CAST(r.repeat AS INT) AS repeat
-      FROM signal s, (VALUES ('o_totalprice'), ('c_mktsegment')) f(feature), range(1, 31) r(repeat)),
-a AS (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY row_id) AS r FROM x),
-b AS (SELECT feature, repeat, row_id AS source_key,
-             row_number() OVER (PARTITION BY feature, repeat ORDER BY {uniform_sql('42', 'feature', 'repeat', 'row_id')}, row_id) AS r
-      FROM x),
-p AS (SELECT a.*, src.o_totalprice AS sp, src.c_mktsegment AS sm
-      FROM a JOIN b USING (feature, repeat, r) JOIN signal src ON src.row_id = b.source_key),
+a AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM signal),
+x AS (SELECT f.feature, f.repeat, a.o_totalprice AS sp, a.c_mktsegment AS sm, {split.bijection_sql('i', 'n', 'f.keys')} AS i
+      FROM a, (VALUES {_combos_sql(['o_totalprice', 'c_mktsegment'], 30)}) f(feature, repeat, keys)),
+p AS (SELECT x.feature, x.repeat, x.sp, x.sm, a.target, a.o_totalprice, a.c_mktsegment FROM x JOIN a USING (i)),
 sc AS (SELECT feature, repeat, target,
               1.0 + 4 * (CASE WHEN feature = 'o_totalprice' THEN sp ELSE o_totalprice END) / mx
                   + 0.5 * CAST((CASE WHEN feature = 'c_mktsegment' THEN sm ELSE c_mktsegment END) = 'BUILDING' AS DOUBLE)

@@ -170,14 +170,13 @@ def permutation_fixed_points(spark, sf_dir):
 
 
 register("permutation_fixed_points", "H6", _fix(fx.with_views(f"""
-, k AS (SELECT participant || '|' || CAST(quality AS VARCHAR) AS key FROM panel),
-c AS (SELECT * FROM (VALUES ('quality'), ('scenario')) f(feature), range(1, 4) r(repeat)),
-x AS (SELECT k.key, c.feature, CAST(c.repeat AS INT) AS repeat FROM k, c),
-a AS (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY key) AS r FROM x),
-b AS (SELECT feature, repeat, key AS source_key,
-             row_number() OVER (PARTITION BY feature, repeat ORDER BY {uniform_sql('42', 'feature', 'repeat', 'key')}, key) AS r
-      FROM x)
-SELECT feature, repeat, count(*) AS n, count(DISTINCT source_key) AS n_sources,
+, a AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n
+        FROM (SELECT participant || '|' || CAST(quality AS VARCHAR) AS key FROM panel)),
+x AS (SELECT key, feature, repeat, {split.bijection_sql('i', 'n', 'keys')} AS i
+      FROM a, (VALUES {', '.join(f"('{f}', {r}, {split.bijection_keys(42, f, r)}::BIGINT[])" for f in ('quality', 'scenario') for r in (1, 2, 3))})
+              c(feature, repeat, keys)),
+m AS (SELECT x.feature, x.repeat, x.key, a.key AS source_key FROM x JOIN a USING (i))
+SELECT feature, CAST(repeat AS INT) AS repeat, count(*) AS n, count(DISTINCT source_key) AS n_sources,
        CAST(count_if(key = source_key) AS BIGINT) AS n_fixed,
        min(CASE WHEN key = 'P1|67.0' THEN source_key END) AS source_of_first
-FROM a JOIN b USING (feature, repeat, r) GROUP BY 1, 2""", "panel")))(permutation_fixed_points)
+FROM m GROUP BY 1, 2""", "panel")))(permutation_fixed_points)

@@ -35,56 +35,58 @@ PANEL_SIGNAL_SQL = ("SELECT *, round(least(5.0, greatest(1.0, rating + (quality
 
 
 # ------------------------------------------------------------------ J8 ART
-def art_sql(src: str, y: str, between, within, subject, digits: int = 9) -> str:
-    """DuckDB text of the ART F statistics (same algebra as ``nonparam.art_anova``)."""
-    factors = list(between) + list(within)
+def art_sql(src: str, y: str, between, within, subject, digits: int = 9, by=()) -> str:
+    """DuckDB text of the ART F statistics (same algebra as
+    ``nonparam.art_anova``), per group of the columns ``by`` when given."""
+    factors, by = list(between) + list(within), list(by)
+
+    def cols(*xs) -> str:
+        return ", ".join([*by, *xs])
 
     def subsets(xs):
         for k in range(len(xs) + 1):
             yield from itertools.combinations(xs, k)
 
+    def grouped(*xs) -> str:
+        return f" GROUP BY {cols(*xs)}" if by or xs else ""
+
+    def joined(table: str, *xs) -> str:
+        return f"JOIN {table} USING ({cols(*xs)})" if by or xs else f"CROSS JOIN {table}"
+
     effects = [e for e in subsets(factors) if e]
-    fl = ", ".join(factors)
-    ctes = [f"cells AS (SELECT {fl}, sum({y}) AS s, count(*) AS c FROM {src} GROUP BY {fl})"]
-    mcols = []
+    named = "".join(f"{c}, " for c in by)
+    ctes = [f"cells AS (SELECT {cols(*factors)}, sum({y}) AS s, count(*) AS c FROM {src}{grouped(*factors)})"]
     for t in subsets(factors):
         name = "m_" + "_".join(t)
-        if t:
-            tl = ", ".join(t)
-            ctes.append(f"{name}_t AS (SELECT {tl}, sum(s) / sum(c) AS {name} FROM cells GROUP BY {tl})")
-        else:
-            ctes.append(f"{name}_t AS (SELECT sum(s) / sum(c) AS {name} FROM cells)")
-        mcols.append((t, name))
-    joins = " ".join(f"JOIN {n}_t USING ({', '.join(t)})" if t else f"CROSS JOIN {n}_t" for t, n in mcols)
+        ctes.append(f"{name}_t AS (SELECT {''.join(f'{c}, ' for c in [*by, *t])}sum(s) / sum(c) AS {name} FROM cells{grouped(*t)})")
+    joins = " ".join(joined(f"m_{'_'.join(t)}_t", *t) for t in subsets(factors))
     ctes.append(f"means AS (SELECT * FROM cells {joins})")
 
     def est(e):
-        parts = []
-        for t in subsets(e):
-            sign = "+" if (len(e) - len(t)) % 2 == 0 else "-"
-            parts.append(f"{sign} m_{'_'.join(t)}")
-        return " ".join(parts)
+        return " ".join(f"{'+' if (len(e) - len(t)) % 2 == 0 else '-'} m_{'_'.join(t)}" for t in subsets(e))
 
     full = "m_" + "_".join(factors)
     sel = " UNION ALL ".join(
-        f"SELECT '{':'.join(e)}' AS effect, {subject}, {fl}, round({y} + ({est(e)}) - {full}, {digits}) AS v "
-        f"FROM {src} JOIN means USING ({fl})" for e in effects)
+        f"SELECT '{':'.join(e)}' AS effect, {cols(subject, *factors)}, round({y} + ({est(e)}) - {full}, {digits}) AS v "
+        f"FROM {src} JOIN means USING ({cols(*factors)})" for e in effects)
     ctes.append(f"aligned AS ({sel})")
-    ctes.append("ranked AS (SELECT *, rank() OVER (PARTITION BY effect ORDER BY v) "
-                "+ (count(*) OVER (PARTITION BY effect, v) - 1) / 2.0 AS r FROM aligned)")
-    ctes.append(f"cell_r AS (SELECT effect, {fl}, sum(r) AS sr, count(*) AS n FROM ranked GROUP BY effect, {fl})")
-    ctes.append(f"subj AS (SELECT effect, sum(s * s / n) AS ss_subj, count(*) AS n_s FROM "
-                f"(SELECT effect, {subject}, sum(r) AS s, count(*) AS n FROM ranked GROUP BY 1, 2) GROUP BY effect)")
-    ctes.append("tot AS (SELECT effect, sum(r * r) AS ss_rows FROM ranked GROUP BY effect)")
+    key = cols("effect")
+    ctes.append(f"ranked AS (SELECT *, rank() OVER (PARTITION BY {key} ORDER BY v) "
+                f"+ (count(*) OVER (PARTITION BY {key}, v) - 1) / 2.0 AS r FROM aligned)")
+    ctes.append(f"cell_r AS (SELECT {cols('effect', *factors)}, sum(r) AS sr, count(*) AS n FROM ranked GROUP BY {cols('effect', *factors)})")
+    ctes.append(f"subj AS (SELECT {key}, sum(s * s / n) AS ss_subj, count(*) AS n_s FROM "
+                f"(SELECT {cols('effect', subject)}, sum(r) AS s, count(*) AS n FROM ranked GROUP BY {cols('effect', subject)}) GROUP BY {key})")
+    ctes.append(f"tot AS (SELECT {key}, sum(r * r) AS ss_rows FROM ranked GROUP BY {key})")
     ctes.append("lv AS (SELECT " + ", ".join(f"count(DISTINCT {c}) AS l_{c}" for c in factors) + " FROM cells)")
     nb = ("(SELECT count(*) FROM (SELECT DISTINCT " + ", ".join(between) + " FROM cells))") if between else "1"
+    same = "".join(f" AND c.{c} = subj.{c}" for c in by)
 
     def margin(e, t):
+        rows = f"FROM cell_r c WHERE c.effect = '{':'.join(e)}'{same}"
         if t:
             tl = ", ".join(t)
-            return (f"(SELECT sum(s * s / n) FROM (SELECT {tl}, sum(sr) AS s, sum(n) AS n FROM cell_r "
-                    f"WHERE effect = '{':'.join(e)}' GROUP BY {tl}))")
-        return f"(SELECT sum(sr) * sum(sr) / sum(n) FROM cell_r WHERE effect = '{':'.join(e)}')"
+            return f"(SELECT sum(s * s / n) FROM (SELECT {tl}, sum(sr) AS s, sum(n) AS n {rows} GROUP BY {tl}))"
+        return f"(SELECT sum(sr) * sum(sr) / sum(n) {rows})"
 
     rows = []
     for e in effects:
@@ -97,11 +99,11 @@ def art_sql(src: str, y: str, between, within, subject, digits: int = 9) -> str:
         else:
             ss_err = f"ss_subj - {margin(e, tuple(between))}"
             df_err = f"(n_s - {nb})"
-        rows.append(f"SELECT '{':'.join(e)}' AS effect, CAST({df_e} AS INT) AS df_effect, "
+        rows.append(f"SELECT {''.join(f'subj.{c}, ' for c in by)}'{':'.join(e)}' AS effect, CAST({df_e} AS INT) AS df_effect, "
                     f"CAST({df_err} AS INT) AS df_error, ({ss_e}) AS ss_effect, ({ss_err}) AS ss_error "
-                    f"FROM subj JOIN tot USING (effect) CROSS JOIN lv WHERE effect = '{':'.join(e)}'")
+                    f"FROM subj JOIN tot USING ({key}) CROSS JOIN lv WHERE effect = '{':'.join(e)}'")
     ctes.append("res AS (" + " UNION ALL ".join(rows) + ")")
-    return ("WITH " + ",\n".join(ctes) + "\nSELECT effect, df_effect, df_error, round(ss_effect, 4) AS ss_effect, "
+    return ("WITH " + ",\n".join(ctes) + f"\nSELECT {named}effect, df_effect, df_error, round(ss_effect, 4) AS ss_effect, "
             "round((ss_effect / df_effect) / (ss_error / df_error), 6) AS F, "
             "round(ss_effect / (ss_effect + ss_error), 6) AS eta2_partial FROM res")
 
@@ -132,6 +134,22 @@ def art_null(spark, sf_dir):
 register("art_null", "J8 F5", _art_oracle("rating", "SELECT * FROM panel"))(art_null)
 
 
+def art_responses(spark, sf_dir):
+    """ART of every response of the questionnaire in one pass."""
+    a = nonparam.art_anova(fx.responses(spark, sf_dir), fx.RESPONSES, BETWEEN, WITHIN, SUBJECT)
+    return a.select("dv", "effect", "df_effect", "df_error", F.round("ss_effect", 4).alias("ss_effect"),
+                    F.round("F", 6).alias("F"), F.round("eta2_partial", 6).alias("eta2_partial"))
+
+
+def _art_responses_oracle() -> str:
+    base = fx.with_views("SELECT 1", "responses")[: -len("\nSELECT 1")]
+    sql = art_sql("src", "y", BETWEEN, WITHIN, SUBJECT, by=["dv"])[len("WITH "):]
+    return base + ",\nsrc AS (UNPIVOT responses ON COLUMNS('item.*') INTO NAME dv VALUE y),\n" + sql
+
+
+register("art_responses", "J8 F5 E4", _art_responses_oracle())(art_responses)
+
+
 # ------------------------------------------------------------------ J9 Dunn + Kruskal-Wallis
 DUNN_BASE = """
 , rk AS (SELECT scenario, rating_signal AS y,
@@ -305,15 +323,12 @@ register("ols_band_ci", "J12")(ols_band_ci)
 
 # ------------------------------------------------------------------ J14, J15
 def effect_summary(spark, sf_dir):
-    """J14 over the type III tables of the random-slope models (as in the
-    reference's per-response loop) plus the ART tables, tagged and Holm-adjusted."""
-    from panelkit.plans.mixed_models import random_slope_tables
+    """J14 over the type III tables of the random-slope models of every
+    response plus their ART tables, tagged and Holm-adjusted per response."""
+    from panelkit.plans.mixed_models import random_slope_anova
 
-    p = _panel_signal(spark, sf_dir)
-    tables = {f"{dv}_art": nonparam.art_as_effects(nonparam.art_anova(p, dv, BETWEEN, WITHIN, SUBJECT))
-              for dv in ("rating", "rating_signal")}
-    tables.update(random_slope_tables(spark, sf_dir))
-    return nonparam.effect_table(tables)
+    art = nonparam.art_anova(fx.responses(spark, sf_dir), fx.RESPONSES, BETWEEN, WITHIN, SUBJECT)
+    return nonparam.effect_table([nonparam.art_as_effects(art), random_slope_anova(spark, sf_dir)])
 
 
 register("effect_summary", "J14 B29 C4 E3 G1")(effect_summary)

@@ -92,6 +92,57 @@ FROM ratings GROUP BY participant, quality
 """
 
 
+# ---------------------------------------------------------------- responses
+#: Responses of the questionnaire panel, as many as the reference analyses.
+RESPONSES = [f"item{k:02d}" for k in range(1, 31)]
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with one Likert-like column per response: the cell's mean
+    score, shifted by participant and (for most) sloped on quality by
+    participant, clipped to 1..5 in quarter steps."""
+    li = table(spark, sf_dir, "lineitem")
+    supp = F.col("l_suppkey")
+    scores = [(F.lit(1) + (F.col("l_partkey") * (k + 2) + F.col("l_linenumber") * (2 * k + 1) + F.col("l_orderkey")) % 5).alias(f"s{k}")
+              for k in range(1, len(RESPONSES) + 1)]
+    rows = li.select(F.concat(F.lit("P"), _s("l_suppkey")).alias("participant"), supp.alias("supp"),
+                     F.element_at(F.array(*[F.lit(s) for s in ("3Spurig", "NeueMitte", "Spielstrasse", "Ueberland")]),
+                                  (F.floor(supp / 2) % 4 + 1).cast("int")).alias("scenario"),
+                     F.when(supp % 2 == 0, "boasting").otherwise("ambiguous").alias("introduction"),
+                     (F.lit(67.0) + F.col("l_quantity").cast("int") % 20).alias("quality"), *scores)
+    cell = rows.groupBy("participant", "quality").agg(
+        F.min("supp").alias("supp"), F.min("scenario").alias("scenario"), F.min("introduction").alias("introduction"),
+        *[F.avg(f"s{k}").alias(f"s{k}") for k in range(1, len(RESPONSES) + 1)])
+
+    def value(k: int):
+        shift = (F.col("supp") * (k + 1) % 7 - 3) / 6.0
+        slope = (F.col("supp") * k % 5 - 1) / 4.0
+        v = F.col(f"s{k}") + shift + (F.col("quality") - 76.5) / 10.0 * slope
+        return F.round(F.least(F.lit(5.0), F.greatest(F.lit(1.0), v)) * 4) / 4
+
+    return cell.select("participant", "quality", "scenario", "introduction",
+                       *[value(k).alias(n) for k, n in enumerate(RESPONSES, 1)])
+
+
+def _response_sql() -> str:
+    ks = range(1, len(RESPONSES) + 1)
+    means = ", ".join(f"avg(1 + (l_partkey * {k + 2} + l_linenumber * {2 * k + 1} + l_orderkey) % 5) AS s{k}" for k in ks)
+    values = ", ".join(f"round(least(5.0, greatest(1.0, s{k} + (supp * {k + 1} % 7 - 3) / 6.0::DOUBLE"
+                       f" + (quality - 76.5::DOUBLE) / 10.0::DOUBLE * ((supp * {k} % 5 - 1) / 4.0::DOUBLE))) * 4) / 4 AS {n}" for k, n in enumerate(RESPONSES, 1))
+    return f"""
+SELECT participant, quality, scenario, introduction, {values}
+FROM (SELECT concat('P', CAST(l_suppkey AS VARCHAR)) AS participant, CAST(67 + CAST(l_quantity AS INT) % 20 AS DOUBLE) AS quality,
+             min(l_suppkey) AS supp,
+             min(CASE CAST(floor(l_suppkey / 2.0) AS BIGINT) % 4 WHEN 0 THEN '3Spurig' WHEN 1 THEN 'NeueMitte'
+                 WHEN 2 THEN 'Spielstrasse' ELSE 'Ueberland' END) AS scenario,
+             min(CASE WHEN l_suppkey % 2 = 0 THEN 'boasting' ELSE 'ambiguous' END) AS introduction, {means}
+      FROM lineitem GROUP BY 1, 2)
+"""
+
+
+RESPONSES_SQL = _response_sql()
+
+
 # ---------------------------------------------------------------- scored
 N_CLASSES = 5
 
@@ -239,10 +290,11 @@ def with_views(sql: str, *names: str) -> str:
     defs = {
         "ratings": RATINGS_SQL, "panel": PANEL_SQL, "scored": SCORED_WIDE_SQL, "straight": STRAIGHT_SQL,
         "repeats": REPEATS_SQL, "importances": IMPORTANCES_SQL, "nodes": NODES_SQL, "signal": SIGNAL_SQL,
+        "responses": RESPONSES_SQL,
     }
     need = list(names)
     if "panel" in need and "ratings" not in need:
         need.insert(0, "ratings")
-    order = ["ratings", "panel", "scored", "straight", "repeats", "importances", "nodes", "signal"]
+    order = ["ratings", "panel", "scored", "straight", "repeats", "importances", "nodes", "signal", "responses"]
     ctes = ",\n".join(f"{n} AS ({defs[n]})" for n in order if n in need)
     return f"WITH {ctes}\n{sql}"

@@ -43,55 +43,112 @@ def _dense_dev(pdf, X, theta, reml):
     return dev, beta
 
 
-def test_collapsed_equals_dense(spark):
-    pdf = _data()
-    df = spark.createDataFrame(pdf)
-    d = mixed.treatment_design(numeric=["z"], factors={"cell": ["a", "b"]})
-    st = mixed_slope.slope_stats(df, "y", d, "grp", "z")
-    X = np.column_stack([np.ones(len(pdf)), (pdf.cell == "b").astype(float), pdf.z])
+def _dense_design(pdf):
+    return np.column_stack([np.ones(len(pdf)), (pdf.cell == "b").astype(float), pdf.z])
+
+
+def _design():
+    return mixed.treatment_design(numeric=["z"], factors={"cell": ["a", "b"]})
+
+
+def _check_dense(st, pdf):
+    X = _dense_design(pdf)
     for theta in ([1.0, 0.2, 0.4], [0.5, -0.1, 0.0]):
+        own = (theta[0], theta[1] * st.scale, theta[2] * st.scale)  # L is relative to z / scale
         for reml in (True, False):
-            got, beta = mixed_slope._deviance(st, theta, reml)[:2]
+            got = mixed_slope.evaluate(st, {0: own}, reml)[0]
             exp, beta_e = _dense_dev(pdf, X, theta, reml)
-            assert abs(got - exp) < 1e-8 and np.allclose(beta, beta_e)
+            assert abs(got.dev - exp) < 1e-8 and np.allclose(got.beta, beta_e)
+
+
+def test_collapsed_equals_dense(spark):
+    pdf = _data()
+    st = mixed_slope.slope_stats(spark.createDataFrame(pdf), "y", _design(), "grp", "z")
+    assert (st.N, st.G) == (150, 30)
+    # one pattern for all groups: at most as many rows as W has entries
+    assert st.rows.count() == 2 * (3 + 1) and st.rows.select("k0", "k1", "k2").distinct().count() == 1
+    _check_dense(st, pdf)
 
 
-def test_fit_and_type3(spark):
+def test_patterns_of_one_group_each_equal_dense(spark):
+    pdf = _data()
+    pdf["z"] = pdf.z + pdf.grp.str[1:].astype(int) * 0.137
+    pdf = pdf.drop(pdf.index[[3, 17, 18, 60]])
+    st = mixed_slope.slope_stats(spark.createDataFrame(pdf).repartition(7), "y", _design(), "grp", "z", held=5)
+    assert st.rows.count() == 30
+    _check_dense(st, pdf)
+
+
+def test_derivatives_equal_differences(spark):
+    st = mixed_slope.slope_stats(spark.createDataFrame(_data()), "y", _design(), "grp", "z")
+    th, h = np.array([0.9, 0.15, 0.5]), 1e-5
+    for reml in (True, False):
+        at = mixed_slope.evaluate(st, {0: th}, reml)[0]
+        for a in range(3):
+            e = np.eye(3)[a] * h
+            up, down = (mixed_slope.evaluate(st, {0: th + s * e}, reml)[0] for s in (1, -1))
+            assert abs((up.dev - down.dev) / (2 * h) - at.grad[a]) < 1e-5
+            assert np.allclose((up.grad - down.grad) / (2 * h), at.hess[a], atol=1e-5, rtol=1e-6)
+
+
+def test_fit_is_a_minimum_of_the_dense_deviance(spark):
     pdf = _data(9)
-    df = spark.createDataFrame(pdf)
-    d = mixed.treatment_design(numeric=["z"], factors={"cell": ["a", "b"]})
-    fit = mixed_slope.fit_random_slope(mixed_slope.slope_stats(df, "y", d, "grp", "z"), reml=True)
-    assert fit.random_structure == "intercept+slope"
-    assert fit.D[1, 1] > 0
-    t = mixed_slope.type3_tests(spark, fit, {"z": ["z"], "cell": ["C(cell)[T.b]"]}).toPandas().set_index("term")
+    st = mixed_slope.slope_stats(spark.createDataFrame(pdf), "y", _design(), "grp", "z")
+    fit = mixed_slope.fit_random_slope(st)["y"]
+    assert fit.random_structure == "intercept+slope" and fit.converged and fit.evaluations < 30
+    X = _dense_design(pdf)
+    own = fit.point.theta * [1, 1 / st.scale, 1 / st.scale]
+    least = _dense_dev(pdf, X, own, True)[0]
+    assert abs(least - fit.deviance) < 1e-8
+    rng = np.random.default_rng(0)
+    for size in (0.3, 0.03, 0.003):
+        for _ in range(20):
+            assert _dense_dev(pdf, X, own + rng.normal(0, size, 3), True)[0] > least - 1e-9
+    t = mixed_slope.type3_tests(spark, {"y": fit}, {"z": ["z"], "cell": ["C(cell)[T.b]"]}).toPandas().set_index("term")
     # slope df: about groups - 1; between-group factor: about groups - 2
     assert 15 < t.loc["z", "DenDF"] < 60
     assert 15 < t.loc["cell", "DenDF"] < 60
-    assert t.loc["z", "p"] < 1e-3
+    assert t.loc["z", "p"] < 1e-3 and t.loc["z", "converged"]
 
 
-def test_spark_side_patterns_equal_dense(spark):
-    """More Z'Z patterns than max_keys: the collapsed table stays in Spark and
-    every likelihood evaluation is one aggregate; same deviance and fit."""
-    pdf = _data()
-    pdf["z"] = pdf.z + pdf.grp.str[1:].astype(int) % 4 * 0.25  # 4 distinct patterns
+def test_balanced_data_have_the_degrees_of_freedom_of_the_analysis_of_variance(spark):
+    """Balanced random slopes: the slope is tested on groups - 1 degrees."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(25):
+        u0, u1 = rng.normal(0, 1), rng.normal(0, 1)
+        rows += [(f"g{g}", float(z), 2 + z + u0 + u1 * z + rng.normal(0, 0.5)) for z in (-2, -1, 0, 1, 2)]
+    df = spark.createDataFrame(rows, "grp string, z double, y double")
+    st = mixed_slope.slope_stats(df, "y", mixed.treatment_design(numeric=["z"]), "grp", "z")
+    t = mixed_slope.type3_tests(spark, mixed_slope.fit_random_slope(st), {"z": ["z"]}).first()
+    assert abs(t["DenDF"] - 24) < 1e-4
+    slopes = [np.polyfit([r[1] for r in rows[i:i + 5]], [r[2] for r in rows[i:i + 5]], 1)[0] for i in range(0, 125, 5)]
+    assert abs(t["F"] - 25 * np.mean(slopes) ** 2 / np.var(slopes, ddof=1)) < 1e-5 * t["F"]
+
+
+def test_many_responses_equal_one_by_one(spark):
+    pdf = _data(9)
+    rng = np.random.default_rng(1)
+    pdf["flat"] = rng.normal(0, 1, len(pdf))  # no random effects at all
+    pdf["neg"] = 3 - 2 * pdf.y
+    pdf["shift"] = pdf.y + pdf.grp.str[1:].astype(int) % 3
     df = spark.createDataFrame(pdf)
-    d = mixed.treatment_design(numeric=["z"], factors={"cell": ["a", "b"]})
-    st = mixed_slope.slope_stats(df, "y", d, "grp", "z", max_keys=3)
-    assert st.table is not None
-    local = mixed_slope.slope_stats(df, "y", d, "grp", "z")
-    assert st.G == local.G and len(local.counts) == 4
-    X = np.column_stack([np.ones(len(pdf)), (pdf.cell == "b").astype(float), pdf.z])
-    for theta in ([1.0, 0.2, 0.4], [0.5, -0.1, 0.0]):
-        for reml in (True, False):
-            got, beta = mixed_slope._deviance(st, theta, reml)[:2]
-            exp, beta_e = _dense_dev(pdf, X, theta, reml)
-            assert abs(got - exp) < 1e-8 and np.allclose(beta, beta_e)
+    ys = ["y", "flat", "neg", "shift"]
+    together = mixed_slope.fit_random_slope(mixed_slope.slope_stats(df, ys, _design(), "grp", "z"))
+    assert list(together) == ys and all(f.converged for f in together.values())
+    assert together["flat"].random_structure == "intercept"
+    assert abs(together["neg"].s2 - 4 * together["y"].s2) < 1e-6
+    for y in ys:
+        alone = mixed_slope.fit_random_slope(mixed_slope.slope_stats(df, y, _design(), "grp", "z"))[y]
+        assert abs(alone.deviance - together[y].deviance) < 1e-7 and np.allclose(alone.beta, together[y].beta, atol=1e-6)
 
 
-def test_unit_of_the_slope_column_does_not_matter(spark):
-    import numpy as np
+def test_missing_classes(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (2.0, 3.0, 4.0)], "a double, b double, c double")
+    assert mixed_slope.missing_classes(df, ["a", "b", "c"]) == [["a", "c"], ["b"]]
+
 
+def test_unit_of_the_slope_column_does_not_matter(spark):
     rng = np.random.default_rng(8)
     rows = []
     for g in range(30):
@@ -99,19 +156,14 @@ def test_unit_of_the_slope_column_does_not_matter(spark):
         for _ in range(8):
             z = float(rng.normal())
             rows.append((f"g{g}", z, float(1 + b0 + (0.7 + b1) * z + rng.normal(0, 0.3))))
-    from panelkit.operators import mixed_slope
-
-    logl = []
-    for unit in (1.0, 1e-3, 1e-4):
+    d = mixed.treatment_design(numeric=["z"])
+    fits = []
+    for unit in (1.0, 1e-3, 1e4):
         df = spark.createDataFrame([(g, z * unit, y) for g, z, y in rows], "g string, z double, y double")
-        d = mixed.treatment_design(numeric=["z"])
-        st = mixed_slope.slope_stats(df, "y", d, "g", "z")
-        # the same relative covariance in every unit: theta scales with 1/unit in the slope rows
-        theta = (0.8, 0.1 / unit, 0.5 / unit)
-        M, logdet = mixed_slope._quad(st, theta)
-        logl.append((logdet, M[-1, -1]))
-    for got in logl[1:]:
-        assert np.allclose(got, logl[0], rtol=1e-7)
+        fits.append(mixed_slope.fit_random_slope(mixed_slope.slope_stats(df, "y", d, "g", "z"))["y"])
+    for f, unit in zip(fits, (1.0, 1e-3, 1e4)):
+        assert f.converged and np.allclose(f.D * [[1, unit], [unit, unit ** 2]], fits[0].D, rtol=1e-4)
+        assert abs(f.s2 - fits[0].s2) < 1e-8
 
 
 def test_three_way_terms(spark):

@@ -12,7 +12,7 @@ all rows hold reaches the shuffle once per map task. The groups then meet the
 documents on (hash, SHA-256), without texts.
 
 Cases: a null text counts as empty, and all empty texts form one group. A null
-id sorts after every id (so does the largest long, which is read as null). Rows that repeat both id and text all count in
+id sorts after every id. Rows that repeat both id and text all count in
 ``group_size``; they can't be told apart, so each carries ``kept`` of its id,
 and ``keep_rows`` leaves one of them. An empty table gives an empty result.
 Extra columns are ignored by ``exact_groups`` and kept by ``keep_rows``,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import register, table, text_or_empty
 
 WHITE = " \t\n\x0b\x0c\r"
-_SPAN = "18446744073709551616"  # 2**64: more than any two ids differ
+_SPAN = "36893488147419103232"  # 2**65: more than any two ids, or an id and a null, differ
 
 
 def without_white(text: Column) -> Column:
@@ -56,7 +56,7 @@ def _groups(keyed: DataFrame) -> DataFrame:
     that stays. ``order`` packs (points desc, id asc) into one decimal, which a
     hash aggregate can hold; a null id takes the last place of its points."""
     half = F.lit("9223372036854775808").cast("decimal(20,0)")
-    last = F.lit("18446744073709551615").cast("decimal(20,0)")
+    last = F.lit("18446744073709551616").cast("decimal(20,0)")
     place = F.coalesce(F.col("id").cast("decimal(20,0)") + half, last)
     base = F.col("points").cast("decimal(10,0)") * F.lit(_SPAN).cast("decimal(20,0)")
     best = (

@@ -10,18 +10,18 @@ one table of buckets keyed by those two blocks, and every linked pair meets in
 some bucket (exact, for any data). A bucket is a shard: its fingerprints form
 a BK-tree, children keyed by their Hamming distance to the parent, and a query
 follows only edges within the radius of its own distance. A bucket of more
-than ``SHARD`` fingerprints is salted into several trees; each tree holds its
-own part, and the other parts only query it. The trees travel by shuffle, not
-by driver broadcast: all fingerprints together have no size bound, a shard
-has one.
+than ``SHARD`` fingerprints is salted into parts; every part is a shard, and so
+is every pair of parts, one queried by the other. The trees travel by shuffle,
+not by driver broadcast: all fingerprints together have no size bound, a shard
+has one (twice ``SHARD``).
 
 Links: a tree keeps its members' components while it is built, so a shard
 sends one link per member (to the root of its component), and a query one per
 component it touches; never all pairs. ``connected_components`` does the rest.
 
 Cases: a null or empty text has fingerprint zero and links like any other; a
-null id gets the component of its fingerprint and never names one (null when
-no row of the component has an id); repeated rows share a component; an empty
+null id links like any other, gets the component of its fingerprint and never
+names one (null when no row of the component has an id); repeated rows share a component; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -159,8 +159,8 @@ def _shard_links(radius: int):
                 pdf = pd.concat([held, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            t, key, salt = (pdf[c].to_numpy() for c in ("t", "key", "salt"))
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+            ids = [pdf[c].to_numpy() for c in ("t", "key", "salt", "asks")]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in ids])) + 1
             last = int(cuts[-1]) if len(cuts) else 0
             held = pdf.iloc[last:]
             yield links(pdf.iloc[:last], np.concatenate(([0], cuts)) if len(cuts) else cuts)
@@ -188,11 +188,12 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
     full = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = rows.join(full, ["t", "key"]).withColumn("parts", F.ceil(F.col("m") / shard).cast("int"))
     met = met.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    dealt = met.select("t", "key", "fp", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    # only a later part queries an earlier tree: each pair of parts meets once
-    dealt = dealt.where("part >= salt").withColumn("own", F.col("part") == F.col("salt"))
-    return (dealt.select("t", "key", "salt", "fp", "rep", "own").repartition("t", "key", "salt")
-            .sortWithinPartitions("t", "key", "salt", F.desc("own"), "fp")
+    # a pair of parts is a shard of its own: the earlier part's tree, queried by the later part
+    dealt = met.select("t", "key", "fp", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("t", "key", F.least("part", "other").alias("salt"), F.greatest("part", "other").alias("asks"), "fp", "rep",
+                         (F.col("part") <= F.col("other")).alias("own"))
+    return (dealt.repartition("t", "key", "salt", "asks")
+            .sortWithinPartitions("t", "key", "salt", "asks", F.desc("own"), "fp")
             .mapInPandas(_shard_links(radius), "a long, b long").distinct())
 
 
@@ -200,10 +201,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id."""
     found = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    nodes = found.groupBy("fp").agg(F.min("id").alias("rep"))
-    parts = connected_components(near_links(nodes.where("rep IS NOT NULL"), radius, shard))
-    groups = nodes.join(parts, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("g_fp"), F.coalesce("component", "rep").alias("component_id"))
+    nodes = found.groupBy("fp").agg(F.min("id").alias("least"))
+    # fingerprints link by themselves, so rows without an id connect others too
+    parts = connected_components(near_links(nodes.select("fp", F.col("fp").alias("rep")), radius, shard))
+    named = nodes.join(parts, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("g_fp"), "least", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
+    groups = named.join(least, F.col("component") == F.col("c")).select("g_fp", "component_id")
     return found.join(groups, F.col("fp") == F.col("g_fp")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -121,15 +121,56 @@ def test_query_matches_brute_force(spark):
     assert want and got == want
 
 
-def test_oracle_matches_on_placeholders(spark, docs):
+def test_short_items_and_placeholders_need_their_own_words(spark, docs):
+    items = [(1, "42"), (2, "Yes"), (3, "Paris 1900"), (4, "7 8 9 10 11 12"), (5, "the 5 cats")]
+    rows = [(1, "There were 7 cats."), (2, "call me in 2021 please"), (3, "Paris is big"), (4, "it is 42 or so"), (5, "well, yes"), (6, "in Paris 1900 was"),
+            (7, "1 2 3 4 5 6 7"), (8, "6 7 8 9 10 11 12 13"), (9, "Rome 1900"), (10, "And the 9 cats left")]
+    got = {(r["doc_id"], r["item_id"], r["n_changed"]) for r in D.contaminated(docs(rows), items_of(spark, items)).collect()}
+    assert got == {(4, 1, 0), (5, 2, 0), (6, 3, 0), (8, 4, 0), (10, 5, 1)}
+
+
+def sql_rows(rows, items):
     import duckdb
     import pandas as pd
 
-    # the SQL slices whole lists once per window, so without the very long text
-    rows = [(i, t) for i, t in ROWS if i is not None and t not in ("another row of that id", LONG)] + [(30, "a B C D 5 kg"), (31, "x. A B C")]
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
-    con.register("benchmark", pd.DataFrame(ITEMS + [(20, "a B C D 7 kg")], columns=["item_id", "text"]))
-    want = sorted(con.execute(D.ORACLE).fetchall())
-    got = D.contaminated(docs(rows), items_of(spark, ITEMS + [(20, "a B C D 7 kg")])).collect()
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    return sorted(con.execute(D.ORACLE).fetchall())
+
+
+def test_oracle_matches_on_placeholders(spark, docs):
+    # the SQL slices whole lists once per window, so without the very long text
+    rows = [(i, t) for i, t in ROWS if i is not None and t not in ("another row of that id", LONG)] + [(30, "a B C D 5 kg"), (31, "x. A B C"),
+                                                                                        (32, "as Kim has 8 apples and gives 1 to Lee so Kim has 2")]
+    items = ITEMS + [(20, "a B C D 7 kg")]
+    want = sql_rows(rows, items)
+    got = D.contaminated(docs(rows), items_of(spark, items)).collect()
     assert sorted(tuple(r) for r in got) == want and len(want) >= 6
+
+
+def test_oracle_matches_on_names_slots_and_short_items(spark, docs):
+    rows = [(50 + i, t) for i, (_, t) in enumerate(EXCHANGED)] + [
+        (1, "x Bob has 5 apples and gives 5 to Sue so Bob has 10"), (2, STONE.replace("30 m tall", "31 m tall")),
+        (3, "x Bob has 5 apples and gives 2 to Sue so Jim has 9"), (4, "It is 42. Yes, Paris 1900 was big"), (5, STONE.upper()), (6, STONE.title()), (7, "so " + QUESTION), (8, STONE + " " + QUESTION)]
+    items = [(10, ITEM), (40, QUESTION), (41, STONE), (1, "42"), (2, "Yes"), (3, "Paris 1900"), (4, "Is Paris 1900 or 42")]
+    want = sql_rows(rows, items)
+    got = sorted(tuple(r) for r in D.contaminated(docs(rows), items_of(spark, items)).collect())
+    assert got == want and len(want) >= 9
+
+
+def test_oracle_matches_on_random_texts(spark, docs):
+    import random
+
+    rnd = random.Random(11)
+    vocab = ["Tom", "Ann", "has", "gives", "3", "4", "17", "kg", "m", "apples", "to", "and", "so", "the", "Why", "is"]
+    item = lambda: "".join(rnd.choice(vocab) + rnd.choice([" ", " ", " ", ". ", ", "]) for _ in range(rnd.randrange(1, 14)))
+    items = [(i, item()) for i in range(25)]
+
+    def changed(text):
+        return "".join(rnd.choice(vocab) + " " if rnd.random() < 0.12 else w for w in re.findall(r"\S+\s*", text))
+
+    rows = [(i, item() + changed(rnd.choice(items)[1]) + item()) for i in range(120)]
+    want = sql_rows(rows, items)
+    got = sorted(tuple(r) for r in D.contaminated(docs(rows), items_of(spark, items)).collect())
+    assert got == want and len(want) > 40 and sum(r[6] > 0 for r in want) > 3

@@ -46,3 +46,10 @@ def test_keep_rows_leaves_one_row_per_text_with_all_columns(docs):
 
 def test_empty_table(docs):
     assert X.exact_groups(docs([])).count() == 0 and X.keep_rows(docs([])).count() == 0
+
+
+def test_the_largest_id_is_an_id(docs):
+    big = (1 << 63) - 1
+    rows = [(big, "a"), (None, "a"), (big, "bb"), (5, "c"), (big, "c "), (None, "d")]
+    got = {(r["doc_id"], r["group_size"]): (r["keep_id"], r["kept"]) for r in X.exact_groups(docs(rows)).collect()}
+    assert got == {(big, 2): (big, True), (None, 2): (big, False), (big, 1): (big, True), (5, 2): (big, False), (None, 1): (None, True)}

@@ -124,3 +124,17 @@ def test_query_matches_brute_force(spark):
     got = H.op2_simhash_bk(spark, SF_MID).collect()
     fps = [(r["doc_id"], int(r["fingerprint"], 16)) for r in got]
     assert [r["component_id"] for r in got] == brute_components(fps)
+
+
+def test_rows_without_an_id_connect_others(spark):
+    """Fingerprints 0, 7 and 0x3f: the middle one is held by a null id only."""
+    from pyspark.sql import functions as F
+
+    nodes = spark.createDataFrame([(1, 0), (None, 7), (2, 0x3F), (None, 0xFFFF << 40)], "id long, fp long")
+    real = H.fingerprints
+    H.fingerprints = lambda docs, *a, **k: nodes
+    try:
+        got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in H.near_groups(spark.range(1).withColumn("text", F.lit("")), "doc_id").collect()}
+    finally:
+        H.fingerprints = real
+    assert got == {(1, "0" * 16): 1, (None, f"{7:016x}"): 1, (2, f"{0x3f:016x}"): 1, (None, f"{0xFFFF << 40:016x}"): None}

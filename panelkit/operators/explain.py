@@ -287,50 +287,54 @@ def counterfactuals(scorer: Scorer, df: DataFrame, key: str, features: Sequence[
 
 
 # ------------------------------------------------------------------ L9 local rules
+def predicates(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list:
+    """One text column per feature: numeric features cut at their
+    quartiles (one job for all), categorical ones as equalities."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in numeric]))
+    cuts: dict[str, list[float]] = {c: [] for c in numeric}
+    if numeric:
+        q = ranks.exact_percentile(df.select(values.alias("s")).select("s.*"), "v", [0.25, 0.5, 0.75], by=["f"])
+        for r in sorted(q.collect(), key=lambda r: (r["f"], r["p"])):  # 3 cut points per numeric feature
+            cuts[r["f"]].append(float(r["value"]))
+    out = []
+    for c in numeric:
+        v = F.col(c).cast("double")
+        if not cuts[c]:
+            out.append(F.lit(f"{c} is null").alias(c))
+            continue
+        c1, c2, c3 = cuts[c]
+        out.append(F.when(v.isNull(), F.lit(f"{c} is null")).when(v <= c1, F.lit(f"{c} <= {c1:g}"))
+                   .when(v <= c2, F.lit(f"{c1:g} < {c} <= {c2:g}")).when(v <= c3, F.lit(f"{c2:g} < {c} <= {c3:g}"))
+                   .otherwise(F.lit(f"{c} > {c3:g}")).alias(c))
+    return out + [F.coalesce(F.concat(F.lit(f"{c} = "), F.col(c).cast("string")), F.lit(f"{c} is null")).alias(c) for c in categorical]
+
+
 def local_rules(scored: DataFrame, key: str, explain_keys: DataFrame, numeric: Sequence[str],
                 categorical: Sequence[str], target: str = "prediction", precision_min: float = 0.9,
                 max_terms: int = 3) -> DataFrame:
-    """L9: "IF ... THEN" rules for chosen rows. Numeric features are cut at
-    their quartiles, categorical ones used as equalities; every conjunction
-    of up to ``max_terms`` of the row's own predicates is scored by precision
-    (share of covered rows with the row's predicted class) and coverage
-    (share of all rows covered) in one grouped aggregate over the distinct
-    predicate profiles; per row the rule with the highest coverage among
-    those with precision >= ``precision_min`` (else the most precise) wins."""
-    numeric, categorical = list(numeric), list(categorical)
-    feats = numeric + categorical
-    q = ranks.exact_percentile(scored.select(*[F.col(c).cast("double").alias(c) for c in numeric])
-                               .select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v"))
-                                                           for c in numeric])).alias("s")).select("s.*"),
-                               "v", [0.25, 0.5, 0.75], by=["f"])
-    qs = {r["f"]: [] for r in q.collect()}  # 3 cut points per numeric feature
-    for r in q.orderBy("f", "p").collect():
-        qs[r["f"]].append(float(r["value"]))
-    bins = []
-    for c in numeric:
-        c1, c2, c3 = qs[c]
-        v = F.col(c).cast("double")
-        bins.append(F.when(v <= c1, F.lit(f"{c} <= {c1:g}")).when(v <= c2, F.lit(f"{c1:g} < {c} <= {c2:g}"))
-                    .when(v <= c3, F.lit(f"{c2:g} < {c} <= {c3:g}")).otherwise(F.lit(f"{c} > {c3:g}")).alias(c))
-    bins += [F.concat(F.lit(f"{c} = "), F.col(c).cast("string")).alias(c) for c in categorical]
-    prof = scored.select(key, F.col(target).alias("__t"), *bins)
-    counts = prof.groupBy(*feats, "__t").agg(F.count(F.lit(1)).alias("__n"))  # distinct predicate profiles
+    """L9: "IF ... THEN" rules for chosen rows. Every conjunction of up to
+    ``max_terms`` of the row's own predicates is scored by precision (share of
+    covered rows with the row's predicted class) and coverage (share of all
+    rows covered); per row the rule with the highest coverage among those with
+    precision >= ``precision_min`` (else the most precise) wins.
+
+    Rows are counted per distinct predicate profile; profiles are rolled up to
+    every subset of the features that a rule may use (map-side combined), and
+    the rules of the explained rows meet the counts by (subset, predicates)."""
+    feats = [*numeric, *categorical]
+    prof = scored.select(key, F.col(target).alias("__t"), F.array(*predicates(scored, numeric, categorical)).alias("__p"))
+    counts = prof.groupBy("__p", "__t").agg(F.count(F.lit(1)).alias("__n"))
     total = prof.agg(F.count(F.lit(1)).alias("__N"))
     subsets = [s for k in range(1, max_terms + 1) for s in itertools.combinations(range(len(feats)), k)]
-    from panelkit.functions.common import literal_table
-
-    sub_t = literal_table(scored.sparkSession, [(i, list(s)) for i, s in enumerate(subsets)], ["rule_id", "idx"],
-                          ["int", "array<int>"])
-    rows = prof.join(explain_keys.select(key), key, "left_semi").crossJoin(F.broadcast(sub_t))
-    arr_row = F.array(*[F.col(f) for f in feats])
-    rows = rows.select(key, "rule_id", F.col("__t").alias("__target"),
-                       F.transform("idx", lambda i: F.element_at(arr_row, i + 1)).alias("preds"), "idx")
-    arr_c = F.array(*[F.col(f) for f in feats])
-    cj = rows.join(counts, F.lit(True))  # explained rules x distinct profiles
-    covered = F.forall(F.arrays_zip(F.col("idx").alias("i"), F.col("preds").alias("p")),
-                       lambda z: F.element_at(arr_c, z["i"] + 1) == z["p"])
-    agg = cj.where(covered).groupBy(key, "rule_id", "preds", "__target").agg(
-        F.sum("__n").alias("__cov"), F.sum(F.when(F.col("__t") == F.col("__target"), F.col("__n"))).alias("__hit"))
+    chosen = F.posexplode(F.array(*[F.array(*[F.col("__p")[i] for i in s], *[F.lit(None).cast("string")] * (max_terms - len(s)))
+                                    for s in subsets])).alias("rule_id", "preds")  # one array per subset, padded
+    wanted = prof.join(explain_keys.select(key), key, "left_semi").select(key, F.col("__t").alias("__target"), chosen) \
+        .withColumn("preds", F.array_compact("preds"))
+    rolled = counts.select("__t", "__n", chosen).withColumn("preds", F.array_compact("preds"))
+    rule = ["rule_id", "preds"]
+    rolled = rolled.join(wanted.select(*rule).distinct(), rule, "left_semi").groupBy(*rule, "__t").agg(F.sum("__n").alias("__n"))
+    agg = wanted.join(rolled, rule).groupBy(key, "rule_id", "preds", "__target").agg(
+        F.sum("__n").alias("__cov"), F.sum(F.when(F.col("__t").eqNullSafe(F.col("__target")), F.col("__n"))).alias("__hit"))
     agg = agg.crossJoin(F.broadcast(total)).select(
         key, "rule_id", "preds", F.col("__target").alias("predicted"),
         (F.coalesce(F.col("__hit"), F.lit(0)) / F.col("__cov")).alias("precision"),

@@ -25,8 +25,8 @@ def _n_buckets(df: DataFrame, buckets: int | None) -> int:
 
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-#: Values drawn per bucket to place the cut points of a column that is not numeric.
-_SAMPLE_PER_BUCKET = 16
+#: Values kept to place the cut points of a column that is not numeric: a bottom-k sketch.
+_SKETCH = 4096
 
 
 def _is_numeric(df: DataFrame, col: str) -> bool:
@@ -40,18 +40,20 @@ def _order_key(df: DataFrame, col: str):
 
 def _cut_points(df: DataFrame, col: str, n: int, uniform: bool) -> list:
     """Increasing cut points for about ``n`` equal buckets. Numeric columns
-    take approximate quantiles; other columns the quantiles of a sample of
-    ``_SAMPLE_PER_BUCKET * n`` whole values, so a shared prefix does no harm.
-    Any cut points give exact numbers; they only set the balance."""
+    take approximate quantiles; other columns the quantiles of a bottom-k
+    sketch, the ``_SKETCH`` whole values with the least hash: a uniform sample
+    of any ordered type that merges task by task, is the same on every retry and
+    has one size whatever the number of buckets. Any cut points give exact
+    numbers; they only set the balance."""
     if uniform:  # column known to be ~U[0,1): fixed edges, no pass over the data
         return [i / n for i in range(1, n)]
     if _is_numeric(df, col):
         probs = [i / n for i in range(1, n)]
         row = df.agg(F.percentile_approx(_order_key(df, col), probs, 1000).alias("q")).first()
         return sorted(set(float(x) for x in (row["q"] or []) if x is not None))
-    sample = (df.select(F.col(col).alias("__v")).where(F.col("__v").isNotNull())
-              .orderBy(F.rand(7)).limit(_SAMPLE_PER_BUCKET * n).orderBy("__v").collect())
-    return list(dict.fromkeys(sample[len(sample) * i // n]["__v"] for i in range(1, n) if sample))
+    least = (df.select(F.col(col).alias("__v")).where(F.col("__v").isNotNull())
+             .orderBy(F.xxhash64("__v"), "__v").limit(_SKETCH).orderBy("__v").collect())
+    return list(dict.fromkeys(least[len(least) * i // n]["__v"] for i in range(1, n) if least))
 
 
 def _with_bucket(df: DataFrame, col: str, cuts: list, out: str = "__b") -> DataFrame:
@@ -85,7 +87,8 @@ def average_rank(df: DataFrame, col: str, out: str = "rank", by: Sequence[str] =
     n_b = _n_buckets(df, buckets)
     vals = df.where(F.col(col).isNotNull())
     counts = vals.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = _cut_points(vals, col, n_b, uniform=False)
+    # strings: distinct values, so that a frequent one does not fill the sketch
+    cuts = _cut_points(vals if _is_numeric(vals, col) else counts, col, n_b, uniform=False)
     counts = _with_bucket(counts, col, cuts)
     totals = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__tot"))
     offs = _offsets(totals, by).drop("__tot")
@@ -154,7 +157,7 @@ def exact_percentile(df: DataFrame, col: str, probs: Sequence[float], by: Sequen
     n_b = _n_buckets(df, buckets)
     vals = df.select(*by, F.col(col).alias("__v")).where(F.col("__v").isNotNull())
     counts = vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    cuts = _cut_points(vals, "__v", n_b, uniform=False)
+    cuts = _cut_points(vals if _is_numeric(vals, "__v") else counts, "__v", n_b, uniform=False)
     counts = _with_bucket(counts, "__v", cuts)
     totals = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__tot"))
     offs = _offsets(totals, by).drop("__tot")

@@ -156,16 +156,21 @@ FROM g GROUP BY ALL""", "responses").replace("\n, g AS", ",\ng AS"))(slope_patte
 
 
 # ------------------------------------------------------------------ J7 ordinal mixed model
+#: Likert items analysed by the ordinal model, as many as in the reference.
+ORDINAL_RESPONSES = fx.RESPONSES[:24]
+
+
 def ordinal_mixed(spark, sf_dir):
-    from panelkit.operators import encode, ordinal
-    from panelkit.plans.stats import _panel_signal
-
-    p = clean.center(_panel_signal(spark, sf_dir), "quality", "quality_c")
-    p, classes = encode.label(p, "rating_signal", "floor", out="cls")
-    design = mixed.treatment_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS,
-                                                                    "scenario": SCENARIO_LEVELS}, intercept=False)
-    fit = ordinal.fit_ordinal_mixed(p, "cls", design, "participant", len(classes), nodes=12, max_iter=60)
-    return ordinal.ordinal_table(spark, fit, "rating_signal")
+    """Proportional-odds mixed models of 24 items with all interactions of
+    both factors and quality, from one scan."""
+    from panelkit.operators import ordinal
+
+    p = clean.center(fx.responses(spark, sf_dir), "quality", "quality_c")
+    p = p.select("participant", "introduction", "scenario", "quality_c", *[(F.floor(y) - 1).cast("int").alias(y) for y in ORDINAL_RESPONSES])
+    cross = mixed.full_crossing(["introduction", "scenario", "quality_c"])
+    design = mixed.treatment_design(numeric=["quality_c"], factors={"introduction": INTRO_LEVELS, "scenario": SCENARIO_LEVELS},
+                                    interactions=cross, intercept=False)
+    return ordinal.ordinal_table(spark, ordinal.fit_all(ordinal.ordinal_stats(p, ORDINAL_RESPONSES, design, "participant", 5)))
 
 
 register("ordinal_mixed", "J7")(ordinal_mixed)

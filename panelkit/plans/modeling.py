@@ -3,11 +3,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from panelkit.functions.random import portable_uniform
+from panelkit.functions.random import portable_uniform, uniform_sql
 from panelkit.operators import encode, explain, importance, metrics, models, split
 from panelkit.plans.registry import register
 from panelkit.sources import fixtures as fx
@@ -389,6 +391,48 @@ def anchor_rules(spark, sf_dir):
 register("anchor_rules", "L9 B23")(anchor_rules)
 
 
+def _rule_class():
+    return (F.col(Y) >= 2.5).cast("int").alias("prediction")
+
+
+def anchor_rules_given(spark, sf_dir):
+    """L9 given predictions: the class is the target's side of 2.5, the 40
+    orders with the least hash are explained."""
+    scored = fx.signal(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORICAL, _rule_class())
+    pick = split.sample_n(scored, 40, "row_id", seed=9).select("row_id")
+    out = explain.local_rules(scored, "row_id", pick, NUMERIC, CATEGORICAL)
+    return out.select("row_id", "rule", F.round("precision", 6).alias("precision"), F.round("coverage", 6).alias("coverage"))
+
+
+def _anchor_sql() -> str:
+    feats = NUMERIC + CATEGORICAL
+    sets = [s for k in (1, 2, 3) for s in itertools.combinations(range(1, len(feats) + 1), k)]
+    cuts = ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q{i}" for i, c in enumerate(NUMERIC))
+
+    def cut(i: int, c: str) -> str:
+        g = [f"printf('%g', q{i}[{k}])" for k in (1, 2, 3)]
+        return (f"CASE WHEN {c} <= q{i}[1] THEN '{c} <= ' || {g[0]} WHEN {c} <= q{i}[2] THEN {g[0]} || ' < {c} <= ' || {g[1]} "
+                f"WHEN {c} <= q{i}[3] THEN {g[1]} || ' < {c} <= ' || {g[2]} ELSE '{c} > ' || {g[2]} END")
+
+    preds = ", ".join([cut(i, c) for i, c in enumerate(NUMERIC)] + [f"'{c} = ' || {c}" for c in CATEGORICAL])
+    return f"""
+, q AS (SELECT {cuts} FROM signal),
+p AS (SELECT row_id, CAST({Y} >= 2.5 AS INT) AS t, [{preds}] AS p FROM signal, q),
+s(id, idx) AS (VALUES {', '.join(f'({i}, {list(x)})' for i, x in enumerate(sets))}),
+r AS (SELECT row_id, t, id, array_to_string(list_transform(idx, lambda i: p[i]), ' AND ') AS txt, len(idx) AS k FROM p, s),
+c AS (SELECT id, txt, t, count(*) AS n FROM r GROUP BY ALL),
+x AS (SELECT row_id FROM signal ORDER BY {uniform_sql('9', 'row_id')}, row_id LIMIT 40),
+m AS (SELECT r.row_id, r.id, r.k, r.txt, r.t, sum(n) AS cov, coalesce(sum(CASE WHEN c.t = r.t THEN n END), 0) AS hit
+      FROM r SEMI JOIN x USING (row_id) JOIN c USING (id, txt) GROUP BY ALL),
+f AS (SELECT *, hit / cov AS prec, cov / (SELECT count(*) FROM signal) AS coverage FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY prec >= 0.9 DESC, CASE WHEN prec >= 0.9 THEN coverage END DESC NULLS LAST,
+             prec DESC, k, id) AS nth FROM f)
+SELECT row_id, 'IF ' || txt || ' THEN ' || t AS rule, round(prec, 6) AS precision, round(coverage, 6) AS coverage FROM o WHERE nth = 1"""
+
+
+register("anchor_rules_given", "L9 B23", fx.with_views(_anchor_sql(), "signal").replace("\n\n, q AS", ",\nq AS"))(anchor_rules_given)
+
+
 def surrogate_tree_rules(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))

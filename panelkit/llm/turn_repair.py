@@ -19,10 +19,12 @@ compared.
 
 Size: a conversation is one sequence and its audit one string, so its slim
 facts (a hash and a few bytes a row, equal rows counted map-side) meet in one
-task; a strip row per block of sqrt(n) turns is kept and the rest recomputed.
-Texts are never gathered: they stream past the audit in turn order, and
-repaired turns or their digest go out as they pass. Time is turns x band, so a
-sequence of a million turns with a tenth at fault is beyond this method.
+task. A long one is cut at assistant turns that every least-cost repair keeps,
+so the band is as wide as the faults of one piece, and time is linear unless
+faults follow each other without end; then it is turns x band (a strip row per
+block of sqrt(n) turns is kept and the rest recomputed). Texts are never
+gathered: they stream past the audit in turn order, and repaired turns or
+their digest go out as they pass.
 
 Order: by turn, nulls first; rows that share a turn by role, then SHA-256 of
 the text. Cases: null role and text are read as one space, a null conversation
@@ -36,6 +38,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from math import isqrt
@@ -53,6 +56,8 @@ WHITE = " \t\n\x0b\x0c\r"
 LARGEST = (1 << 63) - 1
 #: Turns whose strip rows are always kept together.
 BLOCK = 256
+#: Turns aligned without a look for places to cut.
+WHOLE = 64
 FACTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 
 
@@ -61,9 +66,10 @@ FACTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 # x if the turn must go.
 
 
-def incumbent(code: str) -> int:
-    """Cost of a repair made in one pass, or of deleting every turn."""
-    cost, want, started = 0, "u", False
+def incumbent(code: str, first: bool = True) -> int:
+    """Cost of a repair made in one pass, or of deleting every turn. ``first``:
+    the turns open a conversation, so a system turn may stand in front."""
+    cost, want, started = 0, "u", not first
     for c in code:
         if c == "x":
             cost += DELETE
@@ -81,7 +87,7 @@ def incumbent(code: str) -> int:
         started = True
     if want == "a":
         cost += INSERT
-    elif started and all(c in "xsS" for c in code):
+    elif first and started and all(c in "xsS" for c in code):
         cost += 2 * INSERT
     return min(cost, DELETE * len(code))
 
@@ -158,13 +164,69 @@ class Walker:
         self.i = i + 1
 
 
+def kept_answers(code: str) -> Iterator[int]:
+    """Ends of the pieces that can be aligned on their own: turns of the
+    assistant that every least-cost repair keeps. Costs of the best repair
+    before and behind every turn, by what the grammar allows next (0 anything,
+    1 a user after the system, 2 an assistant, 3 a user or the end), tell
+    whether a repair without that Keep costs more."""
+    n = len(code)
+    behind = [array("q", [0]) * (n + 1) for _ in range(4)]
+    h = (0, 2 * INSERT, INSERT, 0)
+    for i in range(n, -1, -1):
+        if i < n:
+            c = code[i]
+            h0, h1, h2, h3 = (x + DELETE for x in h)
+            if c != "x":
+                cut, role = CUT * c.isupper(), c.lower()
+                user = h[2] + cut + (0 if role == "u" else REROLE)
+                h0, h1, h3 = min(h0, user), min(h1, user), min(h3, user)
+                h2 = min(h2, h[3] + cut + (0 if role == "a" else REROLE))
+                if role == "s":
+                    h0 = min(h0, h[1] + cut)
+            h2 = min(h2, h3 + INSERT)
+            h = (min(h0, h2 + INSERT), min(h1, h2 + INSERT), h2, min(h3, h2 + INSERT))
+        for k in range(4):
+            behind[k][i] = h[k]
+    least = behind[0][0]
+    g = (0, FAR, INSERT, 2 * INSERT)
+    for i, c in enumerate(code):
+        h0, h1, h2, h3 = (behind[k][i + 1] for k in range(4))
+        cut, role = CUT * c.isupper(), c.lower()
+        user = min(g[0], g[1], g[3]) + cut + (0 if role == "u" else REROLE)
+        if role == "a" and min(g[0] + h0, g[1] + h1, g[2] + h2, g[3] + h3) + DELETE > least and user + h2 > least:
+            yield i + 1
+        g0, g1, g2, g3 = (x + DELETE for x in g)
+        if c != "x":
+            g3 = min(g3, g[2] + cut + (0 if role == "a" else REROLE))
+            g2 = min(g2, user)
+            if role == "s":
+                g1 = min(g1, g[0] + cut)
+        g2 = min(g2, min(g0, g1, g3) + INSERT)
+        g = (g0, g1, g2, min(g3, g2 + INSERT))
+
+
 def align(code: str) -> tuple[int, str]:
-    """(least cost, ASCII-least audit of that cost)."""
+    """(least cost, ASCII-least audit of that cost). A long sequence is cut
+    behind turns that every such audit keeps; the pieces' audits, none a prefix
+    of another of its piece, add up to the whole one."""
+    if len(code) <= WHOLE:
+        return _align(code, True)
+    cost, audit, start = 0, [], 0
+    for end in (*kept_answers(code), len(code)):
+        if end > start:
+            c, a = _align(code[start:end], start == 0)
+            cost, start = cost + c, end
+            audit.append(a)
+    return cost, "".join(audit)
+
+
+def _align(code: str, first: bool) -> tuple[int, str]:
     n = len(code)
-    strip = Strip(code, incumbent(code))
+    strip = Strip(code, incumbent(code, first))
     starts = [(strip.at(0, strip.ends[0], r), 0, r, "") for r in _lengths(strip, 0, 0)]
     best = min((c for c, *_ in starts), default=FAR)
-    for i0 in range(n):  # a system turn in front, all before it deleted
+    for i0 in range(n if first else 0):  # a system turn in front, all before it deleted
         if DELETE * i0 > best:
             break
         if code[i0] in "sS":
@@ -195,7 +257,7 @@ _aligned = lru_cache(1 << 14)(align)
 
 def aligned(code: str) -> tuple[int, str]:
     """Short conversations repeat, so their alignments are kept."""
-    return _aligned(code) if len(code) <= 64 else align(code)
+    return _aligned(code) if len(code) <= WHOLE else align(code)
 
 
 # --- facts of every conversation ---------------------------------------------

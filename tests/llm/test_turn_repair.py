@@ -58,6 +58,21 @@ def test_alignment_is_least_in_cost_and_audit(size, tries, faults):
         assert T.align(code_of(turns)) == best(turns), turns
 
 
+@pytest.mark.parametrize("size, tries, faults", [(9, 4000, 0.25), (9, 1500, 0.6), (40, 150, 0.2)])
+def test_pieces_add_up_to_the_whole(monkeypatch, size, tries, faults):
+    monkeypatch.setattr(T, "WHOLE", 0)
+    rnd = random.Random(size + 1)
+    cut = 0
+    for _ in range(tries):
+        turns = []
+        for i in range(rnd.randrange(0, size + 1)):
+            c = "ua"[i % 2] if rnd.random() > faults else rnd.choice("suasot")
+            turns.append((c, rnd.random() < faults / 2, rnd.random() < faults / 2))
+        assert T.align(code_of(turns)) == best(turns), turns
+        cut += len(list(T.kept_answers(code_of(turns))))
+    assert cut > tries / 4
+
+
 def test_incumbent_is_never_below_the_least():
     rnd = random.Random(1)
     for _ in range(2000):
@@ -70,9 +85,9 @@ def test_long_conversation_in_blocks(monkeypatch):
     rnd = random.Random(9)
     turns = [("ua"[i % 2] if rnd.random() > 0.1 else rnd.choice("suao"), rnd.random() < 0.05, rnd.random() < 0.05) for i in range(230)]
     want = best(turns)
-    assert T.align(code_of(turns)) == want
+    assert T.align(code_of(turns)) == T._align(code_of(turns), True) == want
     monkeypatch.setattr(T, "BLOCK", 3)
-    assert T.align(code_of(turns)) == want
+    assert T.align(code_of(turns)) == T._align(code_of(turns), True) == want
 
 
 def plain(rows):

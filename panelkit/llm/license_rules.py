@@ -23,8 +23,10 @@ need nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
 from typing import NamedTuple
 
 import ahocorasick
@@ -219,11 +221,26 @@ def detections(low: str, gate: bytes, gated: bool = True) -> list[tuple[int, int
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections that no accepted one of higher rank contains."""
+    """Detections that no accepted one of higher rank contains.
+
+    What contains a dropped detection is itself contained in an accepted one,
+    so any detection of higher rank will do; of one priority, longer ones rank
+    higher. So one sweep per priority with the furthest end so far, and one
+    search in the starts of the higher priorities."""
     kept: list = []
-    for a, b, r in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, r))
+    starts: list[int] = []
+    furthest: list[int] = []  # of the detections of higher priority up to each start
+    above: list[tuple[int, int]] = []
+    for _, level in groupby(sorted(found, key=lambda x: -x[2].priority), key=lambda x: -x[2].priority):
+        end, mine = -1, []
+        for a, b, r in sorted(level, key=lambda x: (x[0], -x[1], x[2].label)):
+            at = bisect_right(starts, a)
+            if end < b and not (at and furthest[at - 1] >= b):
+                mine.append((a, b, r))
+            end = max(end, b)
+        kept += mine
+        above = sorted(above + [(a, b) for a, b, _ in mine])
+        starts, furthest = [a for a, _ in above], list(accumulate((b for _, b in above), max))
     return kept
 
 
@@ -231,9 +248,10 @@ def base_places(padded: bytes) -> list[tuple[int, str]]:
     """(first word, label) of every base phrase in ``b' word word ... '``."""
     out = []
     for phrase, label in PHRASES:
-        at = padded.find(phrase)
+        words, last, at = 0, 0, padded.find(phrase)
         while at >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            words, last = words + padded.count(b" ", last, at), at
+            out.append((words, label))
             at = padded.find(phrase, at + 1)
     return out
 

@@ -138,3 +138,35 @@ def test_secret_table(docs, texts):
     assert got[7]["spans"] == "markov:4:28"
     empty = docs([])
     assert S.scan(empty, "doc_id", "text", S.train(empty, "text")).count() == 0
+
+
+def test_resolution_equals_comparing_every_pair():
+    rnd = random.Random(3)
+    rule = type("Rule", (), {})
+
+    def made(priority, label):
+        r = rule()
+        r.priority, r.label = priority, label
+        return r
+
+    rules = [made(p, label) for p in (1, 2, 5) for label in "abc"]
+    for _ in range(500):
+        found = [(a, a + rnd.randrange(1, 9), rnd.choice(rules)) for a in (rnd.randrange(20) for _ in range(rnd.randrange(0, 15)))]
+        kept = []
+        for a, b, r in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, r))
+        key = lambda x: (x[0], x[1], x[2].label, x[2].priority)
+        assert sorted(map(key, L.resolve(found))) == sorted(map(key, kept))
+
+
+def test_dense_texts_take_linear_time():
+    import time
+
+    times = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        got = L.scan_text("mit license copyright 2020 x " * n)
+        times.append(time.process_time() - start)
+        assert got[1] == n and got[3] == 5 * (n - 1)
+    assert times[1] < 8 * times[0] + 1

@@ -237,46 +237,64 @@ def moderation(shap_long: DataFrame, rows: DataFrame, key: str, feature: str, va
 
 
 # ------------------------------------------------------------------ L8 counterfactuals
-def counterfactuals(scorer: Scorer, df: DataFrame, key: str, features: Sequence[str], candidates: DataFrame,
-                    is_target: Callable, n_rows: int = 8, per_row: int = 2, max_changes: int = 2,
-                    select_rows: Callable | None = None, seed: int = 42, scales: dict | None = None) -> DataFrame:
-    """For ``n_rows`` hash-chosen rows (optionally pre-filtered by
-    ``select_rows``), enumerate changes of up to ``max_changes`` features to
-    candidate values (``candidates``: feature, value as string), score them
-    all in one job, keep the ones where ``is_target(prediction)`` holds and
-    return the ``per_row`` minimal ones (fewest changes, then smallest
-    normalised distance) as a long table (sample_id, cf_id, feature,
-    original, counterfactual)."""
-    features = list(features)
-    pool = select_rows(df) if select_rows else df
-    picked = split.sample_n(pool, n_rows, key, seed=seed)
-    cand = candidates.select("feature", F.col("value").cast("string").alias("value"))
-    singles = cand.select(F.array(F.struct("feature", "value")).alias("__chg"))
-    sets = singles
-    if max_changes >= 2:
-        a = cand.select(F.col("feature").alias("fa"), F.col("value").alias("va"))
-        b = cand.select(F.col("feature").alias("fb"), F.col("value").alias("vb"))
-        pairs = a.join(b, F.col("fa") < F.col("fb")).select(  # C5: pairs of distinct features
-            F.array(F.struct(F.col("fa").alias("feature"), F.col("va").alias("value")),
-                    F.struct(F.col("fb").alias("feature"), F.col("vb").alias("value"))).alias("__chg"))
-        sets = sets.unionByName(pairs)
-    x = picked.crossJoin(F.broadcast(sets))  # n_rows x change sets (bounded by the candidate table)
-    dist = F.lit(0.0)
+def _changed(rows: DataFrame, features: Sequence[str], scales: dict) -> DataFrame:
+    """Apply the changes in ``__chg``; originals stay as ``__orig_*``, ``__dist``
+    is the normalised distance and ``__n`` the number of changes."""
+    types, dist = dict(rows.dtypes), F.lit(0.0)
     for f in features:
-        hit = F.filter("__chg", lambda s: s["feature"] == F.lit(f))
-        newv = F.when(F.size(hit) > 0, F.element_at(hit, 1)["value"].cast(df.schema[f].dataType))
-        x = x.withColumn(f"__orig_{f}", F.col(f)).withColumn(f, F.coalesce(newv, F.col(f)))
-        sc = (scales or {}).get(f)
-        if sc:
-            dist = dist + F.abs(F.col(f).cast("double") - F.col(f"__orig_{f}").cast("double")) / F.lit(float(sc))
+        hit = F.filter("__chg", lambda s: s["feature"] == F.lit(f))  # noqa: B023
+        new = F.when(F.size(hit) > 0, F.element_at(hit, 1)["value"].cast(types[f]))
+        rows = rows.withColumn(f"__orig_{f}", F.col(f)).withColumn(f, F.coalesce(new, F.col(f)))
+        if scales.get(f):
+            dist = dist + F.abs(F.col(f).cast("double") - F.col(f"__orig_{f}").cast("double")) / F.lit(float(scales[f]))
         else:
             dist = dist + (~F.col(f).cast("string").eqNullSafe(F.col(f"__orig_{f}").cast("string"))).cast("double")
-    x = x.withColumn("__dist", dist).withColumn("__n", F.size("__chg"))
-    scored = scorer(x).where(is_target(F.col("prediction")))
+    return rows.withColumn("__dist", dist).withColumn("__n", F.size("__chg"))
+
+
+def counterfactuals(scorer: Scorer, df: DataFrame, key: str, features: Sequence[str], candidates: DataFrame,
+                    is_target: Callable, n_rows: int = 8, per_row: int = 2, max_changes: int | None = None,
+                    select_rows: Callable | None = None, seed: int = 42, scales: dict | None = None) -> DataFrame:
+    """For ``n_rows`` hash-chosen rows (optionally pre-filtered by
+    ``select_rows``) the ``per_row`` minimal changes to candidate values
+    (``candidates``: feature, value as string) for which
+    ``is_target(prediction)`` holds: fewest changed features, then smallest
+    normalised distance. Long table (sample_id, cf_id, feature, original,
+    counterfactual).
+
+    Best-first by the number of changes: a frontier table holds the change sets
+    of one size for the rows that have too few counterfactuals yet; a round
+    scores it in one job, drops the rows that are served and extends the rest
+    by one feature (features in order, so every set appears once). Up to
+    ``max_changes`` features may change, all of them by default."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy("__n", "__dist", F.to_json("__chg"))
-    best = scored.withColumn("cf_id", F.row_number().over(w)).where(F.col("cf_id") <= per_row)
+    from panelkit.session import materialize
+
+    features = list(features)
+    picked = materialize(split.sample_n(select_rows(df) if select_rows else df, n_rows, key, seed=seed))
+    order = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
+    every = candidates.where(F.col("feature").isin(features)).select(F.struct(
+        order[F.col("feature")].alias("i"), "feature", F.col("value").cast("string").alias("value")).alias("c"))
+    every = every.agg(F.sort_array(F.collect_set("c")).alias("__all"))  # one row: the caller's candidate values
+    pool = picked.select(key).crossJoin(every)
+    frontier = pool.select(key, F.explode("__all").alias("c")).select(key, F.array("c").alias("__chg"))
+    found = None
+    columns = [key, "__chg", "__n", "__dist", *[f"__orig_{f}" for f in features]]
+    for size in range(1, (max_changes or len(features)) + 1):
+        frontier = materialize(frontier)
+        hits = scorer(_changed(frontier.join(picked, key), features, scales or {})).where(is_target(F.col("prediction"))).select(*columns)
+        found = materialize(hits if found is None else found.unionByName(hits))
+        served = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= per_row).select(key)
+        rest = frontier.join(served, key, "left_anti")
+        if size == len(features) or rest.isEmpty():
+            break
+        last = F.element_at("__chg", -1)["i"]
+        frontier = rest.join(pool, key).select(key, "__chg", F.explode(F.filter("__all", lambda c: c["i"] > last)).alias("c")) \
+            .select(key, F.concat("__chg", F.array("c")).alias("__chg"))  # noqa: B023
+    plain = F.transform("__chg", lambda c: F.struct(c["feature"].alias("feature"), c["value"].alias("value")))
+    w = Window.partitionBy(key).orderBy("__n", "__dist", F.to_json(plain))
+    best = found.withColumn("cf_id", F.row_number().over(w)).where(F.col("cf_id") <= per_row)
     long = best.select(F.col(key).alias("sample_id"), "cf_id", F.explode("__chg").alias("__c"),
                        *[F.col(f"__orig_{f}").cast("string").alias(f"__o_{f}") for f in features])
     orig = F.lit(None).cast("string")

@@ -116,6 +116,28 @@ def mlp(n_features: int, n_classes: int, hidden: Sequence[int] = (128, 512, 1024
                                           labelCol=label, featuresCol=features)
 
 
+def mlp_run(train: DataFrame, parts: dict[str, DataFrame], n_features: int, n_classes: int, hidden: Sequence[int],
+            steps: int, block: int, label: str = "label", features: str = "features", seed: int = 42) -> tuple[list, dict]:
+    """One training run of ``steps`` iterations in blocks; every block
+    starts from the weights of the last one, so the history belongs to one run.
+    Returns (history rows (step, split, metric, value), step -> model): the loss
+    of every iteration, accuracy and macro F1 of every part after each block."""
+    weights, history, models_ = None, [], {}
+    for step in range(block, steps + 1, block):
+        est = mlp(n_features, n_classes, hidden, block, label, features, seed)
+        if weights is not None:
+            est = est.setInitialWeights(weights)
+        m = est.fit(train)
+        weights, models_[step] = m.weights, m
+        losses = m.summary().objectiveHistory  # starts with the loss of the initial weights
+        history += [(step - block + i, "train", "loss", float(v)) for i, v in enumerate(losses) if i or step == block]
+        for name, part in parts.items():
+            sc = m.transform(part).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
+            r = metrics.macro_scores(sc, "y", "p", n_classes).first()
+            history += [(step, name, "accuracy", float(r["accuracy"])), (step, name, "macro_f1", float(r["macro_f1"] or 0))]
+    return history, models_
+
+
 def score(model, df: DataFrame, probabilities: bool = False) -> DataFrame:
     """K5: batch scoring; classifiers add ``probs`` ARRAY<DOUBLE>."""
     out = model.transform(df)

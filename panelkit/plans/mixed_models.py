@@ -97,6 +97,56 @@ def mixed_prediction_interval(spark, sf_dir):
 register("mixed_prediction_interval", "J13")(mixed_prediction_interval)
 
 
+# ------------------------------------------------------------------ J5, E7 from given coefficients
+def _given_fit(names, loglik=0.0, n=1):
+    """A fit with coefficients 1, -1/2, 1/3, ... and no variances."""
+    beta = np.array([(-1) ** j / (j + 1) for j in range(len(names))])
+    return mixed.MixedFit(list(names), beta, np.zeros((len(beta), len(beta))), 0.0, 0.0, loglik, n, 1, False)
+
+
+def marginal_grid_given(spark, sf_dir):
+    """J5 with given coefficients: predictions on 30 points for every cell."""
+    r = clean_ratings(spark, sf_dir).where(F.col("introduction").isNotNull())
+    d = mixed.treatment_design(numeric=["quality"], factors={"introduction": INTRO_LEVELS, "scenario": SCENARIO_LEVELS},
+                               interactions=[("quality", "introduction")])
+    out = mixed.marginal_grid(r, _given_fit(d.names()), d, "quality", ["introduction", "scenario"], 30)
+    return out.select("introduction", "scenario", F.round("quality", 6).alias("quality"), F.round("prediction", 6).alias("prediction"))
+
+
+def _marginal_sql() -> str:
+    terms = ["1.0"] + [f"CAST({f} = '{x}' AS DOUBLE)" for f, levels in (("introduction", INTRO_LEVELS), ("scenario", SCENARIO_LEVELS)) for x in levels[1:]]
+    terms += ["x", f"x * CAST(introduction = '{INTRO_LEVELS[1]}' AS DOUBLE)"]
+    value = " + ".join(f"({(-1) ** j / (j + 1)!r}::DOUBLE * {t})" for j, t in enumerate(terms))
+    base = fx.with_views("SELECT 1", "ratings")[: -len("\nSELECT 1")]
+    return base + ",\n" + CLEAN_SQL.strip() + f""",
+src AS (SELECT * FROM clean WHERE introduction IS NOT NULL),
+lim AS (SELECT min(quality) AS lo, max(quality) AS hi FROM src),
+g AS (SELECT introduction, scenario, lo + (hi - lo) * i / 29 AS x FROM (SELECT DISTINCT introduction, scenario FROM src), lim, range(30) t(i))
+SELECT introduction, scenario, round(x, 6) AS quality, round({value}, 6) AS prediction FROM g"""
+
+
+register("marginal_grid_given", "J5 C6", _marginal_sql())(marginal_grid_given)
+
+
+def comparison_given(spark, sf_dir):
+    """E7, J2 from given log-likelihoods (sums over the ratings): LR and
+    degrees of freedom against the previous model, AIC and BIC."""
+    s = fx.ratings(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("r"), F.sum("quality").alias("q")).first()
+    logl = {"M0": -s["q"], "M1": -s["q"] + s["r"], "M2": -s["q"] + s["r"] + 7.5}
+    fits = {m: _given_fit(["b"] * p, float(logl[m]), int(s["n"])) for m, p in (("M0", 1), ("M1", 6), ("M2", 10))}
+    out = mixed.compare(spark, fits)
+    return out.select("model", "logL", "AIC", F.round("BIC", 4).alias("BIC"), "df_resid", "n_params", "LR_vs_prev", "d_df")
+
+
+register("comparison_given", "J2 E7", fx.with_views("""
+SELECT model, logL, -2 * logL + 2 * (p + 2) AS AIC, round(-2 * logL + (p + 2) * ln(n), 4) AS BIC, CAST(n - p AS INT) AS df_resid,
+       CAST(p + 1 AS INT) AS n_params, 2 * (logL - lag(logL) OVER (ORDER BY model)) AS LR_vs_prev,
+       CAST(p - lag(p) OVER (ORDER BY model) AS INT) AS d_df
+FROM (SELECT m AS model, p, n, CAST(-q + a * r + b AS DOUBLE) AS logL
+      FROM (SELECT count(*) AS n, sum(rating) AS r, sum(quality) AS q FROM ratings), (VALUES ('M0', 1, 0, 0.0), ('M1', 6, 1, 0.0), ('M2', 10, 1, 7.5)) v(m, p, a, b))""",
+                                                   "ratings"))(comparison_given)
+
+
 # ------------------------------------------------------------------ J6 random slope, type III
 def _slope_design():
     """Full crossing of both factors with quality, sum-coded."""

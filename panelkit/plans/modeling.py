@@ -206,19 +206,10 @@ def mlp_training(spark, sf_dir):
     d = d.withColumn("label", F.col("label").cast("double")).cache()
     tr, va, te = (d.where(F.col("split") == n) for n in ("train", "valid", "test"))
     nf, k = len(prep.feature_names), len(classes)
-    history, best = [], None
-    for step in (10, 30, 60):  # K6: increasing training budgets, pick by validation macro F1
-        m = models.mlp(nf, k, hidden=(16, 8), max_iter=step).fit(tr)
-        for name, part in (("train", tr), ("valid", va)):
-            sc = m.transform(part).select(F.col("label").cast("int").alias("y"),
-                                          F.col("prediction").cast("int").alias("p"))
-            r = metrics.macro_scores(sc, "y", "p", k).first()
-            history += [(step, name, "accuracy", float(r["accuracy"])), (step, name, "macro_f1", float(r["macro_f1"] or 0))]
-        f1 = [h[3] for h in history if h[0] == step and h[1] == "valid" and h[2] == "macro_f1"][0]
-        if best is None or f1 > best[0]:  # strict improvement: earliest wins ties (E8)
-            best = (f1, step, m)
-    for i, v in enumerate(best[2].summary().objectiveHistory):
-        history.append((i + 1, "train", "loss", float(v)))
+    history, fitted = models.mlp_run(tr, {"train": tr, "valid": va}, nf, k, (64, 32), steps=60, block=10)
+    f1 = [(h[0], h[3]) for h in history if h[1:3] == ("valid", "macro_f1")]
+    step = max(f1, key=lambda x: (x[1], -x[0]))[0]  # E8: the first step that reaches the best validation F1
+    best = (dict(f1)[step], step, fitted[step])
     import uuid
 
     from panelkit.session import ensure_checkpoint_dir
@@ -231,6 +222,7 @@ def mlp_training(spark, sf_dir):
     sc = best[2].transform(te).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
     r = metrics.macro_scores(sc, "y", "p", k).first()
     history += [(best[1], "test", "accuracy", float(r["accuracy"])), (best[1], "test", "macro_f1", float(r["macro_f1"] or 0))]
+    d.unpersist()
     return spark.createDataFrame(history, "step int, split string, metric string, value double")
 
 
@@ -349,6 +341,59 @@ def pdp_table(spark, sf_dir):
 register("pdp_table", "L6 C6 H4")(pdp_table)
 
 
+def _given_score(df):
+    """A fixed linear scorer."""
+    return df.withColumn("prediction", 1 + F.col("o_totalprice") / 100000 + 0.5 * (F.col("c_mktsegment") == "BUILDING").cast("double"))
+
+
+def ice_rows_given(spark, sf_dir):
+    """L6 with a fixed scorer: the ICE rows of five orders per segment."""
+    s = fx.signal(spark, sf_dir).select("row_id", "o_totalprice", "c_mktsegment")
+    _, ice = explain.pdp_ice(_given_score, s, "o_totalprice", "row_id", by=["c_mktsegment"], points=12, sample_per_cell=5)
+    return ice.select("row_id", "c_mktsegment", "grid_index", F.round("grid_value", 4).alias("grid_value"), F.round("prediction", 6).alias("prediction"))
+
+
+def pdp_given(spark, sf_dir):
+    """L6 with a fixed scorer: partial dependence over all rows of a segment."""
+    s = fx.signal(spark, sf_dir).select("row_id", "o_totalprice", "c_mktsegment")
+    pdp, _ = explain.pdp_ice(_given_score, s, "o_totalprice", "row_id", by=["c_mktsegment"], points=12, sample_per_cell=None)
+    return pdp.select("c_mktsegment", "grid_index", F.round("grid_value", 4).alias("grid_value"), F.round("partial_dependence", 6).alias("partial_dependence"))
+
+
+_ICE_SQL = f"""
+, q AS (SELECT quantile_cont(o_totalprice, 0.05) AS lo, quantile_cont(o_totalprice, 0.95) AS hi FROM signal),
+grid AS (SELECT CAST(i AS BIGINT) AS grid_index, lo + (hi - lo) * i / 11 AS g FROM q, range(12) t(i)),
+nth AS (SELECT row_id, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {uniform_sql('42', 'row_id')}, row_id) AS n FROM signal),
+ice AS (SELECT row_id, c_mktsegment, n, grid_index, g, 1 + g / 100000 + 0.5 * CAST(c_mktsegment = 'BUILDING' AS DOUBLE) AS prediction FROM nth, grid)
+"""
+
+
+def _ice_oracle(select: str) -> str:
+    return fx.with_views(_ICE_SQL + select, "signal").replace("\n\n, q AS", ",\nq AS")
+
+
+register("ice_rows_given", "L6 H4", _ice_oracle(
+    "SELECT row_id, c_mktsegment, grid_index, round(g, 4) AS grid_value, round(prediction, 6) AS prediction FROM ice WHERE n <= 5"))(ice_rows_given)
+register("pdp_given", "L6 C6", _ice_oracle(
+    "SELECT c_mktsegment, grid_index, round(g, 4) AS grid_value, round(avg(prediction), 6) AS partial_dependence FROM ice GROUP BY ALL"))(pdp_given)
+
+
+def moderation_given(spark, sf_dir):
+    """L5, C7 with given attributions, met by row identity."""
+    s = fx.signal(spark, sf_dir)
+    long = s.select("row_id", F.inline(F.array(
+        F.struct(F.lit("o_totalprice").alias("feature"), (F.col("o_totalprice") / 50000 - F.col("c_acctbal") / 10000).alias("shap")),
+        F.struct(F.lit("c_acctbal").alias("feature"), (F.col("c_acctbal") / 20000).alias("shap")))))
+    out = explain.moderation(long, s, "row_id", "o_totalprice", "o_totalprice", "c_mktsegment")
+    return out.select("c_mktsegment", "n", F.round("mean_shap", 6).alias("mean_shap"), F.round(F.col("slope") * 100000, 5).alias("slope"))
+
+
+register("moderation_given", "L5 C7", fx.with_views("""
+SELECT c_mktsegment, count(*) AS n, round(avg(o_totalprice / 50000 - c_acctbal / 10000), 6) AS mean_shap,
+       round(regr_slope(o_totalprice / 50000 - c_acctbal / 10000, o_totalprice) * 100000, 5) AS slope
+FROM signal GROUP BY c_mktsegment""", "signal"))(moderation_given)
+
+
 # ------------------------------------------------------------------ L8
 def counterfactual_changes(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)

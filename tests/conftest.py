@@ -13,7 +13,3 @@ def spark():
     s = local_session(cpus="*", partitions=8)
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"

@@ -152,3 +152,37 @@ def test_cut_points_of_strings_do_not_depend_on_the_partitions(spark):
     assert cuts[0] == cuts[1] == cuts[2] and len(cuts[0]) == 15
     sizes = ranks._with_bucket(df, "s", cuts[0]).groupBy("__b").count().toPandas()["count"]
     assert sizes.max() < 1.3 * 20_000 / 16
+
+
+def test_counterfactuals_of_any_size_equal_enumeration(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 6)), float(rng.integers(0, 6)), str(rng.choice(["u", "v"])), str(rng.choice(["p", "q", "r"]))) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c string, d string")
+    values = {"a": ["0.0", "3.0", "5.0"], "b": ["1.0", "4.0"], "c": ["u", "v"], "d": ["p", "q", "r"]}
+    cand = spark.createDataFrame([(f, v) for f, vs in values.items() for v in vs], "feature string, value string")
+
+    def hit(a, b, c, d):
+        return a + b >= 9 and c == "v" and d == "r"
+
+    scorer = lambda x: x.withColumn("prediction", ((F.col("a") + F.col("b") >= 9) & (F.col("c") == "v") & (F.col("d") == "r")).cast("int"))
+    out = explain.counterfactuals(scorer, df, "id", ["a", "b", "c", "d"], cand, lambda p: p == 1, n_rows=12, per_row=2, scales={"a": 2.0, "b": 2.0})
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["sample_id"], r["cf_id"]), {})[r["feature"]] = r["counterfactual"]
+    sizes = set()
+    for i, *row in rows:
+        best = []
+        for k in range(1, 5):
+            for fs in itertools.combinations("abcd", k):
+                for vs in itertools.product(*[values[f] for f in fs]):
+                    new = dict(zip("abcd", row)) | {f: float(v) if f in "ab" else v for f, v in zip(fs, vs)}
+                    if hit(**new):
+                        dist = sum(abs(new[f] - row["ab".index(f)]) / 2 for f in "ab") + sum(new[f] != row["abcd".index(f)] for f in "cd")
+                        best.append((k, dist, dict(zip(fs, vs))))
+        best.sort(key=lambda x: x[:2])
+        mine = [got[i, n] for n in (1, 2) if (i, n) in got]
+        assert len(mine) == min(2, len(best))
+        cost = {tuple(sorted(c.items())): (k, d) for k, d, c in best}
+        assert [cost[tuple(sorted(m.items()))] for m in mine] == [b[:2] for b in best[:2]]
+        sizes |= {len(m) for m in mine}
+    assert max(sizes) >= 3

@@ -4,7 +4,7 @@ import pytest
 
 from panelkit.sources import tables
 
-from conftest import SF_SMALL
+from core_cases import SF_SMALL
 
 
 def test_missing_path_raises(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators import metrics, nonparam, ranks, split
 
-from conftest import SF_MID
+from core_cases import SF_MID
 
 
 def test_group_split_disjoint(spark):

@@ -11,8 +11,9 @@ Windows: every ``window`` consecutive template words, as one 64-bit hash. Window
 windows in a hash join. The benchmark side is broadcast only while it has
 at most ``BROADCAST_WINDOWS`` windows (counted first); beyond that both sides are
 shuffled. An item shorter than the window is one window of its own length. A window of
-fewer than ``MIN_FIXED`` words beside its placeholders says little, so it matches
-the item's own words only, not other fillings: an item "42" is found where a text holds 42.
+fewer than ``MIN_FIXED`` words beside its placeholders says little and is left out;
+where names as plain words leave it so too (numbers, units, very short items), it matches
+the item's own words, not other fillings: an item "42" is found where a text holds 42.
 Benchmark items stand in three variants, so that a copy still matches after
 lower-casing or inside another sentence: as written, names as plain words, and
 the first word as a name. In a fourth variant, of items and of documents, every
@@ -50,8 +51,8 @@ BROADCAST_WINDOWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 #: Words beside placeholders from which a window matches other fillings.
 MIN_FIXED = 2
-#: Number of the variant with every capital as a name.
-CAPITALS = 3
+#: Numbers of the variants with names as plain words and with every capital as a name.
+PLAIN, CAPITALS = 1, 3
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg",
          "gram", "grams", "pound", "pounds", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "gallon",
          "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month",
@@ -128,8 +129,9 @@ def benchmark_tables(items: DataFrame, id_col: str, text_col: str, window: int)
         both = part.withColumns({"win": window_hashes(F.col("h"), size), "own": window_hashes(F.col("e"), size)})
         rows = both.select("item_id", "variant", "f", F.size("win").alias("n_windows"), F.posexplode(F.arrays_zip("win", "own")).alias("start", "x"))
         count = F.aggregate(F.slice("f", F.col("start") + 1, size), F.lit(0), lambda acc, x: acc + x)
-        parts.append(rows.select("item_id", "variant", "start", F.when(count >= MIN_FIXED, F.col("x.win")).otherwise(F.col("x.own")).alias("wh"),
-                                 "n_windows", F.lit(size).alias("size"), (count < MIN_FIXED).alias("own")))
+        part = rows.select("item_id", "variant", "start", F.when(count >= MIN_FIXED, F.col("x.win")).otherwise(F.col("x.own")).alias("wh"),
+                           "n_windows", F.lit(size).alias("size"), (count < MIN_FIXED).alias("own"))
+        parts.append(part.where(~F.col("own") | (F.col("variant") == PLAIN)))
     windows = parts[0]
     for part in parts[1:]:
         windows = windows.union(part)
@@ -334,7 +336,7 @@ it AS (SELECT item_id, variant, w, list_transform(w, lambda x: {kind}) AS t, lis
               least(len(w), {WINDOW}) AS size, len(w) - least(len(w), {WINDOW}) + 1 AS n_windows FROM iv WHERE len(w) > 0),
 iw AS (SELECT item_id, variant, size, n_windows, p AS start, len(list_filter(t[p:p + size - 1], lambda x: x[1] <> '<')) < {MIN_FIXED} AS own,
               CASE WHEN own THEN {keys.format('e')} ELSE {keys.format('t')} END AS k
-       FROM (SELECT *, unnest(range(1, n_windows + 1)) AS p FROM it)),
+       FROM (SELECT *, unnest(range(1, n_windows + 1)) AS p FROM it) WHERE NOT own OR variant = {PLAIN}),
 dw AS (SELECT doc_id, size, p, {keys.format('t')} AS k, {keys.format('c')} AS ck, {keys.format('e')} AS ek
        FROM (SELECT doc_id, t, c, e, size, unnest(range(1, len(t) - size + 2)) AS p FROM dt, (SELECT DISTINCT size FROM it) WHERE len(t) >= size)),
 dk AS (SELECT doc_id, size, p, k, FALSE AS own, FALSE AS capitals FROM dw UNION ALL SELECT doc_id, size, p, ck, FALSE, TRUE FROM dw WHERE ck <> k

@@ -165,7 +165,8 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str], replicates: int,
     keycols = [F.col(c).cast("string") for c in by]
     u = portable_uniform(F.lit(seed), F.col(replicate_col), F.col("__draw"), *keycols)
     draws = draws.withColumn("__idx", (F.floor(u * F.col("__n")) + 1).cast("long"))
-    return draws.join(numbered, list(by) + ["__idx"], "inner").drop("__idx", "__n", "__draw")
+    # the draws are few bytes before they are laid out: without the hint they pass for a table to broadcast
+    return draws.hint("merge").join(numbered, list(by) + ["__idx"], "inner").drop("__idx", "__n", "__draw")
 
 
 # ------------------------------------------------------------------ H6 keyed bijections

@@ -20,6 +20,9 @@ from panelkit.operators import ranks
 from panelkit.session import materialize
 
 
+#: Rows per group up to which Spark limits a window's groups before the shuffle
+#: (the default of spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 #: Bootstrap draws generated from one row.
 DRAW_BLOCK = 10_000
 
@@ -75,7 +78,9 @@ def sample_n(df: DataFrame, n: int, key: str, by: Sequence[str] = (), seed: int
     chosen by smallest portable uniform.
 
     Global form: ``orderBy(...).limit(n)`` (TakeOrderedAndProject, no full
-    sort). Per group: rows are first thinned to ``u < t_g`` with ``t_g`` set so
+    sort). Per group, up to ``GROUP_LIMIT`` rows: one top-n window, which Spark
+    also applies before the shuffle, so a task sends at most ``n`` rows of a
+    group. Larger samples: rows are first thinned to ``u < t_g`` with ``t_g`` set so
     that about ``n + 10 sqrt(n) + 10`` rows of each group survive (group sizes
     from one aggregate); groups left with fewer than ``min(n, size)``
     candidates fall back to all their rows. The top-n window then sorts a few
@@ -86,6 +91,10 @@ def sample_n(df: DataFrame, n: int, key: str, by: Sequence[str] = (), seed: int
     if not by:
         return u.orderBy("__u", key).limit(n).drop("__u")
     by = list(by)
+    w = Window.partitionBy(*by).orderBy("__u", key)
+    if n <= GROUP_LIMIT:
+        known = u.where(F.concat(*[F.col(c).cast("string") for c in by]).isNotNull())  # a null group is no group
+        return known.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__u", "__rn")
     sizes = u.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
     want = float(n + 10 * n ** 0.5 + 10)
     j = u.join(sizes, by, "inner").withColumn("__t", F.least(F.lit(1.0), F.lit(want) / F.col("__size")))
@@ -95,7 +104,6 @@ def sample_n(df: DataFrame, n: int, key: str, by: Sequence[str] = (), seed: int
         F.coalesce(F.col("__got"), F.lit(0)) < F.least(F.lit(n), F.col("__size"))).select(*by)
     rest = j.where(F.col("__u") >= F.col("__t")).join(short, by, "left_semi")
     pool = cand.unionByName(rest)
-    w = Window.partitionBy(*by).orderBy("__u", key)
     return (pool.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
             .drop("__u", "__rn", "__size", "__t"))
 

@@ -23,3 +23,13 @@ def test_bootstrap_draws_are_not_broadcast(spark):
     assert n == {(g, b): 134 if g == 0 else 133 for g in range(3) for b in range(1, 6)}
     d.collect()
     assert any("SortMergeJoin" in x and "__idx" in x for x in _plan(d).splitlines())
+
+
+@pytest.mark.parametrize("n", [5, 1500])
+def test_sample_n_cuts_groups_before_the_shuffle(spark, n):
+    df = spark.range(4000).select(F.col("id").alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"))
+    s = split.sample_n(df, n, "k", by=["g"], seed=3)
+    got = {(r["g"], r["k"]) for r in s.collect()}
+    u = df.where("g is not null").withColumn("u", split.portable_uniform(F.lit(3), F.col("k"))).toPandas().sort_values(["u", "k"])
+    assert got == set(u.groupby("g").head(n)[["g", "k"]].itertuples(index=False, name=None))
+    assert n > split.GROUP_LIMIT or "WindowGroupLimit" in _plan(s) and "Join" not in _plan(s)

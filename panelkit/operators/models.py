@@ -10,9 +10,11 @@ model (driver-side, model-sized) into flat node tables.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     MultilayerPerceptronClassifier,
@@ -24,7 +26,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators import clean, encode, metrics
+from panelkit.operators import clean, encode, metrics, ranks
 from panelkit.session import materialize
 
 
@@ -297,11 +299,89 @@ def leaf_table(model, train: DataFrame, y: str, features: str = "features", grid
     """K8: :func:`leaf_weights` of a fitted forest over its training rows, y
     raised to the next value of :func:`value_grid`: at most trees x leaves x
     grid rows, whatever the training table's size."""
-    values = F.lit(value_grid(train, y, grid))
-    at = F.array_position(values, F.get(F.filter(values, lambda v: v >= F.col("__y")), F.lit(0)))
-    rows = leaf_ids(model, train.select(features, F.col(y).cast("double").alias("__y")), ["__y"], features)
-    rows = rows.groupBy("tree", "leaf", "__y").agg(F.count(F.lit(1)).alias("__n"))  # before the search in the grid
-    return _shares(rows.withColumn("value", F.element_at(values, at.cast("int"))).groupBy("tree", "leaf", "value").agg(F.sum("__n").alias("n")))
+    values = value_grid(train, y, grid)
+    rows = ranks._with_bucket(train.select(features, F.col(y).cast("double").alias("__y")), "__y", values)  # one search per row, not per leaf
+    rows = rows.withColumn("value", F.when(F.col("__y").isNotNull(), F.get(F.lit(values), F.col("__b"))))
+    return _shares(leaf_ids(model, rows, ["value"], features).groupBy("tree", "leaf", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _fits(table: DataFrame) -> bool:
+    return table.schema["value"].dataType.typeName() == "double" and 0 < table.count() <= BROADCAST_ROWS
+
+
+@dataclass
+class _Leaves:
+    """A leaf table as arrays: the values in order (null first), and per slot
+    (tree x width + leaf) the range of its entries (value number, weight)."""
+
+    values: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    weight: np.ndarray
+    trees: int
+    width: int
+
+    @classmethod
+    def of(cls, table: DataFrame) -> _Leaves:
+        t = table.select("tree", "leaf", F.col("value").isNotNull().cast("int").alias("known"), F.coalesce("value", F.lit(0.0)).alias("value"),
+                         "weight").toPandas()  # at most BROADCAST_ROWS
+        values, at = np.unique(t[["known", "value"]].to_numpy(float), axis=0, return_inverse=True)
+        trees, width = int(t["tree"].max()) + 1, int(t["leaf"].max()) + 1
+        slot = (t["tree"] * width + t["leaf"]).to_numpy()
+        order = np.lexsort((at.ravel(), slot))
+        start = np.searchsorted(slot[order], np.arange(trees * width + 1))
+        return cls(np.where(values[:, 0] > 0, values[:, 1], np.nan), start, at.ravel()[order], t["weight"].to_numpy(float)[order], trees, width)
+
+    def slot(self, tree, leaf):
+        inside = (tree >= 0) & (tree < self.trees) & (leaf >= 0) & (leaf < self.width)
+        return F.when(inside, tree * self.width + leaf).otherwise(-1).cast("int")
+
+    def quantiles(self, row: np.ndarray, slot: np.ndarray, times: np.ndarray, rows: int, qs: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows with a known leaf, their quantiles) of ``rows`` mixtures."""
+        row, slot, times = (a[slot >= 0] for a in (row, slot, times))
+        size = self.start[slot + 1] - self.start[slot]
+        entry = np.repeat(self.start[slot] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        width = len(self.values)
+        cell = np.repeat(row * width, size) + self.at[entry]
+        mix = np.bincount(cell, self.weight[entry] * np.repeat(times, size), rows * width).reshape(rows, width)
+        some = np.bincount(cell, minlength=rows * width).reshape(rows, width) > 0
+        met = some.any(axis=1)
+        mix, some = mix[met], some[met] & ~np.isnan(self.values)
+        upto = np.cumsum(mix, axis=1)
+        share = upto / upto[:, -1:]
+        found = np.full((len(mix), len(qs)), np.nan)
+        for i, q in enumerate(qs):
+            hit = some & (share >= q - 1e-9)
+            first = hit.argmax(axis=1)
+            found[:, i] = np.where(hit.any(axis=1), self.values[first], np.nan)
+        return met, found
+
+
+#: Leaf entries of rows that are mixed at a time.
+_MIX = 20_000
+
+
+def _summed(lists: DataFrame, dense: _Leaves, key: str, quantiles: Sequence[float], out: str) -> DataFrame:
+    """Quantiles per key from its lists of slots; equal lists are counted first."""
+    per = lists.groupBy(key, "__slots").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.collect_list(F.struct("__slots", "n")).alias("__all"))
+    shared, qs = lists.sparkSession.sparkContext.broadcast(dense), list(quantiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            step = max(1, _MIX // max(1, table.trees))
+            for b in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                parts = b.column(1).flatten()
+                each = parts.field("__slots").value_lengths().to_numpy(zero_copy_only=False)
+                of = np.repeat(np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False)), each)
+                slots = parts.field("__slots").flatten().to_numpy(zero_copy_only=False)
+                times = np.repeat(parts.field("n").to_numpy(zero_copy_only=False), each)
+                met, found = table.quantiles(of, slots, times, b.num_rows, qs)
+                kept = b.column(0).filter(pa.array(met))
+                flat = pa.array(found.ravel(), mask=np.isnan(found.ravel()))
+                yield pa.RecordBatch.from_arrays([kept, pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * len(qs), flat)], [key, out])
+
+    return per.select(key, "__all").mapInArrow(run, f"`{key}` {lists.schema[key].dataType.simpleString()}, `{out}` array<double>")
 
 
 def mixture_quantiles(leaves: DataFrame, table: DataFrame, key: str, quantiles: Sequence[float], out: str = "qpred") -> DataFrame:
@@ -309,12 +389,15 @@ def mixture_quantiles(leaves: DataFrame, table: DataFrame, key: str, quantiles:
     distributions of its leaves (``leaves``: key, tree, leaf), read at the least
     value whose share reaches the quantile. Adds ARRAY<DOUBLE> ``out``.
 
-    A row's leaves meet the leaf table in one join, which is sent to every task
-    while it is small (counted first); weights add up per (row, value)
-    map-side, so what is shuffled is one row's distribution."""
+    While the leaf table is small (counted first) it goes to every task, and
+    what is shuffled is a row's list of leaves; a larger one meets the leaves
+    in a join, and weights add up per (row, value) map-side."""
     table = materialize(table)
-    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    mix = leaves.join(side, ["tree", "leaf"]).groupBy(key, "value").agg(F.sum("weight").alias("w"))
+    if _fits(table):
+        dense = _Leaves.of(table)
+        lists = leaves.select(key, F.array(dense.slot(F.col("tree"), F.col("leaf"))).alias("__slots"))
+        return _summed(lists, dense, key, quantiles, out)
+    mix = leaves.join(table, ["tree", "leaf"]).groupBy(key, "value").agg(F.sum("weight").alias("w"))
     upto = Window.partitionBy(key).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     all_ = Window.partitionBy(key)  # at most as many rows as the grid has values
     share = mix.withColumn("share", F.sum("w").over(upto) / F.sum("w").over(all_))
@@ -325,7 +408,15 @@ def mixture_quantiles(leaves: DataFrame, table: DataFrame, key: str, quantiles:
 def forest_quantiles(model, df: DataFrame, table: DataFrame, key: str, quantiles: Sequence[float], features: str = "features",
                      out: str = "qpred") -> DataFrame:
     """K8: ``df`` with the predicted quantiles of the response."""
-    found = mixture_quantiles(leaf_ids(model, df, [key], features), table, key, quantiles, out)
+    table = materialize(table)
+    if _fits(table):
+        dense = _Leaves.of(table)
+        m = model.copy({model.leafCol: "__leaf", model.featuresCol: features, model.predictionCol: "__p"})
+        ids = m.transform(df.where(F.col(key).isNotNull())).select(key, vector_to_array("__leaf").alias("__leaf"))
+        lists = ids.select(key, F.transform("__leaf", lambda x, t: dense.slot(t, x.cast("int"))).alias("__slots"))
+        found = _summed(lists, dense, key, quantiles, out)
+    else:
+        found = mixture_quantiles(leaf_ids(model, df, [key], features), table, key, quantiles, out)
     return df.join(found, key, "left")
 
 

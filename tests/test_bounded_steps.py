@@ -33,3 +33,24 @@ def test_sample_n_cuts_groups_before_the_shuffle(spark, n):
     u = df.where("g is not null").withColumn("u", split.portable_uniform(F.lit(3), F.col("k"))).toPandas().sort_values(["u", "k"])
     assert got == set(u.groupby("g").head(n)[["g", "k"]].itertuples(index=False, name=None))
     assert n > split.GROUP_LIMIT or "WindowGroupLimit" in _plan(s) and "Join" not in _plan(s)
+
+
+def test_mixture_quantiles_by_lists_as_by_join(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(t, leaf, float(v), rng.random()) for t in range(4) for leaf in range(5) for v in rng.sample(range(30), 6)] + [(0, 0, None, 0.3)]
+    table = spark.createDataFrame(rows, "tree int, leaf int, value double, weight double")
+    leaves = spark.createDataFrame([(None if k == 7 else k % 50, t, rng.randrange(7)) for k in range(60) for t in range(5)], "k long, tree int, leaf int")
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    short = models.mixture_quantiles(leaves, table, "k", qs)
+    a = {r["k"]: r["qpred"] for r in short.collect()}
+    assert "Window" not in _plan(short)  # no row per (key, value)
+    monkeypatch.setattr(models, "BROADCAST_ROWS", 0)
+    assert a == {r["k"]: r["qpred"] for r in models.mixture_quantiles(leaves, table, "k", qs).collect()}
+
+
+def test_leaf_table_counts_grid_values(spark):
+    df = spark.range(600).select((F.col("id") * 0.5).alias("y"), array_to_vector(F.array(F.col("id") % 7 + 0.0)).alias("features"))
+    m = models.learner("forest", label="y", numTrees=3, maxDepth=2).fit(df)
+    t = models.leaf_table(m, df, "y", grid=20)
+    assert "__y" not in "".join(x for x in _plan(t).splitlines() if "HashAggregate" in x)  # not one row per response
+    assert {r["s"] for r in t.groupBy("tree", "leaf").agg(F.round(F.sum("weight"), 9).alias("s")).collect()} == {1.0}

@@ -100,19 +100,28 @@ def _goes_left(x: np.ndarray, tree) -> dict[int, np.ndarray]:
             for j in range(len(left)) if left[j] >= 0}
 
 
+#: Features on a path up to which all their patterns are listed.
+_BITS = 6
+
+
 def _patterns(x: np.ndarray, trees):
-    """For every leaf with a path: (value, features, z, distinct patterns of
-    followed features, pattern number of every row)."""
+    """For every leaf with a path: (value, features, z, patterns of followed
+    features, pattern number of every row). A pattern is a number with one bit
+    per feature; up to ``_BITS`` features all patterns are listed, beyond
+    that those that occur."""
     for tree in trees:
         went = _goes_left(x, tree)
         for value, feats, z, splits in _leaves(tree):
             if not feats:
                 continue
-            followed = np.empty((len(x), len(feats)), bool)
+            row = np.zeros(len(x), np.int64)
             for i, part in enumerate(splits):
-                followed[:, i] = np.logical_and.reduce([went[j] if is_left else ~went[j] for j, is_left in part])
-            seen, row = np.unique(followed, axis=0, return_inverse=True)
-            yield value, feats, z, seen.astype(float), row.ravel()
+                follows = np.logical_and.reduce([went[j] if is_left else ~went[j] for j, is_left in part])
+                row |= follows.astype(np.int64) << i
+            seen = np.arange(1 << len(feats))
+            if len(feats) > _BITS:
+                seen, row = np.unique(row, return_inverse=True)
+            yield value, feats, z, (seen[:, None] >> np.arange(len(feats)) & 1).astype(float), row.ravel()
 
 
 def _subset_sums(o: np.ndarray, z: np.ndarray, without: tuple[int, ...]) -> np.ndarray:

@@ -54,3 +54,11 @@ def test_leaf_table_counts_grid_values(spark):
     t = models.leaf_table(m, df, "y", grid=20)
     assert "__y" not in "".join(x for x in _plan(t).splitlines() if "HashAggregate" in x)  # not one row per response
     assert {r["s"] for r in t.groupBy("tree", "leaf").agg(F.round(F.sum("weight"), 9).alias("s")).collect()} == {1.0}
+
+
+def test_patterns_of_short_paths_need_no_sort(monkeypatch):
+    tree = ([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0, -1, 1, -1, -1], [0.0] * 5, [None] * 5, [0.0, 1.0, 0.0, 2.0, 5.0], [10.0, 4.0, 6.0, 1.0, 5.0], 1.0)
+    monkeypatch.setattr(explain.np, "unique", lambda *a, **k: pytest.fail("rows are sorted"))
+    x = np.array([[-1.0, 3.0], [1.0, -1.0], [1.0, 1.0]])
+    phi = explain.tree_shap(x, [tree], 2)
+    assert np.allclose(phi.sum(axis=1) + explain.expected_value([tree]), [1.0, 2.0, 5.0])

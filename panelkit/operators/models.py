@@ -21,8 +21,8 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +111,106 @@ def learner(preset: str, label: str = "label", features: str = "features", **ove
     return est
 
 
+# ------------------------------------------------------------------ boosting on counted rows
+#: Rows that place the cut points, as many as MLlib's own tree learners take.
+EDGE_ROWS = 10_000
+#: Counted rows per task; tables of more than a million per core have larger tasks.
+CELL_ROWS = 20_000
+
+
+def _edges(values: np.ndarray, weights: np.ndarray, splits: int) -> list[float]:
+    """Cut points of one ordered feature by MLlib's rule: between all distinct
+    values while they are few, else where the running weight is nearest to the
+    next multiple of an equal share."""
+    v, at = np.unique(values, return_inverse=True)
+    if len(v) - 1 <= splits:
+        return ((v[:-1] + v[1:]) / 2).tolist()
+    w = np.bincount(at.ravel(), weights)
+    upto, step, out = np.cumsum(w), float(w.sum()) / (splits + 1), []
+    target = step
+    for i in range(1, len(v)):
+        if abs(upto[i - 1] - target) < abs(upto[i] - target):
+            out.append(float(v[i - 1] + v[i]) / 2)
+            target += step
+    return out
+
+
+def bin_edges(train: DataFrame, features: str, max_bins: int, weight: str | None = None, seed: int = 42) -> list[list[float] | None]:
+    """Per feature its cut points, from all rows or a sample of ``EDGE_ROWS``;
+    None for a nominal feature."""
+    nominal = {a["idx"] for a in train.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])}
+    rows = train.select(vector_to_array(features).alias("x"), F.col(weight).cast("double").alias("w") if weight else F.lit(1.0).alias("w"))
+    n, need = rows.count(), max(max_bins ** 2, EDGE_ROWS)
+    got = (rows.sample(need / n, seed) if n > need else rows).collect()
+    x, w = np.array([r["x"] for r in got], float), np.array([r["w"] for r in got], float)
+    width = x.shape[1] if x.ndim == 2 else 0
+    return [None if j in nominal else _edges(x[:, j], w, min(max_bins, n) - 1) for j in range(width)]
+
+
+def _codes(df: DataFrame, edges: list, features: str, out: str) -> DataFrame:
+    """Add the array of features with every ordered one replaced by 1 + the
+    number of its cut points below the value."""
+    df, cols = df.withColumn("__x", vector_to_array(features)), []
+    for j, cuts in enumerate(edges):
+        df = df.withColumn(f"__x{j}", F.get("__x", F.lit(j)))
+        if cuts is not None:
+            df = ranks._with_bucket(df, f"__x{j}", cuts, f"__c{j}")
+        cols.append(F.col(f"__x{j}") if cuts is None else (F.col(f"__c{j}") + 1).cast("double"))
+    return df.withColumn(out, F.array(*cols)).drop("__x", *[f"__{k}{j}" for j in range(len(edges)) for k in "xc"])
+
+
+@dataclass
+class BinnedBoost:
+    """A boosted model fitted on codes (:func:`fit`) with its cut points."""
+
+    model: GBTRegressionModel
+    edges: list
+    features: str
+
+    @property
+    def trees(self) -> list:
+        return self.model.trees
+
+    @property
+    def treeWeights(self) -> list:  # noqa: N802
+        return self.model.treeWeights
+
+    @property
+    def featureImportances(self):  # noqa: N802
+        return self.model.featureImportances
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        coded = _codes(df, self.edges, self.features, "__codes").withColumn("__codes", array_to_vector("__codes"))
+        return self.model.transform(coded).drop("__codes")
+
+    def threshold(self, feature: int, value: float) -> float:
+        """The feature's value at a split of its code: codes up to ``value`` go left."""
+        return self.edges[feature][int(value) - 1]
+
+
+def fit(est, train: DataFrame, weight: str | None = None):
+    """Fit a learner. Boosted trees see an ordered feature only through the
+    bins between its cut points, and squared loss sees rows that share all bins
+    only through their number and mean: they are counted first, so that a tree
+    costs (distinct binned rows), at most the rows and bounded by the bins."""
+    if not isinstance(est, GBTRegressor) or est.getLossType() != "squared" or est.getSubsamplingRate() != 1.0 or est.getMinInstancesPerNode() != 1:
+        return est._set(weightCol=weight).fit(train) if weight else est.fit(train)
+    features, y = est.getFeaturesCol(), est.getLabelCol()
+    train = train.select(features, F.col(y).cast("double").alias(y), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w")).where("__w > 0")
+    edges = bin_edges(train, features, est.getMaxBins(), "__w")
+    if not edges:
+        return est.fit(train)  # no rows: MLlib's own error
+    mean = F.when(F.count(y) == F.count(F.lit(1)), F.sum(F.col("__w") * F.col(y)) / F.sum("__w"))  # a null label stays MLlib's error
+    cells = materialize(_codes(train, edges, features, "__codes").groupBy("__codes").agg(mean.alias(y), F.sum("__w").alias("__n")))
+    n, cores = cells.count(), train.sparkSession.sparkContext.defaultParallelism
+    if n < est.getMaxBins():  # MLlib takes no more bins than rows
+        return est._set(weightCol="__w").fit(train)
+    attrs = train.schema[features].metadata
+    coded = cells.repartition(max(1, min(n // CELL_ROWS, max(cores, n // 1_000_000)))).withColumn(
+        "__codes", array_to_vector("__codes").alias("__codes", metadata=attrs))
+    return BinnedBoost(est.copy()._set(featuresCol="__codes", weightCol="__n").fit(coded), edges, features)
+
+
 def mlp(n_features: int, n_classes: int, hidden: Sequence[int] = (128, 512, 1024, 1024), max_iter: int = 100,
         label: str = "label", features: str = "features", seed: int = 42) -> MultilayerPerceptronClassifier:
     """K4: MLlib multilayer perceptron (sigmoid hidden units, L-BFGS)."""
@@ -157,7 +257,7 @@ def compare_models(train: DataFrame, test: DataFrame, y: str, presets: Sequence[
     base = test.crossJoin(F.broadcast(mean)).withColumn("prediction", F.col("__m"))
     rows.append(metrics.regression_metrics(base, y, "prediction").withColumn("model", F.lit("train_mean")))
     for p in presets:
-        m = learner(p, label=y, features=features).fit(train)
+        m = fit(learner(p, label=y, features=features), train)
         rows.append(metrics.regression_metrics(score(m, test), y, "prediction").withColumn("model", F.lit(p)))
     out = rows[0]
     for r in rows[1:]:
@@ -191,7 +291,7 @@ def tree_list(model) -> tuple[list, list[float]]:
     boosted weights as fitted, single tree 1."""
     if hasattr(model, "trees"):
         trees = list(model.trees)
-        if hasattr(model, "treeWeights") and model.__class__.__name__.startswith("GBT"):
+        if isinstance(model, BinnedBoost) or hasattr(model, "treeWeights") and model.__class__.__name__.startswith("GBT"):
             return trees, [float(w) for w in model.treeWeights]
         return trees, [1.0 / len(trees)] * len(trees)
     return [model], [1.0]
@@ -205,6 +305,8 @@ def node_rows(model) -> list[list]:
         _walk(tr._java_obj.rootNode(), t, part, [0])
         for r in part:
             r.append(weights[t])
+            if isinstance(model, BinnedBoost) and r[3] is not None:
+                r[3] = model.threshold(r[2], r[3])
         rows += part
     return rows
 

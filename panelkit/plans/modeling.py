@@ -4,7 +4,9 @@
 from __future__ import annotations
 
 import itertools
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def boost_native_categoricals(spark, sf_dir):
     prep = models.fit_prep(s.where(F.col("split") == "train"), NUMERIC, CATEGORICAL, mode="codes")
     d = prep.transform(s).cache()
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    m = models.learner("boost", label=Y, maxBins=32).fit(train)
+    m = models.fit(models.learner("boost", label=Y, maxBins=32), train)
     out = metrics.regression_metrics(models.score(m, test), Y, "prediction").withColumn("model", F.lit("boost_native"))
     imp = models.importances_table(spark, {"boost_native": m}, prep.feature_names)
     return out.crossJoin(imp.groupBy().pivot("feature").agg(F.first("importance")))
@@ -156,7 +158,7 @@ def model_importances(spark, sf_dir):
     train, _, prep = _frames(spark, sf_dir)
     names = prep.feature_names
     forest = models.learner("forest", label=Y).fit(train)
-    boost = models.learner("boost", label=Y).fit(train)
+    boost = models.fit(models.learner("boost", label=Y), train)
     tidy = models.importances_table(spark, {"forest": forest, "boost": boost}, names)
     cons = importance.consolidate(tidy, NUMERIC + CATEGORICAL, strip_prefix=None)
     norm = importance.normalize(cons)
@@ -174,7 +176,7 @@ register("model_importances", "K9 L1 D17 D18 D19")(model_importances)
 
 def tree_node_spread(spark, sf_dir):
     train, _, prep = _frames(spark, sf_dir)
-    boost = models.learner("boost", label=Y, maxIter=30, maxDepth=4).fit(train)
+    boost = models.fit(models.learner("boost", label=Y, maxIter=30, maxDepth=4), train)
     nodes = models.node_table(spark, boost, prep.feature_names).where(F.col("feature") >= 0)
     return importance.spread_over_trees(nodes.select("tree", F.col("feature_name").alias("feature"), "gain"), sd="samp")
 
@@ -283,7 +285,7 @@ SELECT feature, round(avg(d), 6) AS importance_mean, round(stddev_pop(d), 6) AS
 def _shap_setup(spark, sf_dir, trees=400):
     train, test, prep = _frames(spark, sf_dir)
     m = _memo(spark, sf_dir, f"gbt{trees}",
-              lambda: GBTRegressor(maxIter=trees, maxDepth=4, stepSize=0.1, seed=42, labelCol=Y).fit(train))
+              lambda: models.fit(GBTRegressor(maxIter=trees, maxDepth=4, stepSize=0.1, seed=42, labelCol=Y), train))
     nodes = models.node_table(spark, m)
     return m, nodes, test, prep  # every test row (row-parallel mapInPandas, no sampling)
 
@@ -497,12 +499,14 @@ def bootstrap_importance_sd(spark, sf_dir, replicates: int = 8):
     rows are copied."""
     train, _, prep = _frames(spark, sf_dir)
     names = prep.feature_names
-    reps = []
-    for b in range(1, replicates + 1):
+
+    def replicate(b: int):
         w = split.bootstrap_weights(train.select("row_id", Y, "features"), "row_id", 1, seed=1000 + b)
-        m = GBTRegressor(maxIter=20, maxDepth=4, seed=42, labelCol=Y, weightCol="w").fit(
-            w.withColumn("w", F.col("w").cast("double")))
-        reps.append(models.importances_table(spark, {f"b{b}": m}, names).withColumn("b", F.lit(b)))
+        m = models.fit(GBTRegressor(maxIter=20, maxDepth=4, seed=42, labelCol=Y), w, weight="w")
+        return models.importances_table(spark, {f"b{b}": m}, names).withColumn("b", F.lit(b))
+
+    with ThreadPool(4) as pool:  # replicates are independent runs of many small jobs
+        reps = pool.map(inheritable_thread_target(spark)(replicate), range(1, replicates + 1))
     allr = reps[0]
     for r_ in reps[1:]:
         allr = allr.unionByName(r_)

@@ -62,3 +62,21 @@ def test_patterns_of_short_paths_need_no_sort(monkeypatch):
     x = np.array([[-1.0, 3.0], [1.0, -1.0], [1.0, 1.0]])
     phi = explain.tree_shap(x, [tree], 2)
     assert np.allclose(phi.sum(axis=1) + explain.expected_value([tree]), [1.0, 2.0, 5.0])
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_boosting_on_counted_rows_as_on_rows(spark, weight):
+    rng = np.random.default_rng(5)
+    rows = [([float(a), float(rng.integers(0, 3)), float(rng.integers(0, 2))], float(rng.integers(1, 3))) for a in rng.normal(size=150) for _ in range(20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, x array<double>, w double").select(
+        "id", "x", "w", array_to_vector("x").alias("features"), F.expr("sin(3 * x[0]) + x[1] * x[2] + 0.01 * (id % 3) + 0.05 * x[0] * x[1]").alias("y")).cache()
+    est = GBTRegressor(maxIter=4, maxDepth=3, seed=1, labelCol="y")
+    plain = (est.copy()._set(weightCol=weight) if weight else est).fit(df)
+    m = models.fit(est, df, weight)
+    assert isinstance(m, models.BinnedBoost)
+    p, q = (np.array([r["prediction"] for r in x.transform(df).orderBy("id").select("prediction").collect()]) for x in (plain, m))
+    assert np.allclose(p, q, atol=1e-9)
+    assert np.allclose(plain.featureImportances.toArray(), m.featureImportances.toArray(), atol=1e-9)
+    sh = explain.shapley(df, models.node_table(spark, m), "id").groupBy("id").agg((F.sum("shap") + F.first("expected_value")).alias("s"))
+    assert np.allclose([r["s"] for r in sh.orderBy("id").collect()], q, atol=1e-9)
+    assert max(float(t._java_obj.rootNode().impurityStats().count()) for t in m.trees) == (sum(r[1] for r in rows) if weight else len(rows))

@@ -159,8 +159,10 @@ def fixed_vocab_vector(spark, sf_dir):
     )
     vec = r.select(encode.assemble(r, ["intro", "scenario_vec", "licence", "gender_vec", "education_vec",
                                        "job_vec"]).alias("features"))
-    return (vec.select(F.posexplode("features").alias("pos", "x")).groupBy("pos")
-            .agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n")))
+    # a fixed vocabulary has a fixed number of vectors: equal ones are counted before they are taken apart
+    vec = vec.groupBy("features").agg(F.count(F.lit(1)).alias("n"))
+    return (vec.select("n", F.posexplode("features").alias("pos", "x")).groupBy("pos")
+            .agg(F.sum(F.col("x") * F.col("n")).alias("total"), F.sum("n").alias("n")))
 
 
 def _fixed_vocab_sql():

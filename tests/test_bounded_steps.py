@@ -80,3 +80,16 @@ def test_boosting_on_counted_rows_as_on_rows(spark, weight):
     sh = explain.shapley(df, models.node_table(spark, m), "id").groupBy("id").agg((F.sum("shap") + F.first("expected_value")).alias("s"))
     assert np.allclose([r["s"] for r in sh.orderBy("id").collect()], q, atol=1e-9)
     assert max(float(t._java_obj.rootNode().impurityStats().count()) for t in m.trees) == (sum(r[1] for r in rows) if weight else len(rows))
+
+
+def test_fixed_vectors_are_counted_before_they_are_taken_apart(spark, tmp_path):
+    from panelkit.plans.encoding import fixed_vocab_vector
+
+    spark.range(300).select(
+        F.col("id").alias("l_orderkey"), F.col("id").alias("l_partkey"), (F.col("id") % 9).alias("l_suppkey"),
+        (F.col("id") % 4).cast("int").alias("l_linenumber"), (F.col("id") % 30 + 0.0).alias("l_quantity"), F.lit(7.5).alias("l_extendedprice"),
+        F.lit(0.05).alias("l_discount")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = fixed_vocab_vector(spark, str(tmp_path))
+    got = {r["pos"]: (r["total"], r["n"]) for r in out.collect()}
+    assert {n for _, n in got.values()} == {300} and sum(got[p][0] for p in range(1, 5)) == 300
+    assert "keys=[features" in _plan(out)

@@ -39,9 +39,9 @@ from panelkit.llm.common import register, table
 from panelkit.llm.endings import Endings
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-CACHE = 1_000_000
+CACHE = 200_000
 #: Characters of text whose pre-tokens are held at a time.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -110,7 +110,7 @@ class Vocabulary:
         goes first."""
         ok = self.pairs.get((left, right))
         if ok is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
             a, b, ranks = self.edge(left), self.edge(right), self.ranks
             if not (a[0] and b[0]):

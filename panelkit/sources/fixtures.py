@@ -102,17 +102,19 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     score, shifted by participant and (for most) sloped on quality by
     participant, clipped to 1..5 in quarter steps."""
     li = table(spark, sf_dir, "lineitem")
-    supp = F.col("l_suppkey")
-    scores = [(F.lit(1) + (F.col("l_partkey") * (k + 2) + F.col("l_linenumber") * (2 * k + 1) + F.col("l_orderkey")) % 5).alias(f"s{k}")
-              for k in range(1, len(RESPONSES) + 1)]
-    rows = li.select(F.concat(F.lit("P"), _s("l_suppkey")).alias("participant"), supp.alias("supp"),
-                     F.element_at(F.array(*[F.lit(s) for s in ("3Spurig", "NeueMitte", "Spielstrasse", "Ueberland")]),
-                                  (F.floor(supp / 2) % 4 + 1).cast("int")).alias("scenario"),
-                     F.when(supp % 2 == 0, "boasting").otherwise("ambiguous").alias("introduction"),
-                     (F.lit(67.0) + F.col("l_quantity").cast("int") % 20).alias("quality"), *scores)
-    cell = rows.groupBy("participant", "quality").agg(
-        F.min("supp").alias("supp"), F.min("scenario").alias("scenario"), F.min("introduction").alias("introduction"),
-        *[F.avg(f"s{k}").alias(f"s{k}") for k in range(1, len(RESPONSES) + 1)])
+    start = F.col("l_partkey") * 2 + F.col("l_linenumber") + F.col("l_orderkey")
+    step = F.col("l_partkey") + F.col("l_linenumber") * 2
+    # rows meet by cell with two numbers: partial averages of all responses are many times a row
+    rows = li.select(F.col("l_suppkey").alias("supp"), (F.lit(67.0) + F.col("l_quantity").cast("int") % 20).alias("quality"),
+                     start.alias("start"), step.alias("step")).repartition("supp", "quality")
+    score = {f"s{k}": F.lit(1) + (F.col("start") + F.col("step") * k) % 5 for k in range(1, len(RESPONSES) + 1)}
+    supp = F.col("supp")
+    cell = rows.groupBy("supp", "quality").agg(F.count(score["s1"]).alias("n"), *[F.sum(x).alias(c) for c, x in score.items()]) \
+        .withColumns({c: F.try_divide(c, "n") for c in score}).withColumns({
+        "participant": F.concat(F.lit("P"), _s("supp")),
+        "scenario": F.element_at(F.array(*[F.lit(s) for s in ("3Spurig", "NeueMitte", "Spielstrasse", "Ueberland")]),
+                                 (F.floor(supp / 2) % 4 + 1).cast("int")),
+        "introduction": F.when(supp % 2 == 0, "boasting").otherwise("ambiguous")})
 
     def value(k: int):
         shift = (F.col("supp") * (k + 1) % 7 - 3) / 6.0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.common import as_col, literal_map
+from panelkit.session import materialize
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -171,6 +172,17 @@ def tag_repeat_ids(df: DataFrame, id_col: str, combo_cols: Sequence[str], order_
     return j.withColumn(out or id_col, tagged).drop("__combo", "__last")
 
 
+#: Groups up to which a table of one row per group is sent to every task.
+BROADCAST_GROUPS = 100_000
+
+
+def _with_stats(df: DataFrame, stats: DataFrame, group: str) -> DataFrame:
+    """Left join of one row per group. Few groups (counted first) are broadcast:
+    a shuffle by group would sort a whole group in one task."""
+    stats = materialize(stats)
+    return df.join(F.broadcast(stats) if stats.count() <= BROADCAST_GROUPS else stats, group, "left")
+
+
 def remove_group_outliers(df: DataFrame, group: str, value: str, z: float = 3.0, id_cols: Sequence[str] = ()) -> DataFrame:
     """Drop rows whose robust z-score (median/MAD within ``group``) exceeds ``z``.
     A group with MAD 0 has no robust z-score and keeps all its rows.
@@ -181,9 +193,9 @@ def remove_group_outliers(df: DataFrame, group: str, value: str, z: float = 3.0,
     from panelkit.operators.ranks import exact_percentile
 
     med = exact_percentile(df, value, [0.5], by=[group]).select(group, F.col("value").alias("__med"))
-    j = df.join(med, group, "left").withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
+    j = _with_stats(df, med, group).withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
     mad = exact_percentile(j, "__dev", [0.5], by=[group]).select(group, F.col("value").alias("__mad"))
-    j = j.join(mad, group, "left")
+    j = _with_stats(j, mad, group)
     rz = F.try_divide(F.col("__dev"), F.lit(1.4826) * F.col("__mad"))
     out = F.coalesce(rz > z, F.lit(False))
     if id_cols:

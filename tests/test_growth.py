@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import nonparam, ranks
+from panelkit.operators import clean, nonparam, ranks
 from panelkit.sources import fixtures as fx
 
 
@@ -48,3 +48,14 @@ def test_responses_shuffle_rows_not_partial_averages(spark, tmp_path):
     df = fx.responses(spark, str(tmp_path))
     assert "hashpartitioning(supp" in _plan(df) and _plan(df).count("Exchange") == 1 and "REPARTITION" in _plan(df)
     assert df.count() == len({(r[2], r[4] % 20) for r in rows})
+
+
+def test_outliers_of_few_groups_sort_no_group(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(20)] + [("a", 500.0), ("b", 1.0), ("b", 1.0), (None, 2.0)], "g string, v double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = clean.remove_group_outliers(df, "g", "v")
+        assert "SortMergeJoin" not in _plan(out) and out.count() == 23
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

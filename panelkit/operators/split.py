@@ -127,13 +127,15 @@ def bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int = 42,
     Rows are never gathered: each replicate statistic is a weighted
     aggregate ``groupBy(cell, b)``. Rows with weight 0 are dropped.
     """
-    reps = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias(replicate_col))
-    u = portable_uniform(F.lit(seed), F.col(replicate_col), F.col(key))
+    # the uniforms are made before the rows are laid out: an expression beside the weights and their filter is hashed once for each use
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: F.struct(
+        b.alias(replicate_col), portable_uniform(F.lit(seed), b, F.col(key)).alias("__u")))
+    reps, u = df.select("*", F.inline(drawn)), F.col("__u")
     cdf = poisson1_cdf()
     w = F.lit(len(cdf))
     for k in reversed(range(len(cdf))):
         w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
-    return reps.withColumn(out, w).where(F.col(out) > 0)
+    return reps.withColumn(out, w).where(F.col(out) > 0).drop("__u")
 
 
 def poisson_replicate_counts(counts: DataFrame, n: str, keys: Sequence[str], replicates: int, seed: int = 42,

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import clean, nonparam, ranks
+from panelkit.operators import clean, nonparam, ranks, split
 from panelkit.sources import fixtures as fx
 
 
@@ -59,3 +59,10 @@ def test_outliers_of_few_groups_sort_no_group(spark):
         assert "SortMergeJoin" not in _plan(out) and out.count() == 23
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bootstrap_weights_hash_a_draw_once(spark):
+    df = spark.range(50).withColumnRenamed("id", "k")
+    out = split.bootstrap_weights(df, "k", 4, seed=3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert out.columns == ["k", "b", "w"] and out.where("w < 1").isEmpty()

@@ -37,7 +37,7 @@ def permutation_importance(scorer: Scorer, df: DataFrame, key: str, y: str, feat
     combos = F.broadcast(split.permutation_combos(df.sparkSession, features, repeats, seed))  # features x repeats rows
     value = F.struct(*[F.when(F.col("feature") == f, F.col(f)).alias(f) for f in features]).alias("__src")
     sent = split.with_bijection(rows.crossJoin(combos).select("feature", "repeat", "__keys", "__i", value), "__i", rows.count(), "__keys", "__i").drop("__keys")
-    x = sent.join(rows, "__i").drop("__i")
+    x = sent.join(rows.hint("shuffle_hash"), "__i").drop("__i")  # numbers are unique and even; the copies need no sort
     for f in features:
         x = x.withColumn(f, F.when(F.col("feature") == f, F.col(f"__src.{f}")).otherwise(F.col(f)))
     perm = scorer(x.drop("__src")).groupBy("feature", "repeat").agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("__mae"))

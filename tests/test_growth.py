@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import clean, nonparam, ranks, split
+from panelkit.operators import clean, explain, nonparam, ranks, split
 from panelkit.sources import fixtures as fx
 
 
@@ -66,3 +66,9 @@ def test_bootstrap_weights_hash_a_draw_once(spark):
     out = split.bootstrap_weights(df, "k", 4, seed=3)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
     assert out.columns == ["k", "b", "w"] and out.where("w < 1").isEmpty()
+
+
+def test_permuted_copies_are_not_sorted(spark):
+    df = spark.range(40).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    out = explain.permutation_importance(lambda d: d.withColumn("prediction", F.col("a")), df, "id", "y", ["a"], 3)
+    assert "SortMergeJoin" not in _plan(out) and out.count() == 1

@@ -52,7 +52,10 @@ def pdp_ice(scorer: Scorer, df: DataFrame, feature: str, key: str, by: Sequence[
             ) -> tuple[DataFrame, DataFrame]:
     """Grid of ``points`` values between the ``lo_q`` and ``hi_q``
     percentiles of ``feature``; ICE = every (sampled) row scored at every
-    grid value; PDP = mean ICE per (cell, grid point). Returns (pdp, ice)."""
+    grid value; PDP = mean ICE per (cell, grid point). Returns (pdp, ice).
+
+    A scorer with a method ``counted`` (rows it scores alike, with their number
+    ``__n``) is asked once per such rows for the PDP of all rows."""
     by = list(by)
     q = ranks.exact_percentile(df, feature, [lo_q, hi_q])
     rng = q.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
@@ -62,8 +65,12 @@ def pdp_ice(scorer: Scorer, df: DataFrame, feature: str, key: str, by: Sequence[
     rows = split.sample_n(df, sample_per_cell, key, by=by, seed=seed) if sample_per_cell else df
     x = rows.crossJoin(F.broadcast(grid)).withColumn(feature, F.col("__g"))  # rows x points (bounded grid)
     ice = scorer(x).select(key, *by, "grid_index", F.col("__g").alias("grid_value"), "prediction")
-    pdp = ice.groupBy(*by, "grid_index", "grid_value").agg(F.avg("prediction").alias("partial_dependence"))
-    return pdp, ice
+    cell = [*by, "grid_index", "grid_value"]
+    if sample_per_cell or not hasattr(scorer, "counted"):
+        return ice.groupBy(*cell).agg(F.avg("prediction").alias("partial_dependence")), ice
+    few = scorer(scorer.counted(df, feature, by).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("__g")))
+    mean = F.sum(F.col("prediction") * F.col("__n")) / F.sum("__n")
+    return few.withColumn("grid_value", F.col("__g")).groupBy(*cell).agg(mean.alias("partial_dependence")), ice
 
 
 # ------------------------------------------------------------------ L3 / L4 / L5 tree Shapley

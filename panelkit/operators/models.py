@@ -10,6 +10,7 @@ model (driver-side, model-sized) into flat node tables.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators import clean, encode, metrics, ranks
+from panelkit.operators import clean, encode, forests, metrics, ranks
 from panelkit.session import materialize
 
 
@@ -190,12 +191,79 @@ class BinnedBoost:
         return self.edges[feature][int(value) - 1]
 
 
+class BinnedTree(BinnedBoost):
+    """The same for a single tree."""
+
+    @property
+    def trees(self) -> list:
+        return [self.model]
+
+    @property
+    def treeWeights(self) -> list:  # noqa: N802
+        return [1.0]
+
+
+#: Rows per cell from which forests and single trees are fitted on counted rows.
+ROWS_PER_CELL = 4
+#: Cells x trees up to which forests are fitted on counted rows (bags of all cells are kept).
+BAGS = 1_000_000_000
+
+
+def _plain_defaults(est) -> bool:
+    """Whether a forest or tree has the settings that the counted fit knows."""
+    forest = isinstance(est, (RandomForestRegressor, RandomForestClassifier))
+    if not forest and not isinstance(est, DecisionTreeClassifier):
+        return False
+    if est.getMinInstancesPerNode() != 1 or est.getMinInfoGain() != 0 or est.getMinWeightFractionPerNode() != 0 or est.isSet("weightCol"):
+        return False
+    if not isinstance(est, RandomForestRegressor) and (est.getImpurity() != "gini" or est.isSet("thresholds")):
+        return False
+    return not forest or (est.getBootstrap() and est.getSubsamplingRate() == 1.0 and est.getFeatureSubsetStrategy() == "auto" and est.getNumTrees() > 1
+                          and est.getMaxDepth() <= 8 and not est.getLeafCol())
+
+
+def _counted_trees(est, train: DataFrame):
+    """A forest or tree fitted on rows per (cell, label), or None where rows
+    are few, hardly share cells, or MLlib has to judge them."""
+    features, y = est.getFeaturesCol(), est.getLabelCol()
+    if not _plain_defaults(est) or (n := train.count()) <= PLAIN_ROWS:
+        return None
+    edges = bin_edges(train, features, est.getMaxBins(), seed=est.getSeed())
+    if not edges or any(c is None for c in edges):
+        return None
+    coded = _codes(train.select(features, F.col(y).cast("double").alias("__y")), edges, features, "__codes").select(
+        F.transform("__codes", lambda c: (c - 1).cast("smallint")).alias("__codes"), "__y")
+    cells = coded.agg(F.approx_count_distinct(F.xxhash64("__codes"))).first()[0]
+    forest = not isinstance(est, DecisionTreeClassifier)
+    if cells * ROWS_PER_CELL > n or (forest and cells * est.getNumTrees() > BAGS):
+        return None
+    counted = materialize(coded.groupBy("__codes", "__y").agg(F.count(F.lit(1)).alias("__m")))
+    bad = F.col("__y").isNull() | F.isnan("__y") | (F.abs("__y") == float("inf"))
+    if not isinstance(est, RandomForestRegressor):
+        bad = bad | (F.col("__y") < 0) | (F.col("__y") != F.floor("__y")) | (F.col("__y") >= 100)
+    seen = counted.agg(F.count(F.lit(1)).alias("n"), F.max("__y").alias("top"), F.max(bad).alias("bad")).first()
+    if seen["bad"]:
+        return None
+    if not forest:
+        if seen["n"] < est.getMaxBins():  # MLlib takes no more bins than rows
+            return None
+        rows = counted.select(array_to_vector(F.transform("__codes", lambda c: c + 1.0)).alias("__codes"), F.col("__y").alias(y), F.col("__m").cast("double").alias("__m"))
+        return BinnedTree(est.copy()._set(featuresCol="__codes", weightCol="__m").fit(rows), edges, features)
+    classes = 0 if isinstance(est, RandomForestRegressor) else max(2, int(seen["top"]) + 1)
+    mtry = -(-len(edges) // 3) if not classes else math.ceil(math.sqrt(len(edges)))
+    return forests.grow(counted, seen["n"], edges, est.getNumTrees(), est.getMaxDepth(), mtry, classes, est.getSeed(), features)
+
+
 def fit(est, train: DataFrame, weight: str | None = None):
-    """Fit a learner. Boosted trees see an ordered feature only through the
-    bins between its cut points, and squared loss sees rows that share all bins
-    only through their number and mean: beyond ``PLAIN_ROWS`` they are counted
-    first, so that a tree costs (distinct binned rows), at most the rows and
-    bounded by the bins."""
+    """Fit a learner. Trees see an ordered feature only through the bins
+    between its cut points: beyond ``PLAIN_ROWS`` rows are counted first, so
+    that a tree costs (distinct binned rows), at most the rows and bounded by
+    the bins. Boosting with squared loss sees rows that share all bins only
+    through their number and mean. Forests bag the rows themselves
+    (:mod:`panelkit.operators.forests`) while at least ``ROWS_PER_CELL`` rows share a
+    cell, else by MLlib."""
+    if not weight and (counted := _counted_trees(est, train)) is not None:
+        return counted
     if not isinstance(est, GBTRegressor) or est.getLossType() != "squared" or est.getSubsamplingRate() != 1.0 or est.getMinInstancesPerNode() != 1:
         return est._set(weightCol=weight).fit(train) if weight else est.fit(train)
     if train.count() <= PLAIN_ROWS:
@@ -303,6 +371,8 @@ def tree_list(model) -> tuple[list, list[float]]:
 
 
 def node_rows(model) -> list[list]:
+    if isinstance(model, forests.CountedForest):
+        return model.node_rows()
     rows: list[list] = []
     trees, weights = tree_list(model)
     for t, tr in enumerate(trees):

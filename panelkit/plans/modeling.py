@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from panelkit.functions.random import portable_uniform, uniform_sql
-from panelkit.operators import encode, explain, importance, metrics, models, split
+from panelkit.operators import encode, explain, forests, importance, metrics, models, ranks, split
 from panelkit.plans.registry import register
 from panelkit.sources import fixtures as fx
 
@@ -55,12 +55,25 @@ def _frames(spark, sf_dir):
 
 def _raw_test(spark, sf_dir):
     """Unscaled test rows (the scorers apply the fitted preparation themselves)."""
-    s, _ = _prepared(spark, sf_dir)
+    s = split.group_split(fx.signal(spark, sf_dir), "grp", test=0.2, seed=42)
     return s.where(F.col("split") == "test").select("row_id", Y, *NUMERIC, *CATEGORICAL)
 
 
 def _scorer(model, prep):
-    """Scorer protocol: adds ``prediction``, leaves the input columns as they were."""
+    """Scorer protocol: adds ``prediction``, leaves the input columns as they
+    were. For a counted forest, ``score.counted(df, feature, by)`` counts the rows
+    that it scores alike whatever ``feature`` is set to: ``by``, the model's
+    columns of one such row, ``__n``."""
+    def counted(df, feature, by):
+        cuts, raw = dict(zip(prep.feature_names, model.cuts)), [F.col(c).alias(f"__raw_{c}") for c in prep.numeric]
+        d, others = prep.transform(df.select("*", *raw)), [c for c in prep.numeric if c != feature and c not in by]
+        for c in others:  # the model sees 0 for null
+            d = ranks._with_bucket(d.withColumn("__v", F.coalesce(F.col(c).cast("double"), F.lit(0.0))), "__v", cuts[c], f"__bin_{c}")
+        group = [F.col(f"__raw_{c}").alias(c) if c in prep.numeric else F.col(c) for c in by]
+        group += [F.col(c) for c in prep.levels if c != feature and c not in by] + [F.col(f"__bin_{c}") for c in others]
+        one = [F.min(f"__raw_{c}").alias(c) for c in others]
+        return d.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), *one).drop(*[f"__bin_{c}" for c in others])
+
     def score(df):
         drop = [c for c in prep.feature_names if c in df.columns and c not in prep.numeric] + ["features"]
         base = df.drop(*[c for c in drop if c in df.columns])
@@ -69,6 +82,9 @@ def _scorer(model, prep):
         for c in prep.numeric:
             out = out.withColumn(c, F.col(f"__raw_{c}")).drop(f"__raw_{c}")
         return out.drop(*[c for c in ("rawPrediction", "probability") if c in out.columns])
+
+    if isinstance(model, forests.CountedForest):
+        score.counted = counted
     return score
 
 
@@ -333,10 +349,10 @@ register("shap_moderation", "L5 C7")(shap_moderation)
 # ------------------------------------------------------------------ L6
 def pdp_table(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
-    m = models.learner("forest300", label=Y).fit(train)
+    m = models.fit(models.learner("forest300", label=Y), train)
     raw = _raw_test(spark, sf_dir)
     pdp, _ = explain.pdp_ice(_scorer(m, prep), raw, "o_totalprice", "row_id", by=["c_mktsegment"], points=30,
-                             sample_per_cell=None)  # linear plan: all rows x 30 grid points
+                             sample_per_cell=None)  # all rows, those that the forest tells apart x 30 grid points
     return pdp
 
 

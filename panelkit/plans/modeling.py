@@ -204,7 +204,7 @@ register("tree_node_spread", "D19 K2")(tree_node_spread)
 def classifier_scores(spark, sf_dir):
     train, test, _ = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high").fit(lab(train))
+    m = models.fit(models.learner("forest_classifier300", label="high"), lab(train))
     sc = models.score(m, lab(test), probabilities=True).withColumn("y", F.col("high").cast("int")).withColumn(
         "p", F.col("prediction").cast("int"))
     a = metrics.macro_scores(sc, "y", "p", 2)
@@ -416,7 +416,7 @@ FROM signal GROUP BY c_mktsegment""", "signal"))(moderation_given)
 def counterfactual_changes(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high").fit(lab(train))
+    m = models.fit(models.learner("forest_classifier300", label="high"), lab(train))
     raw = _raw_test(spark, sf_dir)
     # every feature may change: all levels of the categorical ones, nine quantiles of the numeric ones
     cand_rows = [(c, v) for c in CATEGORICAL for v in prep.levels[c]]
@@ -445,7 +445,7 @@ register("counterfactual_frequency", "D21 F-7 L8")(counterfactual_frequency)
 def anchor_rules(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high").fit(lab(train))
+    m = models.fit(models.learner("forest_classifier300", label="high"), lab(train))
     scored = _scorer(m, prep)(_raw_test(spark, sf_dir)).select("row_id", *NUMERIC, *CATEGORICAL, "prediction")
     pick = split.sample_n(scored, 12, "row_id", seed=42).select("row_id")
     return explain.local_rules(scored, "row_id", pick, NUMERIC, CATEGORICAL)
@@ -499,9 +499,9 @@ register("anchor_rules_given", "L9 B23", fx.with_views(_anchor_sql(), "signal").
 def surrogate_tree_rules(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
     lab = lambda d: d.withColumn("high", encode.binary_target(Y).cast("double"))
-    m = models.learner("forest_classifier300", label="high").fit(lab(train))
+    m = models.fit(models.learner("forest_classifier300", label="high"), lab(train))
     preds = m.transform(lab(train)).select("features", F.col("prediction").alias("model_label"))
-    tree = models.learner("tree_classifier_d4", label="model_label").fit(preds)
+    tree = models.fit(models.learner("tree_classifier_d4", label="model_label"), preds)
     return explain.surrogate_rules(spark, tree, prep.feature_names)
 
 

@@ -103,3 +103,27 @@ def test_partial_dependence_of_counted_rows_is_that_of_all(spark, rows, monkeypa
     assert sizes and sizes[0] <= 3 * 32  # levels x bins, of 4,000 rows
     assert got["partial_dependence"].to_numpy() == pytest.approx(plain["partial_dependence"].to_numpy(), rel=1e-12)
     assert got["s"].isna().sum() == 5 and list(got["grid_value"]) == list(plain["grid_value"])
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    """Orders with a price for every row and few levels elsewhere."""
+    at, ids = tmp_path_factory.mktemp("shop"), spark.range(3000)
+    pick = lambda seed, xs: F.element_at(F.array(*map(F.lit, xs)), F.pmod(F.hash("id", F.lit(seed)), F.lit(len(xs))) + 1)
+    spark.range(60).select(F.col("id").alias("c_custkey"), (F.col("id") % 4 * 10.0).alias("c_acctbal"),
+                           pick(1, ["BUILDING", "MACHINERY"]).alias("c_mktsegment")).write.parquet(f"{at}/customer.parquet")
+    ids.select(F.col("id").alias("o_orderkey"), (F.col("id") % 60).alias("o_custkey"), (F.pmod(F.hash("id"), F.lit(100_000)) + 1.5).alias("o_totalprice"),
+               pick(2, ["1-URGENT", "5-LOW"]).alias("o_orderpriority"), pick(3, ["F", "O"]).alias("o_orderstatus")).write.parquet(f"{at}/orders.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("query", ["pdp_table", "surrogate_tree_rules", "counterfactual_changes"])
+def test_queries_grow_their_forests_on_counted_rows(spark, shop, monkeypatch, query):
+    def refuse(*args):
+        raise AssertionError("a forest of rows")
+
+    monkeypatch.setattr(models, "PLAIN_ROWS", 100)
+    monkeypatch.setattr(models, "ROWS_PER_CELL", 1)
+    for cls in (models.RandomForestRegressor, models.RandomForestClassifier):
+        monkeypatch.setattr(cls, "_fit", refuse)
+    assert getattr(modeling, query)(spark, shop).count() > 0

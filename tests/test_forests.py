@@ -117,7 +117,7 @@ def shop(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("query", ["pdp_table", "surrogate_tree_rules", "counterfactual_changes", "counterfactual_frequency"])
+@pytest.mark.parametrize("query", ["pdp_table", "surrogate_tree_rules", "counterfactual_changes", "counterfactual_frequency", "anchor_rules"])
 def test_queries_grow_their_forests_on_counted_rows(spark, shop, monkeypatch, query):
     def refuse(*args):
         raise AssertionError("a forest of rows")

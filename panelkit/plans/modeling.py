@@ -173,7 +173,7 @@ SELECT c_custkey, """ + ", ".join(f"CAST(min(CASE WHEN share >= {p} - 1e-9 THEN
 def model_importances(spark, sf_dir):
     train, _, prep = _frames(spark, sf_dir)
     names = prep.feature_names
-    forest = models.learner("forest", label=Y).fit(train)
+    forest = models.fit(models.learner("forest", label=Y), train)
     boost = models.fit(models.learner("boost", label=Y), train)
     tidy = models.importances_table(spark, {"forest": forest, "boost": boost}, names)
     cons = importance.consolidate(tidy, NUMERIC + CATEGORICAL, strip_prefix=None)
@@ -250,7 +250,7 @@ register("mlp_training", "K4 K6 K10 E8 A8 H3 B16 B18")(mlp_training)
 # ------------------------------------------------------------------ L2
 def permutation_importance(spark, sf_dir):
     train, test, prep = _frames(spark, sf_dir)
-    m = models.learner("forest", label=Y).fit(train)
+    m = models.fit(models.learner("forest", label=Y), train)
     raw = _raw_test(spark, sf_dir)
     return explain.permutation_importance(_scorer(m, prep), raw, "row_id", Y, NUMERIC + CATEGORICAL, repeats=30)
 

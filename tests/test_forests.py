@@ -117,7 +117,8 @@ def shop(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("query", ["pdp_table", "surrogate_tree_rules", "counterfactual_changes", "counterfactual_frequency", "anchor_rules"])
+@pytest.mark.parametrize("query", ["pdp_table", "surrogate_tree_rules", "counterfactual_changes", "counterfactual_frequency", "anchor_rules",
+                                   "classifier_scores", "permutation_importance"])
 def test_queries_grow_their_forests_on_counted_rows(spark, shop, monkeypatch, query):
     def refuse(*args):
         raise AssertionError("a forest of rows")

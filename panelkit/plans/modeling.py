@@ -21,14 +21,6 @@ CATEGORICAL = ["c_mktsegment", "o_orderpriority", "o_orderstatus"]
 Y = "target"
 
 
-def _prepared(spark, sf_dir):
-    """Signal table, grouped 80/20 split by customer (H2), prep fitted on train."""
-    s = split.group_split(fx.signal(spark, sf_dir), "grp", test=0.2, seed=42)
-    train = s.where(F.col("split") == "train")
-    prep = models.fit_prep(train, NUMERIC, CATEGORICAL)
-    return s, prep
-
-
 _MEMO: dict = {}
 
 
@@ -37,13 +29,24 @@ def _memo(spark, sf_dir, name, build):
     key = (spark.sparkContext.applicationId, sf_dir, name)
     for old in [k for k in _MEMO if k[:2] != key[:2]]:  # one session and one folder at a time
         gone = _MEMO.pop(old)
-        if old[0] == key[0] and old[2] == "frames":
+        if old[0] == key[0] and old[2] in ("frames", "prepared"):
             gone[-1].unpersist()
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
 
 
+def _prepared(spark, sf_dir):
+    """Signal table, grouped 80/20 split by customer (H2), prep fitted on train.
+    The split table is kept: the joins behind it are made once."""
+    def build():
+        s = split.group_split(fx.signal(spark, sf_dir), "grp", test=0.2, seed=42).persist()
+        return models.fit_prep(s.where(F.col("split") == "train"), NUMERIC, CATEGORICAL), s
+
+    prep, s = _memo(spark, sf_dir, "prepared", build)
+    return s, prep
+
+
 def _frames(spark, sf_dir):
     def build():
         s, prep = _prepared(spark, sf_dir)
@@ -55,8 +58,7 @@ def _frames(spark, sf_dir):
 
 def _raw_test(spark, sf_dir):
     """Unscaled test rows (the scorers apply the fitted preparation themselves)."""
-    s = split.group_split(fx.signal(spark, sf_dir), "grp", test=0.2, seed=42)
-    return s.where(F.col("split") == "test").select("row_id", Y, *NUMERIC, *CATEGORICAL)
+    return _prepared(spark, sf_dir)[0].where(F.col("split") == "test").select("row_id", Y, *NUMERIC, *CATEGORICAL)
 
 
 def _scorer(model, prep):
@@ -221,7 +223,7 @@ def mlp_training(spark, sf_dir):
     s, prep = _prepared(spark, sf_dir)
     d = prep.transform(split.exact_split(s.drop("split"), "row_id", (0.8, 0.1, 0.1), seed=1337))
     d, classes = encode.label(d, Y, "floor", out="label")
-    d = d.withColumn("label", F.col("label").cast("double")).cache()
+    d = d.select("split", "features", F.col("label").cast("double").alias("label")).cache()
     tr, va, te = (d.where(F.col("split") == n) for n in ("train", "valid", "test"))
     nf, k = len(prep.feature_names), len(classes)
     history, fitted = models.mlp_run(tr, {"train": tr, "valid": va}, nf, k, (64, 32), steps=60, block=10)

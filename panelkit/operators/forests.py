@@ -57,6 +57,19 @@ def _best_split(hist: np.ndarray, start: np.ndarray, among: np.ndarray, classes:
     return best
 
 
+def _votes(x: np.ndarray, splits: list, of: np.ndarray, lowest: np.ndarray) -> np.ndarray:
+    """Summed leaf values of all trees (:meth:`CountedForest._tables`), rows x outputs."""
+    above = np.array([~(x[:, f] <= cut) for f, cut in splits] + [np.zeros(len(x), bool)]).astype(np.intp).ravel()
+    out, row = np.zeros((len(x), lowest.shape[2])), np.arange(len(x))
+    depth = (of.shape[1] + 1).bit_length() - 1
+    for t in range(len(of)):
+        node, base = np.zeros(len(x), np.intp), of[t] * len(x)
+        for _ in range(depth):
+            node = 2 * node + 1 + above[base[node] + row]
+        out += lowest[t][node - of.shape[1]]
+    return out
+
+
 @dataclass
 class _Tree:
     featureImportances: DenseVector  # noqa: N815
@@ -133,23 +146,18 @@ class CountedForest:
             values[leaf, 2 * i + 1] = values[leaf, i]
         return [(f, self.cuts[f][b]) for f, b in pairs], of.reshape(len(self.feature), inner), values[:, inner:]
 
+    def predictions(self, x: np.ndarray) -> np.ndarray:
+        """Of a regression forest, for rows of features."""
+        tables = self._tables()
+        return np.concatenate([_votes(x[at:at + _BAG_ROWS], *tables)[:, 0] for at in range(0, len(x), _BAG_ROWS)]) / float(len(self.feature))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``, for classes also ``rawPrediction`` and ``probability``."""
         shared = df.sparkSession.sparkContext.broadcast(self._tables())
 
         @F.pandas_udf("array<double>")
         def votes(x: pd.Series) -> pd.Series:
-            splits, of, lowest = shared.value
-            x = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
-            above = np.array([~(x[:, f] <= cut) for f, cut in splits] + [np.zeros(len(x), bool)]).astype(np.intp).ravel()
-            out, row = np.zeros((len(x), lowest.shape[2])), np.arange(len(x))
-            depth = (of.shape[1] + 1).bit_length() - 1
-            for t in range(len(of)):
-                node, base = np.zeros(len(x), np.intp), of[t] * len(x)
-                for _ in range(depth):
-                    node = 2 * node + 1 + above[base[node] + row]
-                out += lowest[t][node - of.shape[1]]
-            return pd.Series(list(out))
+            return pd.Series(list(_votes(np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1)), *shared.value)))
 
         out = df.withColumn("__votes", votes(vector_to_array(self.features)))
         trees = F.lit(float(len(self.feature)))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import itertools
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.regression import GBTRegressor
@@ -19,6 +20,8 @@ from panelkit.sources import fixtures as fx
 NUMERIC = ["c_acctbal", "o_totalprice"]
 CATEGORICAL = ["c_mktsegment", "o_orderpriority", "o_orderstatus"]
 Y = "target"
+#: Combinations of codes up to which a forest's predictions are kept in a table.
+TABLE_CELLS = 1_000_000
 
 
 _MEMO: dict = {}
@@ -65,7 +68,9 @@ def _scorer(model, prep):
     """Scorer protocol: adds ``prediction``, leaves the input columns as they
     were. For a counted forest, ``score.counted(df, feature, by)`` counts the rows
     that it scores alike whatever ``feature`` is set to: ``by``, the model's
-    columns of one such row, ``__n``."""
+    columns of one such row, ``__n``. ``score.table(df, y, features, key)`` has its
+    predictions of all codes: (rows with codes for features, features, codes of each,
+    predictions), or None where it does not know them."""
     def counted(df, feature, by):
         cuts, raw = dict(zip(prep.feature_names, model.cuts)), [F.col(c).alias(f"__raw_{c}") for c in prep.numeric]
         d, others = prep.transform(df.select("*", *raw)), [c for c in prep.numeric if c != feature and c not in by]
@@ -76,6 +81,21 @@ def _scorer(model, prep):
         one = [F.min(f"__raw_{c}").alias(c) for c in others]
         return d.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), *one).drop(*[f"__bin_{c}" for c in others])
 
+    def table(df, y, features, key):
+        cuts = dict(zip(prep.feature_names, model.cuts))
+        sizes = [len(cuts[c]) + 1 if c in prep.numeric else len(prep.levels.get(c, ())) for c in features]
+        if (model.classes or prep.mode != "one_hot" or sorted(features) != sorted([*prep.numeric, *prep.levels]) or {y, key} & set(features)
+                or not 0 < np.prod(sizes, dtype=float) <= TABLE_CELLS or max(sizes) > 2**15):
+            return None
+        grid = dict(zip(features, np.indices(sizes).reshape(len(sizes), -1)))
+        x = [np.r_[cuts[c], np.inf][grid[c]] for c in prep.numeric]  # the largest value of every bin
+        x += [(grid[c] == i).astype(float) for c, lvs in prep.levels.items() for i in range(1, len(lvs))]
+        d = encode.codes(prep.transform(df), prep.levels, unseen=0)  # other levels and null have no column, as the first
+        for c in prep.numeric:  # the model sees 0 for null
+            d = ranks._with_bucket(d.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0))), c, cuts[c], "__bin").withColumn(c, F.col("__bin"))
+        coded = d.select(key, y, *[F.col(c).cast("tinyint" if n <= 127 else "smallint").alias(c) for c, n in zip(features, sizes)])
+        return coded, features, sizes, model.predictions(np.array(x).T)
+
     def score(df):
         drop = [c for c in prep.feature_names if c in df.columns and c not in prep.numeric] + ["features"]
         base = df.drop(*[c for c in drop if c in df.columns])
@@ -86,7 +106,7 @@ def _scorer(model, prep):
         return out.drop(*[c for c in ("rawPrediction", "probability") if c in out.columns])
 
     if isinstance(model, forests.CountedForest):
-        score.counted = counted
+        score.counted, score.table = counted, table
     return score
 
 
@@ -251,8 +271,8 @@ register("mlp_training", "K4 K6 K10 E8 A8 H3 B16 B18")(mlp_training)
 
 # ------------------------------------------------------------------ L2
 def permutation_importance(spark, sf_dir):
-    train, test, prep = _frames(spark, sf_dir)
-    m = models.fit(models.learner("forest", label=Y), train)
+    s, prep = _prepared(spark, sf_dir)
+    m = models.fit(models.learner("forest", label=Y), prep.transform(s.where(F.col("split") == "train")).select("features", Y))
     raw = _raw_test(spark, sf_dir)
     return explain.permutation_importance(_scorer(m, prep), raw, "row_id", Y, NUMERIC + CATEGORICAL, repeats=30)
 

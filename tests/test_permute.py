@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import explain, permute, split
+from panelkit.operators import explain, forests, models, permute, split
+from panelkit.plans import modeling
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 97, 1000, 10_007])
@@ -90,3 +91,32 @@ def test_no_rows_and_no_known_target(spark):
     score = lambda d: d.withColumn("prediction", F.col("a"))
     assert [tuple(r) for r in explain.permutation_importance(score, df, "id", "y", ["a"], 2).collect()] == [("a", None, None)]
     assert explain.permutation_importance(score, df.limit(0), "id", "y", ["a"], 2).count() in (0, 1)
+
+
+def test_looked_up_importances_are_the_scored_ones(spark, monkeypatch):
+    monkeypatch.setattr(models, "PLAIN_ROWS", 100)
+    d = spark.range(3000).select("id", F.when(F.col("id") % 50 > 0, F.pmod(F.hash("id"), F.lit(97)) / 7).alias("a"), (F.pmod(F.hash("id", F.lit(1)), F.lit(3)) * 1.5).alias("b"),
+                                 F.when(F.col("id") % 40 > 0, F.concat(F.lit("s"), F.pmod(F.hash("id", F.lit(2)), F.lit(3)))).alias("s"))
+    d = d.withColumn("a", F.when(F.col("id") % 71 == 0, float("nan")).otherwise(F.col("a")))
+    d = d.withColumn("y", F.coalesce(F.nanvl("a", F.lit(3.0)), F.lit(0.0)) + 2 * F.coalesce((F.col("s") == "s1").cast("double"), F.lit(0.0)))
+    features = ["a", "b", "s"]
+    known = d.where("not isnan(coalesce(a, 0))")
+    prep = models.fit_prep(known.where("s != 's2' or s is null"), ["a", "b"], ["s"])  # s2 is a level unseen in training
+    m = models.fit(models.learner("forest", label="y", numTrees=20), prep.transform(known))
+    assert isinstance(m, forests.CountedForest)
+    score = modeling._scorer(m, prep)
+    coded, _, sizes, table = score.table(d, "y", features, "id")
+    place = (F.col("a") * sizes[1] + F.col("b")) * sizes[2] + F.col("s")
+    got = coded.select("id", place.alias("at")).join(score(d), "id").select("at", "prediction").collect()
+    assert len(got) == 3000 and all(table[r["at"]] == r["prediction"] for r in got)
+    test = d.withColumn("y", F.when(F.col("id") % 29 > 0, F.col("y")))
+    looked, scored = (explain.permutation_importance(s, test, "id", "y", features, 5).toPandas().sort_values("feature") for s in (score, lambda x: score(x)))
+    for c in ("importance_mean", "importance_sd"):
+        assert looked[c].to_numpy() == pytest.approx(scored[c].to_numpy(), rel=1e-9, abs=1e-12)
+    assert looked["importance_mean"].max() > 0.5
+    calls = []
+    quiet = lambda x: calls.append(1) or score(x)
+    quiet.table = score.table
+    assert explain.permutation_importance(quiet, test, "id", "y", features, 2).count() == 3 and not calls  # no copy is scored
+    monkeypatch.setattr(modeling, "TABLE_CELLS", 10)
+    assert score.table(d, "y", features, "id") is None and score.table(d, "y", ["a"], "id") is None

@@ -97,11 +97,10 @@ class _Column:
     kind: type
     nulls: bool
     levels: list | None = None
-    arrow: object = None
 
     def packed(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
         if self.levels is not None:
-            code = pc.index_in(column, value_set=pa.array(self.levels, self.arrow)).fill_null(len(self.levels))
+            code = pc.index_in(column, value_set=pa.array(self.levels, column.type)).fill_null(len(self.levels))
             return code.to_numpy(zero_copy_only=False).astype(self.kind), None
         null = column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) if self.nulls else None
         return (column.fill_null(0) if self.nulls else column).to_numpy(zero_copy_only=False).astype(self.kind, copy=False), null
@@ -120,7 +119,7 @@ def _columns(df: DataFrame, features: Sequence[str]) -> list[_Column] | None:
         levels = [r[0] for r in rows]
         if len(levels) > LEVELS or not all(isinstance(v, (str, bool, datetime.date, decimal.Decimal)) and not isinstance(v, datetime.datetime) for v in levels):
             return None
-        out.append(_Column(f, np.uint8 if len(levels) < 255 else np.uint16, False, levels, to_arrow_type(types[f])))
+        out.append(_Column(f, np.uint8 if len(levels) < 255 else np.uint16, False, levels))
     return out
 
 

@@ -241,9 +241,10 @@ register("classifier_scores", "K3 K5 D10 D15 D16 B19")(classifier_scores)
 # ------------------------------------------------------------------ K4, K6, K10, E8, A8, H3
 def mlp_training(spark, sf_dir):
     s, prep = _prepared(spark, sf_dir)
-    d = prep.transform(split.exact_split(s.drop("split"), "row_id", (0.8, 0.1, 0.1), seed=1337))
-    d, classes = encode.label(d, Y, "floor", out="label")
-    d = d.select("split", "features", F.col("label").cast("double").alias("label")).cache()
+    # the kept rows are the raw columns; features are made on the way, as a vector of doubles takes several times their room
+    kept = split.exact_split(s.drop("split"), "row_id", (0.8, 0.1, 0.1), seed=1337).select("split", Y, *NUMERIC, *CATEGORICAL).cache()
+    d, classes = encode.label(prep.transform(kept), Y, "floor", out="label")
+    d = d.select("split", "features", F.col("label").cast("double").alias("label"))
     tr, va, te = (d.where(F.col("split") == n) for n in ("train", "valid", "test"))
     nf, k = len(prep.feature_names), len(classes)
     history, fitted = models.mlp_run(tr, {"train": tr, "valid": va}, nf, k, (64, 32), steps=60, block=10)
@@ -262,7 +263,7 @@ def mlp_training(spark, sf_dir):
     sc = best[2].transform(te).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
     r = metrics.macro_scores(sc, "y", "p", k).first()
     history += [(best[1], "test", "accuracy", float(r["accuracy"])), (best[1], "test", "macro_f1", float(r["macro_f1"] or 0))]
-    d.unpersist()
+    kept.unpersist()
     return spark.createDataFrame(history, "step int, split string, metric string, value double")
 
 
